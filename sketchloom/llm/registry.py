@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import licenses, media, quality
+from sketchloom.llm import decontaminate, licenses, lines, media, quality
 from sketchloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,19 @@ def op1_media_columns(spark, d):
     return m.select(F.col("key").alias("doc_id"), "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
 
 
+@query
+def op2_benchmark_decontamination(spark, d):
+    return decontaminate.find(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query
+def op4_line_dedup(spark, d):
+    return lines.line_dedup(table(spark, d, "documents")).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+ORACLES["op4_line_dedup"] = lines.ORACLE.replace("t AS text", "coalesce(t, '') AS text")
+
+
 @query
 def op5_license_scan(spark, d):
     return licenses.license_scan(table(spark, d, "documents")).withColumn("n_detections", F.size("detections")).drop("detections")
