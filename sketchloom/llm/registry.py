@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import decontaminate, licenses, lines, media, quality
+from sketchloom.llm import chat, decontaminate, licenses, lines, media, quality, warc
 from sketchloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,14 @@ def op2_benchmark_decontamination(spark, d):
     return decontaminate.find(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+@query
+def op3_warc(spark, d):
+    return warc.round_trip(table(spark, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op3_warc"] = warc.ORACLE
+
+
 @query
 def op4_line_dedup(spark, d):
     return lines.line_dedup(table(spark, d, "documents")).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.coalesce("text", F.lit("")).alias("text"))
@@ -50,3 +58,24 @@ def op7_quality_classifier(spark, d):
     model = quality.train(docs, table(spark, d, "labels"))
     s = quality.score(docs, model)
     return s.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+#: A conversation of the query's own whose texts hold the template's control strings: fixed by the query's contract.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+@query
+def op8_chat_formatting(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    done = chat.conversations(chat.chains(rows.unionByName(own)))
+    back = done.withColumn("turns", chat.parse(F.col("formatted"))).withColumn("lost", chat.loss_text(F.col("formatted"), F.col("loss")))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("lost").cast("long").alias("loss_chars"), F.sha2("lost", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+#: Each escaped character is two, and the template adds 14 characters and the role to each turn.
+ORACLES["op8_chat_formatting"] = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') t FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+ CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(14 + length(role) + length(t) + length(regexp_replace(t, '[^\\#<]', '', 'g'))) AS BIGINT) AS formatted_chars FROM c GROUP BY 1"""
