@@ -51,7 +51,8 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: s
     each = docs.select(F.col(key).alias("__k"), F.explode(F.split(text, "\n")).alias("line")).select("__k", _hash(F.col("line")).alias("h"), F.length(F.trim("line")).alias("n"))
     hits = each.filter(F.col("n") >= min_chars).select("__k", "h").join(common, "h", "left_semi").groupBy("__k").agg(F.collect_set("h").alias("__bad"))
     hits = stored(hits, "line-hits")
-    joined = docs.join(hits, docs[key].eqNullSafe(hits["__k"]), "left").drop("__k")
+    # always by a shuffle, whatever the number of hits: what it costs then follows the documents alone
+    joined = docs.join(hits.hint("merge"), docs[key].eqNullSafe(hits["__k"]), "left").drop("__k")
     lines = F.split(F.col(text), "\n")
     bad = lambda x: (F.length(F.trim(x)) >= min_chars) & F.array_contains("__bad", _hash(x))
     joined = joined.withColumn("__cut", F.when(F.col("__bad").isNotNull(), F.filter(lines, bad)))
