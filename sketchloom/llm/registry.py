@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import chat, decontaminate, licenses, lines, media, quality, warc
+from sketchloom.llm import chat, decontaminate, licenses, lines, media, quality, substrings, warc
 from sketchloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ ORACLES["op8_chat_formatting"] = r"""WITH c AS (SELECT conv_id, turn, coalesce(r
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
  CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
  CAST(sum(14 + length(role) + length(t) + length(regexp_replace(t, '[^\\#<]', '', 'g'))) AS BIGINT) AS formatted_chars FROM c GROUP BY 1"""
+
+
+@query
+def op9_substring_dedup(spark, d):
+    return substrings.substring_dedup(table(spark, d, "documents"))
