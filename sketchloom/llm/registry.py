@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import chat, decontaminate, licenses, lines, media, quality, substrings, warc
+from sketchloom.llm import chat, decontaminate, jaccard, licenses, lines, media, quality, substrings, warc
 from sketchloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op5_license_scan(spark, d):
     return licenses.license_scan(table(spark, d, "documents")).withColumn("n_detections", F.size("detections")).drop("detections")
 
 
+@query
+def op6_ngram_jaccard_join(spark, d):
+    return jaccard.jaccard_components(table(spark, d, "documents"), k=3, percent=90)
+
+
 @query
 def op7_quality_classifier(spark, d):
     docs = table(spark, d, "documents")
