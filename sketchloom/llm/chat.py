@@ -57,12 +57,19 @@ def paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
     step = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     ids = step.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     up = step.join(ids, _same(step, "parent", ids, "n"), "left").select("tree", "node", F.col("n").alias("up"), "score", F.lit(1).cast("long").alias("depth"))
-    level, jumps = stored(up, "chat-step"), []
+    level, jumps = stored(up.withColumn("fresh", F.lit(True)), "chat-step"), []
+    done = [level.filter("up IS NULL")]
     while not level.filter("up IS NOT NULL").isEmpty():
-        jumps.append(level.filter("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("to")))
-        far = level.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
-        joined = level.join(far, _same(level, "up", far, "n"), "left")
-        level = stored(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "chat-jump")
+        active = level.filter("up IS NOT NULL")
+        jumps.append(active.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("to")))
+        # only trees that still have a node below its distance go on
+        trees = active.select(F.col("tree").alias("t")).distinct()
+        here = level.join(trees, level["tree"].eqNullSafe(trees["t"]), "left_semi")
+        far = here.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
+        moved = active.join(far, _same(active, "up", far, "n")).select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("depth") + F.col("depth2")).alias("depth"), F.lit(True).alias("fresh"))
+        level = stored(here.filter("up IS NULL").withColumn("fresh", F.lit(False)).unionByName(moved), "chat-jump")
+        done.append(level.filter("fresh AND up IS NULL"))
+    level = reduce(DataFrame.unionByName, done)
     parents = step.filter("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("n")).distinct()
     leaves = level.join(parents, _same(level, "node", parents, "n"), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))
