@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import chat, decontaminate, jaccard, licenses, lines, media, quality, substrings, warc
+from sketchloom.llm import chat, decontaminate, jaccard, licenses, lines, media, pieces, quality, substrings, warc
 from sketchloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
 @query
 def op9_substring_dedup(spark, d):
     return substrings.substring_dedup(table(spark, d, "documents"))
+
+
+@query
+def op10_sentencepiece(spark, d):
+    return pieces.encode_samples(table(spark, d, "documents"), keep_ids=0).drop("ids")
