@@ -10,9 +10,10 @@ segments: those with the fewest shingles, whose subsets are the most common.
 
 Equal signatures make a bucket. Within a bucket only pairs with one probing member, its pivot, are verified at first;
 signatures are bucketed within each task before they are shuffled, so that a bucket that very many documents fall into
-sends one row a task. Pairs are verified exactly, on the shingles of whole texts. Where the verified links leave a bucket in several components, its
-remaining pairs across components are verified too, until none is left: components are exact, and pairs that are
-connected already are never looked at.
+sends one row a task. Pairs are verified exactly, on the shingles of whole texts. Where the verified links leave a
+bucket in several components, some rounds compare its members with further pivots, which grows components at a cost
+that is linear in the bucket; then all pairs across components are verified that remain, until none is left: components
+are exact, and pairs that are connected already are never looked at.
 
 Texts with equal sets are one class and count as linked without verification.
 
@@ -39,6 +40,8 @@ from sketchloom.llm.text import MULTIPLIERS, mix, shingle_sets
 _U = np.uint64
 #: Signatures that a task gathers before it sends them on, and 64-bit words of a set's parity bitmap.
 FLUSH, BITMAP = 1_500_000, 8
+#: Further pivots that each bucket's members are compared with, before all pairs across components are.
+PIVOTS = 4
 
 
 class Scheme:
@@ -247,13 +250,10 @@ def _possible(percent: int, x: str, y: str) -> Column:
     return sizes & (differ * (100 + percent) <= both * (100 - percent))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose sets are linked."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stored(docs.join(ids.hint("merge"), "id", "left_semi"), "join-texts")
     tb = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     ta = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    # the pivot of many pairs comes last: its text is looked up where the pairs are, and isn't shuffled with each
     rows = pairs.join(tb.hint("merge"), "b").join(ta.hint("merge"), "a").select("a", "text_a", "b", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,19 +297,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pairs = pairs.join(rep.select(F.col("id").alias("x"), F.col("rep").alias("a")).hint("merge"), "x").join(rep.select(F.col("id").alias("y"), F.col("rep").alias("b")).hint("merge"), "y").filter("a <> b")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs")
     reps = stored(of.filter("id = rep").dropDuplicates(["id"]), "join-reps")
-    links = stored(_verify(_filtered(pairs, reps, percent), known, k, percent), "join-links")
+    members = _members(found).join(rep.hint("merge"), "id").groupBy("sig", F.col("rep").alias("id")).agg(F.max("probe").alias("probe"))
+    members = stored(members, "join-members")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct()
+    texts = stored(known.join(ids.hint("merge"), "id", "left_semi"), "join-texts")
+    links = stored(_verify(_filtered(pairs, reps, percent), texts, k, percent), "join-links")
     more = rep.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     links = links.unionByName(more)
-    done = pairs
+    labels, done, pivots = components(links), pairs, True
     while True:
-        labels = components(links)
-        left = _remaining(found, rep, reps, labels, percent).join(done, ["a", "b"], "left_anti")
-        left = stored(left, "join-remaining")
-        if left.isEmpty():
+        split = stored(_split(members, reps, labels), "join-split")
+        left = stored((_pivots(split, percent) if pivots else _across(split, percent)).join(done, ["a", "b"], "left_anti"), "join-remaining")
+        if left.isEmpty() and not pivots:
             break
-        # pivots of what is left: every pair of a bucket that is in different components
-        links = links.unionByName(stored(_verify(left, known, k, percent), "join-links"))
-        done = done.unionByName(left)
+        labels = _merged(labels, stored(_verify(left, texts, k, percent), "join-links"))
+        done, pivots = done.unionByName(left), False
     tagged = info.join(classes.hint("merge"), ["n", "h1", "h2"], "left")
     out = tagged.join(labels.hint("merge"), tagged["rep"] == labels["v"], "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("label", "rep"))
@@ -322,15 +324,36 @@ def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(ia.hint("merge"), "a").join(ib.hint("merge"), "b").filter(_possible(percent, "sa", "sb")).select("a", "b")
 
 
-def _remaining(found: DataFrame, rep: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components, of which one probes, that sizes and bitmaps don't rule out."""
-    cols = F.struct("n", *(f"b{i}" for i in range(BITMAP)))
-    m = _members(found).join(rep.hint("merge"), "id").groupBy("sig", F.col("rep").alias("id")).agg(F.max("probe").alias("probe"))
-    m = m.join(labels.select(F.col("v").alias("id"), "label").hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    m = stored(m, "join-members")
+def _split(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with labels and sets, of the buckets that hold several components and a document that probes."""
+    m = members.join(labels.select(F.col("v").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     split = m.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("probe").alias("any")).filter("lo <> hi AND any").select("sig")
-    m = m.join(split.hint("merge"), "sig", "left_semi").join(reps.select("id", cols.alias("s")).hint("merge"), "id")
-    x = m.select("sig", F.col("id").alias("a"), F.col("label").alias("la"), F.col("probe").alias("pa"), F.col("s").alias("sa"))
-    y = m.select(F.col("sig").alias("sig2"), F.col("id").alias("b"), F.col("label").alias("lb"), F.col("probe").alias("pb"), F.col("s").alias("sb"))
+    sets = reps.select("id", F.struct("n", *(f"b{i}" for i in range(BITMAP))).alias("s"))
+    return m.join(split, "sig", "left_semi").join(sets, "id").select("sig", "id", "label", "probe", "s")
+
+
+def _pivots(split: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's further pivots with the members in other components; pivots are often the same in many buckets."""
+    chosen = [F.min_by(F.struct("id", "label", "s"), F.xxhash64("id", F.lit(i))) for i in range(PIVOTS)]
+    pivot = split.filter("probe").groupBy("sig").agg(F.array_distinct(F.array(*chosen)).alias("ps")).select("sig", F.explode("ps").alias("p"))
+    pivot = pivot.select("sig", F.col("p.id").alias("pid"), F.col("p.label").alias("plabel"), F.col("p.s").alias("ps"))
+    near = split.join(pivot, (split["sig"] == pivot["sig"]) & (F.col("label") != F.col("plabel")) & _possible(percent, "s", "ps"))
+    return near.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: components of the components that these join."""
+    la, lb = labels.select(F.col("v").alias("a"), F.col("label").alias("la")), labels.select(F.col("v").alias("b"), F.col("label").alias("lb"))
+    between = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
+    joined = components(between)
+    new = joined.select(F.col("v").alias("label"), F.col("label").alias("up"))
+    old = labels.join(new, "label", "left").select("v", F.coalesce("up", "label").alias("label"))
+    return stored(old.unionByName(joined.join(labels.select("v"), "v", "left_anti")), "labels")
+
+
+def _across(split: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of a bucket in different components, of which one probes, that sizes and bitmaps don't rule out."""
+    x = split.select("sig", F.col("id").alias("a"), F.col("label").alias("la"), F.col("probe").alias("pa"), F.col("s").alias("sa"))
+    y = split.select(F.col("sig").alias("sig2"), F.col("id").alias("b"), F.col("label").alias("lb"), F.col("probe").alias("pb"), F.col("s").alias("sb"))
     on = (F.col("sig") == F.col("sig2")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("pa") | F.col("pb")) & _possible(percent, "sa", "sb")
     return x.join(y.hint("merge"), on).select("a", "b").distinct()
