@@ -281,7 +281,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     known = clean.filter("id IS NOT NULL")
     info = stored(_summaries(clean, k), "join-sets")
     sets = info.filter("n > 0 AND id IS NOT NULL")
-    classes = sets.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
+    # on storage, so that joins with it come right after shuffles: Spark splits a class that very many documents are in
+    classes = stored(sets.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "join-least")
     # the class of each id; where an id has several rows, these are linked
     of = stored(sets.join(classes.hint("merge"), ["n", "h1", "h2"]).select("id", "rep", "n", *(f"b{i}" for i in range(BITMAP))), "join-classes")
     total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -328,6 +329,7 @@ def _split(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with labels and sets, of the buckets that hold several components and a document that probes."""
     m = members.join(labels.select(F.col("v").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     split = m.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("probe").alias("any")).filter("lo <> hi AND any").select("sig")
+    split = stored(split, "join-split-buckets")
     sets = reps.select("id", F.struct("n", *(f"b{i}" for i in range(BITMAP))).alias("s"))
     return m.join(split, "sig", "left_semi").join(sets, "id").select("sig", "id", "label", "probe", "s")
 
@@ -336,7 +338,7 @@ def _pivots(split: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each bucket's further pivots with the members in other components; pivots are often the same in many buckets."""
     chosen = [F.min_by(F.struct("id", "label", "s"), F.xxhash64("id", F.lit(i))) for i in range(PIVOTS)]
     pivot = split.filter("probe").groupBy("sig").agg(F.array_distinct(F.array(*chosen)).alias("ps")).select("sig", F.explode("ps").alias("p"))
-    pivot = pivot.select("sig", F.col("p.id").alias("pid"), F.col("p.label").alias("plabel"), F.col("p.s").alias("ps"))
+    pivot = stored(pivot.select("sig", F.col("p.id").alias("pid"), F.col("p.label").alias("plabel"), F.col("p.s").alias("ps")), "join-pivots")
     near = split.join(pivot, (split["sig"] == pivot["sig"]) & (F.col("label") != F.col("plabel")) & _possible(percent, "s", "ps"))
     return near.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
 
