@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,7 +166,7 @@ def _buckets(docs: DataFrame, k: int, percent: int, n_groups: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
-        held, size, turn = [], 0, 0
+        held, size, turn = [], 0, TaskContext.get().partitionId()  # tasks start with groups of their own
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, turn
