@@ -96,8 +96,8 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 12, rate: floa
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 0.0 if len(y) == 0 else 3.0 * (2 * float(y[0]) - 1))
     docs = []
-    for at in range(0, len(texts), 64):
-        data, offsets = text_bytes(pa.array(texts[at : at + 64], pa.large_string()))
+    for at in range(0, len(texts), 8):
+        data, offsets = text_bytes(pa.array(texts[at : at + 8], pa.large_string()))
         families = list(features(data, offsets))
         for i in range(len(offsets) - 1):
             rows, counts = np.unique(np.concatenate([r[f[i] : f[i + 1]] for r, f in families]), return_counts=True)
