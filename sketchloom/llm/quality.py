@@ -13,7 +13,6 @@ own; rows without a label, or whose label is NULL, aren't learned from; without
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,23 +132,31 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 12, rate: floa
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> Model:
     """Learns from a bounded sample: rows of each class by the order of a hash of their id, whole texts only.
 
-    The sample has up to SAMPLE_ROWS rows of each class, and SAMPLE_BYTES of text, and never a held-out row.
+    The sample has up to SAMPLE_ROWS rows of each class, one for each id, and SAMPLE_BYTES of text, and never a held-out
+    row. One task gathers it and learns from it; what comes back to the driver is the model's fixed 1 MB.
     """
     known = labels.select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__y")).filter(F.col("__y").isin(0, 1) & F.col("__id").isNotNull() & ~held_out(F.col("__id")))
     picks = [known.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE_ROWS) for y in (0, 1)]
     chosen = F.broadcast(picks[0].unionByName(picks[1]))  # SAMPLE_ROWS * 2 rows at most
-    size = F.octet_length(F.coalesce("__t", F.lit("")))
-    rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__t")).join(chosen, "__id").withColumn("__b", size)
+    rows = docs.select(F.col(key).alias("__id"), F.coalesce(text, F.lit("")).alias("__t")).join(chosen, "__id")
     # a third of the bytes a row may have on average is its own limit, so that the sum holds without a pass of its own
-    rows = rows.filter(F.col("__b") <= SAMPLE_BYTES // SAMPLE_ROWS * 3)
-    texts, ys, total = [], [], 0
-    for r in sorted(rows.select("__id", "__t", "__y").limit(4 * SAMPLE_ROWS).toArrow().to_pylist(), key=lambda r: (zlib.crc32(str(r["__id"]).encode()), r["__t"] or "")):
-        total += len((r["__t"] or "").encode())
-        if total > SAMPLE_BYTES:
-            break
-        texts.append(r["__t"])
-        ys.append(r["__y"])
-    return fit(texts, ys)
+    rows = rows.filter(F.octet_length("__t") <= SAMPLE_BYTES // SAMPLE_ROWS * 3)
+    rows = rows.groupBy("__id").agg(F.min(F.struct("__t", "__y")).alias("__r"))
+    rows = rows.repartition(1).sortWithinPartitions(F.crc32(F.col("__id").cast("string")), "__r.__t").select("__r.__t", "__r.__y")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, ys, total = [], [], 0
+        for t, y in ((t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            total += len(t.encode())
+            if total > SAMPLE_BYTES:
+                break
+            texts.append(t)
+            ys.append(y)
+        m = fit(texts, ys)
+        yield pa.RecordBatch.from_arrays([pa.array([m.rows.tobytes()], pa.binary()), pa.array([m.bias])], names=["rows", "bias"])
+
+    got = rows.mapInArrow(learn, "rows binary, bias double").first()
+    return fit([], []) if got is None else Model(np.frombuffer(got["rows"], np.float32), got["bias"])
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
