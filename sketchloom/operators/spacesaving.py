@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from heapq import nsmallest
 from numbers import Integral
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from sketchloom.functions.types import space_saving
 _NAN = float("nan")
 #: Counters of a key, in capacities, at which a task trims them; counters of all keys before it passes them on.
 SLACK, HELD = 8, 500_000
+#: Rows, or bytes of them, that a task counts at a time.
+ROWS, BYTES = 1 << 17, 32 << 20
 
 
 def _capacity(capacity: int) -> int:
@@ -45,6 +49,25 @@ def _item(df: DataFrame, item: str) -> tuple[Column, T.DataType, bool]:
     return F.col(item), kind, False
 
 
+def _rank(kv: tuple) -> tuple:
+    item, (count, error) = kv
+    return -count, error, item != item, item
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together until they have ROWS rows or BYTES bytes, so that repeated items meet before Python sees them."""
+    held, n, size = [], 0, 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        size += b.nbytes
+        if n >= ROWS or size >= BYTES:
+            yield pa.Table.from_batches(held)
+            held, n, size = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class _Counts:
     __slots__ = ("counts", "m")
 
@@ -56,25 +79,30 @@ class _Counts:
         had = self.counts.get(item)
         self.counts[item] = (had[0] + n, had[1]) if had else (n + self.m, self.m)
 
-    def trim(self, capacity: int) -> list:
-        ranked = sorted(self.counts.items(), key=lambda kv: (-kv[1][0], kv[1][1], kv[0] != kv[0], kv[0]))
-        if len(ranked) > capacity:
-            ranked = ranked[:capacity]
-            self.m = max(self.m, ranked[-1][1][0])
-            self.counts = dict(ranked)
-        return ranked
+    def trim(self, capacity: int) -> None:
+        """Keeps the heaviest. Only those that tie with the least count kept are ranked further."""
+        if len(self.counts) <= capacity:
+            return
+        n = np.fromiter((c for c, _ in self.counts.values()), np.int64, len(self.counts))
+        least = int(np.partition(n, len(n) - capacity)[len(n) - capacity])
+        kept = {i: v for i, v in self.counts.items() if v[0] > least}
+        kept.update(nsmallest(capacity - len(kept), (kv for kv in self.counts.items() if kv[1][0] == least), key=_rank))
+        self.m, self.counts = max(self.m, least), kept
+
+    def ranked(self, capacity: int) -> list:
+        self.trim(capacity)
+        return sorted(self.counts.items(), key=_rank)
 
 
 def _partial(batches: Iterator[pa.RecordBatch], nkeys: int, capacity: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     held: dict[tuple, _Counts] = {}
 
     def out() -> pa.RecordBatch:
-        states = [{"capacity": capacity, "counters": [{"item": i, "count": c, "error": e} for i, (c, e) in k.trim(capacity)], "m": k.m} for k in held.values()]
+        states = [{"capacity": capacity, "counters": [{"item": i, "count": c, "error": e} for i, (c, e) in k.ranked(capacity)], "m": k.m} for k in held.values()]
         columns = [pa.array([k[i] for k in held], type=schema.field(i).type) for i in range(nkeys)]
         return pa.RecordBatch.from_arrays([*columns, pa.array(states, type=schema.field(nkeys).type)], schema=schema)
 
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
+    for table in _wide(batches):
         names = table.column_names
         for row in zip(*(c.to_pylist() for c in table.group_by(names[:-1]).aggregate([(names[-1], "sum")]).select([*names[:-1], f"{names[-1]}_sum"]).columns)):
             counts = held.setdefault(row[:nkeys], _Counts())

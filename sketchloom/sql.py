@@ -41,7 +41,7 @@ def _summary(items: pa.Array, capacity: int = 20) -> dict:
     counts = _Counts()
     for x in items.drop_null().value_counts().to_pylist():
         counts.add(x["values"], x["counts"])
-    ranked = counts.trim(capacity)
+    ranked = counts.ranked(capacity)
     return {"capacity": capacity, "m": counts.m, "counters": [{"item": i, "count": c, "error": e} for i, (c, e) in ranked]}
 
 
