@@ -3,7 +3,8 @@
 Each stage works on all that its predecessor has kept. All but the last return the columns of ``documents``:
 
 1. quality classifier: documents that score under 0.3 go;
-2. line dedup: boilerplate lines that many sites share go, out of documents that aren't mostly boilerplate;
+2. line dedup: boilerplate lines that many sites share go, out of all documents but those that consist of
+   them mostly and are shown to be copies, which are left to the next stage;
 3. n-gram Jaccard join, five words and a similarity of 0.8: of each group the document with the least id stays;
 4. benchmark decontamination: documents that hold a test item go;
 5. SentencePiece: sampled segmentations of each document, with the ids of the first.
@@ -30,7 +31,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.line_dedup(docs).select(docs.columns)
+    return lines.line_dedup(docs, copies_only=True).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ merged after it, so that a line on very many pages is no burden. Lines whose est
 boilerplate, lines clearly below aren't, and those near it get an exact distinct count.
 
 Boilerplate lines are then removed from all documents, but for those that consist of boilerplate by more than
-``max_share`` of their characters: these are copies of each other, not pages with boilerplate, and stay whole for a
-near-duplicate stage.
+``max_share`` of their characters. These may be copies of each other, not pages with boilerplate, and stay whole for a
+near-duplicate stage; with ``copies_only``, only those do that are shown to be copies, as all their lines that aren't
+blank are boilerplate or a document with another id has the same lines (in any order, as often). The others, such as
+short pages with a few shared lines and some text of their own, then lose their boilerplate whatever its share.
 
 Defined cases: a NULL text stays NULL and has no lines; an empty text is one empty line; lines are compared without
 spaces at their ends, and those under ``min_chars`` are left alone; a NULL site is a site of its own; repeated rows are
@@ -29,6 +31,18 @@ def _hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
+def _signature(text: str) -> Column:
+    """Of a document's lines, whatever their order."""
+    return F.xxhash64(F.lit("\0lines"), F.sort_array(F.transform(F.split(text, "\n"), _hash)))
+
+
+def _copied(signatures: DataFrame) -> DataFrame:
+    """Signatures that documents of different ids have; a NULL id is an id like others."""
+    n, ids = F.count("*"), F.count("__k")
+    seen = signatures.groupBy("h").agg(F.min("__k").alias("lo"), F.max("__k").alias("hi"), n.alias("n"), ids.alias("ids"))
+    return seen.filter("lo != hi OR (ids > 0 AND ids < n)").select("h")
+
+
 def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """Hashes of the lines that at least ``min_sites`` distinct sites have."""
     rows = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("\0null")).alias("site"), F.explode(F.split(text, "\n")).alias("line"))
@@ -41,7 +55,7 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_s
     return sure.unionByName(counts.filter(F.col("n") >= min_sites).select("h"))
 
 
-def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_share: float = MAX_SHARE) -> DataFrame:
+def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_share: float = MAX_SHARE, copies_only: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with boilerplate lines taken out of the text, and __n_lines, __n_removed.
 
     Which side of a join is broadcast is left to Spark, which looks at sizes as they turn out; a line that very many
@@ -49,7 +63,12 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: s
     """
     common = stored(boilerplate(docs, text, site, min_sites, min_chars), "boilerplate")
     each = docs.select(F.col(key).alias("__k"), F.explode(F.split(text, "\n")).alias("line")).select("__k", _hash(F.col("line")).alias("h"), F.length(F.trim("line")).alias("n"))
-    hits = each.filter(F.col("n") >= min_chars).select("__k", "h").join(common, "h", "left_semi").groupBy("__k").agg(F.collect_set("h").alias("__bad"))
+    each = each.filter(F.col("n") >= min_chars).select("__k", "h")
+    if copies_only:  # signatures go the way of line hashes: those of copies end in __bad
+        signatures = stored(docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("__k"), _signature(text).alias("h")), "line-signatures")
+        common = stored(common.unionByName(_copied(signatures)), "line-copies")
+        each = each.unionByName(signatures)
+    hits = each.join(common, "h", "left_semi").groupBy("__k").agg(F.collect_set("h").alias("__bad"))
     hits = stored(hits, "line-hits")
     # always by a shuffle, whatever the number of hits: what it costs then follows the documents alone
     joined = docs.join(hits.hint("merge"), docs[key].eqNullSafe(hits["__k"]), "left").drop("__k")
@@ -58,7 +77,11 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: s
     joined = joined.withColumn("__cut", F.when(F.col("__bad").isNotNull(), F.filter(lines, bad)))
     chars = F.aggregate("__cut", F.lit(0), lambda a, x: a + F.length(x))
     total = F.length(text) - (F.size(lines) - 1)
-    cut = F.col("__cut").isNotNull() & (chars <= max_share * total)
+    cut = chars <= max_share * total
+    if copies_only:
+        own = F.exists(lines, lambda x: (F.length(F.trim(x)) > 0) & ~bad(x))
+        cut = cut | (own & ~F.array_contains("__bad", _signature(text)))
+    cut = F.col("__cut").isNotNull() & cut
     joined = joined.withColumn("__do", cut)
     kept = F.when(F.col("__do"), F.array_join(F.filter(lines, lambda x: ~bad(x)), "\n")).otherwise(F.col(text))
     n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")

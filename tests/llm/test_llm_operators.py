@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sketchloom.llm import chat, decontaminate, jaccard, licenses, lines, media, pieces, quality, substrings, warc
 from sketchloom.llm.common import shared_dir, text_bytes
 from sketchloom.llm.components import components
@@ -174,6 +175,25 @@ def test_line_dedup_against_brute_force(spark):
     assert lines.line_dedup(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_keeps_only_copies_whole(spark):
+    shared = [f"this is a boilerplate line number {i}" for i in range(3)]
+    rows = [(d, f"own text of document {d} that is longer than all\n{shared[d % 3]}\nand has some more lines of number {d}", f"site{d}") for d in range(30)]
+    page = "Short.\n" + "\n".join(shared)
+    copy = "\n".join([*shared, "a line that two documents have"])
+    few = f"own text that two documents have, longer than the shared line in it\n{shared[0]}"
+    rows += [(40, page, "a"), (40, page, "a"), (41, "\n".join(shared) + "\n ", "a"), (42, copy, "a"), (43, copy + " ", "b"), (44, few, "a"), (45, few, "a"), (46, None, "a"), (None, "x\n" + shared[0], "e"), (47, shared[0] + "\n" + shared[0] + "\ny", "a"), (48, shared[0] + "\ny", "a")]
+    got = {(r.doc_id, r.text, r["__n_removed"]) for r in lines.line_dedup(docs(spark, rows), copies_only=True).collect() if r.doc_id is None or r.doc_id >= 40}
+    want = {(40, "Short.", 3), (41, "\n".join(shared) + "\n ", 0), (42, copy, 0), (43, copy + " ", 0), (46, None, 0), (None, "x", 1), (47, "y", 2), (48, "y", 1)}
+    assert got == want | {(d, few.split("\n")[0], 1) for d in (44, 45)}
+
+
+def test_pipeline_drops_boilerplate_of_short_pages(spark):
+    shared = "this is a line that many sites have"
+    rows = [(d, f"own text of document {d} that is longer than it\n{shared}", f"site{d}") for d in range(9)] + [(9, f"{shared}\nShort.", "a")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, docs(spark, rows), "").collect()}
+    assert got[9] == "Short." and all(shared not in t for t in got.values())
+
+
 # licenses
 
 
