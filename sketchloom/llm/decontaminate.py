@@ -9,7 +9,9 @@ an entry can reach the threshold only if the passage has one of its essential te
 1 - threshold; for blocks of entries that these bring up, the passage's terms' block maxima are summed, and only if the
 sum reaches the threshold are the block's entries scored. Both bounds are exact; this prunes and never loses an entry.
 
-Each retrieved item is verified: shares of its question's and answer's 5-word shingles that stand near the passage.
+Each retrieved item is verified: shares of its question's and answer's shingles of up to 5 words that stand near the
+passage. Where items have no answer of their own but one text, a text of which enough shingles stand there as a whole is
+reported as well, wherever they lie: an edited or missing last sentence doesn't hide it.
 
 The index is held in shards of up to SHARD_ITEMS items and SHARD_BYTES of text, each broadcast by itself, so that what is
 broadcast has a bound whatever the size of the benchmark. BM25 statistics are of all items.
@@ -33,7 +35,7 @@ from sketchloom.llm.text import LETTERS, LOWER, piece_hash, prefix_sums, spans,
 
 ENTRY_WORDS, HALF, BLOCK = 48, 64, 4
 K1, B = 1.2, 0.75
-THRESHOLD, QUESTION, ANSWER, SHINGLE = 0.6, 0.5, 0.5, 5
+THRESHOLD, QUESTION, ANSWER, WHOLE, SHINGLE = 0.6, 0.5, 0.5, 0.5, 5
 SHARD_ITEMS, SHARD_BYTES = 2000, 2 << 20
 
 
@@ -44,8 +46,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return piece_hash(prefix_sums(data), starts, ends), first
 
 
-def _shingles(h: np.ndarray) -> np.ndarray:
-    return np.unique(windows(h, min(SHINGLE, len(h)))) if len(h) else np.empty(0, np.uint64)
+def _shingles(h: np.ndarray, short: bool = False) -> tuple[int, np.ndarray]:
+    """Words of a shingle, and all shingles. ``short``: so few words that one changed word leaves half, but two at least."""
+    size = min(SHINGLE, len(h), max(2, (len(h) + 1) // 3) if short else SHINGLE)
+    return size, np.unique(windows(h, size)) if len(h) else np.empty(0, np.uint64)
 
 
 def split_answer(text: str) -> tuple[str, str]:
@@ -65,13 +69,14 @@ class Index(NamedTuple):
     item_of: np.ndarray  # item of each entry
     questions: list
     answers: list
+    wholes: list
     lengths: np.ndarray
     ids: list
 
 
 def build(items: list[tuple], df: dict[int, int] | None = None, total: tuple[int, float] | None = None, threshold: float = THRESHOLD) -> Index | None:
     """Index of (id, question, answer) rows. ``df``: entries that have a term, and ``total``: entries and words of all shards."""
-    entries, item_of, questions, answers, lengths, ids = [], [], [], [], [], []
+    entries, item_of, questions, answers, wholes, lengths, ids = [], [], [], [], [], [], []
     for id_, q, a in items:
         qa = [word_hashes(*text_bytes(pa.array([x or ""])))[0] for x in (q, a)]
         h = qa[0] if q == a else np.concatenate(qa)
@@ -83,7 +88,8 @@ def build(items: list[tuple], df: dict[int, int] | None = None, total: tuple[int
             item_of.append(len(ids))
         ids.append(id_)
         questions.append(_shingles(qa[0]))
-        answers.append(_shingles(qa[1]))
+        answers.append(_shingles(qa[1], short=True))
+        wholes.append(_shingles(h, short=True))
         lengths.append(len(h))
     if not ids:
         return None
@@ -111,7 +117,7 @@ def build(items: list[tuple], df: dict[int, int] | None = None, total: tuple[int
     pairs = np.array(sorted(pairs))
     probe = np.zeros(1 << 16, bool)
     probe[(terms & np.uint64(0xFFFF)).astype(int)] = True
-    return Index(terms, probe, impact, wide.reshape(len(terms), blocks, BLOCK).max(2), pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1)), np.array(item_of), questions, answers, np.array(lengths), ids)
+    return Index(terms, probe, impact, wide.reshape(len(terms), blocks, BLOCK).max(2), pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1)), np.array(item_of), questions, answers, wholes, np.array(lengths), ids)
 
 
 def _expand(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,25 +182,20 @@ def _score(ix: Index, cand: np.ndarray, term_at: np.ndarray, t: np.ndarray, last
     return found
 
 
-def verify(ix: Index, item: int, h: np.ndarray, lo: int, hi: int) -> tuple[float, float]:
-    """Shares of the item's question and answer shingles within words lo to hi."""
+def verify(ix: Index, item: int, h: np.ndarray, lo: int, hi: int) -> tuple[float, float, float]:
+    """Shares of the shingles of the item's question, its answer and all of it within words lo to hi."""
     near, shares = h[lo:hi], []
-    for want, k in ((ix.questions[item], 0), (ix.answers[item], 1)):
-        if not len(want):
-            shares.append(1.0)
-            continue
-        have = set()
-        for size in range(1, SHINGLE + 1):
-            if len(near) >= size and (size == SHINGLE or len(want) == 1):
-                have |= set(windows(near, size).tolist())
-        shares.append(sum(x in have for x in want.tolist()) / len(want))
-    return shares[0], shares[1]
+    for size, want in (ix.questions[item], ix.answers[item], ix.wholes[item]):
+        have = set(windows(near, size).tolist()) if len(want) and len(near) >= size else set()
+        shares.append(sum(x in have for x in want.tolist()) / len(want) if len(want) else 1.0)
+    return shares[0], shares[1], shares[2]
 
 
-def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", question: str | None = None, answer: str | None = None, item_text: str = "text", threshold: float = THRESHOLD, q_share: float = QUESTION, a_share: float = ANSWER) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", question: str | None = None, answer: str | None = None, item_text: str = "text", threshold: float = THRESHOLD, q_share: float = QUESTION, a_share: float = ANSWER, w_share: float = WHOLE) -> DataFrame:
     """Pairs of a document and a test item that it holds: key, item, score, question and answer overlap, first word.
 
-    Items have columns for question and answer, or one text whose last sentence is taken for the answer.
+    Items have columns for question and answer, or one text whose last sentence is taken for the answer; of one text a
+    share of ``w_share`` over all of it is enough too.
     """
     spark = docs.sparkSession
     q = F.col(question) if question else F.col(item_text)
@@ -212,7 +213,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
         index = build(part, df, total, threshold)
         if index is None:
             continue
-        found = _scan(docs, index, key, text, item, schema, threshold, q_share, a_share)
+        found = _scan(docs, index, key, text, item, schema, threshold, q_share, a_share, None if answer else w_share)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -242,7 +243,7 @@ def _statistics(spark, counts: DataFrame, part: list[tuple]) -> tuple[dict, tupl
     return {t % (1 << 64): c for t, (c, _) in got.items()}, (n, float(max(1, words)))
 
 
-def _scan(docs: DataFrame, index: Index, key: str, text: str, item: str, schema: str, threshold: float, q_share: float, a_share: float) -> DataFrame:
+def _scan(docs: DataFrame, index: Index, key: str, text: str, item: str, schema: str, threshold: float, q_share: float, a_share: float, w_share: float | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tuple(index))  # one shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,8 +254,8 @@ def _scan(docs: DataFrame, index: Index, key: str, text: str, item: str, schema:
             for d, entry, score, lo, hi in retrieve(ix, h, first, threshold):
                 it = int(ix.item_of[entry])
                 room = int(ix.lengths[it])
-                q, a = verify(ix, it, h, max(int(first[d]), lo - room), min(int(first[d + 1]), hi + room))
-                if q >= q_share and a >= a_share:
+                q, a, w = verify(ix, it, h, max(int(first[d]), lo - room), min(int(first[d + 1]), hi + room))
+                if q >= q_share and a >= a_share or w_share is not None and w >= w_share:
                     row = (score, q, a, lo - int(first[d]))
                     if (d, it) not in best or row[:3] > best[d, it][:3]:
                         best[d, it] = row

@@ -122,6 +122,29 @@ def test_decontamination_in_shards(spark, monkeypatch):
     assert [(r.doc_id, r.item_id) for r in got.collect()] == [(1, 4)]
 
 
+def test_decontamination_of_edited_last_sentences(spark):
+    rng = np.random.default_rng(9)
+    vocab = [f"word{i}" for i in range(3000)]
+    heads = [rng.choice(vocab, int(n)).tolist() for n in rng.integers(20, 60, 40)]
+    tails = [rng.choice(vocab, int(n)).tolist() for n in rng.integers(1, 6, 40)]
+    items = [(i, f"{' '.join(q)}. {' '.join(a)}.") for i, (q, a) in enumerate(zip(heads, tails))]
+    rows = []
+    for i, (q, a) in enumerate(zip(heads, tails)):
+        edited = [*a[: len(a) // 2], "changed", *a[len(a) // 2 + 1 :]]
+        rows += [(d + i, " ".join([*rng.choice(vocab, 100), *q, *end, *rng.choice(vocab, 100)])) for d, end in ((0, edited), (100, []))]
+        rows.append((200 + i, " ".join([*rng.choice(vocab, 100), *q[: len(q) // 3], *rng.choice(vocab, 60), *a])))
+    got = decontaminate.find(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d + i, i) for i in range(40) for d in (0, 100)}
+
+
+def test_decontamination_of_short_answers(spark):
+    q = " ".join(f"q{i}" for i in range(20))
+    items = spark.createDataFrame([(1, q, "a b c d e")], "item_id long, q string, a string")
+    rows = [(1, f"{q} a b c d e"), (2, f"{q} a b x d e"), (3, q), (4, f"{q} e d c b a")]
+    got = decontaminate.find(docs(spark, rows), items, question="q", answer="a").collect()
+    assert {r.doc_id for r in got} == {1, 2}
+
+
 # WARC
 
 
