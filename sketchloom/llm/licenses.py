@@ -1,7 +1,8 @@
 """License scan by ordered signature rules.
 
 A text is lower-cased (A-Z) and reduced to its words, joined by one space. A first gate looks for a few strings without
-which no rule can match; each rule then has a keyword of its own that must be there before its pattern is tried.
+which no rule can match; each rule then has keywords of its own, one for each alternative of its pattern, of which any
+must be there before the pattern is tried. Neither changes what is found.
 Detections are word intervals. A detection inside another one of the same or a higher priority is suppressed, and of
 equal intervals the earlier rule's stays.
 
@@ -24,12 +25,12 @@ from sketchloom.llm.common import slices, text_bytes
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Label, keyword, pattern of the name, SPDX words, pattern of the version or "". Words are lower-case, joined by a space.
+#: Label, keyword or keywords (each name has one in it), pattern of the name, SPDX words, pattern of the version or "". Words are lower-case, joined by a space.
 FAMILIES = [
-    ("mit", "mit", r"mit licen[sc]e|expat licen[sc]e", "mit", ""),
+    ("mit", ("mit", "expat"), r"mit licen[sc]e|expat licen[sc]e", "mit", ""),
     ("apache", "apache", r"apache(?: software)? licen[sc]e", "apache", r"2 0|1 1|1 0"),
     ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e", "agpl", r"3(?: 0)?|1(?: 0)?"),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "lgpl", r"3(?: 0)?|2 1|2(?: 0)?"),
+    ("lgpl", ("lesser", "library"), r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "lgpl", r"3(?: 0)?|2 1|2(?: 0)?"),
     ("gpl", "general public", r"(?:gnu )?general public licen[sc]e", "gpl", r"3(?: 0)?|2(?: 0)?|1(?: 0)?"),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e", "gfdl", r"1 [123]"),
     ("bsd", "bsd", r"(?:(?:new|modified|simplified|original|revised) )?(?:[234] clause )?bsd(?: [234] clause)?(?: style)? licen[sc]e", "bsd", r""),
@@ -51,7 +52,7 @@ FAMILIES = [
     ("busl", "business source", r"business source licen[sc]e", "busl", r"1 1"),
     ("sspl", "server side", r"server side public licen[sc]e", "sspl", r"1(?: 0)?"),
     ("elastic", "elastic", r"elastic licen[sc]e", "elastic", r"2 0"),
-    ("wtfpl", "wtf", r"do what the f\w+ you want to public licen[sc]e|wtfpl licen[sc]e", "wtfpl", r"2"),
+    ("wtfpl", ("wtf", "do what the f"), r"do what the f\w+ you want to public licen[sc]e|wtfpl licen[sc]e", "wtfpl", r"2"),
     ("unlicense", "unlicense", r"the unlicense", "unlicense", ""),
     ("psf", "python", r"python(?: software foundation)? licen[sc]e", "psf", r"2(?: 0)?"),
     ("ruby", "ruby", r"ruby licen[sc]e", "ruby", ""),
@@ -69,24 +70,24 @@ FAMILIES = [
     ("odc-by", "open data commons", r"open data commons attribution licen[sc]e", "odc by", r"1 0"),
     ("pddl", "public domain dedication", r"public domain dedication and licen[sc]e", "pddl", r"1 0"),
     ("ogl", "open government", r"open government licen[sc]e", "ogl", r"[123](?: 0)?"),
-    ("open-game", "open game", r"open gam(?:e|ing) licen[sc]e", "ogl", r"1 0a?"),
+    ("open-game", ("open game", "open gaming"), r"open gam(?:e|ing) licen[sc]e", "ogl", r"1 0a?"),
     ("osl", "open software", r"open software licen[sc]e", "osl", r"[123] 0|2 1"),
     ("afl", "academic free", r"academic free licen[sc]e", "afl", r"[123] [0123]"),
     ("ecl", "educational", r"educational community licen[sc]e", "ecl", r"[12] 0"),
     ("apsl", "apple", r"apple public source licen[sc]e", "apsl", r"[12] [012]"),
-    ("qpl", "qpl", r"q public licen[sc]e|qpl licen[sc]e", "qpl", r"1 0"),
+    ("qpl", ("qpl", "q public"), r"q public licen[sc]e|qpl licen[sc]e", "qpl", r"1 0"),
     ("sleepycat", "sleepycat", r"sleepycat licen[sc]e", "sleepycat", ""),
     ("vim", "vim", r"vim licen[sc]e", "vim", ""),
     ("cecill", "cecill", r"cecill (?:[abc] )?licen[sc]e", "cecill", r"[12] [01]"),
     ("mulan", "mulan", r"mulan permissive software licen[sc]e", "mulanpsl", r"[12](?: 0)?"),
-    ("openrail", "rail", r"(?:creativeml )?open ?rail(?: \w)? licen[sc]e|responsible ai licen[sc]e", "openrail", ""),
+    ("openrail", ("rail", "responsible ai"), r"(?:creativeml )?open ?rail(?: \w)? licen[sc]e|responsible ai licen[sc]e", "openrail", ""),
     ("llama", "llama", r"llama \d(?: \d)? community licen[sc]e", "llama", ""),
     ("cc-by-nc-sa", "nc sa", r"(?:cc|creative commons) by nc sa(?: licen[sc]e)?", "cc by nc sa", r"[1234] [05]"),
     ("cc-by-nc-nd", "nc nd", r"(?:cc|creative commons) by nc nd(?: licen[sc]e)?", "cc by nc nd", r"[1234] [05]"),
     ("cc-by-nc", "by nc", r"(?:cc|creative commons) by nc(?: licen[sc]e)?", "cc by nc", r"[1234] [05]"),
     ("cc-by-sa", "by sa", r"(?:cc|creative commons) by sa(?: licen[sc]e)?", "cc by sa", r"[1234] [05]"),
     ("cc-by-nd", "by nd", r"(?:cc|creative commons) by nd(?: licen[sc]e)?", "cc by nd", r"[1234] [05]"),
-    ("cc-by", "by", r"(?:cc by|creative commons by|creative commons attribution)(?: licen[sc]e)?", "cc by", r"[1234] [05]"),
+    ("cc-by", ("by", "creative commons attribution"), r"(?:cc by|creative commons by|creative commons attribution)(?: licen[sc]e)?", "cc by", r"[1234] [05]"),
     ("cc0", "cc0", r"cc0(?: universal)?(?: licen[sc]e)?", "cc0", r"1 0"),
 ]
 #: Patterns that stand alone: label, keyword, pattern, priority, confidence.
@@ -108,7 +109,7 @@ GATE = re.compile(rb"licen|spdx|copyright|rights reserved|public domain|creative
 class Rule(NamedTuple):
     order: int
     label: str
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     pattern: re.Pattern
     priority: int
     confidence: float
@@ -130,11 +131,11 @@ def _rules() -> list[Rule]:
             (label, keyword, rf"(?:{name})", 3, 0.6),
         ]
     texts += SINGLES
-    return [Rule(i, a, b.encode(), re.compile(rf"(?<= )(?:{c})(?= )".encode()), d, e) for i, (a, b, c, d, e) in enumerate(texts)]
+    return [Rule(i, a, tuple(k.encode() for k in ([b] if isinstance(b, str) else b)), re.compile(rf"(?<= )(?:{c})(?= )".encode()), d, e) for i, (a, b, c, d, e) in enumerate(texts)]
 
 
 RULES = _rules()
-_KEYWORDS = sorted({r.keyword for r in RULES})
+_KEYWORDS = sorted({k for r in RULES for k in r.keywords})
 _BASE = [(re.compile(rf"(?<= ){p}(?= )".encode()), v) for p, v in BASE.items()]
 #: Bytes of words as they are, small letters for A-Z, and a space for the rest.
 _TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
@@ -146,12 +147,17 @@ class Detection(NamedTuple):
     rule: Rule
 
 
-def detect(joined: bytes) -> list[Detection]:
-    """Detections that stay, by where they start. ``joined``: words with a space before each and at the end."""
-    if not GATE.search(joined):
+def matches(joined: bytes, prefilter: bool = True) -> list[Detection]:
+    """What each rule finds. Without ``prefilter`` all patterns are tried, to the same effect."""
+    if prefilter and not GATE.search(joined):
         return []
     here = {k for k in _KEYWORDS if k in joined}
-    found = [Detection(m.start(), m.end(), r) for r in RULES if r.keyword in here for m in r.pattern.finditer(joined)]
+    return [Detection(m.start(), m.end(), r) for r in RULES if not prefilter or not here.isdisjoint(r.keywords) for m in r.pattern.finditer(joined)]
+
+
+def detect(joined: bytes) -> list[Detection]:
+    """Detections that stay, by where they start. ``joined``: words with a space before each and at the end."""
+    found = matches(joined)
     # wide ones first, and at the same start and end the one of higher priority, then the earlier rule
     found.sort(key=lambda d: (d.start, -d.end, d.rule.priority, d.rule.order))
     kept: list[Detection] = []

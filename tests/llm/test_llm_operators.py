@@ -240,6 +240,43 @@ def test_license_containment():
     assert licenses.detect(b" nothing to see ") == []
 
 
+def examples(tree):
+    """Texts that a parsed pattern matches, each of its alternatives and optional parts in some of them."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name in ("ASSERT", "AT"):
+            continue
+        if name == "LITERAL":
+            some = [chr(arg)]
+        elif name == "IN":  # of a range or class one character will do
+            some = [chr(v) if str(k) == "LITERAL" else chr(v[0]) if str(k) == "RANGE" else "1" for k, v in arg]
+        elif name == "BRANCH":
+            some = [x for t in arg[1] for x in examples(t)]
+        elif name == "SUBPATTERN":
+            some = examples(arg[-1])
+        elif name == "MAX_REPEAT":
+            some = [x * n for n in {arg[0], max(1, arg[0])} for x in examples(arg[2])]
+        n = max(len(out), len(some))
+        out = [out[i % len(out)] + some[i % len(some)] for i in range(n)] if len(out) > 60 else [a + b for a in out for b in dict.fromkeys(some)]
+    return list(dict.fromkeys(out))
+
+
+def test_license_prefilter_is_exact():
+    for rule in licenses.RULES:
+        texts = [f" {t} ".encode() for t in examples(re._parser.parse(rule.pattern.pattern.decode()))]
+        for t in texts:
+            want = licenses.matches(t, prefilter=False)
+            assert any(d.rule is rule for d in want) and licenses.matches(t) == want, (rule.label, t)
+
+
+def test_license_names_without_their_short_form():
+    texts = {"mit": "Expat License", "lgpl": "GNU Library General Public License", "wtfpl": "Do What The Fudge You Want To Public License", "open-game": "Open Gaming License", "qpl": "Q Public License", "openrail": "Responsible AI License", "cc-by": "licensed under Creative Commons Attribution 4.0"}
+    for label, t in texts.items():
+        got = licenses.scan(t.encode())
+        assert label in got["labels"].split(",") and got["score"] >= 0.6
+
+
 # Jaccard join
 
 
