@@ -14,7 +14,8 @@ passage. Where items have no answer of their own but one text, a text of which e
 reported as well, wherever they lie: an edited or missing last sentence doesn't hide it.
 
 The index is held in shards of up to SHARD_ITEMS items and SHARD_BYTES of text, each broadcast by itself, so that what is
-broadcast has a bound whatever the size of the benchmark. BM25 statistics are of all items.
+broadcast has a bound whatever the size of the benchmark. BM25 statistics are of all shards' entries, so that the number
+of shards changes no result.
 
 Defined cases: NULL and empty texts match nothing, neither as document nor as item; repeated rows of a document are
 reported once for each row; of an item's several passages the best is reported; an empty table gives an empty result.
@@ -59,6 +60,16 @@ def split_answer(text: str) -> tuple[str, str]:
     return (body[: cut + 1], body[cut + 1 :]) if cut > 0 else (body, body)
 
 
+def _words(q: str, a: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of an item's question, its answer and all of it."""
+    q_, a_ = (word_hashes(*text_bytes(pa.array([x or ""])))[0] for x in (q, a))
+    return q_, a_, q_ if q == a else np.concatenate([q_, a_])
+
+
+def _entries(h: np.ndarray) -> list[np.ndarray]:
+    return np.array_split(h, -(-len(h) // ENTRY_WORDS)) if len(h) else []
+
+
 class Index(NamedTuple):
     terms: np.ndarray  # sorted hashes
     probe: np.ndarray  # by the low 16 bits of a hash: whether any term has them
@@ -78,12 +89,10 @@ def build(items: list[tuple], df: dict[int, int] | None = None, total: tuple[int
     """Index of (id, question, answer) rows. ``df``: entries that have a term, and ``total``: entries and words of all shards."""
     entries, item_of, questions, answers, wholes, lengths, ids = [], [], [], [], [], [], []
     for id_, q, a in items:
-        qa = [word_hashes(*text_bytes(pa.array([x or ""])))[0] for x in (q, a)]
-        h = qa[0] if q == a else np.concatenate(qa)
+        *qa, h = _words(q, a)
         if not len(h):
             continue
-        parts = -(-len(h) // ENTRY_WORDS)
-        for p in np.array_split(h, parts):
+        for p in _entries(h):
             entries.append(p)
             item_of.append(len(ids))
         ids.append(id_)
@@ -206,11 +215,10 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     kind, ikind = docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
     schema = f"`{key}` {kind}, `{item}` {ikind}, score double, question_overlap double, answer_overlap double, first_word long"
     out = None
-    counts = None if shards == 1 else _entry_counts(rows)
+    counts = _entry_counts(rows, bool(answer))
     for s in range(shards):
-        part = [(r["id"], *((r["q"] or "", r["a"]) if answer else split_answer(r["q"] or ""))) for r in sorted(rows.filter(F.pmod(F.xxhash64("id", "q"), F.lit(shards)) == s).toArrow().to_pylist(), key=lambda r: (str(r["id"]), r["q"] or ""))]
-        df, total = (None, None) if counts is None else _statistics(spark, counts, part)
-        index = build(part, df, total, threshold)
+        part = [(r["id"], *_question_answer(r["q"], r["a"], bool(answer))) for r in sorted(rows.filter(F.pmod(F.xxhash64("id", "q"), F.lit(shards)) == s).toArrow().to_pylist(), key=lambda r: (str(r["id"]), r["q"] or ""))]
+        index = build(part, *_statistics(spark, counts, part), threshold)
         if index is None:
             continue
         found = _scan(docs, index, key, text, item, schema, threshold, q_share, a_share, None if answer else w_share)
@@ -218,25 +226,30 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def _entry_counts(rows: DataFrame) -> DataFrame:
-    """Of each term, in how many items' entries it is (as if items were one entry each), and under hash 0 the totals."""
+def _question_answer(q: str | None, a: str | None, answers: bool) -> tuple[str, str | None]:
+    return (q or "", a) if answers else split_answer(q or "")
+
+
+def _entry_counts(rows: DataFrame, answers: bool) -> DataFrame:
+    """Of each term, in how many entries of all items it is, and under hash 0 the entries and their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ts, ns = [], []
-            for x in b.column(0).to_pylist():
-                h, _ = word_hashes(*text_bytes(pa.array([x or ""])))
-                ts += [0, *np.unique(h).view(np.int64).tolist()]
-                ns += [len(h)] + [0] * (len(ts) - len(ns) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(ts, pa.int64()), pa.array(ns, pa.int64())], names=["t", "n"])
+            ts, ns = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for q, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for e in _entries(_words(*_question_answer(q, a, answers))[2]):
+                    t = np.unique(e).view(np.int64)
+                    ts += [[0], t]
+                    ns += [[len(e)], np.zeros(len(t), np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ts), pa.int64()), pa.array(np.concatenate(ns), pa.int64())], names=["t", "n"])
 
-    return rows.select(F.concat_ws(" ", "q", "a").alias("x")).mapInArrow(run, "t long, n long").groupBy("t").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    return rows.select("q", "a").mapInArrow(run, "t long, n long").groupBy("t").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
 
 
 def _statistics(spark, counts: DataFrame, part: list[tuple]) -> tuple[dict, tuple]:
     own = {0}
     for _, q, a in part:
-        own |= set(word_hashes(*text_bytes(pa.array([q + " " + (a or "")])))[0].view(np.int64).tolist())
+        own |= set(_words(q, a)[2].view(np.int64).tolist())
     terms = F.broadcast(spark.createDataFrame([(t,) for t in own], "t long"))  # the words of one shard
     got = {r["t"]: (r["c"], r["n"]) for r in counts.join(terms, "t").collect()}
     n, words = got.pop(0, (1, 1))

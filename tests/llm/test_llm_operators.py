@@ -122,6 +122,22 @@ def test_decontamination_in_shards(spark, monkeypatch):
     assert [(r.doc_id, r.item_id) for r in got.collect()] == [(1, 4)]
 
 
+@pytest.mark.parametrize("answer", [None, "a"])
+def test_decontamination_is_the_same_in_any_number_of_shards(spark, monkeypatch, answer):
+    rng = np.random.default_rng(11)
+    vocab = [f"word{i}" for i in range(300)]
+    words_of = [rng.choice(vocab, int(n)).tolist() for n in rng.integers(20, 130, 30)]
+    items = spark.createDataFrame([*((i, " ".join(w[:-8]) + ".", " ".join(w[-8:])) for i, w in enumerate(words_of)), (30, None, None), (31, "", "")], "item_id long, q string, a string")
+    items = items.withColumn("text", F.concat_ws(" ", "q", "a"))
+    rows = [(i, " ".join(w[: len(w) * 9 // 10])) for i, w in enumerate(words_of)] + [(100 + i, " ".join(w)) for i, w in enumerate(words_of)]
+    found = []
+    for size in (2000, 7):
+        monkeypatch.setattr(decontaminate, "SHARD_ITEMS", size)
+        got = decontaminate.find(docs(spark, rows), items, question="q" if answer else None, answer=answer).collect()
+        found.append(sorted((r.doc_id, r.item_id, round(r.score, 5), r.question_overlap, r.answer_overlap, r.first_word) for r in got))
+    assert len(found[0]) >= 30 and found[0] == found[1]
+
+
 def test_decontamination_of_edited_last_sentences(spark):
     rng = np.random.default_rng(9)
     vocab = [f"word{i}" for i in range(3000)]
