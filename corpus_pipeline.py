@@ -7,7 +7,7 @@ Each stage works on all that its predecessor has kept. All but the last return t
    them mostly and are shown to be copies, which are left to the next stage;
 3. n-gram Jaccard join, five words and a similarity of 0.8: of each group the document with the least id stays;
 4. benchmark decontamination: documents that hold a test item go;
-5. SentencePiece: sampled segmentations of each document, with the ids of the first.
+5. SentencePiece: sampled segmentations of each document, each with its ids.
 
 Rows with a NULL doc_id have nothing by which later stages could name them: they go through stages 3 and 4 unchanged.
 Documents without any words belong to no group and stay.
@@ -49,7 +49,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_samples(docs, keep_ids=1)
+    return pieces.encode_samples(docs)
 
 
 STAGES = [

@@ -474,6 +474,12 @@ def test_pieces_round_trip_and_keys(spark):
     assert pieces.encode_samples(docs(spark, [])).count() == 0
 
 
+def test_pipeline_has_the_ids_of_all_samples(spark):
+    got = corpus_pipeline.tokens(spark, docs(spark, [(1, "some words to be cut into pieces"), (2, "and others")]), "").collect()
+    assert {(r.doc_id, r["sample"]) for r in got} == {(d, s) for d in (1, 2) for s in (1, 2)}
+    assert all(hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() == r.ids_sha256 for r in got)
+
+
 def test_pieces_distribution():
     v, n = pieces.Vocabulary.load(), 3000
     data, off = text_bytes(pa.array(["abc"] * n))
