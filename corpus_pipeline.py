@@ -9,8 +9,10 @@ Each stage works on all that its predecessor has kept. All but the last return t
 4. benchmark decontamination: documents that hold a test item go;
 5. SentencePiece: sampled segmentations of each document, each with its ids.
 
-Rows with a NULL doc_id have nothing by which later stages could name them: they go through stages 3 and 4 unchanged.
-Documents without any words belong to no group and stay.
+Rows that share an id are one document to stage 3: it stays or goes with all its rows, of which those that are equal in
+all columns count once. Rows with a NULL doc_id have nothing by which that stage could name them and go through it
+unchanged. The other stages take each row by itself, whatever its id. Documents without any words belong to no group and
+stay. Columns of whatever names stay as they are.
 """
 
 from __future__ import annotations
@@ -19,33 +21,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.llm import decontaminate, jaccard, lines, pieces, quality
-from sketchloom.llm.common import stored, table
+from sketchloom.llm.common import discard, fresh, stored, table
 
 ORACLE_SQL = None
 THRESHOLD = 0.3
+#: Share of boilerplate beyond which a document that is shown to be a copy is left whole to the Jaccard join.
+SPARE = 0.5
+
+
+def _own(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=tuple(docs.columns)).filter(F.col("score") >= THRESHOLD).select(docs.columns)
+    (score,) = fresh(docs.columns, "score")
+    return quality.score(docs, model, keep=tuple(docs.columns), out=score).filter(F.col(score) >= THRESHOLD).select(_own(docs))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.line_dedup(docs, copies_only=True).select(docs.columns)
+    return lines.line_dedup(docs, spare=SPARE).select(_own(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = stored(jaccard.jaccard_components(docs, k=5, percent=80), "pipeline-groups")
-    first = groups.filter("component_id = doc_id").select("doc_id").distinct()
-    known = docs.filter("doc_id IS NOT NULL").join(first.hint("merge"), "doc_id", "left_semi")
-    if not groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        known = known.dropDuplicates(["doc_id"])  # rows that share an id are one document
-    return known.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    groups = jaccard.jaccard_components(docs, k=5, percent=80).filter("doc_id IS NOT NULL")
+    ids = stored(groups.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n")), "pipeline-groups")
+    known = docs.filter("doc_id IS NOT NULL").join(ids.filter("least = doc_id").select("doc_id").hint("merge"), "doc_id", "left_semi").select(_own(docs))
+    again = ids.filter("least = doc_id AND n > 1").select("doc_id")
+    if not again.isEmpty():
+        known = known.join(again, "doc_id", "left_anti").select(_own(docs)).unionByName(known.join(again, "doc_id", "left_semi").select(_own(docs)).distinct())
+    return known.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = stored(decontaminate.find(docs, table(spark, sf_dir, "benchmark")), "pipeline-leaks")
-    return docs.join(leaks.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to shared storage and read back for the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

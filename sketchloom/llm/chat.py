@@ -9,7 +9,9 @@ Template: ``### role: text</turn>`` and a line feed for each turn. In roles and
 becomes ``\\h`` and ``<`` becomes ``\\l`` (in roles, ``:`` becomes ``\\c``), so that no control string can stand inside
 a text, and parsing gives back what was put in.
 
-Defined cases: a NULL text or role is empty; rows of a conversation that have the same turn are ordered by role and text,
+Defined cases: of rows that repeat a tree's node the least counts, by parent, score, role and text; a node
+whose parent isn't there is a root; nodes on a cycle, and those that hang from one, have no root and are on no path; a
+NULL node is on none, either. In linear conversations: a NULL text or role is empty; rows of a conversation that have the same turn are ordered by role and text,
 and repeated rows are turns of their own; a NULL conversation id is an id like others; an empty table gives no
 conversations; long texts are taken whole.
 """
@@ -48,18 +50,26 @@ def _same(a: DataFrame, x: str, b: DataFrame, y: str) -> Column:
     return a["tree"].eqNullSafe(b["t"]) & (a[x] == b[y])
 
 
+def single(nodes: DataFrame) -> DataFrame:
+    """One row for each tree and node, the least."""
+    rest = F.struct("parent", "score", "role", "text")
+    least = nodes.filter("node IS NOT NULL").groupBy("tree", "node").agg(F.min(rest).alias("least"))
+    return least.select("tree", "node", *(F.col("least")[c].alias(c) for c in ("parent", "role", "text", "score")))
+
+
 def paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
     """(tree, leaf, node, pos, path_score, rank) of the paths from root to leaf that are chosen: all, or each tree's ``best``.
 
-    ``nodes``: tree, node, parent, score. A node whose parent isn't there is a root. Ranks go by the sum of scores, then
-    by leaf.
+    ``nodes``: tree, node, parent, score, one row for each node. Ranks go by the sum of scores, then by leaf.
     """
     step = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     ids = step.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     up = step.join(ids, _same(step, "parent", ids, "n"), "left").select("tree", "node", F.col("n").alias("up"), "score", F.lit(1).cast("long").alias("depth"))
     level, jumps = stored(up.withColumn("fresh", F.lit(True)), "chat-step"), []
     done = [level.filter("up IS NULL")]
-    while not level.filter("up IS NOT NULL").isEmpty():
+    most = step.groupBy("tree").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    # a path has no more nodes than its tree: what then has no root still is on a cycle or below one
+    while 1 << len(jumps) < most and not level.filter("up IS NOT NULL").isEmpty():
         active = level.filter("up IS NOT NULL")
         jumps.append(active.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("to")))
         # only trees that still have a node below its distance go on
@@ -84,12 +94,15 @@ def paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
     return at
 
 
-def conversations(nodes: DataFrame, best: int | None = None, trained: str = "assistant") -> DataFrame:
+def conversations(nodes: DataFrame, best: int | None = None, trained: str = "assistant", unique: bool = False) -> DataFrame:
     """One row for each chosen path: tree, leaf, rank, path_score, formatted, and loss spans (start from 0, length) within it.
 
-    The spans cover the texts, as escaped, of turns whose role is ``trained``.
+    The spans cover the texts, as escaped, of turns whose role is ``trained``. ``unique``: no node is repeated, as after
+    ``chains``, so that nothing needs to be done about it.
     """
-    nodes = stored(nodes, "chat-nodes")
+    blank = F.lit("")
+    nodes = nodes.select("tree", "node", "parent", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    nodes = stored(nodes if unique else single(nodes), "chat-nodes")
     p = paths(nodes, best)
     texts = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
     turns = p.join(texts, _same(p, "node", texts, "n")).groupBy("tree", "leaf").agg(F.first("rank").alias("rank"), F.first("path_score").alias("path_score"), F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))

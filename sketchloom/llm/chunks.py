@@ -9,27 +9,31 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.common import shared_dir, slices, stored, text_bytes
+from sketchloom.llm.common import open_uri, shared_dir, slices, stored, tasks, text_bytes
+from sketchloom.llm.text import spans
 
 CHUNK = 2 << 20
-TABLE = "chunk long, path string, at long, size long, rows long, words long"
+TABLE = "chunk long, path string, at long, size long, rows long, length long, words long"
 
 
-def open_uri(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+class Packed(NamedTuple):
+    """The table of chunks, the folder that they lie in, and how much text there is."""
 
+    table: DataFrame
+    root: str
+    n_bytes: int
+    n_words: int
 
-def pack(docs: DataFrame, key: str, text: str, name: str, inside: np.ndarray) -> DataFrame:
-    """Writes all rows and returns the table of chunks; ``words`` counts runs of bytes that are ``inside``."""
-    from sketchloom.llm.text import spans
 
+def pack(docs: DataFrame, key: str, text: str, name: str, inside: np.ndarray) -> Packed:
+    """Writes all rows; ``words`` counts runs of bytes that are ``inside``, and ``length`` all bytes of text."""
     root = shared_dir(docs.sparkSession, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +55,7 @@ def pack(docs: DataFrame, key: str, text: str, name: str, inside: np.ndarray) ->
                 body = sink.getvalue()
                 out.write(body)
                 data, off = text_bytes(t.column(1))
-                rows.append((uuid.uuid4().int >> 65, path, at, len(body), t.num_rows, len(spans(data, off, inside)[0])))
+                rows.append((uuid.uuid4().int >> 65, path, at, len(body), t.num_rows, len(data), len(spans(data, off, inside)[0])))
                 at += len(body)
                 held, size = [], 0
 
@@ -63,13 +67,14 @@ def pack(docs: DataFrame, key: str, text: str, name: str, inside: np.ndarray) ->
                 size += n
             put()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["chunk", "path", "at", "size", "rows", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["chunk", "path", "at", "size", "rows", "length", "words"])
 
-    return stored(docs.select(key, text).mapInArrow(run, TABLE), name + "-table")
+    table = stored(docs.select(key, text).mapInArrow(run, TABLE), name + "-table")
+    return Packed(table, root, *table.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("length", "words"))).first())
 
 
 class Files:
-    """Reads chunks. Paths are given with the scheme-less form that ``pack`` has written."""
+    """Reads chunks. Paths are in the scheme-less form that ``pack`` has written."""
 
     def __init__(self, root: str) -> None:
         self.system = open_uri(root)[0]
@@ -79,16 +84,14 @@ class Files:
             return pa.ipc.open_stream(f.read_at(size, at)).read_all().combine_chunks()
 
 
-def spread(table: DataFrame, *cols: str) -> DataFrame:
-    """Chunks dealt out evenly among tasks, a few for each core at least."""
-    n = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * table.sparkSession.sparkContext.defaultParallelism)
-    return table.repartition(n, *(cols or ("chunk",)))
+def spread(table: DataFrame, packed: Packed) -> DataFrame:
+    """Chunks dealt out evenly among tasks. Rows are small and the work behind them isn't: Spark must not put tasks together by bytes."""
+    return table.repartition(tasks(table.sparkSession, packed.n_bytes), "path", "at")
 
 
-def groups(table: DataFrame, per_word: int = 3_000_000) -> int:
+def groups(packed: Packed, per_word: int = 3_000_000) -> int:
     """Number of hash ranges for a shuffle of packed rows: enough that each has some ``per_word`` words, and several a task."""
-    words = table.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    return max(4 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // per_word))
+    return max(4 * int(packed.table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-packed.n_words // per_word))
 
 
 def range_bounds(sorted_hashes: np.ndarray, p: int) -> np.ndarray:

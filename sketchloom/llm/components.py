@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.common import stored
+from sketchloom.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = near.join(labels, near["a"] == labels["v"]).select("v", F.least("label", "m").alias("hop"), F.col("label").alias("old"))
         up = labels.select(F.col("v").alias("hop"), F.col("label").alias("up"))
         new = stored(least.join(up, "hop", "left").select("v", F.least("hop", F.coalesce("up", "hop")).alias("label"), "old"), "labels")
-        if new.filter("label <> old").isEmpty():
+        settled = new.filter("label <> old").isEmpty()
+        discard(labels)
+        if settled:
+            discard(both)
             return new.select("v", "label")
-        labels = new.select("v", "label")
+        labels = new

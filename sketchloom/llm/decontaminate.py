@@ -4,18 +4,24 @@ The items are the indexed side: entries of up to 48 words, with BM25 impacts div
 Every training document is cut into half-passages of 64 words, and each two in succession are a passage that queries the
 index, so that each stretch of up to 64 words lies in some passage whole.
 
-Retrieval returns all entries that score at least ``threshold``, with no limit on their number, as block-max WAND does:
-an entry can reach the threshold only if the passage has one of its essential terms, its rarest that together outweigh
-1 - threshold; for blocks of entries that these bring up, the passage's terms' block maxima are summed, and only if the
-sum reaches the threshold are the block's entries scored. Both bounds are exact; this prunes and never loses an entry.
+The index is sparse: each term has a list of the entries that it is in, in the order of their numbers, cut into blocks
+with their last entry and their largest impact. Entries are numbered by length, so that impacts within a block are alike.
+Retrieval is block-max WAND, for all passages of a batch in step with each other: each passage's terms have cursors on
+their lists; by the cursors' order the terms' largest impacts are summed up to the pivot, the first entry that could
+reach the threshold, and what lies before it is skipped; the maxima of the blocks that hold the pivot are summed, and if
+they can't reach the threshold the passage goes on behind the first of these blocks to end; else the entry is scored.
+Besides, an entry can reach the threshold only if the passage has several (up to NEED) of its essential terms, its
+rarest, beyond which the rest and the heaviest NEED - 1 of them weigh too little, so that pivots move on to the next such
+entry. All bounds are exact: every entry that scores at least ``threshold`` is returned, with no limit on their number.
 
 Each retrieved item is verified: shares of its question's and answer's shingles of up to 5 words that stand near the
 passage. Where items have no answer of their own but one text, a text of which enough shingles stand there as a whole is
 reported as well, wherever they lie: an edited or missing last sentence doesn't hide it.
 
-The index is held in shards of up to SHARD_ITEMS items and SHARD_BYTES of text, each broadcast by itself, so that what is
-broadcast has a bound whatever the size of the benchmark. BM25 statistics are of all shards' entries, so that the number
-of shards changes no result.
+The index is built by tasks, in shards of up to SHARD_ITEMS items and SHARD_BYTES of text, which lie on shared storage;
+neither the driver nor a broadcast holds it. Documents are read once, whatever the number of shards: a worker keeps
+shards of up to RESIDENT bytes, and if there are more it goes through all of them for each LARGE bytes of text. BM25
+statistics are of all shards' entries, so that the number of shards changes no result.
 
 Defined cases: NULL and empty texts match nothing, neither as document nor as item; repeated rows of a document are
 reported once for each row; of an item's several passages the best is reported; an empty table gives an empty result.
@@ -23,7 +29,10 @@ reported once for each row; of an item's several passages the best is reported;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import uuid
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,20 +40,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.common import slices, text_bytes
-from sketchloom.llm.text import LETTERS, LOWER, piece_hash, prefix_sums, spans, windows
+from sketchloom.llm import text as T
+from sketchloom.llm.common import SLICE, open_uri, shared_dir, slices, stored, text_bytes
+from sketchloom.llm.text import LETTERS, LOWER, spans, windows
 
-ENTRY_WORDS, HALF, BLOCK = 48, 64, 4
+ENTRY_WORDS, HALF, BLOCK = 48, 64, 16
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER, WHOLE, SHINGLE = 0.6, 0.5, 0.5, 0.5, 5
 SHARD_ITEMS, SHARD_BYTES = 2000, 2 << 20
+#: Bytes of stored shards that a worker keeps, and of text that it looks at for each round through more shards than that.
+RESIDENT, LARGE = 160 << 20, 16 << 20
+#: (passage, term) pairs that are worked on at a time, and slack of bounds that are sums of 32-bit floats.
+PAIRS, SLACK = 400_000, 1e-4
+#: Essential terms of an entry that a passage must have, where entries have so many.
+NEED = 3
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of letters and digits, and each text's first word."""
     data = LOWER[data]
     starts, ends, first = spans(data, offsets, LETTERS)
-    return piece_hash(prefix_sums(data), starts, ends), first
+    return T.word_hashes(data, starts, ends), first
 
 
 def _shingles(h: np.ndarray, short: bool = False) -> tuple[int, np.ndarray]:
@@ -71,12 +87,21 @@ def _entries(h: np.ndarray) -> list[np.ndarray]:
 
 
 class Index(NamedTuple):
+    """Lists are one after the other, in the order of ``terms``; keys are term * n + entry, so that they are in order, too."""
+
+    n: int  # entries
     terms: np.ndarray  # sorted hashes
     probe: np.ndarray  # by the low 16 bits of a hash: whether any term has them
-    impact: np.ndarray  # terms x entries
-    block_max: np.ndarray  # terms x blocks
-    essential: np.ndarray  # blocks of each term's entries for which it is essential, term after term
+    top: np.ndarray  # largest impact of each term
+    key: np.ndarray  # of the postings
+    impact: np.ndarray
+    end: np.ndarray  # end of each term's postings
+    block_key: np.ndarray  # of each block's last posting
+    block_max: np.ndarray
+    block_end: np.ndarray
+    essential: np.ndarray  # entries that each term is essential for, term after term
     essential_at: np.ndarray
+    need: np.ndarray  # essential terms of each entry without which it can't reach the threshold
     item_of: np.ndarray  # item of each entry
     questions: list
     answers: list
@@ -87,14 +112,12 @@ class Index(NamedTuple):
 
 def build(items: list[tuple], df: dict[int, int] | None = None, total: tuple[int, float] | None = None, threshold: float = THRESHOLD) -> Index | None:
     """Index of (id, question, answer) rows. ``df``: entries that have a term, and ``total``: entries and words of all shards."""
-    entries, item_of, questions, answers, wholes, lengths, ids = [], [], [], [], [], [], []
+    entries, questions, answers, wholes, lengths, ids = [], [], [], [], [], []
     for id_, q, a in items:
         *qa, h = _words(q, a)
         if not len(h):
             continue
-        for p in _entries(h):
-            entries.append(p)
-            item_of.append(len(ids))
+        entries += [(len(p), len(ids), p) for p in _entries(h)]
         ids.append(id_)
         questions.append(_shingles(qa[0]))
         answers.append(_shingles(qa[1], short=True))
@@ -102,37 +125,56 @@ def build(items: list[tuple], df: dict[int, int] | None = None, total: tuple[int
         lengths.append(len(h))
     if not ids:
         return None
-    terms = np.unique(np.concatenate(entries))
-    n, words = total or (len(entries), float(sum(map(len, entries))))
-    tf = np.zeros((len(terms), len(entries)), np.float32)
-    for j, e in enumerate(entries):
-        t, c = np.unique(e, return_counts=True)
-        tf[np.searchsorted(terms, t), j] = c
-    seen = (tf > 0).sum(1) if df is None else np.array([df.get(int(t), 1) for t in terms])
+    entries.sort(key=lambda e: e[:2])
+    size = np.array([e[0] for e in entries])
+    terms, word = np.unique(np.concatenate([e[2] for e in entries]), return_inverse=True)
+    n, words = total or (len(entries), float(size.sum()))
+    own = len(entries)
+    key, tf = np.unique(word * own + np.repeat(np.arange(own), size), return_counts=True)
+    term, entry = key // own, key % own
+    seen = np.bincount(term) if df is None else np.array([df.get(int(t), 1) for t in terms])
     idf = np.log(1 + (n - seen + 0.5) / (seen + 0.5))
-    norm = K1 * (1 - B + B * np.array([len(e) for e in entries]) / (words / n))
-    impact = idf[:, None] * tf * (K1 + 1) / (tf + norm[None, :])
-    impact = (impact / impact.sum(0)).astype(np.float32)
-    blocks = -(-len(entries) // BLOCK)
-    wide = np.zeros((len(terms), blocks * BLOCK), np.float32)
-    wide[:, : len(entries)] = impact
-    pairs = set()
-    for j in range(len(entries)):
-        own = np.flatnonzero(impact[:, j])
-        own = own[np.argsort(seen[own], kind="stable")]
-        left = 1.0 - np.cumsum(impact[own, j])
-        for t in own[: int(np.searchsorted(-left, -(threshold - 1e-4))) + 1]:  # without these the rest can't reach the threshold
-            pairs.add((int(t), j // BLOCK))
-    pairs = np.array(sorted(pairs))
+    norm = K1 * (1 - B + B * size / (words / n))
+    impact = idf[term] * tf * (K1 + 1) / (tf + norm[entry])
+    impact = (impact / np.bincount(entry, impact)[entry]).astype(np.float32)
+    end = np.searchsorted(term, np.arange(len(terms)), side="right")
+    # blocks: each list is cut from its own start
+    place = np.arange(len(key)) - np.concatenate([[0], end[:-1]])[term]
+    last = np.ones(len(key), bool)
+    last[:-1] = (term[1:] != term[:-1]) | (place[1:] % BLOCK == 0)
+    first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
+    essential, need = _essential(term, entry, impact, seen, threshold)
     probe = np.zeros(1 << 16, bool)
     probe[(terms & np.uint64(0xFFFF)).astype(int)] = True
-    return Index(terms, probe, impact, wide.reshape(len(terms), blocks, BLOCK).max(2), pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1)), np.array(item_of), questions, answers, wholes, np.array(lengths), ids)
+    return Index(own, terms, probe, np.maximum.reduceat(impact, np.concatenate([[0], end[:-1]])), key, impact, end, key[last], np.maximum.reduceat(impact, first), np.searchsorted(term[last], np.arange(len(terms)), side="right"), entry[essential], np.searchsorted(term[essential], np.arange(len(terms) + 1)), need, np.array([e[1] for e in entries]), questions, answers, wholes, np.array(lengths), ids)
+
 
+def _essential(term: np.ndarray, entry: np.ndarray, impact: np.ndarray, seen: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Postings whose term is essential for the entry, and how many of them each entry needs.
 
-def _expand(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For ranges of ``counts`` from ``starts``: which range, and each member."""
-    which = np.repeat(np.arange(len(counts)), counts)
-    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[which]
+    Of an entry's terms, the rarest first, the shortest run is taken so that all behind it, and the heaviest m - 1 within
+    it, can't reach the threshold together: then m of the run are needed.
+    """
+    order = np.lexsort((term, seen[term], entry))
+    cut = np.searchsorted(entry[order], np.arange(int(entry.max()) + 2))
+    chosen, need = [], []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        own = impact[order[a:b]].astype(np.float64)
+        rest = 1.0 - np.cumsum(own)
+        heaviest = np.zeros(NEED)  # in the run so far, in ascending order
+        tops = np.empty((len(own), NEED))
+        for i, x in enumerate(own.tolist()):
+            if x > heaviest[0]:
+                heaviest[0] = x
+                heaviest.sort()
+            tops[i] = np.concatenate([[0.0], np.cumsum(heaviest[:0:-1])])
+        for m in range(NEED, 0, -1):
+            enough = np.flatnonzero(rest + tops[:, m - 1] < threshold - SLACK)
+            if len(enough):
+                break
+        chosen.append(order[a : a + enough[0] + 1])
+        need.append(m)
+    return np.sort(np.concatenate(chosen)), np.array(need)
 
 
 def retrieve(ix: Index, h: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int]]:
@@ -148,46 +190,95 @@ def retrieve(ix: Index, h: np.ndarray, first: np.ndarray, threshold: float) -> l
     halves = -(-np.diff(first) // HALF)
     half_at = np.concatenate([[0], np.cumsum(halves)])
     half = half_at[doc] + (at - first[doc]) // HALF
-    key = np.unique(half * len(ix.terms) + t)
-    half, t = key // len(ix.terms), key % len(ix.terms)
-    term_at = np.searchsorted(half, np.arange(half_at[-1] + 1))
-    which, e = _expand(ix.essential_at[t], ix.essential_at[t + 1] - ix.essential_at[t])
-    blocks = ix.block_max.shape[1]
-    cand = np.unique(half[which] * blocks + ix.essential[e])
-    h0, b0 = cand // blocks, cand % blocks
-    last = np.zeros(half_at[-1], bool)
-    last[half_at[1:][halves > 0] - 1] = True
-    starts = np.zeros(half_at[-1], bool)
-    starts[half_at[:-1][halves > 0]] = True
     # a passage is named by its first half; a text of one half is a passage by itself
-    ahead = ~last[h0] | starts[h0]
-    behind = ~starts[h0]
-    cand = np.unique(np.concatenate([(h0 * blocks + b0)[ahead], ((h0 - 1) * blocks + b0)[behind]]))
+    starts, ends = half_at[:-1][doc], half_at[1:][doc]
+    ahead, behind = (half + 1 < ends) | (half == starts), half > starts
+    pairs = np.unique(np.concatenate([half[ahead] * len(ix.terms) + t[ahead], (half[behind] - 1) * len(ix.terms) + t[behind]]))
+    passage, t = pairs // len(ix.terms), pairs % len(ix.terms)
+    # only passages with enough essential terms of an entry, and whose terms together can reach the threshold, have anything to find
+    count = ix.essential_at[t + 1] - ix.essential_at[t]
+    lead = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+    work = np.add.reduceat(count + 1, lead)
+    live = np.add.reduceat(ix.top[t].astype(np.float64), lead) >= threshold - SLACK
+    stop = np.append(lead[1:], len(t))
     found: list = []
-    for lo in range(0, len(cand), 20_000):
-        found += _score(ix, cand[lo : lo + 20_000], term_at, t, last, threshold)
+    lo, total = 0, np.cumsum(work)
+    while lo < len(lead):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] - work[lo] + PAIRS, side="right")))
+        part = slice(lead[lo], stop[hi - 1])
+        keep = np.repeat(live[lo:hi], (stop - lead)[lo:hi])
+        found += _search(ix, passage[part][keep], t[part][keep], threshold)
+        lo = hi
     out = []
-    for half0, entry, score in found:
-        d = int(np.searchsorted(half_at, half0, side="right")) - 1
-        w = int(first[d] + (half0 - half_at[d]) * HALF)
+    for p, entry, score in found:
+        d = int(np.searchsorted(half_at, p, side="right")) - 1
+        w = int(first[d] + (p - half_at[d]) * HALF)
         out.append((d, entry, score, w, int(min(first[d + 1], w + 2 * HALF))))
     return out
 
 
-def _score(ix: Index, cand: np.ndarray, term_at: np.ndarray, t: np.ndarray, last: np.ndarray, threshold: float) -> list:
-    blocks = ix.block_max.shape[1]
-    p, b = cand // blocks, cand % blocks
-    end = term_at[np.where(last[p], p + 1, np.minimum(p + 2, len(term_at) - 1))]
-    which, k = _expand(term_at[p], end - term_at[p])
-    # a term that both halves have counts twice here: a bound still
-    bound = np.bincount(which, ix.block_max[t[k], b[which]], minlength=len(cand))
-    found = []
-    for i in np.flatnonzero(bound >= threshold - 1e-4):
-        terms = np.unique(t[term_at[p[i]] : end[i]])
-        for j in range(b[i] * BLOCK, min((b[i] + 1) * BLOCK, ix.impact.shape[1])):
-            score = float(ix.impact[terms, j].sum(dtype=np.float64))
-            if score >= threshold - 1e-6:
-                found.append((int(p[i]), j, score))
+def _search(ix: Index, passage: np.ndarray, t: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """``wand`` for those passages that have enough essential terms of some entry."""
+    names, own = np.unique(passage, return_inverse=True)
+    count = ix.essential_at[t + 1] - ix.essential_at[t]
+    which = np.repeat(np.arange(len(t)), count)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + ix.essential_at[t][which]
+    wanted, times = np.unique(own[which] * ix.n + ix.essential[place], return_counts=True)
+    wanted = wanted[times >= ix.need[wanted % ix.n]]
+    some = np.zeros(len(names), bool)
+    some[wanted // ix.n] = True
+    keep = some[own]
+    new = np.cumsum(some) - 1
+    return wand(ix, names[some], new[own[keep]], t[keep], new[wanted // ix.n] * ix.n + wanted % ix.n, threshold)
+
+
+def wand(ix: Index, names: np.ndarray, own: np.ndarray, t: np.ndarray, wanted: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """(passage, entry, score) of all entries that reach the threshold.
+
+    ``own`` and ``t``: pairs of a passage's number among ``names`` and a term, in order; ``wanted``: number * n + entry of
+    the entries that have enough essential terms there, in order.
+    """
+    found, n, number = [], ix.n, np.arange(len(names))
+    at = np.zeros(len(names), np.int64)  # the entry that each passage looks at next; no cursor stands before it
+
+    def cursor(keys: np.ndarray, end: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each pair's list the first posting from ``entry`` on, and its entry; n if there is none."""
+        i = np.searchsorted(keys, t * n + entry)
+        on = i < end[t]
+        i[~on] = 0
+        return i, np.where(on, keys[i] - t * n, n)
+
+    while len(names):
+        lead = np.searchsorted(own, np.arange(len(names)))
+        _, cur = cursor(ix.key, ix.end, at[own])
+        i = np.searchsorted(wanted, number * n + at)
+        want = wanted[np.minimum(i, len(wanted) - 1)] - number * n
+        want[(i == len(wanted)) | (want >= n)] = n
+        # the pivot: in the order of the cursors, where the sum of the terms' largest impacts reaches the threshold
+        order = np.lexsort((cur, own))
+        upto = np.cumsum(np.where(cur < n, ix.top[t], 0)[order], dtype=np.float64)
+        upto -= np.concatenate([[0.0], upto])[lead][own]
+        pivot = np.full(len(names), n)
+        reach = np.flatnonzero(upto >= threshold - SLACK)
+        np.minimum.at(pivot, own[reach], cur[order][reach])
+        # no entry before both can reach the threshold; where the essential one comes first, cursors move to the pivot
+        ready = (want >= pivot) & (want < n)
+        going = np.where(ready, want, n)
+        near = cur <= going[own]
+        block, _ = cursor(ix.block_key, ix.block_end, going[own])
+        inside = near & (ix.block_key[block] - t * n >= going[own]) & (ix.block_key[block] // n == t) & ready[own]
+        bound = np.add.reduceat(np.where(inside, ix.block_max[block], 0).astype(np.float64), lead)
+        full = ready & (bound >= threshold - SLACK)
+        i, place = cursor(ix.key, ix.end, going[own])
+        hit = (place == going[own]) & full[own]
+        score = np.add.reduceat(np.where(hit, ix.impact[i], 0).astype(np.float64), lead)
+        found += [(int(names[j]), int(going[j]), float(score[j])) for j in np.flatnonzero(full & (score >= threshold - 1e-6))]
+        # where blocks can't: behind the first of them to end, or to the first list that begins after the pivot
+        skip = np.minimum.reduceat(np.where(inside, ix.block_key[block] - t * n + 1, np.where(near, n, cur)), lead)
+        at = np.where(full, going + 1, np.where(ready, np.maximum(skip, going + 1), pivot))
+        live = (at < n) & (want < n) & (pivot < n)
+        keep = live[own]
+        t, own, names, number, at = t[keep], (np.cumsum(live) - 1)[own[keep]], names[live], number[live], at[live]
     return found
 
 
@@ -195,85 +286,142 @@ def verify(ix: Index, item: int, h: np.ndarray, lo: int, hi: int) -> tuple[float
     """Shares of the shingles of the item's question, its answer and all of it within words lo to hi."""
     near, shares = h[lo:hi], []
     for size, want in (ix.questions[item], ix.answers[item], ix.wholes[item]):
-        have = set(windows(near, size).tolist()) if len(want) and len(near) >= size else set()
-        shares.append(sum(x in have for x in want.tolist()) / len(want) if len(want) else 1.0)
+        shares.append(float(np.isin(want, windows(near, size)).mean()) if len(want) else 1.0)
     return shares[0], shares[1], shares[2]
 
 
-def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", question: str | None = None, answer: str | None = None, item_text: str = "text", threshold: float = THRESHOLD, q_share: float = QUESTION, a_share: float = ANSWER, w_share: float = WHOLE) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Pairs of a document and a test item that it holds: key, item, score, question and answer overlap, first word.
 
     Items have columns for question and answer, or one text whose last sentence is taken for the answer; of one text a
-    share of ``w_share`` over all of it is enough too.
+    share of ``w_share`` over all of it is enough too. Options are those of ``Search``.
     """
-    spark = docs.sparkSession
-    q = F.col(question) if question else F.col(item_text)
-    a = F.col(answer).cast("string") if answer else F.lit(None).cast("string")
-    rows = items.select(F.col(item).alias("id"), q.cast("string").alias("q"), a.alias("a"))
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "q", "a"))), F.lit(0))).first()
-    shards = max(1, -(-n // SHARD_ITEMS), -(-size // SHARD_BYTES))
-    kind, ikind = docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
+    search = Search(docs.sparkSession, items, **options)
+    item, kind, ikind = search.item, docs.schema[key].dataType.simpleString(), items.schema[search.item].dataType.simpleString()
     schema = f"`{key}` {kind}, `{item}` {ikind}, score double, question_overlap double, answer_overlap double, first_word long"
-    out = None
-    counts = _entry_counts(rows, bool(answer))
-    for s in range(shards):
-        part = [(r["id"], *_question_answer(r["q"], r["a"], bool(answer))) for r in sorted(rows.filter(F.pmod(F.xxhash64("id", "q"), F.lit(shards)) == s).toArrow().to_pylist(), key=lambda r: (str(r["id"]), r["q"] or ""))]
-        index = build(part, *_statistics(spark, counts, part), threshold)
-        if index is None:
-            continue
-        found = _scan(docs, index, key, text, item, schema, threshold, q_share, a_share, None if answer else w_share)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+    look = search.task()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, best, ids in look(batches, 1):
+            if best:
+                keys = b.column(0).take(pa.array([d for d, _ in best]))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([ids[i] for _, i in best]), *(pa.array([r[c] for r in best.values()], t) for c, t in enumerate((pa.float64(), pa.float64(), pa.float64(), pa.int64())))], names=[key, item, "score", "question_overlap", "answer_overlap", "first_word"])
+
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that hold no test item, with all their columns: each row by itself, whatever its id."""
+    look, at = Search(docs.sparkSession, items, **options).task(), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone: set[int] = set()
+        for b, best, _ in look(batches, at, True):
+            if best is None:  # the last shard of this batch
+                keep = np.ones(b.num_rows, bool)
+                keep[list(gone)] = False
+                gone = set()
+                yield b.filter(pa.array(keep))
+            else:
+                gone |= {d for d, _ in best}
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+class Search:
+    """Shards of the index on shared storage, and what tasks need to go through them."""
+
+    def __init__(self, spark, items: DataFrame, item: str = "item_id", question: str | None = None, answer: str | None = None, item_text: str = "text", threshold: float = THRESHOLD, q_share: float = QUESTION, a_share: float = ANSWER, w_share: float = WHOLE) -> None:
+        self.item, self.limits = item, (threshold, q_share, a_share, None if answer else w_share)
+        q = F.col(question) if question else F.col(item_text)
+        a = F.col(answer).cast("string") if answer else F.lit(None).cast("string")
+        rows = items.select(F.col(item).alias("id"), q.cast("string").alias("q"), a.alias("a"))
+        n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "q", "a"))), F.lit(0))).first()
+        shards = max(1, -(-n // SHARD_ITEMS), -(-size // SHARD_BYTES))
+        self.root = shared_dir(spark, "benchmark-index")
+        self.files = _write_shards(rows.withColumn("shard", F.pmod(F.xxhash64("id", "q", "a"), F.lit(shards)).cast("int")), self.root, bool(answer), threshold)
+
+    def task(self) -> Callable:
+        """A function of a task's batches that yields (batch, best row by document and item, item ids) for each shard, and with ``marks`` (batch, None, None) after each batch's last."""
+        files, root, (threshold, q_share, a_share, w_share) = self.files, self.root, self.limits
+        limit = SLICE if sum(size for _, size in files) <= RESIDENT else LARGE
+
+        def look(batches: Iterator[pa.RecordBatch], text: int, marks: bool = False) -> Iterator[tuple]:
+            for b in slices(batches, text, limit):
+                h, first = word_hashes(*text_bytes(b.column(text)))
+                for name, _ in files:
+                    ix = _shard(root, name)
+                    best: dict[tuple[int, int], tuple] = {}
+                    for d, entry, score, lo, hi in retrieve(ix, h, first, threshold):
+                        it = int(ix.item_of[entry])
+                        room = int(ix.lengths[it])
+                        q, a, w = verify(ix, it, h, max(int(first[d]), lo - room), min(int(first[d + 1]), hi + room))
+                        if q >= q_share and a >= a_share or w_share is not None and w >= w_share:
+                            row = (score, q, a, lo - int(first[d]))
+                            if (d, it) not in best or row[:3] > best[d, it][:3]:
+                                best[d, it] = row
+                    yield b, best, ix.ids
+                if marks:
+                    yield b, None, None
+
+        return look
+
+
+_KEPT: OrderedDict[str, tuple[int, Index]] = OrderedDict()
+
+
+def _shard(root: str, name: str) -> Index:
+    """A shard from storage; the worker keeps those it has used last."""
+    path = f"{root}/{name}"
+    if path not in _KEPT:
+        system, file = open_uri(path)
+        with system.open_input_stream(file) as s:
+            raw = s.read()
+        _KEPT[path] = len(raw), Index(*pickle.loads(raw))
+        while len(_KEPT) > 1 and sum(size for size, _ in _KEPT.values()) > RESIDENT:
+            _KEPT.popitem(last=False)
+    _KEPT.move_to_end(path)
+    return _KEPT[path][1]
 
 
 def _question_answer(q: str | None, a: str | None, answers: bool) -> tuple[str, str | None]:
     return (q or "", a) if answers else split_answer(q or "")
 
 
-def _entry_counts(rows: DataFrame, answers: bool) -> DataFrame:
-    """Of each term, in how many entries of all items it is, and under hash 0 the entries and their words."""
+def _write_shards(rows: DataFrame, root: str, answers: bool, threshold: float) -> list[tuple[str, int]]:
+    """Builds each shard in a task of its own and writes it; returns their names and sizes, some for each 2000 items."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ts, ns = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for q, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            shards, ts, ns = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for q, a, shard in zip(*(b.column(i).to_pylist() for i in range(3))):
                 for e in _entries(_words(*_question_answer(q, a, answers))[2]):
                     t = np.unique(e).view(np.int64)
                     ts += [[0], t]
                     ns += [[len(e)], np.zeros(len(t), np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ts), pa.int64()), pa.array(np.concatenate(ns), pa.int64())], names=["t", "n"])
-
-    return rows.select("q", "a").mapInArrow(run, "t long, n long").groupBy("t").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-
-
-def _statistics(spark, counts: DataFrame, part: list[tuple]) -> tuple[dict, tuple]:
-    own = {0}
-    for _, q, a in part:
-        own |= set(_words(q, a)[2].view(np.int64).tolist())
-    terms = F.broadcast(spark.createDataFrame([(t,) for t in own], "t long"))  # the words of one shard
-    got = {r["t"]: (r["c"], r["n"]) for r in counts.join(terms, "t").collect()}
-    n, words = got.pop(0, (1, 1))
-    return {t % (1 << 64): c for t, (c, _) in got.items()}, (n, float(max(1, words)))
-
-
-def _scan(docs: DataFrame, index: Index, key: str, text: str, item: str, schema: str, threshold: float, q_share: float, a_share: float, w_share: float | None) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(index))  # one shard
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = Index(*shared.value)
-        for b in slices(batches):
-            h, first = word_hashes(*text_bytes(b.column(1)))
-            best: dict[tuple[int, int], tuple] = {}
-            for d, entry, score, lo, hi in retrieve(ix, h, first, threshold):
-                it = int(ix.item_of[entry])
-                room = int(ix.lengths[it])
-                q, a, w = verify(ix, it, h, max(int(first[d]), lo - room), min(int(first[d + 1]), hi + room))
-                if q >= q_share and a >= a_share or w_share is not None and w >= w_share:
-                    row = (score, q, a, lo - int(first[d]))
-                    if (d, it) not in best or row[:3] > best[d, it][:3]:
-                        best[d, it] = row
-            if best:
-                keys = b.column(0).take(pa.array([d for d, _ in best]))
-                yield pa.RecordBatch.from_arrays([keys, pa.array([ix.ids[i] for _, i in best]), *(pa.array([r[c] for r in best.values()], t) for c, t in enumerate((pa.float64(), pa.float64(), pa.float64(), pa.int64())))], names=[key, item, "score", "question_overlap", "answer_overlap", "first_word"])
-
-    return docs.select(key, text).mapInArrow(run, schema)
+                    shards += [shard] * (len(t) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(np.concatenate(ts), pa.int64()), pa.array(np.concatenate(ns), pa.int64())], names=["shard", "t", "n"])
+
+    # in how many entries of a shard each term is, and under 0 its entries and their words
+    counts = rows.select("q", "a", "shard").mapInArrow(terms, "shard int, t long, n long").groupBy("shard", "t").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    counts = stored(counts, "benchmark-terms")
+    all_ = counts.groupBy("t").agg(F.sum("c").alias("all_c"), F.sum("n").alias("all_n"))
+    of_shards = counts.select("shard", "t").join(all_, "t")
+
+    def write(items: pa.Table, stats: pa.Table) -> pa.Table:
+        df = dict(zip(stats.column("t").to_pylist(), zip(stats.column("all_c").to_pylist(), stats.column("all_n").to_pylist())))
+        n, words = df.pop(0, (1, 1))
+        part = sorted(((r["id"], *_question_answer(r["q"], r["a"], answers)) for r in items.to_pylist()), key=lambda r: (str(r[0]), r[1], r[2] or ""))
+        ix = build(part, {t % (1 << 64): c for t, (c, _) in df.items()}, (n, float(max(1, words))), threshold)
+        names, sizes = [], []
+        if ix is not None:
+            system, folder = open_uri(root)
+            system.create_dir(folder, recursive=True)
+            names, raw = [f"{uuid.uuid4().hex}.index"], pickle.dumps(tuple(ix), protocol=5)
+            with system.open_output_stream(f"{folder}/{names[0]}") as out:
+                out.write(raw)
+            sizes = [len(raw)]
+        return pa.table({"name": pa.array(names, pa.string()), "size": pa.array(sizes, pa.int64())})
+
+    done = rows.groupBy("shard").cogroup(of_shards.groupBy("shard")).applyInArrow(write, "name string, size long")
+    return sorted((r["name"], r["size"]) for r in done.collect())

@@ -11,11 +11,12 @@ segments: those with the fewest shingles, whose subsets are the most common.
 Equal signatures make a bucket. Within a bucket only pairs with one probing member, its pivot, are verified at first;
 signatures are bucketed within each task before they are shuffled, so that a bucket that very many documents fall into
 sends one row a task. Pairs are verified exactly, on the shingles of whole texts. Where the verified links leave a
-bucket in several components, some rounds compare its members with further pivots, which grows components at a cost
-that is linear in the bucket; then all pairs across components are verified that remain, until none is left: components
-are exact, and pairs that are connected already are never looked at.
+bucket in several components, rounds compare its members with further pivots, which grows components at a cost that is
+linear in the bucket, for as long as that finds links; then all pairs across components are verified that remain, until
+none is left: components are exact, and pairs that are connected already are never looked at.
 
-Texts with equal sets are one class and count as linked without verification.
+Texts with equal sets are one class and count as linked without verification. Sets are equal if their sizes and two sums
+of independent shingle hashes are; verification compares shingles by two independent hashes, too.
 
 Defined cases: a NULL or empty text has no shingles and is linked with nothing; a text with fewer words than a shingle
 has one, of all its words; a NULL id is never linked, and its component is NULL; rows that share an id are one document, which has
@@ -29,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.llm.chunks import range_bounds
-from sketchloom.llm.common import slices, stored, text_bytes
+from sketchloom.llm.common import discard, slices, stored, text_bytes
 from sketchloom.llm.components import components
 from sketchloom.llm.text import MULTIPLIERS, mix, shingle_sets
 
@@ -108,15 +110,15 @@ def signatures(s: Scheme, value: np.ndarray, offsets: np.ndarray, ahead: int) ->
 
 
 def _summaries(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, h1, h2, bits): size of each document's set, two hashes of it, and its parity bitmap."""
+    """(id, n, h1, h2, bits): size of each document's set, two hashes of it, from independent hashes of its shingles, and its parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            value, off = shingle_sets(*text_bytes(b.column(1)), k)
+            value, second, off = shingle_sets(*text_bytes(b.column(1)), k)
             n = np.diff(off)
             hashes = []
-            for c in (30, 31):
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value * MULTIPLIERS[c]), dtype=np.uint64)])
+            for v in (value, second):
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(v * MULTIPLIERS[30]), dtype=np.uint64)])
                 hashes.append((sums[off[1:]] - sums[off[:-1]]).view(np.int64))
             doc = np.repeat(np.arange(len(n)), n)
             bit = (mix(value * MULTIPLIERS[32]) % _U(64 * BITMAP)).astype(np.int64)
@@ -191,7 +193,7 @@ def _buckets(docs: DataFrame, k: int, percent: int, n_groups: int) -> DataFrame:
 
         for b in slices(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            value, off = shingle_sets(*text_bytes(b.column(1)), k)
+            value, _, off = shingle_sets(*text_bytes(b.column(1)), k)
             for ahead in (0, 1):
                 sig, doc, probe = signatures(scheme, value, off, ahead)
                 held.append((sig, ids[doc].astype(np.int64), probe))
@@ -260,14 +262,18 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 3):
             ids = batch.column(0).to_numpy()
-            turns = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            whole = batch.column(1)  # an id may have several texts
+            other = pc.not_equal(whole.slice(1), whole.slice(0, len(whole) - 1)).to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | other]))
             own = np.repeat(np.arange(len(turns)), np.diff([*turns, len(ids)]))
-            va, oa = shingle_sets(*text_bytes(batch.column(1).take(pa.array(turns))), k)
-            vb, ob = shingle_sets(*text_bytes(batch.column(3)), k)
+            va, wa, oa = shingle_sets(*text_bytes(whole.take(pa.array(turns))), k)
+            vb, wb, ob = shingle_sets(*text_bytes(batch.column(3)), k)
             good = np.zeros(len(ids), bool)
             for i in range(len(ids)):
-                p, q = va[oa[own[i]] : oa[own[i] + 1]], vb[ob[i] : ob[i + 1]]
-                same = len(np.intersect1d(p, q, assume_unique=True))
+                a, b = slice(oa[own[i]], oa[own[i] + 1]), slice(ob[i], ob[i + 1])
+                p, q = va[a], vb[b]
+                _, x, y = np.intersect1d(p, q, assume_unique=True, return_indices=True)
+                same = int((wa[a][x] == wb[b][y]).sum())
                 good[i] = same > 0 and 100 * same >= percent * (len(p) + len(q) - same)
             keep = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(2).take(keep)], names=["a", "b"])
@@ -278,7 +284,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row for each document: key, n_shingles, and component_id, the smallest id that it is linked with through others."""
     spark = docs.sparkSession
-    clean = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    clean = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     known = clean.filter("id IS NOT NULL")
     info = stored(_summaries(clean, k), "join-sets")
     sets = info.filter("n > 0 AND id IS NOT NULL")
@@ -298,7 +304,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pairs = found.filter("kind = 0").select("x", "y").distinct()
     pairs = pairs.join(rep.select(F.col("id").alias("x"), F.col("rep").alias("a")).hint("merge"), "x").join(rep.select(F.col("id").alias("y"), F.col("rep").alias("b")).hint("merge"), "y").filter("a <> b")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs")
-    reps = stored(of.filter("id = rep").dropDuplicates(["id"]), "join-reps")
+    # an id that is the least of several classes has a row for each, and pairs with it are ruled out only if all rule them out
+    reps = stored(of.filter("id = rep").distinct(), "join-reps")
     members = _members(found).join(rep.hint("merge"), "id").groupBy("sig", F.col("rep").alias("id")).agg(F.max("probe").alias("probe"))
     members = stored(members, "join-members")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct()
@@ -306,14 +313,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = stored(_verify(_filtered(pairs, reps, percent), texts, k, percent), "join-links")
     more = rep.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     links = links.unionByName(more)
-    labels, done, pivots = components(links), pairs, True
-    while True:
+    labels, done, pivots, turn = components(links), pairs, True, 0
+    while True:  # rounds with further pivots for as long as they find links, then all that remains
         split = stored(_split(members, reps, labels), "join-split")
-        left = stored((_pivots(split, percent) if pivots else _across(split, percent)).join(done, ["a", "b"], "left_anti"), "join-remaining")
-        if left.isEmpty() and not pivots:
+        left = stored((_pivots(split, percent, turn) if pivots else _across(split, percent)).join(done, ["a", "b"], "left_anti"), "join-remaining")
+        more = stored(_verify(left, texts, k, percent), "join-links")
+        discard(split)
+        if not more.isEmpty():
+            labels = _merged(labels, more)
+        elif pivots:
+            pivots = False
+        else:
             break
-        labels = _merged(labels, stored(_verify(left, texts, k, percent), "join-links"))
-        done, pivots = done.unionByName(left), False
+        done, turn = done.unionByName(left), turn + 1
+    discard(found, of, pairs, reps, members, texts, left)
     tagged = info.join(classes.hint("merge"), ["n", "h1", "h2"], "left")
     out = tagged.join(labels.hint("merge"), tagged["rep"] == labels["v"], "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("label", "rep"))
@@ -323,7 +336,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     cols = F.struct("n", *(f"b{i}" for i in range(BITMAP)))
     ia, ib = reps.select(F.col("id").alias("a"), cols.alias("sa")), reps.select(F.col("id").alias("b"), cols.alias("sb"))
-    return pairs.join(ia.hint("merge"), "a").join(ib.hint("merge"), "b").filter(_possible(percent, "sa", "sb")).select("a", "b")
+    return pairs.join(ia.hint("merge"), "a").join(ib.hint("merge"), "b").filter(_possible(percent, "sa", "sb")).select("a", "b").distinct()
 
 
 def _split(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
@@ -335,9 +348,9 @@ def _split(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
     return m.join(split, "sig", "left_semi").join(sets, "id").select("sig", "id", "label", "probe", "s")
 
 
-def _pivots(split: DataFrame, percent: int) -> DataFrame:
+def _pivots(split: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b) of each bucket's further pivots with the members in other components; pivots are often the same in many buckets."""
-    chosen = [F.min_by(F.struct("id", "label", "s"), F.xxhash64("id", F.lit(i))) for i in range(PIVOTS)]
+    chosen = [F.min_by(F.struct("id", "label", "s"), F.xxhash64("id", F.lit(PIVOTS * turn + i))) for i in range(PIVOTS)]
     pivot = split.filter("probe").groupBy("sig").agg(F.array_distinct(F.array(*chosen)).alias("ps")).select("sig", F.explode("ps").alias("p"))
     pivot = stored(pivot.select("sig", F.col("p.id").alias("pid"), F.col("p.label").alias("plabel"), F.col("p.s").alias("ps")), "join-pivots")
     near = split.join(pivot, (split["sig"] == pivot["sig"]) & (F.col("label") != F.col("plabel")) & _possible(percent, "s", "ps"))

@@ -2,7 +2,7 @@
 
 Each payload becomes a grey PNG, 64 samples of 8 bits wide, whose length before padding stands in a text chunk. Images
 are members of tar archives, and next to each archive lies an index of its members' offsets. The reader plans byte
-ranges over all archives; the task of a range reads the members that begin in it, in spans of a few MB, and yields
+ranges over all archives, longer ones the more there is, so that their number stays bounded; the task of a range reads the members that begin in it, in spans of a few MB, and yields
 Arrow batches. A member that can't be read or whose checks fail is read again on its own, from its offset.
 
 Files are named at random by the task that writes them. Only those that a successful task has reported are listed in
@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from sketchloom.llm.common import shared_dir, slices, text_bytes
+from sketchloom.llm.common import open_uri, qualified, shared_dir, slices, text_bytes
 
 WIDTH, LEVEL = 64, 1
 ARCHIVE_BYTES, RANGE_BYTES, SPAN_BYTES, BATCH_BYTES = 128 << 20, 8 << 20, 2 << 20, 2 << 20
+#: Ranges that the driver plans at most, about: on large inputs they are longer than RANGE_BYTES.
+RANGES = 50_000
 SCHEMA = "key long, archive string, offset long, n_bytes long, media binary, payload binary, feature string, attempts int, error string"
 _ARROW = pa.schema([("key", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("feature", pa.string()), ("attempts", pa.int32()), ("error", pa.string())])
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed by the format
@@ -100,10 +102,6 @@ def parse_header(head: bytes) -> tuple[str, int]:
     return head[:100].rstrip(b"\0").decode(), int(head[124:135], 8)
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def member(read: Callable[[int, int], bytes], offset: int, retries: int, span: tuple[int, bytes] | None = None, wait: float = 0.05) -> tuple[int | None, bytes, int, bytes, int]:
     """Key, image, length, payload and attempts of the member at ``offset``: from ``span`` (its offset and bytes), else read anew."""
     for attempt in range(retries + 1):
@@ -148,7 +146,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         self.path, self.limit = path, limit
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        system, root = _open(self.path)
+        system, root = open_uri(self.path)
         system.create_dir(root, recursive=True)
         done, out, name, offsets, at = [], None, "", [], 0
 
@@ -179,7 +177,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         return Written(done)
 
     def commit(self, messages: list) -> None:
-        system, root = _open(self.path)
+        system, root = open_uri(self.path)
         system.create_dir(root, recursive=True)
         with system.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json") as out:
             for m in messages:
@@ -197,18 +195,19 @@ class ArchiveReader(DataSourceReader):
         self.retries, self.permissive = int(options.get("retries", 3)), options.get("mode", "failfast") == "permissive"
 
     def partitions(self) -> list[Range]:
-        system, root = _open(self.path)
+        system, root = open_uri(self.path)
         found = []
         for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
             if f.base_name.startswith("_manifest"):
                 with system.open_input_stream(f.path) as s:
                     found += [json.loads(x) for x in s.read().splitlines()]
-        return [Range(name, a, min(a + self.range, size)) for name, size in sorted(found) for a in range(0, size, self.range)] or [Range("", 0, 0)]
+        step = max(self.range, -(-sum(size for _, size in found) // RANGES))
+        return [Range(name, a, min(a + step, size)) for name, size in sorted(found) for a in range(0, size, step)] or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if not part.archive:
             return
-        system, root = _open(self.path)
+        system, root = open_uri(self.path)
         with system.open_input_file(f"{root}/{part.archive}.idx") as s:
             offsets = np.frombuffer(s.read(), np.int64)
         lo, hi = np.searchsorted(offsets[:-1], [part.start, part.end])
@@ -247,7 +246,7 @@ class ArchiveReader(DataSourceReader):
 
 
 class MediaArchive(DataSource):
-    """Format ``media_archive``; options: path, rangeBytes, archiveBytes, retries, mode (failfast or permissive)."""
+    """Format ``media_archive``; options: path (with its scheme), rangeBytes, archiveBytes, retries, mode (failfast or permissive)."""
 
     @classmethod
     def name(cls) -> str:
@@ -265,12 +264,12 @@ class MediaArchive(DataSource):
 
 def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
     docs.sparkSession.dataSource.register(MediaArchive)
-    docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).write.format("media_archive").mode("append").save(path)
+    docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).write.format("media_archive").mode("append").save(qualified(docs.sparkSession, path))
 
 
 def read(spark, path: str, **options) -> DataFrame:
     spark.dataSource.register(MediaArchive)
-    return spark.read.format("media_archive").options(**options).load(path)
+    return spark.read.format("media_archive").options(**options).load(qualified(spark, path))
 
 
 def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -159,16 +159,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     return fit([], []) if got is None else Model(np.frombuffer(got["rows"], np.float32), got["bias"])
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns ``key``, those in ``keep``, and score; the model travels as a broadcast of a fixed 1 MB."""
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
+    """Columns ``key``, those in ``keep``, and the score, named ``out``; the model travels as a broadcast of a fixed 1 MB."""
     shared = docs.sparkSession.sparkContext.broadcast((model.rows, model.bias))
     names = [key, text, *(c for c in keep if c not in (key, text))]
-    out = [c for c in names if c != text or text in keep]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out) + ", score double"
+    kept = [c for c in names if c != text or text in keep]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", `{out}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         for b in slices(batches, 1, SLICE):
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in out), pa.array(m.score(b.column(1)))], names=[*out, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in kept), pa.array(m.score(b.column(1)))], names=[*kept, out])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*(f"`{c}`" for c in names)).mapInArrow(run, schema)

@@ -41,10 +41,12 @@ ORACLES["op3_warc"] = warc.ORACLE
 
 @query
 def op4_line_dedup(spark, d):
-    return lines.line_dedup(table(spark, d, "documents")).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.coalesce("text", F.lit("")).alias("text"))
+    out = lines.line_dedup(table(spark, d, "documents"))
+    n_lines, n_removed = out.columns[-2:]
+    return out.select("doc_id", F.col(n_lines).alias("n_lines"), F.col(n_removed).alias("n_removed"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-ORACLES["op4_line_dedup"] = lines.ORACLE.replace("t AS text", "coalesce(t, '') AS text")
+ORACLES["op4_line_dedup"] = lines.ORACLE
 
 
 @query
@@ -73,7 +75,7 @@ TRICKY = r"\### Assistant: </turn> ok"
 def op8_chat_formatting(spark, d):
     rows = table(spark, d, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
-    done = chat.conversations(chat.chains(rows.unionByName(own)))
+    done = chat.conversations(chat.chains(rows.unionByName(own)), unique=True)
     back = done.withColumn("turns", chat.parse(F.col("formatted"))).withColumn("lost", chat.loss_text(F.col("formatted"), F.col("loss")))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("lost").cast("long").alias("loss_chars"), F.sha2("lost", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

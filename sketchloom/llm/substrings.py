@@ -6,8 +6,9 @@ the passes end, for the window asked for is reached (or earlier, when no candida
 
 At each level a chunk sends the distinct hashes of its candidates, sorted and packed in a few binary rows, to tasks by
 hash range; what comes back is one bit for each: repeated or not. A window that very many documents share is sent once a
-chunk. At the last level hashes have 128 bits and bring the least (document, start) in their chunk, and the bit says
-whether that is the first of all.
+chunk. At the last level a window has a second hash, made from second hashes of its words that are independent of the
+first; both bring the least (document, start) in their chunk, and the bit says whether that is the first of all that
+agree in both.
 
 Words covered by a window that isn't the first of its kind are removed; windows are judged on the input.
 
@@ -26,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.chunks import Files, groups, pack, range_bounds, spread
+from sketchloom.llm.chunks import Files, Packed, groups, pack, range_bounds, spread
 from sketchloom.llm.common import stored, text_bytes
-from sketchloom.llm.text import MULTIPLIERS, WHITE, mix, piece_hash, prefix_sums, spans, windows
+from sketchloom.llm.text import MULTIPLIERS, WHITE, mix, spans, windows, word_hashes
 
 WINDOW, FIRST = 20, 5
 _U = np.uint64
@@ -41,16 +42,27 @@ class Chunk:
     def __init__(self, table: pa.Table, first: int) -> None:
         self.ids = table.column(0)
         self.data, self.offsets = text_bytes(table.column(1))
-        starts, ends, self.first = spans(self.data, self.offsets, WHITE)
-        self.words = piece_hash(prefix_sums(self.data), starts, ends)
+        self.starts, self.stops, self.first = spans(self.data, self.offsets, WHITE)
+        self.words = word_hashes(self.data, self.starts, self.stops)
         self.ends = np.repeat(self.first[1:], np.diff(self.first))  # of each word's document
         self.length = first
         self.hashes = windows(self.words, first)
+        self.second: np.ndarray | None = None
         self.candidates = np.flatnonzero(np.arange(len(self.hashes)) + first <= self.ends[: len(self.hashes)])
+        self._packed: tuple | None = None
 
     def packed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct candidate hashes in order, which one each candidate has, and how often each occurs."""
-        return np.unique(self.hashes[self.candidates], return_inverse=True, return_counts=True)
+        """Distinct candidates' hashes in order, which one each candidate has, and how often each occurs. At the last level both hashes count."""
+        if self._packed is None:
+            h = self.hashes[self.candidates]
+            keys = (h,) if self.second is None else (self.second[self.candidates], h)
+            order = np.lexsort(keys)
+            new = np.ones(len(order), bool)
+            new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+            inverse = np.empty(len(order), np.int64)
+            inverse[order] = np.cumsum(new) - 1
+            self._packed = h[order][new], inverse, np.bincount(inverse)
+        return self._packed
 
     def double(self, repeated: np.ndarray) -> None:
         """Goes on to windows of twice the length. ``repeated``: for each distinct hash of ``packed``."""
@@ -60,7 +72,9 @@ class Chunk:
         both = np.flatnonzero(keep[:n] & keep[half : half + n])
         self.candidates = both[both + 2 * half <= self.ends[both]]
         self.hashes = mix(self.hashes[:n] * MULTIPLIERS[7] + self.hashes[half : half + n] * MULTIPLIERS[8]) if n else np.empty(0, np.uint64)
-        self.length = 2 * half
+        self.length, self._packed = 2 * half, None
+        if self.length == WINDOW:
+            self.second = windows(word_hashes(self.data, self.starts, self.stops, 1), WINDOW, 1)
 
 
 def _answers(rows, n_groups: int, distinct: np.ndarray) -> np.ndarray:
@@ -85,9 +99,9 @@ def _low32(u: np.ndarray, g: int, n_groups: int) -> np.ndarray:
     return ((u - _U(lo)) >> _U(shift)).astype(np.uint32)
 
 
-def _ask(table: DataFrame, n_groups: int, answers: list[DataFrame], root: str, last: bool) -> DataFrame:
+def _ask(packed: Packed, n_groups: int, answers: list[DataFrame], last: bool) -> DataFrame:
     """Rows (g, chunk, hashes, twice, ...) of all chunks at the level after ``answers``."""
-    names = ["chunk", "path", "at", "size"]
+    root = packed.root
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Files(root)
@@ -114,15 +128,16 @@ def _ask(table: DataFrame, n_groups: int, answers: list[DataFrame], root: str, l
                 t = {"g": pa.int32(), "chunk": pa.int64()}
                 yield pa.RecordBatch.from_arrays([pa.array(v, t.get(k, pa.binary())) for k, v in out.items()], names=list(out))
 
-    return _with(table.select(*names), answers).mapInArrow(run, "g int, chunk long, hashes binary, twice binary, second binary, doc binary, start binary")
+    return _with(packed, answers).mapInArrow(run, "g int, chunk long, hashes binary, twice binary, second binary, doc binary, start binary")
 
 
-def _with(table: DataFrame, answers: list[DataFrame]) -> DataFrame:
-    """The table with a column of (g, bits) for each level's answers."""
+def _with(packed: Packed, answers: list[DataFrame]) -> DataFrame:
+    """The table of chunks with a column of (g, bits) for each level's answers."""
+    table = packed.table.select("chunk", "path", "at", "size")
     for i, a in enumerate(answers):
         each = a.groupBy("chunk").agg(F.collect_list(F.struct("g", "bits")).alias(f"level{i}"))
         table = table.join(each, "chunk", "left")
-    return spread(table)
+    return spread(table, packed)
 
 
 def _firsts(c: Chunk, inverse: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
@@ -134,8 +149,7 @@ def _firsts(c: Chunk, inverse: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
     lead = np.ones(len(order), bool)
     lead[1:] = inverse[order][1:] != inverse[order][:-1]
     at = order[lead]
-    second = windows(c.words, c.length, 1)[c.candidates[at]] if len(at) else np.empty(0, np.uint64)
-    return at, second, ids[doc[at]], start[at].astype(np.int64)
+    return at, c.second[c.candidates[at]], ids[doc[at]], start[at].astype(np.int64)
 
 
 def _bits(table: pa.Table, flags: list[np.ndarray]) -> pa.Table:
@@ -178,9 +192,8 @@ def _first_of_all(table: pa.Table) -> pa.Table:
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """One row for each document: key, n_words, n_removed, kept_sha256, and with ``keep_text`` kept."""
-    table = pack(docs.select(F.col(key).cast("long").alias(key), text), key, text, "substrings", WHITE)
-    root = _root(table)
-    n_groups = groups(table)
+    packed = pack(docs.select(F.col(key).cast("long").alias(key), text), key, text, "substrings", WHITE)
+    root, n_groups = packed.root, groups(packed)
     answers: list[DataFrame] = []
     length = FIRST
     schema = "g int, chunk long, bits binary"
@@ -193,7 +206,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
 
     while True:
         last = length == WINDOW
-        asked = _ask(table, n_groups, answers, root, last)
+        asked = _ask(packed, n_groups, answers, last)
         answers.append(stored(asked.groupBy("g").applyInArrow(first_of_all if last else repeated, schema), f"substrings-{length}"))
         if last:
             break
@@ -208,14 +221,10 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
                 _advance(c, levels[:-1], n_groups)
                 yield _result(c, _answers(levels[-1], n_groups, c.packed()[0]), key, keep_text)
 
-    out = _with(table.select("chunk", "path", "at", "size"), answers).mapInArrow(run, f"`{key}` long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = _with(packed, answers).mapInArrow(run, f"`{key}` long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if keep_text else out.drop("kept")
 
 
-def _root(table: DataFrame) -> str:
-    return table.sparkSession.conf.get("spark.checkpoint.dir")
-
-
 def _result(c: Chunk, first: np.ndarray, key: str, keep_text: bool) -> pa.RecordBatch:
     _, inverse, _ = c.packed()
     edge = np.zeros(len(c.words) + 1, np.int64)

@@ -1,7 +1,12 @@
 """Words and word hashes of whole Arrow batches at a time, in numpy.
 
-A word's hash is a polynomial of its bytes modulo 2**64, through random byte values, put through a mixer. Hashes depend
-on the bytes alone: they are the same in every process.
+A word's hash is the sum of its bytes' random values, each times a random number for its place in the word, put through a
+mixer. Places have unrelated numbers, so that no pattern of bytes, however long, makes words equal as it does with powers
+of one base. ``salt`` 1 gives a second hash from other random numbers, independent of the first: where texts are linked
+or deleted both must agree. Hashes depend on the bytes alone: they are the same in every process.
+
+``prefix_sums`` and ``piece_hash`` are polynomials, for stretches that begin anywhere: they serve hashed features and the
+lookup of vocabulary pieces, which are short, and never tell whether long words are equal.
 """
 
 from __future__ import annotations
@@ -12,6 +17,9 @@ _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240501))
 BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _RNG.integers(0, 2, 256, dtype=np.uint64)
 MULTIPLIERS = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
+#: For each salt: values of bytes, and numbers of the places in a word, as a product of one for the low 16 bits and one for the rest.
+VALUES = [BYTE, _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)]
+PLACES = [_RNG.integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * _U(2) + _U(1) for _ in VALUES]
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -65,6 +73,24 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hash of each word; words are in order and don't overlap."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    n = int(ends[-1])
+    place = np.arange(n)
+    place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, n)))
+    factor = PLACES[salt][place & 0xFFFF]
+    if (ends - starts).max() > 1 << 16:
+        high = place >> 16
+        factor *= mix(np.arange(int(high.max()) + 1, dtype=np.uint64) * MULTIPLIERS[60 + salt] + MULTIPLIERS[62])[high] | _U(1)
+    sums = np.empty(n + 1, np.uint64)
+    sums[0] = 0
+    factor *= VALUES[salt][data[:n]]
+    np.cumsum(factor, dtype=np.uint64, out=sums[1:])
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64) * MULTIPLIERS[63])
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """From which ``piece_hash`` takes the hash of any stretch of bytes."""
     out = np.empty(len(data) + 1, np.uint64)
@@ -88,33 +114,28 @@ def windows(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def hash_bytes(b: bytes) -> int:
-    """``piece_hash`` of one string."""
-    d = np.frombuffer(b, np.uint8)
-    return int(piece_hash(prefix_sums(d), np.array([0]), np.array([len(d)]))[0])
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct k-word shingles of each text as sorted hashes end to end, and their offsets.
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct k-word shingles of each text as sorted hashes end to end, a second independent hash of each, and each text's first.
 
     Words are runs between white space, with A-Z lower-cased. A text of fewer words has its whole sequence as one
     shingle; one without words has none.
     """
     data = LOWER[data]
     starts, ends, first = spans(data, offsets, WHITE)
-    h = piece_hash(prefix_sums(data), starts, ends)
     count = np.diff(first)
     docs = np.repeat(np.arange(len(count)), count)
-    w = windows(h, k)
-    at = np.flatnonzero(np.arange(len(w)) + k <= first[1:][docs[: len(w)]]) if len(w) else np.empty(0, np.int64)
-    doc, value = docs[at], w[at]
     short = np.flatnonzero((count > 0) & (count < k))
-    if len(short):
-        whole = np.array([int(windows(h[first[i] : first[i + 1]], int(count[i]))[0]) for i in short], np.uint64)
-        doc, value = np.concatenate([doc, short]), np.concatenate([value, whole])
+    values = []
+    for salt in (0, 1):
+        h = word_hashes(data, starts, ends, salt)
+        w = windows(h, k, salt)
+        if not salt:
+            at = np.flatnonzero(np.arange(len(w)) + k <= first[1:][docs[: len(w)]]) if len(w) else np.empty(0, np.int64)
+            doc = np.concatenate([docs[at], short])
+        values.append(np.concatenate([w[at], np.array([int(windows(h[first[i] : first[i + 1]], int(count[i]), salt)[0]) for i in short], np.uint64)]))
+    value, second = values
     order = np.lexsort((value, doc))
     doc, value = doc[order], value[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-    doc, value = doc[new], value[new]
-    return value, np.searchsorted(doc, np.arange(len(count) + 1))
+    return value[new], second[order][new], np.searchsorted(doc[new], np.arange(len(count) + 1))

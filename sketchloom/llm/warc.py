@@ -25,11 +25,10 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm.common import shared_dir, slices, stored, text_bytes
+from sketchloom.llm.common import discard, open_uri, qualified, shared_dir, slices, stored, tasks, text_bytes
 
 MAGIC = b"WARC/1.1\r\n"
 ARCHIVE_BYTES, RANGE_BYTES, HEADER_BYTES = 128 << 20, 8 << 20, 1 << 20
@@ -38,10 +37,6 @@ _PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.I)
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, compress: bool = True) -> bytes:
     """One record: a response, or with ``refers_to`` a revisit without the payload."""
     name = b"null" if page_id is None else b"%d" % page_id
@@ -81,18 +76,22 @@ def header(data: bytes, at: int) -> tuple[int, int] | None:
 def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = MIN_REVISIT) -> DataFrame:
     """(__id, __h, __ref): distinct rows that repeat the payload of a row with a larger id, which is __ref.
 
-    Only ids and hashes are shuffled. A payload that very many pages have is counted by partial aggregates, and joined
-    back as a skewed join that Spark splits.
+    Only ids and hashes are shuffled, made distinct first. A payload that very many pages have is counted by partial
+    aggregates; its pages come to the join by a shuffle of their own and leave it for storage, so that Spark is free to
+    split them among tasks as a skewed join.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
     light = pages.filter(F.octet_length(body) >= least).select(F.col(key).alias("__id"), F.sha2(body, 256).alias("__h"))
-    best = light.groupBy("__h").agg(F.max("__id").alias("__ref"), F.count("*").alias("__n")).filter("__n > 1 AND __ref IS NOT NULL")
+    light = stored(light.groupBy("__id", "__h").agg(F.count("*").alias("__n")), "warc-payloads")
+    best = light.groupBy("__h").agg(F.max("__id").alias("__ref"), F.sum("__n").alias("__all")).filter("__all > 1 AND __ref IS NOT NULL")
+    best = stored(best.select("__h", "__ref"), "warc-largest")
     pairs = light.join(best.hint("merge"), "__h").filter(F.col("__id").isNull() | (F.col("__id") < F.col("__ref")))
-    return pairs.groupBy("__id", "__h").agg(F.max("__ref").alias("__ref"))
+    return pairs.select("__id", "__h", "__ref")
 
 
 def write(pages: DataFrame, path: str, key: str = "page_id", payload: str = "html", url: str = "url", least: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES, compress: bool = True) -> DataFrame:
     """Writes archives below ``path`` and returns the manifest (name, size), which lists those of successful tasks only."""
+    path = qualified(pages.sparkSession, path)
     marks = stored(revisits(pages, key, payload, least), "warc-revisits")
     rows = pages.select(F.col(key).cast("long").alias("__k"), F.col(payload).cast("string").alias("__p"), F.col(url).cast("string").alias("__u"))
     rows = rows.withColumn("__hash", F.sha2(F.coalesce("__p", F.lit("")), 256))
@@ -100,7 +99,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", payload: str = "htm
     rows = rows.join(marks.hint("merge"), on, "left").select("__k", "__p", "__u", F.col("__ref").cast("long").alias("__ref"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _open(path)
+        system, root = open_uri(path)
         system.create_dir(root, recursive=True)
         out, name, size = None, "", 0
         for b in slices(batches):
@@ -126,14 +125,15 @@ def write(pages: DataFrame, path: str, key: str = "page_id", payload: str = "htm
 
 def _ranges(manifest: DataFrame, size: int) -> DataFrame:
     rows = manifest.filter("size > 0").select("name", "size", F.explode(F.sequence(F.lit(0), F.expr(f"(size - 1) div {size}"))).alias("r"))
-    return rows.repartition(max(2, manifest.sparkSession.sparkContext.defaultParallelism * 2), "name", "r")
+    total = manifest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return rows.repartition(tasks(manifest.sparkSession, total), "name", "r")
 
 
 def candidates(manifest: DataFrame, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(name, off, succ, leave): each candidate record, its successor, and where its chain leaves the range or breaks off (-1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _open(path)
+        system, root = open_uri(path)
         for b in batches:
             for name, size, r in zip(*(c.to_pylist() for c in b.columns)):
                 lo, hi = r * range_bytes, min(size, (r + 1) * range_bytes)
@@ -166,9 +166,11 @@ def entries(cands: DataFrame) -> DataFrame:
         more = stored(more.join(reached, ["name", "off"], "left_anti").distinct(), "warc-more")
         if more.isEmpty():
             return reached
-        reached = stored(reached.unionByName(more), "warc-reached")
         ahead = jump.select("name", F.col("off").alias("leave"), F.col("leave").alias("__far"))
+        old = reached, more, jump
+        reached = stored(reached.unionByName(more), "warc-reached")
         jump = stored(jump.join(ahead, ["name", "leave"]).select("name", "off", F.col("__far").alias("leave")), "warc-jump")
+        discard(*old)
 
 
 def parse(raw: bytes, block_at: int, at: int, end: int) -> dict:
@@ -195,12 +197,13 @@ def read(spark: SparkSession, path: str, manifest: DataFrame, payload: bool = Tr
 
     Revisit records give the length and digest that their response has; their payload is NULL.
     """
+    path = qualified(spark, path)
     cands = stored(candidates(manifest, path, range_bytes), "warc-candidates")
     names = [n for n in _TYPES if payload or n != "payload"]
     kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _open(path)
+        system, root = open_uri(path)
         for b in batches:
             for name, off in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 with system.open_input_file(f"{root}/{name}") as f:
@@ -225,7 +228,8 @@ def read(spark: SparkSession, path: str, manifest: DataFrame, payload: bool = Tr
                     if rows:
                         yield _batch(rows, names)
 
-    spread = entries(cands).repartition(max(2, spark.sparkContext.defaultParallelism * 2), "name", "off")
+    total = manifest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    spread = entries(cands).repartition(tasks(spark, total), "name", "off")
     return spread.mapInArrow(run, ", ".join(f"{n} {kinds[_TYPES[n]]}" for n in names))
 
 
