@@ -1,8 +1,8 @@
 """License scan by ordered signature rules.
 
-A text is lower-cased (A-Z) and reduced to its words, joined by one space. A first gate looks for a few strings without
-which no rule can match; each rule then has keywords of its own, one for each alternative of its pattern, of which any
-must be there before the pattern is tried. Neither changes what is found.
+A text is lower-cased (A-Z) and reduced to its words, joined by one space. Each of the rules, which ``license_rules`` has
+in their order, has keywords of its own, one for each alternative of its pattern, of which any must be there before the
+pattern is tried; one pass over the text finds all keywords. The prefilter doesn't change what is found.
 Detections are word intervals. A detection inside another one of the same or a higher priority is suppressed, and of
 equal intervals the earlier rule's stays.
 
@@ -18,124 +18,41 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sketchloom.llm.common import slices, text_bytes
+from sketchloom.llm.license_rules import SIGNATURES
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Label, keyword or keywords (each name has one in it), pattern of the name, SPDX words, pattern of the version or "". Words are lower-case, joined by a space.
-FAMILIES = [
-    ("mit", ("mit", "expat"), r"mit licen[sc]e|expat licen[sc]e", "mit", ""),
-    ("apache", "apache", r"apache(?: software)? licen[sc]e", "apache", r"2 0|1 1|1 0"),
-    ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e", "agpl", r"3(?: 0)?|1(?: 0)?"),
-    ("lgpl", ("lesser", "library"), r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "lgpl", r"3(?: 0)?|2 1|2(?: 0)?"),
-    ("gpl", "general public", r"(?:gnu )?general public licen[sc]e", "gpl", r"3(?: 0)?|2(?: 0)?|1(?: 0)?"),
-    ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e", "gfdl", r"1 [123]"),
-    ("bsd", "bsd", r"(?:(?:new|modified|simplified|original|revised) )?(?:[234] clause )?bsd(?: [234] clause)?(?: style)? licen[sc]e", "bsd", r""),
-    ("isc", "isc", r"isc licen[sc]e", "isc", ""),
-    ("mpl", "mozilla", r"mozilla public licen[sc]e", "mpl", r"2 0|1 1|1 0"),
-    ("epl", "eclipse", r"eclipse public licen[sc]e", "epl", r"2 0|1 0"),
-    ("edl", "eclipse", r"eclipse distribution licen[sc]e", "edl", r"1 0"),
-    ("cddl", "common development", r"common development and distribution licen[sc]e", "cddl", r"1 [01]"),
-    ("cpl", "common public", r"common public licen[sc]e", "cpl", r"1 0"),
-    ("cpal", "attribution", r"common public attribution licen[sc]e", "cpal", r"1 0"),
-    ("ibm-pl", "ibm", r"ibm public licen[sc]e", "ipl", r"1 0"),
-    ("eupl", "european", r"european union public licen[sc]e", "eupl", r"1 [012]"),
-    ("ms-pl", "microsoft", r"microsoft public licen[sc]e", "ms pl", ""),
-    ("ms-rl", "microsoft", r"microsoft reciprocal licen[sc]e", "ms rl", ""),
-    ("artistic", "artistic", r"(?:perl )?artistic licen[sc]e", "artistic", r"2 0|1 0"),
-    ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e", "zlib", ""),
-    ("libpng", "libpng", r"libpng licen[sc]e", "libpng", r"2 0"),
-    ("bsl", "boost", r"boost software licen[sc]e", "bsl", r"1 0"),
-    ("busl", "business source", r"business source licen[sc]e", "busl", r"1 1"),
-    ("sspl", "server side", r"server side public licen[sc]e", "sspl", r"1(?: 0)?"),
-    ("elastic", "elastic", r"elastic licen[sc]e", "elastic", r"2 0"),
-    ("wtfpl", ("wtf", "do what the f"), r"do what the f\w+ you want to public licen[sc]e|wtfpl licen[sc]e", "wtfpl", r"2"),
-    ("unlicense", "unlicense", r"the unlicense", "unlicense", ""),
-    ("psf", "python", r"python(?: software foundation)? licen[sc]e", "psf", r"2(?: 0)?"),
-    ("ruby", "ruby", r"ruby licen[sc]e", "ruby", ""),
-    ("php", "php", r"php licen[sc]e", "php", r"3 0(?: 1)?"),
-    ("zend", "zend", r"zend licen[sc]e", "zend", r"2 0"),
-    ("zpl", "zope", r"zope public licen[sc]e", "zpl", r"2 [01]|1 1"),
-    ("postgresql", "postgresql", r"postgresql licen[sc]e", "postgresql", ""),
-    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)? licen[sc]e", "ncsa", ""),
-    ("openssl", "openssl", r"openssl licen[sc]e", "openssl", ""),
-    ("curl", "curl", r"curl licen[sc]e", "curl", ""),
-    ("w3c", "w3c", r"w3c(?: software(?: notice)?(?: and)?)? licen[sc]e", "w3c", ""),
-    ("x11", "x11", r"x11 licen[sc]e", "x11", ""),
-    ("ofl", "open font", r"(?:sil )?open font licen[sc]e", "ofl", r"1 [01]"),
-    ("odbl", "open database", r"open database licen[sc]e", "odbl", r"1 0"),
-    ("odc-by", "open data commons", r"open data commons attribution licen[sc]e", "odc by", r"1 0"),
-    ("pddl", "public domain dedication", r"public domain dedication and licen[sc]e", "pddl", r"1 0"),
-    ("ogl", "open government", r"open government licen[sc]e", "ogl", r"[123](?: 0)?"),
-    ("open-game", ("open game", "open gaming"), r"open gam(?:e|ing) licen[sc]e", "ogl", r"1 0a?"),
-    ("osl", "open software", r"open software licen[sc]e", "osl", r"[123] 0|2 1"),
-    ("afl", "academic free", r"academic free licen[sc]e", "afl", r"[123] [0123]"),
-    ("ecl", "educational", r"educational community licen[sc]e", "ecl", r"[12] 0"),
-    ("apsl", "apple", r"apple public source licen[sc]e", "apsl", r"[12] [012]"),
-    ("qpl", ("qpl", "q public"), r"q public licen[sc]e|qpl licen[sc]e", "qpl", r"1 0"),
-    ("sleepycat", "sleepycat", r"sleepycat licen[sc]e", "sleepycat", ""),
-    ("vim", "vim", r"vim licen[sc]e", "vim", ""),
-    ("cecill", "cecill", r"cecill (?:[abc] )?licen[sc]e", "cecill", r"[12] [01]"),
-    ("mulan", "mulan", r"mulan permissive software licen[sc]e", "mulanpsl", r"[12](?: 0)?"),
-    ("openrail", ("rail", "responsible ai"), r"(?:creativeml )?open ?rail(?: \w)? licen[sc]e|responsible ai licen[sc]e", "openrail", ""),
-    ("llama", "llama", r"llama \d(?: \d)? community licen[sc]e", "llama", ""),
-    ("cc-by-nc-sa", "nc sa", r"(?:cc|creative commons) by nc sa(?: licen[sc]e)?", "cc by nc sa", r"[1234] [05]"),
-    ("cc-by-nc-nd", "nc nd", r"(?:cc|creative commons) by nc nd(?: licen[sc]e)?", "cc by nc nd", r"[1234] [05]"),
-    ("cc-by-nc", "by nc", r"(?:cc|creative commons) by nc(?: licen[sc]e)?", "cc by nc", r"[1234] [05]"),
-    ("cc-by-sa", "by sa", r"(?:cc|creative commons) by sa(?: licen[sc]e)?", "cc by sa", r"[1234] [05]"),
-    ("cc-by-nd", "by nd", r"(?:cc|creative commons) by nd(?: licen[sc]e)?", "cc by nd", r"[1234] [05]"),
-    ("cc-by", ("by", "creative commons attribution"), r"(?:cc by|creative commons by|creative commons attribution)(?: licen[sc]e)?", "cc by", r"[1234] [05]"),
-    ("cc0", "cc0", r"cc0(?: universal)?(?: licen[sc]e)?", "cc0", r"1 0"),
-]
-#: Patterns that stand alone: label, keyword, pattern, priority, confidence.
-SINGLES = [
-    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 1, 1.0),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 1, 1.0),
-    ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 1, 1.0),
-    ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain", 1, 1.0),
-    ("public-domain", "public domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", 2, 0.9),
-    ("public-domain", "public domain", r"public domain", 4, 0.4),
-    ("proprietary", "rights reserved", r"all rights reserved", 3, 0.7),
-    ("proprietary", "without", r"may not be (?:copied|reproduced|distributed)(?: or \w+)* without (?:the )?(?:prior )?(?:written )?permission", 2, 0.9),
-    ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d", 4, 0.3),
-]
-#: No rule matches a text that has none of these.
-GATE = re.compile(rb"licen|spdx|copyright|rights reserved|public domain|creative commons| cc by | cc0 |gpl|permission|redistribution|unencumbered")
-
-
 class Rule(NamedTuple):
     order: int
     label: str
-    keywords: tuple[bytes, ...]
+    keywords: tuple[str, ...]
     pattern: re.Pattern
     priority: int
     confidence: float
 
 
-def _rules() -> list[Rule]:
-    """Six patterns for each family, then the single ones; a smaller priority goes first."""
-    texts = []
-    for label, keyword, name, spdx, version in FAMILIES:
-        tail = f"(?: v(?:ersion)? ?(?:{version})| (?:{version}))" if version else ""
-        may = f"(?:{tail})?" if tail else ""
-        head = rf"(?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name})"
-        texts += [
-            (label, spdx, rf"spdx licen[sc]e identifier {spdx}(?: [\da-z]+)?", 0, 1.0),
-            (label, keyword, rf"(?:is )?(?:dual )?licen[sc]ed (?:under|by) {head}{may}", 1, 0.95),
-            (label, keyword, rf"(?:released|distributed|available|provided|published|shared) under {head}{may}", 1, 0.95),
-            (label, spdx, rf"(?:opensource org|spdx org|creativecommons org|gnu org) licen[sc]es {spdx}(?: [\da-z]+)?", 2, 0.9),
-            (label, keyword, rf"(?:{name}){tail}" if tail else rf"(?:{name}) (?:text|terms|file)", 2, 0.85),
-            (label, keyword, rf"(?:{name})", 3, 0.6),
-        ]
-    texts += SINGLES
-    return [Rule(i, a, tuple(k.encode() for k in ([b] if isinstance(b, str) else b)), re.compile(rf"(?<= )(?:{c})(?= )".encode()), d, e) for i, (a, b, c, d, e) in enumerate(texts)]
-
-
-RULES = _rules()
-_KEYWORDS = sorted({k for r in RULES for k in r.keywords})
+RULES = [Rule(i, label, keywords, re.compile(rf"(?<= )(?:{pattern})(?= )".encode()), priority, confidence) for i, (label, keywords, pattern, priority, confidence) in enumerate(SIGNATURES)]
+
+
+def _automaton() -> ahocorasick.Automaton:
+    """Finds all keywords in one pass, each with the numbers of the rules that it opens."""
+    rules: dict[str, list[int]] = {}
+    for r in RULES:
+        for k in r.keywords:
+            rules.setdefault(k, []).append(r.order)
+    out = ahocorasick.Automaton()
+    for k, orders in rules.items():
+        out.add_word(k, tuple(orders))
+    out.make_automaton()
+    return out
+
+
+_KEYWORDS = _automaton()
 _BASE = [(re.compile(rf"(?<= ){p}(?= )".encode()), v) for p, v in BASE.items()]
 #: Bytes of words as they are, small letters for A-Z, and a space for the rest.
 _TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
@@ -149,10 +66,11 @@ class Detection(NamedTuple):
 
 def matches(joined: bytes, prefilter: bool = True) -> list[Detection]:
     """What each rule finds. Without ``prefilter`` all patterns are tried, to the same effect."""
-    if prefilter and not GATE.search(joined):
-        return []
-    here = {k for k in _KEYWORDS if k in joined}
-    return [Detection(m.start(), m.end(), r) for r in RULES if not prefilter or not here.isdisjoint(r.keywords) for m in r.pattern.finditer(joined)]
+    rules = RULES
+    if prefilter:
+        open_to = {o for _, orders in _KEYWORDS.iter(joined.decode("latin-1")) for o in orders}
+        rules = [RULES[o] for o in sorted(open_to)]
+    return [Detection(m.start(), m.end(), r) for r in rules for m in r.pattern.finditer(joined)]
 
 
 def detect(joined: bytes) -> list[Detection]:
