@@ -373,3 +373,13 @@ def _across(split: DataFrame, percent: int) -> DataFrame:
     y = split.select(F.col("sig").alias("sig2"), F.col("id").alias("b"), F.col("label").alias("lb"), F.col("probe").alias("pb"), F.col("s").alias("sb"))
     on = (F.col("sig") == F.col("sig2")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("pa") | F.col("pb")) & _possible(percent, "sa", "sb")
     return x.join(y.hint("merge"), on).select("a", "b").distinct()
+
+
+ORACLE = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) component_id FROM r GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.a = d.doc_id"""

@@ -59,6 +59,9 @@ def op6_ngram_jaccard_join(spark, d):
     return jaccard.jaccard_components(table(spark, d, "documents"), k=3, percent=90)
 
 
+ORACLES["op6_ngram_jaccard_join"] = jaccard.ORACLE
+
+
 @query
 def op7_quality_classifier(spark, d):
     docs = table(spark, d, "documents")
@@ -93,6 +96,9 @@ def op9_substring_dedup(spark, d):
     return substrings.substring_dedup(table(spark, d, "documents"))
 
 
+ORACLES["op9_substring_dedup"] = substrings.ORACLE
+
+
 @query
 def op10_sentencepiece(spark, d):
     return pieces.encode_samples(table(spark, d, "documents"), keep_ids=0).drop("ids")

@@ -245,3 +245,12 @@ def _result(c: Chunk, first: np.ndarray, key: str, keep_text: bool) -> pa.Record
         kept.append(b" ".join(words))
     n = pa.array(np.diff(c.first).astype(np.int64))
     return pa.RecordBatch.from_arrays([c.ids.combine_chunks() if isinstance(c.ids, pa.ChunkedArray) else c.ids, n, pa.array(np.diff(removed).astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode() if keep_text else None for k in kept], pa.string())], names=[key, "n_words", "n_removed", "kept_sha256", "kept"])
+
+
+ORACLE = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+t AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) i FROM d),
+k AS (SELECT doc_id, i, w[i] AS x, CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i:i + 19], ' ') END AS win FROM t),
+r AS (SELECT doc_id, i, x, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM k),
+g AS (SELECT doc_id, i, x, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) gone FROM r),
+s AS (SELECT doc_id, count(*) FILTER (gone) n, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (NOT gone), '') kept FROM g GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)"""
