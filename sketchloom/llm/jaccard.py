@@ -12,8 +12,8 @@ Equal signatures make a bucket. Within a bucket only pairs with one probing memb
 signatures are bucketed within each task before they are shuffled, so that a bucket that very many documents fall into
 sends one row a task. Pairs are verified exactly, on the shingles of whole texts. Where the verified links leave a
 bucket in several components, rounds compare its members with further pivots, which grows components at a cost that is
-linear in the bucket, for as long as that finds links; then all pairs across components are verified that remain, until
-none is left: components are exact, and pairs that are connected already are never looked at.
+linear in the bucket, for as long as that finds links and pairs across components are many; then all of these pairs are
+verified that remain, until none is left: components are exact, and pairs that are connected already are never looked at.
 
 Texts with equal sets are one class and count as linked without verification. Sets are equal if their sizes and two sums
 of independent shingle hashes are; verification compares shingles by two independent hashes, too.
@@ -44,7 +44,7 @@ _U = np.uint64
 #: Signatures that a task gathers before it sends them on, and 64-bit words of a set's parity bitmap.
 FLUSH, BITMAP = 1_500_000, 8
 #: Further pivots that each bucket's members are compared with, before all pairs across components are.
-PIVOTS = 4
+PIVOTS, PER_MEMBER = 4, 20
 
 
 class Scheme:
@@ -313,19 +313,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = stored(_verify(_filtered(pairs, reps, percent), texts, k, percent), "join-links")
     more = rep.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     links = links.unionByName(more)
-    labels, done, pivots, turn = components(links), pairs, True, 0
-    while True:  # rounds with further pivots for as long as they find links, then all that remains
+    labels, done, pivots, turn, linked = components(links), pairs, True, 0, True
+    while True:
         split = stored(_split(members, reps, labels), "join-split")
+        pivots = turn == 0 or pivots and linked and _many(split)
         left = stored((_pivots(split, percent, turn) if pivots else _across(split, percent)).join(done, ["a", "b"], "left_anti"), "join-remaining")
-        more = stored(_verify(left, texts, k, percent), "join-links")
+        linked = False
+        if not left.isEmpty():
+            more = stored(_verify(left, texts, k, percent), "join-links")
+            linked = not more.isEmpty()
+            labels = _merged(labels, more) if linked else labels
+            done = done.unionByName(left)
         discard(split)
-        if not more.isEmpty():
-            labels = _merged(labels, more)
-        elif pivots:
-            pivots = False
-        else:
+        if not pivots and not linked:
             break
-        done, turn = done.unionByName(left), turn + 1
+        turn += 1
     discard(found, of, pairs, reps, members, texts, left)
     tagged = info.join(classes.hint("merge"), ["n", "h1", "h2"], "left")
     out = tagged.join(labels.hint("merge"), tagged["rep"] == labels["v"], "left")
@@ -336,7 +338,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     cols = F.struct("n", *(f"b{i}" for i in range(BITMAP)))
     ia, ib = reps.select(F.col("id").alias("a"), cols.alias("sa")), reps.select(F.col("id").alias("b"), cols.alias("sb"))
-    return pairs.join(ia.hint("merge"), "a").join(ib.hint("merge"), "b").filter(_possible(percent, "sa", "sb")).select("a", "b").distinct()
+    return pairs.join(ia.hint("merge"), "a").join(ib.hint("merge"), "b").filter(_possible(percent, "sa", "sb")).select("a", "b")
 
 
 def _split(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
@@ -348,6 +350,13 @@ def _split(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
     return m.join(split, "sig", "left_semi").join(sets, "id").select("sig", "id", "label", "probe", "s")
 
 
+def _many(split: DataFrame) -> bool:
+    """Whether there are more pairs across components than PER_MEMBER for each member: another round with pivots costs less then."""
+    sizes = split.groupBy("sig", "label").agg(F.count("*").cast("double").alias("n")).groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"))
+    pairs, rows = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
+    return pairs > PER_MEMBER * rows
+
+
 def _pivots(split: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b) of each bucket's further pivots with the members in other components; pivots are often the same in many buckets."""
     chosen = [F.min_by(F.struct("id", "label", "s"), F.xxhash64("id", F.lit(PIVOTS * turn + i))) for i in range(PIVOTS)]

@@ -56,7 +56,7 @@ class Chunk:
         if self._packed is None:
             h = self.hashes[self.candidates]
             keys = (h,) if self.second is None else (self.second[self.candidates], h)
-            order = np.lexsort(keys)
+            order = np.argsort(h) if self.second is None else np.lexsort(keys)
             new = np.ones(len(order), bool)
             new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
             inverse = np.empty(len(order), np.int64)
