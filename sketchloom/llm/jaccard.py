@@ -43,8 +43,9 @@ from sketchloom.llm.text import MULTIPLIERS, mix, shingle_sets
 _U = np.uint64
 #: Signatures that a task gathers before it sends them on, and 64-bit words of a set's parity bitmap.
 FLUSH, BITMAP = 1_500_000, 8
-#: Further pivots that each bucket's members are compared with, before all pairs across components are.
-PIVOTS, PER_MEMBER = 4, 20
+#: Further pivots that each bucket's members are compared with, before all pairs across components are; and of the latter how many for each
+#: member are cheaper, as comparisons of sizes and bitmaps, than another round.
+PIVOTS, PER_MEMBER = 4, 2000
 
 
 class Scheme:
