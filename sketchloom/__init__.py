@@ -7,7 +7,7 @@ Space-Saving summaries (:mod:`sketchloom.operators.spacesaving`).
 
 import pyspark
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"
 __engine_version__ = pyspark.__version__
 
 

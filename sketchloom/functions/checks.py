@@ -69,13 +69,3 @@ def numbers(xs, name: str) -> list[float]:
 
 def key_list(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys or [])
-
-
-def join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join in which NULL keys match; ``right`` has one row for each key, or a single row if there are no keys."""
-    if not keys:
-        return left.withColumn("__one", F.lit(1)).join(right.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    names = {k: f"__r_{i}" for i, k in enumerate(keys)}
-    right = right.withColumnsRenamed(names)
-    on = [left[k].eqNullSafe(right[r]) for k, r in names.items()]
-    return left.join(right, on).drop(*names.values())

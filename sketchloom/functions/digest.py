@@ -141,8 +141,12 @@ def scale(s: str, factor: float) -> Column:
     f = number(factor, "factor")
     if f <= 0:
         raise ValueError("factor must be > 0")
-    kept = f"filter(transform({s}.centroids, c -> named_struct('mean', c.mean, 'weight', c.weight * {f!r}D)), c -> c.weight > {EPS}D)"
-    return F.expr(
+    return F.expr(sql_scale(s, f"{f!r}D"))
+
+
+def sql_scale(s: str, f: str) -> str:
+    kept = f"filter(transform({s}.centroids, c -> named_struct('mean', c.mean, 'weight', c.weight * {f})), c -> c.weight > {EPS}D)"
+    return (
         f"named_struct('compression', {s}.compression, 'min', CASE WHEN size({kept}) > 0 THEN {s}.min END, 'max', CASE WHEN size({kept}) > 0 THEN {s}.max END,"
         f" 'total_weight', aggregate({kept}, 0D, (a, c) -> a + c.weight), 'centroids', {kept})"
     )

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from heapq import nsmallest
+from heapq import heapify, heappop, heappush, nsmallest
+from itertools import repeat
 from numbers import Integral
 
 import numpy as np
@@ -19,14 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sketchloom.functions.checks import integral_weight, join_on, key_list
+from sketchloom.functions.checks import integral_weight, key_list
 from sketchloom.functions.types import space_saving
 
 _NAN = float("nan")
 #: Counters of a key, in capacities, at which a task trims them; counters of all keys before it passes them on.
 SLACK, HELD = 8, 500_000
 #: Rows, or bytes of them, that a task counts at a time.
-ROWS, BYTES = 1 << 17, 32 << 20
+ROWS, BYTES = 1 << 19, 32 << 20
+#: Ranks up to which Spark itself trims within each task before a shuffle; with larger capacities counters are dealt to so many parts first.
+SPARK_RANKS, PARTS = 1000, 32
 
 
 def _capacity(capacity: int) -> int:
@@ -104,12 +107,19 @@ def _partial(batches: Iterator[pa.RecordBatch], nkeys: int, capacity: int, schem
 
     for table in _wide(batches):
         names = table.column_names
-        for row in zip(*(c.to_pylist() for c in table.group_by(names[:-1]).aggregate([(names[-1], "sum")]).select([*names[:-1], f"{names[-1]}_sum"]).columns)):
-            counts = held.setdefault(row[:nkeys], _Counts())
-            item, n = row[-2], row[-1]
-            if item is None:
-                continue
-            counts.add(_NAN if item != item else item, n)
+        columns = [c.to_pylist() for c in table.group_by(names[:-1]).aggregate([(names[-1], "sum")]).select([*names[:-1], f"{names[-1]}_sum"]).columns]
+        for key in zip(*columns[:nkeys]) if nkeys else [()]:
+            if key not in held:
+                held[key] = _Counts()
+        last = object()
+        for key, item, n in zip(zip(*columns[:nkeys]) if nkeys else repeat(()), columns[-2], columns[-1]):
+            if key != last:
+                counts, last = held[key], key
+            if item is not None:
+                counts.add(_NAN if item != item else item, n)
+            if len(counts.counts) > SLACK * capacity + ROWS:
+                counts.trim(capacity)
+        for counts in held.values():
             if len(counts.counts) > SLACK * capacity:
                 counts.trim(capacity)
         if sum(len(k.counts) + 1 for k in held.values()) > HELD:
@@ -138,35 +148,100 @@ def build(df: DataFrame, keys, item: str, count: str | int = 1, capacity: int =
 def merge(df: DataFrame, keys, summary: str = "summary", capacity: int | None = None) -> DataFrame:
     """Merges the summaries of each key by native aggregation: counts and errors add, and where a summary lacks an item its ``m`` counts instead.
 
-    The capacity is the given one, else the largest among the key's summaries. Capacities may differ.
+    The capacity is the given one, else the largest among the key's summaries. Capacities may differ. Summaries are read
+    once: each gives a row for itself, with its capacity and m, and one for each counter, less m. Rows are summed by item,
+    and ranked within each key; with a given capacity only its heaviest counters of each task or part go on to that.
     """
     keys = key_list(keys)
     if [f.name for f in getattr(df.schema[summary].dataType, "fields", [])] != ["capacity", "m", "counters"]:
         raise TypeError(f"{summary} is not a column of Space-Saving summaries")
     if capacity is not None:
         capacity = _capacity(capacity)
-    s = F.col(summary)
-    whole = df.groupBy(*keys).agg(F.coalesce(F.sum(s["m"]), F.lit(0)).cast("long").alias("__all_m"), (F.max(s["capacity"]) if capacity is None else F.lit(capacity)).cast("int").alias("__cap"))
-    each = df.select(*keys, s["m"].alias("__m"), F.explode(s["counters"]).alias("__c"))
-    items = each.groupBy(*keys, F.col("__c.item").alias("__item")).agg(F.sum(F.col("__c.count") - F.col("__m")).alias("__n"), F.sum(F.col("__c.error") - F.col("__m")).alias("__e"))
-    items = join_on(items, whole.select(*keys, "__all_m", "__cap"), keys)
-    items = items.select(*keys, "__all_m", "__cap", "__item", (F.col("__n") + F.col("__all_m")).alias("__n"), (F.col("__e") + F.col("__all_m")).alias("__e"))
-    ranked = items.withColumn("__rank", F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(F.desc("__n"), "__e", "__item")))
-    kept = ranked.filter(F.col("__rank") <= F.col("__cap") + 1)
-    within = F.col("__rank") <= F.col("__cap")
-    entry = F.struct(F.col("__rank").alias("rank"), F.struct(F.col("__item").alias("item"), F.col("__n").alias("count"), F.col("__e").alias("error")).alias("counter"))
-    lists = kept.groupBy(*keys).agg(F.collect_list(F.when(within, entry)).alias("__l"), F.max(F.col("__rank") > F.col("__cap")).alias("__cut"), F.min(F.when(within, F.col("__n"))).alias("__least"))
-    names = {k: f"__k{i}" for i, k in enumerate(keys)}
-    lists = lists.withColumnsRenamed(names)
-    on = [whole[k].eqNullSafe(lists[n]) for k, n in names.items()]
-    if keys:
-        both = whole.join(lists, on, "left")
+    kind = df.schema[summary].dataType["counters"].dataType.elementType["item"].dataType
+    s, zero = F.col(summary), F.lit(0).cast("long")
+    entry = lambda item, n, e, whole: F.struct(item.alias("item"), n.alias("n"), e.alias("e"), F.lit(whole).alias("whole"))
+    own = F.array(entry(F.lit(None).cast(kind), zero, zero, True))
+    each = F.transform(s["counters"], lambda c: entry(c["item"], c["count"] - s["m"], c["error"] - s["m"], False))
+    rows = df.filter(s.isNotNull()).select(*keys, s["m"].alias("__m"), s["capacity"].alias("__cap"), F.explode(F.concat(own, F.coalesce(each, F.slice(own, 1, 0)))).alias("__c"))
+    items = rows.groupBy(*keys, F.col("__c.whole").alias("__whole"), F.col("__c.item").alias("__item")).agg(F.sum("__c.n").alias("__n"), F.sum("__c.e").alias("__e"), F.sum("__m").alias("__m"), F.max("__cap").alias("__cap"))
+    order = [F.desc("__whole"), F.desc("__n"), "__e", "__item"]
+    # the row of the summaries themselves has rank 1; one more counter than is kept tells whether any was cut
+    if capacity is not None and capacity + 2 > SPARK_RANKS:
+        part = Window.partitionBy(*keys, F.pmod(F.xxhash64("__item"), F.lit(PARTS))).orderBy(*order)
+        items = items.withColumn("__part", F.row_number().over(part)).filter(F.col("__part") <= capacity + 2)
+    by_key = Window.partitionBy(*(keys or [F.lit(1)]))
+    ranked = items.withColumn("__rank", F.row_number().over(by_key.orderBy(*order)))
+    if capacity is None:
+        ranked = ranked.withColumn("__cap", F.max("__cap").over(by_key))
+        kept, cap = ranked.filter(F.col("__rank") <= F.col("__cap") + 2), F.coalesce(F.max("__cap"), F.lit(20))
     else:
-        both = whole.withColumn("__1", F.lit(1)).join(lists.withColumn("__1", F.lit(1)), "__1", "left")
-    empty = F.filter(F.array(F.struct(F.lit(None).cast(df.schema[summary].dataType["counters"].dataType.elementType["item"].dataType).alias("item"), F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("error"))), lambda x: F.lit(False))
-    counters = F.when(F.col("__l").isNull(), empty).otherwise(F.transform(F.array_sort("__l"), lambda x: x["counter"]))
-    m = F.when(F.coalesce("__cut", F.lit(False)), F.greatest("__least", "__all_m")).otherwise(F.col("__all_m"))
-    return both.select(*keys, F.struct(F.col("__cap").alias("capacity"), m.cast("long").alias("m"), counters.alias("counters")).alias(summary))
+        kept, cap = ranked.filter(F.col("__rank") <= capacity + 2), F.lit(capacity)
+    one = F.struct(F.col("__rank").alias("rank"), F.col("__item").alias("item"), F.col("__n").alias("n"), F.col("__e").alias("e"))
+    done = kept.groupBy(*keys).agg(cap.cast("int").alias("__cap"), F.coalesce(F.max(F.when(F.col("__whole"), F.col("__m"))), zero).alias("__m"), F.array_sort(F.collect_list(F.when(~F.col("__whole"), one))).alias("__l"))
+    full = F.slice("__l", F.lit(1), F.col("__cap"))
+    counters = F.transform(full, lambda c: F.struct(c["item"].alias("item"), (c["n"] + F.col("__m")).alias("count"), (c["e"] + F.col("__m")).alias("error")))
+    least = F.col("__m") + F.try_element_at(full, F.lit(-1))["n"]
+    m = F.when(F.size("__l") > F.col("__cap"), F.greatest(least, F.col("__m"))).otherwise(F.col("__m"))
+    return done.select(*keys, F.struct(F.col("__cap").alias("capacity"), m.cast("long").alias("m"), counters.alias("counters")).alias(summary))
+
+
+def _in_order(batches: Iterator[pa.RecordBatch], nkeys: int, capacity: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key and order; one counter set is held at a time."""
+    last, held, queue, turn = None, {}, [], 0
+
+    def out() -> pa.RecordBatch:
+        ranked = sorted(held.items(), key=lambda kv: (-kv[1][0], kv[1][1], kv[1][2]))
+        state = {"capacity": capacity, "m": max((e for _, e, _ in held.values()), default=0) if len(held) < capacity else min(c for c, _, _ in held.values()), "counters": [{"item": i, "count": c, "error": e} for i, (c, e, _) in ranked]}
+        return pa.RecordBatch.from_arrays([*(pa.array([last[i]], type=schema.field(i).type) for i in range(nkeys)), pa.array([state], type=schema.field(nkeys).type)], schema=schema)
+
+    for b in batches:
+        columns = [c.to_pylist() for c in b.columns]
+        for key, item, n in zip(zip(*columns[:nkeys]) if nkeys else repeat(()), columns[-2], columns[-1]):
+            if key != last:
+                if last is not None:
+                    yield out()
+                last, held, queue = key, {}, []
+            if item is None:
+                continue
+            item = _NAN if item != item else item
+            turn += 1
+            if item in held:
+                count, error, _ = held[item]
+                held[item] = count + n, error, turn
+            elif len(held) < capacity:
+                held[item] = n, 0, turn
+            else:  # the least count goes; among equals the largest error, then what moved last
+                while True:
+                    count, error, moved, lost = heappop(queue)
+                    if held.get(lost) == (count, -error, -moved):
+                        break
+                del held[lost]
+                held[item] = count + n, count, turn
+            count, error, _ = held[item]
+            heappush(queue, (count, -error, -turn, item))
+            if len(queue) > 8 * capacity + 64:
+                queue = [(c, -e, -t, i) for i, (c, e, t) in held.items()]
+                heapify(queue)
+    if last is not None:
+        yield out()
+
+
+def build_in_order(df: DataFrame, keys, item: str, order, count: str | int = 1, capacity: int = 20, out: str = "summary") -> DataFrame:
+    """One summary for each key by the sequential algorithm: rows are offered one by one, as ``order`` sorts them.
+
+    When all counters are taken, a new item takes over the one with the least count, which becomes its error; among
+    equals the one with the largest error goes, then the one that moved last. Each key's rows are one task's, which holds
+    its counters and nothing else; use ``build`` where the order of rows doesn't matter. Keys without rows have no summary.
+    """
+    keys, capacity = key_list(keys), _capacity(capacity)
+    value, kind, as_json = _item(df, item)
+    if as_json:
+        raise TypeError("structs can't be counted in order")
+    by = [F.col(c) for c in key_list(order)]
+    rows = df.select(*keys, *(c.alias(f"__o{i}") for i, c in enumerate(by)), value.alias("__item"), integral_weight(df, count).alias("__count"))
+    rows = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, *(f"__o{i}" for i in range(len(by)))).select(*keys, "__item", "__count")
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(out, space_saving(kind))])
+    return rows.mapInArrow(partial(_in_order, nkeys=len(keys), capacity=capacity, schema=to_arrow_schema(schema)), schema)
 
 
 def topk(s, k: int) -> Column:

@@ -1,4 +1,8 @@
-"""Summary statistics as a mergeable struct column, built from native aggregates only.
+"""Summary statistics as a mergeable struct column.
+
+Without weights they are native aggregates. Weighted observations and summaries that are merged are gone through once:
+each task combines its own in numpy, by shifting moments to the common mean, and only a part for each task and key is
+shuffled.
 
 The weight of an observation multiplies the count but not the sum, so that (x, c) stands for c copies of x / c; pass
 ``weighting="frequency"`` for c copies of x.
@@ -6,10 +10,23 @@ The weight of an observation multiplies the count but not the sum, so that (x, c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from sketchloom.functions.checks import integral_weight, key_list, numeric
+from sketchloom.functions.types import STATS
+from sketchloom.operators.keys import key_codes
 
-from sketchloom.functions.checks import integral_weight, join_on, key_list, numeric
+FIELDS = STATS.names
+#: Keys that a task holds before it passes its parts on.
+HELD = 200_000
 
 
 def _pack(n: Column, s: Column, lo: Column, hi: Column, m2: Column, m3: Column, m4: Column) -> Column:
@@ -20,8 +37,7 @@ def _pack(n: Column, s: Column, lo: Column, hi: Column, m2: Column, m3: Column,
 def build(df: DataFrame, keys, x: str, weight: str | int = 1, weighting: str = "reference", out: str = "stats") -> DataFrame:
     """One row of ``STATS`` for each key. NaN and NULL values are skipped; a key that has no others gets an empty summary.
 
-    Without weights this is a single partial and final hash aggregation. Weighted moments need the group's mean first,
-    so they take two: totals, then central moments about them.
+    Without weights this is a single partial and final hash aggregation; with weights each row is a summary of its own.
     """
     if weighting not in ("reference", "frequency"):
         raise ValueError("weighting is 'reference' or 'frequency'")
@@ -42,37 +58,72 @@ def build(df: DataFrame, keys, x: str, weight: str | int = 1, weighting: str = "
 
 def aggregate(df: DataFrame, keys: list[str], x: str, out: str = "stats") -> DataFrame:
     """``build`` for a double column whose NaNs are NULL already; it also works on a streaming DataFrame."""
-    v = F.col(x)
-    aggs = [F.count(v).alias("__n"), F.sum(v).alias("__s"), F.min(v).alias("__lo"), F.max(v).alias("__hi"), F.var_pop(v).alias("__v"), F.skewness(v).alias("__g"), F.kurtosis(v).alias("__k")]
-    n = F.col("__n").cast("double")
-    m2 = F.coalesce(F.col("__v") * n, F.lit(0.0))
-    m3 = F.when(n > 0, F.coalesce(F.col("__g") * F.pow(m2, 1.5) / F.sqrt(n), F.lit(0.0))).otherwise(F.lit(0.0))
-    m4 = F.when(n > 0, F.coalesce((F.col("__k") + 3.0) * m2 * m2 / n, F.lit(0.0))).otherwise(F.lit(0.0))
-    packed = _pack(F.col("__n"), F.coalesce("__s", F.lit(0.0)), F.col("__lo"), F.col("__hi"), m2, m3, m4)
+    v = f"`{x}`"
+    aggs = [F.expr(f"{f}({v}) AS {n}") for f, n in (("count", "__n"), ("sum", "__s"), ("min", "__lo"), ("max", "__hi"), ("var_pop", "__v"), ("skewness", "__g"), ("kurtosis", "__k"))]
+    m2 = "coalesce(__v * __n, 0D)"
+    m3 = f"CASE WHEN __n > 0 THEN coalesce(__g * pow({m2}, 1.5D) / sqrt(__n), 0D) ELSE 0D END"
+    m4 = f"CASE WHEN __n > 0 THEN coalesce((__k + 3D) * {m2} * {m2} / __n, 0D) ELSE 0D END"
+    packed = F.expr(f"named_struct('count', __n, 'sum', coalesce(__s, 0D), 'min', __lo, 'max', __hi, 'm2', {m2}, 'm3', {m3}, 'm4', {m4})")
     return df.groupBy(*keys).agg(*aggs).select(*keys, packed.alias(out))
 
 
 def merge(df: DataFrame, keys, stats: str = "stats") -> DataFrame:
-    """Merges the summaries of each key: group totals, then the parts' moments shifted to the group's mean and summed."""
+    """Merges the summaries of each key: each task those that it reads, then the tasks' parts of a key with each other."""
     keys = key_list(keys)
-    if [f.name for f in df.schema[stats].dataType] != ["count", "sum", "min", "max", "m2", "m3", "m4"]:
+    if [f.name for f in df.schema[stats].dataType] != FIELDS:
         raise TypeError(f"{stats} is not a column of summary statistics")
-    s = F.col(stats)
-    parts = df.select(*keys, s["count"].cast("double").alias("__n"), *(s[k].alias(f"__{k}") for k in ("sum", "min", "max", "m2", "m3", "m4")))
-    parts = parts.withColumns({f"__{k}": F.when(F.col("__n") > 0, F.col(f"__{k}")) for k in ("min", "max")})
-    whole = parts.groupBy(*keys).agg(F.sum("__n").alias("__all_n"), F.sum("__sum").alias("__all_s"))
-    n = F.col("__n")
-    d = F.coalesce(F.try_divide(F.col("__sum"), n) - F.try_divide(F.col("__all_s"), F.col("__all_n")), F.lit(0.0))
-    moved = join_on(parts, whole, keys).withColumn("__d", d)
-    d, m2, m3, m4 = (F.col(f"__{k}") for k in ("d", "m2", "m3", "m4"))
-    done = moved.groupBy(*keys).agg(
-        F.sum(n).alias("__n"),
-        F.sum("__sum").alias("__s"),
-        F.min("__min").alias("__lo"),
-        F.max("__max").alias("__hi"),
-        F.sum(m2 + n * d * d).alias("__m2"),
-        F.sum(m3 + 3.0 * d * m2 + n * d * d * d).alias("__m3"),
-        F.sum(m4 + 4.0 * d * m3 + 6.0 * d * d * m2 + n * d * d * d * d).alias("__m4"),
-    )
-    full = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("__m2", "__m3", "__m4"))
-    return done.select(*keys, _pack(F.coalesce("__n", F.lit(0.0)), F.coalesce("__s", F.lit(0.0)), F.col("__lo"), F.col("__hi"), *full).alias(stats))
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(stats, STATS)])
+    rows = df.select(*keys, *((F.col(stats)[f] if f in ("min", "max") else F.coalesce(F.col(stats)[f].cast("double"), F.lit(0.0))).alias(f"__{f}") for f in FIELDS))
+    parts = rows.mapInArrow(partial(_partial, nkeys=len(keys), schema=to_arrow_schema(schema)), schema)
+    # one part for each task and key: few enough for an array
+    whole = parts.groupBy(*keys).agg(F.collect_list(stats).alias("__l"))
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    start = F.struct(zero.alias("n"), zero.alias("s"), none.alias("lo"), none.alias("hi"))
+    totals = F.aggregate("__l", start, lambda a, x: F.struct((a["n"] + x["count"]).alias("n"), (a["s"] + x["sum"]).alias("s"), F.least(a["lo"], x["min"]).alias("lo"), F.greatest(a["hi"], x["max"]).alias("hi")))
+    whole = whole.withColumn("__t", totals)
+    t = F.col("__t")
+
+    def moved(a: Column, x: Column) -> Column:
+        n = x["count"].cast("double")
+        d = F.coalesce(F.try_divide(x["sum"], n) - F.try_divide(t["s"], t["n"]), zero)
+        return F.struct((a["m2"] + x["m2"] + n * d * d).alias("m2"), (a["m3"] + x["m3"] + 3.0 * d * x["m2"] + n * d * d * d).alias("m3"), (a["m4"] + x["m4"] + 4.0 * d * x["m3"] + 6.0 * d * d * x["m2"] + n * d * d * d * d).alias("m4"))
+
+    m = F.col("__m")
+    whole = whole.withColumn("__m", F.aggregate("__l", F.struct(*(zero.alias(c) for c in ("m2", "m3", "m4"))), moved))
+    return whole.select(*keys, _pack(t["n"], t["s"], t["lo"], t["hi"], m["m2"], m["m3"], m["m4"]).alias(stats))
+
+
+def _combine(code: np.ndarray, k: int, n: np.ndarray, s: np.ndarray, lo: np.ndarray, hi: np.ndarray, m2: np.ndarray, m3: np.ndarray, m4: np.ndarray) -> list[np.ndarray]:
+    """Fields of ``k`` groups' merged summaries; ``code`` is each summary's group. Moments are shifted to the group's mean."""
+    total, sums = np.bincount(code, n, k), np.bincount(code, s, k)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = np.nan_to_num(s / n - (sums / total)[code], nan=0.0, posinf=0.0, neginf=0.0)
+    order = np.argsort(code, kind="stable")
+    first = np.searchsorted(code[order], np.arange(k))
+    live = n[order] > 0
+    least, most = (f.reduceat(np.where(live, v[order], np.nan), first) if len(code) else np.empty(0) for f, v in ((np.fmin, lo), (np.fmax, hi)))
+    return [total, sums, least, most, np.bincount(code, m2 + n * d**2, k), np.bincount(code, m3 + 3 * d * m2 + n * d**3, k), np.bincount(code, m4 + 4 * d * m3 + 6 * d**2 * m2 + n * d**4, k)]
+
+
+def _partial(batches: Iterator[pa.RecordBatch], nkeys: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: dict[tuple, int] = {}
+    fields = [np.empty(0)] * len(FIELDS)
+
+    def out() -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in held], type=schema.field(i).type) for i in range(nkeys)]
+        values = [pa.array(fields[0].astype(np.int64)), *(pa.array(f, mask=np.isnan(f)) if name in ("min", "max") else pa.array(f) for name, f in zip(FIELDS[1:], fields[1:]))]
+        return pa.RecordBatch.from_arrays([*columns, pa.StructArray.from_arrays(values, fields=list(schema.field(nkeys).type))], schema=schema)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        code, names = key_codes(b.columns[:nkeys], b.num_rows)
+        new = _combine(code, len(names), *(c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[nkeys:]))
+        place = np.array([held.setdefault(name, len(held)) for name in names])
+        both = np.concatenate([np.arange(len(fields[0])), place])
+        fields = _combine(both, len(held), *(np.concatenate([a, x]) for a, x in zip(fields, new)))
+        if len(held) > HELD:
+            yield out()
+            held, fields = {}, [np.empty(0)] * len(FIELDS)
+    if held:
+        yield out()

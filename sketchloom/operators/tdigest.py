@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from sketchloom.functions.checks import EPS, key_list, number, numeric, real_weight
 from sketchloom.functions.types import TDIGEST
+from sketchloom.operators.keys import key_codes
 
 #: Points that a key gathers before they are compacted, and centroids of all keys before a task passes them on.
 BUFFER, HELD = 20_000, 2_000_000
@@ -93,11 +93,7 @@ def _partial(batches: Iterator[pa.RecordBatch], nkeys: int, compression: float,
         x = batch.column(nkeys).to_numpy(zero_copy_only=False).astype(float)
         w = batch.column(nkeys + 1).to_numpy(zero_copy_only=False).astype(float)
         live = np.isfinite(x) & (w > EPS)
-        keys = [batch.column(i).to_pylist() for i in range(nkeys)]
-        if nkeys:
-            codes, names = pd.factorize(pd.Series(list(zip(*keys)), dtype=object))
-        else:
-            codes, names = np.zeros(batch.num_rows, dtype=int), [()] if batch.num_rows else []
+        codes, names = key_codes(batch.columns[:nkeys], batch.num_rows)
         order = np.argsort(codes, kind="stable")
         bounds = np.searchsorted(codes[order], np.arange(len(names) + 1))
         for i, name in enumerate(names):

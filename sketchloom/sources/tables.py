@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,3 +18,13 @@ def save(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path on shared storage, below spark.checkpoint.dir or else the warehouse, for a table that goes when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/sketch-tables/{name}-{uuid.uuid4().hex}")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+    return f"{folder.toString()}/table"

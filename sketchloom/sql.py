@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sketchloom.functions.checks import EPS
-from sketchloom.functions.digest import sql_cdf, sql_quantile
-from sketchloom.functions.types import TDIGEST, space_saving
+from sketchloom.functions.digest import sql_cdf, sql_quantile, sql_scale
+from sketchloom.functions.types import STATS, TDIGEST, space_saving
 from sketchloom.operators.spacesaving import _Counts
+from sketchloom.operators.stats import _combine
 from sketchloom.operators.tdigest import _Points
 
 _DIGEST_DDL = "STRUCT<compression: DOUBLE, min: DOUBLE, max: DOUBLE, total_weight: DOUBLE, centroids: ARRAY<STRUCT<mean: DOUBLE, weight: DOUBLE>>>"
@@ -45,15 +46,95 @@ def _summary(items: pa.Array, capacity: int = 20) -> dict:
     return {"capacity": capacity, "m": counts.m, "counters": [{"item": i, "count": c, "error": e} for i, (c, e) in ranked]}
 
 
+def _merged(d: pa.Array) -> dict:
+    live = d.filter(d.is_valid())
+    compression = max((c for c in live.field("compression").to_pylist() if c is not None), default=100.0)
+    points = _Points()
+    for x in live.to_pylist():
+        c = x["centroids"] or []
+        points.add(np.array([p["mean"] for p in c]), np.array([p["weight"] for p in c]), compression, x["min"], x["max"])
+    return points.state(compression)
+
+
+def _moments(n: np.ndarray, *rest: np.ndarray) -> dict:
+    fields = _combine(np.zeros(len(n), np.int64), 1, n, *rest)
+    return {k: int(v[0]) if k == "count" else None if np.isnan(v[0]) else float(v[0]) for k, v in zip(STATS.names, fields)}
+
+
+def _stats(x: pa.Array) -> dict:
+    v = x.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    v = v[~np.isnan(v)]
+    zero = np.zeros(len(v))
+    return _moments(np.ones(len(v)), v, v, v, zero, zero, zero)
+
+
+def _stats_merged(s: pa.Array) -> dict:
+    live = s.filter(s.is_valid())
+    return _moments(*(live.field(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in range(len(STATS.names))))
+
+
+def _capacity_of(c: pa.Array) -> int:
+    sizes = set(c.drop_null().to_pylist())
+    if len(sizes) > 1 or min(sizes, default=1) < 1:
+        raise ValueError("capacity must be one number > 0")
+    return sizes.pop() if sizes else 20
+
+
+def _summary_of(items: pa.Array, capacity: pa.Array) -> dict:
+    return _summary(items, _capacity_of(capacity))
+
+
+def _summaries_merged(s: pa.Array) -> dict:
+    """Counts and errors add; where a summary lacks an item its m counts instead."""
+    live = [x for x in s.to_pylist() if x is not None]
+    capacity, m = max((x["capacity"] for x in live), default=20), sum(x["m"] for x in live)
+    total = _Counts()
+    total.m = m
+    for x in live:
+        for c in x["counters"]:
+            n, e = total.counts.get(c["item"], (m, m))
+            total.counts[c["item"]] = n + c["count"] - x["m"], e + c["error"] - x["m"]
+    ranked = total.ranked(capacity)
+    return {"capacity": capacity, "m": total.m, "counters": [{"item": i, "count": c, "error": e} for i, (c, e) in ranked]}
+
+
 def register(spark: SparkSession) -> None:
-    """tdigest(x), tdigest_weighted(x, w), space_saving(s), space_saving_long(n), tdigest_quantile(d, q), tdigest_cdf(d, x)."""
+    """Aggregates: tdigest(x), tdigest_weighted(x, w), tdigest_merge(d), summary_stats(x), summary_stats_merge(s), and
+    space_saving(s[, capacity]) for strings and space_saving_long and space_saving_double for numbers, each with _of for a
+    capacity as second argument and with _merge for summaries.
 
+    Functions: tdigest_quantile(d, q), tdigest_cdf(d, x), tdigest_scale(d, f), tdigest_histogram(d, bins, lo, hi);
+    stats_mean, stats_var, stats_std (s, ddof), stats_skew, stats_kurt (s); space_saving_topk(s, k) and its like.
+    """
     spark.udf.register("tdigest", _agg(_digest, TDIGEST))
     spark.udf.register("tdigest_weighted", _agg2(_weighted, TDIGEST))
-    for name, kind in (("space_saving", T.StringType()), ("space_saving_long", T.LongType())):
-        spark.udf.register(name, _agg(_summary, space_saving(kind)))
-    for name, arg, text in (("tdigest_quantile", "q", sql_quantile("s", "q")), ("tdigest_cdf", "x", sql_cdf("s", "x"))):
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s {_DIGEST_DDL}, {arg} DOUBLE) RETURNS DOUBLE RETURN {text}")
+    spark.udf.register("tdigest_merge", _agg(_merged, TDIGEST))
+    spark.udf.register("summary_stats", _agg(_stats, STATS))
+    spark.udf.register("summary_stats_merge", _agg(_stats_merged, STATS))
+
+    def function(name: str, arguments: str, returns: str, text: str) -> None:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {text}")
+
+    for name, kind in (("space_saving", T.StringType()), ("space_saving_long", T.LongType()), ("space_saving_double", T.DoubleType())):
+        state = space_saving(kind)
+        spark.udf.register(name, _agg(_summary, state))
+        spark.udf.register(f"{name}_of", _agg2(_summary_of, state))
+        spark.udf.register(f"{name}_merge", _agg(_summaries_merged, state))
+        function(f"{name}_topk", f"s {state.simpleString()}, k INT", state["counters"].dataType.simpleString(), "slice(s.counters, 1, k)")
+    digest = f"s {_DIGEST_DDL}"
+    function("tdigest_quantile", f"{digest}, q DOUBLE", "DOUBLE", sql_quantile("s", "q"))
+    function("tdigest_cdf", f"{digest}, x DOUBLE", "DOUBLE", sql_cdf("s", "x"))
+    function("tdigest_scale", f"{digest}, f DOUBLE", _DIGEST_DDL, sql_scale("s", "CASE WHEN f > 0D AND f < double('Infinity') THEN f ELSE raise_error('factor must be finite and > 0') END"))
+    edges = "transform(sequence(0, n), i -> CASE WHEN i = n THEN hi ELSE lo + (hi - lo) * i / n END)"
+    shares = f"transform({edges}, x -> {sql_cdf('s', 'x')})"
+    function("tdigest_histogram", f"{digest}, n INT, lo DOUBLE, hi DOUBLE", "ARRAY<DOUBLE>", f"CASE WHEN coalesce(s.total_weight, 0D) <= 0D THEN array_repeat(0D, n) ELSE zip_with(slice({shares}, 1, n), slice({shares}, 2, n), (a, b) -> (b - a) * s.total_weight) END")
+    stats, nan = f"s {STATS.simpleString()}", "double('NaN')"
+    function("stats_mean", stats, "DOUBLE", f"CASE WHEN s.count > 0 THEN s.sum / s.count ELSE {nan} END")
+    function("stats_var", f"{stats}, ddof INT", "DOUBLE", f"CASE WHEN s.count > greatest(ddof, 0) THEN s.m2 / (s.count - ddof) ELSE {nan} END")
+    function("stats_std", f"{stats}, ddof INT", "DOUBLE", f"CASE WHEN s.count > greatest(ddof, 0) THEN sqrt(s.m2 / (s.count - ddof)) ELSE {nan} END")
+    varied = f"CASE WHEN s.count > 0 AND s.min <> s.max THEN {{}} ELSE {nan} END"
+    function("stats_skew", stats, "DOUBLE", varied.format("CASE WHEN s.m2 = 0 THEN 0D ELSE (s.m3 / s.count) / pow(s.m2 / s.count, 1.5D) END"))
+    function("stats_kurt", stats, "DOUBLE", varied.format("CASE WHEN s.m2 = 0 THEN -3D ELSE s.m4 * s.count / (s.m2 * s.m2) - 3D END"))
 
 
 def _agg(f, state: T.DataType):

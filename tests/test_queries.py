@@ -1,8 +1,7 @@
 import pytest
 from oracle import compare
 
-from sketchloom.plans.oracles import ORACLES
-from sketchloom.plans.queries import QUERIES
+from sketchloom.plans.registry import ORACLES, QUERIES
 
 D = "/root/testdata/sf0.01"
 

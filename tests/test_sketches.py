@@ -93,3 +93,85 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.stop()
     got = {r.k: r.stats["count"] for r in spark.table("live").collect()}
     assert got == {0: 200, 1: 200, 2: 200}
+
+
+def test_summaries_in_one_pass(spark):
+    """Building reads its input once, and the merge's ranks are trimmed before its last step."""
+    df = spark.range(1000).select((F.col("id") % 90).alias("x"))
+    for capacity, steps, trim in ((20, 1, "TakeOrdered"), (2000, 2, "Exchange hashpartitioning(_w0")):
+        plan = spacesaving.build(df, None, "x", capacity=capacity)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and plan.count("Window [") == steps and trim in plan
+    plan = stats.merge(stats.build(df.withColumn("w", F.lit(2)), "x", "x", weight="w"), "x")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_space_saving_bounds_with_many_parts(spark):
+    rng = np.random.default_rng(8)
+    items = (rng.zipf(1.3, 60_000).clip(max=20_000)).tolist()
+    df = frame(spark, [(v, i % 3) for i, v in enumerate(items)], "x long, k int").repartition(13)
+    for keys in (None, "k"):
+        for row in spacesaving.build(df, keys, "x", capacity=1500).collect():
+            mine = [v for i, v in enumerate(items) if keys is None or i % 3 == row["k"]]
+            exact = dict(zip(*(a.tolist() for a in np.unique(mine, return_counts=True))))
+            s = row["summary"]
+            kept = {c["item"]: (c["count"], c["error"]) for c in s["counters"]}
+            assert len(kept) == 1500 and all(n - e <= exact[v] <= n for v, (n, e) in kept.items())
+            assert all(n <= s["m"] for v, n in exact.items() if v not in kept)
+
+
+def test_space_saving_in_order_against_a_plain_list(spark):
+    rng = np.random.default_rng(12)
+    items = rng.zipf(1.4, 800).clip(max=60).tolist()
+    got = spacesaving.build_in_order(frame(spark, list(enumerate(items)), "i long, x long").repartition(4), None, "x", "i", capacity=7).first()["summary"]
+    counters = []  # (item, count, error), heaviest first; equals in the order in which they came there
+    for x in items:
+        at = next((i for i, c in enumerate(counters) if c[0] == x), None)
+        if at is not None:
+            c = counters.pop(at)
+            new = (x, c[1] + 1, c[2])
+        elif len(counters) < 7:
+            new = (x, 1, 0)
+        else:
+            c = counters.pop()
+            new = (x, c[1] + 1, c[1])
+        place = len(counters)
+        while place and (counters[place - 1][1] < new[1] or counters[place - 1][1] == new[1] and counters[place - 1][2] > new[2]):
+            place -= 1
+        counters.insert(place, new)
+    assert [(c["item"], c["count"], c["error"]) for c in got["counters"]] == counters
+
+
+def test_bad_counts_and_merges(spark):
+    df = frame(spark, [(1, 2), (2, 0)], "x long, n long")
+    with pytest.raises(Exception, match="count must be > 0"):
+        spacesaving.build(df, None, "x", count="n").collect()
+    with pytest.raises(Exception, match="w must be finite"):
+        tdigest.build(df, None, "x", weight="n").collect()
+    with pytest.raises(TypeError):
+        spacesaving.merge(df.select(F.struct("x").alias("summary")), None)
+    with pytest.raises(TypeError):
+        stats.merge(df.select(F.struct("x").alias("stats")), None)
+    assert spacesaving.merge(spacesaving.build(df.limit(0), "n", "x"), None).first()["summary"]["counters"] == []
+
+
+def test_merge_with_null_and_nested_keys(spark):
+    df = frame(spark, [(float(i), None if i % 3 else i % 5) for i in range(200)], "x double, k int")
+    want = {None if i % 3 else i % 5 for i in range(200)}
+    assert {r.k for r in tdigest.build(df, "k", "x").collect()} == want
+    parts = stats.build(df.withColumn("s", F.struct((F.col("x") % 2).alias("half"))), ["s", "k"], "x", weight=3)
+    got = stats.merge(parts, ["s", "k"]).collect()
+    assert len(got) == len(parts.collect()) and sum(r.stats["count"] for r in got) == 600
+
+
+def test_sql_merges_statistics_and_parameters(spark):
+    sql.register(spark)
+    frame(spark, [(float(i), i % 4) for i in range(1, 101)], "x double, k int").createOrReplaceTempView("vk")
+    r = spark.sql("SELECT tdigest_quantile(tdigest_merge(d), 0.5D) q, tdigest_scale(tdigest_merge(d), 2D).total_weight n, tdigest_histogram(tdigest_merge(d), 4, 0D, 200D) h FROM (SELECT k, tdigest(x) d FROM vk GROUP BY k)").first()
+    assert r.q == 50.5 and r.n == 200 and np.allclose(r.h, [49.5, 50.5, 0, 0])
+    r = spark.sql("SELECT stats_mean(s) m, stats_var(s, 0) v, stats_std(s, 1) d, stats_skew(s) g, stats_kurt(s) k FROM (SELECT summary_stats_merge(s) s FROM (SELECT k, summary_stats(x) s FROM vk GROUP BY k))").first()
+    x = np.arange(1, 101.0)
+    z = (x - x.mean()) / x.std()
+    assert np.allclose(tuple(r), (x.mean(), x.var(), x.std(ddof=1), (z**3).mean(), (z**4).mean() - 3), atol=1e-9)
+    r = spark.sql("SELECT space_saving_long_topk(space_saving_long_merge(s), 2) t FROM (SELECT k, space_saving_long_of(CAST(x % 5 AS BIGINT), 5) s FROM vk GROUP BY k)").first()
+    assert [(c["count"], c["error"]) for c in r.t] == [(20, 0), (20, 0)]
+    assert spark.sql("SELECT space_saving_of(CAST(k AS STRING), 2) s FROM vk").first().s["capacity"] == 2
