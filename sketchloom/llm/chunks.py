@@ -1,6 +1,6 @@
 """Documents packed in chunks on shared storage, for operators that go over the texts several times.
 
-A chunk is an Arrow stream of (id, text) rows, compressed, of some 2 MB of text or one longer document. A small table
+A chunk is an Arrow stream of (id, text) rows, compressed, of 2 MB of text, up to 16 MB on large inputs, or one longer document. A small table
 says where each chunk lies, so that later passes shuffle that table and per-chunk results, never texts. Only chunks that
 successful tasks have reported are in the table.
 """
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from sketchloom.llm.common import open_uri, shared_dir, slices, stored, tasks, text_bytes
 from sketchloom.llm.text import spans
 
-CHUNK = 2 << 20
+#: Bytes of text in a chunk: about a CHUNKS-th of the input within these bounds.
+CHUNK, LARGEST, CHUNKS = 2 << 20, 16 << 20, 20_000
 TABLE = "chunk long, path string, at long, size long, rows long, length long, words long"
 
 
@@ -35,6 +36,9 @@ class Packed(NamedTuple):
 def pack(docs: DataFrame, key: str, text: str, name: str, inside: np.ndarray) -> Packed:
     """Writes all rows; ``words`` counts runs of bytes that are ``inside``, and ``length`` all bytes of text."""
     root = shared_dir(docs.sparkSession, name)
+    # what Spark knows of the input's size without reading it
+    size_in_bytes = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    limit = min(LARGEST, max(CHUNK, size_in_bytes // CHUNKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = open_uri(root)
@@ -59,9 +63,9 @@ def pack(docs: DataFrame, key: str, text: str, name: str, inside: np.ndarray) ->
                 at += len(body)
                 held, size = [], 0
 
-            for b in slices(batches, 1, CHUNK):
+            for b in slices(batches, 1, limit):
                 n = int(text_bytes(b.column(1))[1][-1])
-                if size + n > CHUNK:
+                if size + n > limit:
                     put()
                 held.append(b)
                 size += n
@@ -89,8 +93,13 @@ def spread(table: DataFrame, packed: Packed) -> DataFrame:
     return table.repartition(tasks(table.sparkSession, packed.n_bytes), "path", "at")
 
 
-def groups(packed: Packed, per_word: int = 3_000_000) -> int:
-    """Number of hash ranges for a shuffle of packed rows: enough that each has some ``per_word`` words, and several a task."""
+def groups(packed: Packed, least: int = 3_000_000, most: int = 24_000_000, number: int = 4000) -> int:
+    """Number of hash ranges for a shuffle of packed rows: several a task, and each with some ``least`` words, or more where there would be over ``number``.
+
+    A range is held by one task, so that beyond ``most`` words a range their number grows with the input. A row holds a
+    chunk's hashes of a range: with 16 MB chunks some hundred of them at a TB.
+    """
+    per_word = min(most, max(least, packed.n_words // number))
     return max(4 * int(packed.table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-packed.n_words // per_word))
 
 

@@ -31,6 +31,9 @@ LETTERS[0x30:0x3A] = LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
+#: Bytes whose words are hashed at once.
+BLOCK = 1 << 22
+
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -78,6 +81,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: in
     if not len(starts):
         return np.empty(0, np.uint64)
     n = int(ends[-1])
+    if n > BLOCK and len(starts) > 1:  # arrays of all bytes are made for some of the words at a time
+        out, a = np.empty(len(starts), np.uint64), 0
+        while a < len(starts):
+            b = max(a + 1, int(np.searchsorted(ends, starts[a] + BLOCK, side="right")))
+            lo = int(starts[a])
+            out[a:b] = word_hashes(data[lo:], starts[a:b] - lo, ends[a:b] - lo, salt)
+            a = b
+        return out
     place = np.arange(n)
     place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, n)))
     factor = PLACES[salt][place & 0xFFFF]

@@ -623,3 +623,31 @@ def test_shared_folder_without_checkpoint_dir(spark):
     conf = SimpleNamespace(get=lambda name, *default: None if name == "spark.checkpoint.dir" else spark.conf.get(name))
     got = shared_dir(SimpleNamespace(conf=conf, sparkContext=spark.sparkContext), "x")
     assert got.startswith("file:///") and spark.conf.get("spark.sql.warehouse.dir").split(":")[-1].strip("/") in got
+
+
+def test_texts_longer_than_slices_and_chunks(spark):
+    rng = np.random.default_rng(31)
+    body = rng.integers(0, 10**6, 420_000).astype(str).tolist()
+    rows = [(1, " ".join(body)), (2, " ".join(body[:300_000])), (3, "x " + " ".join(body[1000:1040]) + " y"), (4, " ".join(body))]
+    assert len(rows[0][1]) > 2_800_000
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.substring_dedup(docs(spark, rows)).collect()}
+    assert got == brute_substrings(rows)
+    comps = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, rows), k=3, percent=90).collect()}
+    assert comps == brute_components(rows, 3, 90)
+    items = spark.createDataFrame([(7, " ".join(body[400_000:400_060])), (8, "no such words anywhere here")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs(spark, rows), items).collect()} == {(1, 7), (4, 7)}
+    assert {r.n_words for r in licenses.license_scan(docs(spark, rows)).collect()} == {420_000, 300_000, 42}
+    done = pieces.encode_samples(docs(spark, rows[:2]), keep_ids=0).collect()
+    assert {r.doc_id for r in done} == {1, 2} and all(r.lossless for r in done)  # of digits there is one segmentation
+
+
+def test_words_are_hashed_alike_in_blocks(monkeypatch):
+    from sketchloom.llm import text
+
+    data, off = text_bytes(pa.array(["some words " * 50 + "z" * 700, "and more", "", "words"]))
+    starts, ends, _ = text.spans(data, off, text.WHITE)
+    want = [text.word_hashes(data, starts, ends, salt) for salt in (0, 1)]
+    assert not (want[0] == want[1]).any()
+    for block in (1, 50, 300):
+        monkeypatch.setattr(text, "BLOCK", block)
+        assert all((text.word_hashes(data, starts, ends, salt) == want[salt]).all() for salt in (0, 1))
