@@ -237,3 +237,21 @@ def test_pipeline_stages(spark, documents):
     texts = {d["doc_id"]: d["text"].encode() for d in want}
     v = pieces.Vocabulary.load()
     assert {r["doc_id"] for r in done} == set(texts) and all(pieces.decode(v, r["ids"]) == texts[r["doc_id"]] for r in done)
+
+
+@pytest.mark.parametrize("text", ["abc", "tokens", "to"])
+def test_likeliest_segmentation(text):
+    v = pieces.Vocabulary.load()
+    ways = segmentations(v, b" " + text.encode())
+    (ids,) = pieces.best(v, *text_bytes(pa.array([text])))
+    assert abs(ways[tuple(bytes(v.pieces[i]) for i in ids)] - max(ways.values())) < 1e-12
+
+
+def test_encode_gives_back_texts(spark, documents, monkeypatch):
+    v = pieces.Vocabulary.load()
+    got = {r["doc_id"]: r["ids"] for r in pieces.encode(table(spark, D, "documents")).toArrow().to_pylist()}
+    assert all(pieces.decode(v, got[d["doc_id"]]).decode() == (d["text"] or "") for d in documents) and len(got) == len(documents)
+    texts = [None, "", "one", *(d["text"] for d in documents[:20])]
+    whole = pieces.best(v, *text_bytes(pa.array(texts)))
+    monkeypatch.setattr(pieces, "PART", 50)
+    assert all((a == b).all() for a, b in zip(whole, pieces.best(v, *text_bytes(pa.array(texts))))) and [len(x) for x in whole[:2]] == [0, 0]
