@@ -49,7 +49,7 @@ K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER, WHOLE, SHINGLE = 0.6, 0.5, 0.5, 0.5, 5
 SHARD_ITEMS, SHARD_BYTES = 2000, 2 << 20
 #: Bytes of stored shards that a worker keeps, and of text that it looks at for each round through more shards than that.
-RESIDENT, LARGE = 160 << 20, 16 << 20
+RESIDENT, LARGE = 256 << 20, 16 << 20
 #: (passage, term) pairs that are worked on at a time, and slack of bounds that are sums of 32-bit floats.
 PAIRS, SLACK = 400_000, 1e-4
 #: Essential terms of an entry that a passage must have, where entries have so many.
