@@ -15,6 +15,7 @@ from numbers import Integral
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,6 +98,62 @@ class _Counts:
         return sorted(self.counts.items(), key=_rank)
 
 
+class _Column:
+    """``_Counts`` in arrays, for tasks without keys and items whose equality Arrow shares with us."""
+
+    def __init__(self, kind: pa.DataType) -> None:
+        self.items, self.m = pa.array([], kind), 0
+        self.n = self.e = np.empty(0, np.int64)
+
+    def add(self, items: pa.Array, n: np.ndarray) -> None:
+        """Items must be distinct and not NULL."""
+        at = pc.fill_null(pc.index_in(items, value_set=self.items), -1).to_numpy()
+        new = at < 0
+        self.n[at[~new]] += n[~new]
+        self.items = pa.concat_arrays([self.items, items.filter(pa.array(new))])
+        self.n = np.concatenate([self.n, n[new] + self.m])
+        self.e = np.concatenate([self.e, np.full(int(new.sum()), self.m, np.int64)])
+
+    def trim(self, capacity: int) -> None:
+        if len(self.n) <= capacity:
+            return
+        least = int(np.partition(self.n, len(self.n) - capacity)[len(self.n) - capacity])
+        above, level = np.flatnonzero(self.n > least), np.flatnonzero(self.n == least)
+        if len(above) + len(level) > capacity:
+            ties = zip(self.e[level].tolist(), self.items.take(pa.array(level)).to_pylist(), level.tolist())
+            level = np.array([i for _, _, i in nsmallest(capacity - len(above), ties)], np.int64)
+        kept = np.concatenate([above, level])
+        self.m, self.items, self.n, self.e = max(self.m, least), self.items.take(pa.array(kept)), self.n[kept], self.e[kept]
+
+    def ranked(self, capacity: int) -> list:
+        self.trim(capacity)
+        return sorted(zip(self.items.to_pylist(), zip(self.n.tolist(), self.e.tolist())), key=_rank)
+
+
+def _partial_of_all(batches: Iterator[pa.RecordBatch], capacity: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """``_partial`` without keys."""
+    held = None
+
+    def out() -> pa.RecordBatch:
+        state = {"capacity": capacity, "counters": [{"item": i, "count": c, "error": e} for i, (c, e) in held.ranked(capacity)], "m": held.m}
+        return pa.RecordBatch.from_arrays([pa.array([state], type=schema.field(0).type)], schema=schema)
+
+    for table in _wide(batches):
+        item, count = table.column_names
+        sums = table.group_by([item]).aggregate([(count, "sum")])
+        sums = sums.filter(sums.column(item).is_valid()).combine_chunks()
+        held = held or _Column(sums.schema.field(item).type)
+        if sums.num_rows:
+            held.add(sums.column(item).chunk(0), sums.column(f"{count}_sum").to_numpy())
+        if len(held.n) > SLACK * capacity:
+            held.trim(capacity)
+        if len(held.n) >= HELD:
+            yield out()
+            held = None
+    if held is not None:
+        yield out()
+
+
 def _partial(batches: Iterator[pa.RecordBatch], nkeys: int, capacity: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     held: dict[tuple, _Counts] = {}
 
@@ -136,7 +193,10 @@ def build(df: DataFrame, keys, item: str, count: str | int = 1, capacity: int =
     rows = df.select(*keys, value.alias("__item"), integral_weight(df, count).alias("__count"))
     carried = T.StringType() if as_json else kind
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(out, space_saving(carried))])
-    sketches = rows.mapInArrow(partial(_partial, nkeys=len(keys), capacity=capacity, schema=to_arrow_schema(schema)), schema)
+    # NaNs are one item whatever their bits, which Arrow doesn't know
+    whole = not keys and not isinstance(carried, T.DoubleType)
+    count_rows = partial(_partial_of_all, capacity=capacity) if whole else partial(_partial, nkeys=len(keys), capacity=capacity)
+    sketches = rows.mapInArrow(partial(count_rows, schema=to_arrow_schema(schema)), schema)
     merged = merge(sketches, keys, out, capacity)
     if as_json:
         s = F.col(out)

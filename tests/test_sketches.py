@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,19 @@ def test_sql_merges_statistics_and_parameters(spark):
     r = spark.sql("SELECT space_saving_long_topk(space_saving_long_merge(s), 2) t FROM (SELECT k, space_saving_long_of(CAST(x % 5 AS BIGINT), 5) s FROM vk GROUP BY k)").first()
     assert [(c["count"], c["error"]) for c in r.t] == [(20, 0), (20, 0)]
     assert spark.sql("SELECT space_saving_of(CAST(k AS STRING), 2) s FROM vk").first().s["capacity"] == 2
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 20, 200])
+@pytest.mark.parametrize("kind", [pa.string(), pa.int64()])
+def test_counting_in_arrays_equals_counting_in_dicts(monkeypatch, capacity, kind):
+    monkeypatch.setattr(spacesaving, "ROWS", 700)
+    monkeypatch.setattr(spacesaving, "SLACK", 2)
+    rng = np.random.default_rng(capacity)
+    items = [None if x % 19 == 0 else x if kind == pa.int64() else f"w{x}" for x in (rng.zipf(1.4, 5000) % 900).tolist()]
+    weights = rng.integers(1, 4, 5000).tolist()
+    batches = [pa.RecordBatch.from_arrays([pa.array(items[i : i + 100], kind), pa.array(weights[i : i + 100], pa.int64())], names=["item", "n"]) for i in range(0, 5000, 100)]
+    counter = pa.struct([("item", kind), ("count", pa.int64()), ("error", pa.int64())])
+    schema = pa.schema([("s", pa.struct([("capacity", pa.int32()), ("m", pa.int64()), ("counters", pa.list_(counter))]))])
+    plain = [b.to_pylist() for b in spacesaving._partial(iter(batches), 0, capacity, schema)]
+    assert [b.to_pylist() for b in spacesaving._partial_of_all(iter(batches), capacity, schema)] == plain
+    assert list(spacesaving._partial_of_all(iter([]), capacity, schema)) == []
