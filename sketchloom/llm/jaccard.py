@@ -41,8 +41,11 @@ from sketchloom.llm.components import components
 from sketchloom.llm.text import MULTIPLIERS, mix, shingle_sets
 
 _U = np.uint64
-#: Signatures that a task gathers before it sends them on, and 64-bit words of a set's parity bitmap.
-FLUSH, BITMAP = 1_500_000, 8
+#: Bounds on the signatures that a task gathers before it sends them on, and on the shingles whose signatures make a hash range, about.
+#: Both are a RANGES-th of all shingles in between, so that what a task sends to a range stays long enough to be packed.
+FLUSH, RANGE, RANGES = (1_500_000, 4_000_000), (2_000_000, 8_000_000), 20_000
+#: 64-bit words of a set's parity bitmap.
+BITMAP = 8
 #: Further pivots that each bucket's members are compared with, before all pairs across components are; and of the latter how many for each
 #: member are cheaper, as comparisons of sizes and bitmaps, than another round.
 PIVOTS, PER_MEMBER = 4, 2000
@@ -164,7 +167,13 @@ def _pack(g: int, kind: int, sig: np.ndarray, doc: np.ndarray, probe: np.ndarray
     return (g, kind, sig.tobytes(), doc.tobytes(), None if probe is None else np.packbits(probe).tobytes(), None if many is None else np.packbits(many).tobytes())
 
 
-def _buckets(docs: DataFrame, k: int, percent: int, n_groups: int) -> DataFrame:
+def extent(total: int, partitions: int) -> tuple[int, int]:
+    """Number of hash ranges for so many shingles, and of signatures that a task gathers; both bounded by what a task can hold."""
+    per = min(RANGE[1], max(RANGE[0], total // RANGES))
+    return max(4 * partitions, total // per), min(FLUSH[1], max(FLUSH[0], total // RANGES))
+
+
+def _buckets(docs: DataFrame, k: int, percent: int, n_groups: int, flush_at: int) -> DataFrame:
     """Packed rows by hash range. kind 0: signatures; 1: pairs found within a task; 2: members of buckets within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +208,7 @@ def _buckets(docs: DataFrame, k: int, percent: int, n_groups: int) -> DataFrame:
                 sig, doc, probe = signatures(scheme, value, off, ahead)
                 held.append((sig, ids[doc].astype(np.int64), probe))
                 size += len(sig)
-            if size >= FLUSH:
+            if size >= flush_at:
                 yield flush()
         if size:
             yield flush()
@@ -294,13 +303,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # the class of each id; where an id has several rows, these are linked
     of = stored(sets.join(classes.hint("merge"), ["n", "h1", "h2"]).select("id", "rep", "n", *(f"b{i}" for i in range(BITMAP))), "join-classes")
     total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000)
+    n_groups, flush_at = extent(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = "kind int, x long, y long, sig binary, doc binary, probe binary"
 
     def reduce(t: pa.Table) -> pa.Table:
         return _reduce(t)
 
-    found = stored(_buckets(known, k, percent, n_groups).groupBy("g").applyInArrow(reduce, schema), "join-buckets")
+    found = stored(_buckets(known, k, percent, n_groups, flush_at).groupBy("g").applyInArrow(reduce, schema), "join-buckets")
     rep = of.select("id", "rep").distinct()
     pairs = found.filter("kind = 0").select("x", "y").distinct()
     pairs = pairs.join(rep.select(F.col("id").alias("x"), F.col("rep").alias("a")).hint("merge"), "x").join(rep.select(F.col("id").alias("y"), F.col("rep").alias("b")).hint("merge"), "y").filter("a <> b")

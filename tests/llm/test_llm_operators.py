@@ -651,3 +651,30 @@ def test_words_are_hashed_alike_in_blocks(monkeypatch):
     for block in (1, 50, 300):
         monkeypatch.setattr(text, "BLOCK", block)
         assert all((text.word_hashes(data, starts, ends, salt) == want[salt]).all() for salt in (0, 1))
+
+
+def test_jaccard_with_many_flushes_and_ranges(spark, monkeypatch):
+    """Components don't depend on when tasks send signatures on or on the number of hash ranges."""
+    rng = np.random.default_rng(8)
+    vocab, rows = [f"w{i}" for i in range(300)], []
+    for _ in range(8):
+        body = rng.choice(vocab, int(rng.integers(40, 200))).tolist()
+        for _ in range(10):
+            copy = list(body)
+            copy[int(rng.integers(0, len(copy)))] = "other"
+            rows.append((len(rows), " ".join(copy)))
+    monkeypatch.setattr(jaccard, "FLUSH", (50, 100))
+    monkeypatch.setattr(jaccard, "RANGE", (100, 300))
+    monkeypatch.setattr(jaccard, "RANGES", 40)
+    total = sum(len(set(zip(*(t.split()[i:] for i in range(5))))) for _, t in rows)
+    n_groups, flush_at = jaccard.extent(total, 1)
+    assert n_groups > 30 and flush_at == 100
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, rows)).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
+@pytest.mark.parametrize(("shingles", "least_in_a_row"), [(5_000_000_000, 500), (500_000_000_000, 50)])
+def test_packed_rows_of_the_join_stay_long(shingles, least_in_a_row):
+    """At 30 GB and 3 TB of text: signatures that one flush sends to one hash range."""
+    n_groups, flush_at = jaccard.extent(shingles, 200)
+    assert flush_at / n_groups >= least_in_a_row and shingles / n_groups <= 8_000_000
