@@ -11,9 +11,10 @@ segments: those with the fewest shingles, whose subsets are the most common.
 Equal signatures make a bucket. Within a bucket only pairs with one probing member, its pivot, are verified at first;
 signatures are bucketed within each task before they are shuffled, so that a bucket that very many documents fall into
 sends one row a task. Pairs are verified exactly, on the shingles of whole texts. Where the verified links leave a
-bucket in several components, rounds compare its members with further pivots, which grows components at a cost that is
-linear in the bucket, for as long as that finds links and pairs across components are many; then all of these pairs are
-verified that remain, until none is left: components are exact, and pairs that are connected already are never looked at.
+bucket in several components and pairs of a probing member with one of another component are many, rounds compare its
+members with further pivots, which grows components at a cost that is linear in the bucket, for as long as that finds
+links; then all of these pairs that remain are compared, each probing member with the others, once: components are exact,
+pairs that are connected already are never looked at, and neither are those of two members that don't probe.
 
 Texts with equal sets are one class and count as linked without verification. Sets are equal if their sizes and two sums
 of independent shingle hashes are; verification compares shingles by two independent hashes, too.
@@ -47,8 +48,8 @@ FLUSH, RANGE, RANGES = (1_500_000, 4_000_000), (2_000_000, 8_000_000), 20_000
 #: 64-bit words of a set's parity bitmap.
 BITMAP = 8
 #: Further pivots that each bucket's members are compared with, before all pairs across components are; and of the latter how many for each
-#: member are cheaper, as comparisons of sizes and bitmaps, than another round.
-PIVOTS, PER_MEMBER = 4, 2000
+#: member are cheaper than a first round, which spares comparisons of texts, and as comparisons of sizes and bitmaps than another.
+PIVOTS, AT_ONCE, PER_MEMBER = 4, 8, 2000
 
 
 class Scheme:
@@ -323,10 +324,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = stored(_verify(_filtered(pairs, reps, percent), texts, k, percent), "join-links")
     more = rep.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     links = links.unionByName(more)
-    labels, done, pivots, turn, linked = components(links), pairs, True, 0, True
+    labels, done, turn, linked = components(links), pairs, 0, True
+    sets = reps.select("id", F.struct("n", *(f"b{i}" for i in range(BITMAP))).alias("s"))
+    split = stored(_split(members, labels).join(sets, "id"), "join-split")
     while True:
-        split = stored(_split(members, reps, labels), "join-split")
-        pivots = turn == 0 or pivots and linked and _many(split)
+        pivots = linked and _many(split, PER_MEMBER if turn else AT_ONCE)
         left = stored((_pivots(split, percent, turn) if pivots else _across(split, percent)).join(done, ["a", "b"], "left_anti"), "join-remaining")
         linked = False
         if not left.isEmpty():
@@ -334,10 +336,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             linked = not more.isEmpty()
             labels = _merged(labels, more) if linked else labels
             done = done.unionByName(left)
-        discard(split)
-        if not pivots and not linked:
-            break
+        if not pivots:
+            break  # links only merge components, so no pair across them is left
+        if linked:  # nor does a bucket of one component get several
+            before, split = split, stored(_split(split, labels), "join-split")
+            discard(before)
         turn += 1
+    discard(split)
     discard(found, of, pairs, reps, members, texts, left)
     tagged = info.join(classes.hint("merge"), ["n", "h1", "h2"], "left")
     out = tagged.join(labels.hint("merge"), tagged["rep"] == labels["v"], "left")
@@ -351,20 +356,20 @@ def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(ia.hint("merge"), "a").join(ib.hint("merge"), "b").filter(_possible(percent, "sa", "sb")).select("a", "b")
 
 
-def _split(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with labels and sets, of the buckets that hold several components and a document that probes."""
-    m = members.join(labels.select(F.col("v").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with labels, of the buckets that hold several components and a document that probes."""
+    m = members.drop("label").join(labels.select(F.col("v").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     split = m.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("probe").alias("any")).filter("lo <> hi AND any").select("sig")
     split = stored(split, "join-split-buckets")
-    sets = reps.select("id", F.struct("n", *(f"b{i}" for i in range(BITMAP))).alias("s"))
-    return m.join(split, "sig", "left_semi").join(sets, "id").select("sig", "id", "label", "probe", "s")
+    return m.join(split, "sig", "left_semi")
 
 
-def _many(split: DataFrame) -> bool:
-    """Whether there are more pairs across components than PER_MEMBER for each member: another round with pivots costs less then."""
-    sizes = split.groupBy("sig", "label").agg(F.count("*").cast("double").alias("n")).groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"))
-    pairs, rows = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
-    return pairs > PER_MEMBER * rows
+def _many(split: DataFrame, most: int) -> bool:
+    """Whether pairs of a probing member with one of another component are more than ``most`` for each member."""
+    counts = F.count("*").cast("double").alias("n"), F.sum(F.col("probe").cast("double")).alias("p")
+    sizes = split.groupBy("sig", "label").agg(*counts).groupBy("sig").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.col("n") * F.col("p")).alias("np"))
+    pairs, rows = sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("p") - F.col("np")), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
+    return pairs > most * rows
 
 
 def _pivots(split: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -387,11 +392,14 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _across(split: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of a bucket in different components, of which one probes, that sizes and bitmaps don't rule out."""
-    x = split.select("sig", F.col("id").alias("a"), F.col("label").alias("la"), F.col("probe").alias("pa"), F.col("s").alias("sa"))
-    y = split.select(F.col("sig").alias("sig2"), F.col("id").alias("b"), F.col("label").alias("lb"), F.col("probe").alias("pb"), F.col("s").alias("sb"))
-    on = (F.col("sig") == F.col("sig2")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("pa") | F.col("pb")) & _possible(percent, "sa", "sb")
-    return x.join(y.hint("merge"), on).select("a", "b").distinct()
+    """All pairs (a, b) of a bucket in different components, of which one probes, that sizes and bitmaps don't rule out.
+
+    Only members that probe are one side of the join: of a common subset these are few, and all pairs its square.
+    """
+    x = split.filter("probe").select("sig", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("s").alias("sx"))
+    y = split.select(F.col("sig").alias("sig2"), F.col("id").alias("y"), F.col("label").alias("ly"), F.col("probe").alias("py"), F.col("s").alias("sy"))
+    on = (F.col("sig") == F.col("sig2")) & (F.col("lx") != F.col("ly")) & (~F.col("py") | (F.col("x") < F.col("y"))) & _possible(percent, "sx", "sy")
+    return x.join(y.hint("merge"), on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 ORACLE = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),

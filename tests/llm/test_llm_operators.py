@@ -678,3 +678,35 @@ def test_packed_rows_of_the_join_stay_long(shingles, least_in_a_row):
     """At 30 GB and 3 TB of text: signatures that one flush sends to one hash range."""
     n_groups, flush_at = jaccard.extent(shingles, 200)
     assert flush_at / n_groups >= least_in_a_row and shingles / n_groups <= 8_000_000
+
+
+def test_jaccard_compares_each_pair_across_components_once(spark, monkeypatch):
+    rng, calls = np.random.default_rng(9), []
+    rows = []
+    for base in range(12):
+        body = rng.choice([f"w{i}" for i in range(300)], int(rng.integers(20, 120))).tolist()
+        for i in range(10):
+            some = list(body)
+            for at in rng.integers(0, len(body), int(rng.integers(0, 4))):
+                some[at] = f"x{rng.integers(50)}"
+            rows.append((base * 100 + i, " ".join(some)))
+    split = jaccard._split
+    monkeypatch.setattr(jaccard, "_split", lambda *a: calls.append(1) or split(*a))
+    want = brute_components(rows, 3, 90)
+    for at_once, per_member in ((10**6, 10**6), (-1, -1)):  # no rounds with pivots, and as many as find links
+        monkeypatch.setattr(jaccard, "AT_ONCE", at_once, raising=False)
+        monkeypatch.setattr(jaccard, "PER_MEMBER", per_member)
+        calls.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, rows), k=3, percent=90).collect()}
+        assert got == want
+        assert at_once < 0 or len(calls) == 1  # what is found last leads to no further round
+
+
+def test_jaccard_pairs_of_a_common_subset_grow_with_those_that_probe(spark):
+    bits = [0] * jaccard.BITMAP
+    rows = [(1, i, i // 3, i in (5, 6, 700), (30, *bits)) for i in range(6000)] + [(2, i, i, True, (30 + 30 * (i % 2), *bits)) for i in range(6)]
+    split = spark.createDataFrame(rows, f"sig long, id long, label long, probe boolean, s struct<n: long, {', '.join(f'b{i}: long' for i in range(jaccard.BITMAP))}>")
+    want = {(min(i, j), max(i, j)) for i in (5, 6, 700) for j in range(6000) if i // 3 != j // 3} | {(i, j) for i in range(6) for j in range(i + 1, 6) if (i + j) % 2 == 0}
+    got = [(r.a, r.b) for r in jaccard._across(split, 80).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert not jaccard._many(split, 4) and jaccard._many(split, 2)  # of all pairs there are some 3,000 for each member
