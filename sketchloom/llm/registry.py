@@ -101,4 +101,4 @@ ORACLES["op9_substring_dedup"] = substrings.ORACLE
 
 @query
 def op10_sentencepiece(spark, d):
-    return pieces.encode_samples(table(spark, d, "documents"), keep_ids=0).drop("ids")
+    return pieces.encode_samples(table(spark, d, "documents"))

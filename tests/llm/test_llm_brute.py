@@ -255,3 +255,11 @@ def test_encode_gives_back_texts(spark, documents, monkeypatch):
     whole = pieces.best(v, *text_bytes(pa.array(texts)))
     monkeypatch.setattr(pieces, "PART", 50)
     assert all((a == b).all() for a, b in zip(whole, pieces.best(v, *text_bytes(pa.array(texts))))) and [len(x) for x in whole[:2]] == [0, 0]
+
+
+def test_op10_gives_the_ids_of_each_segmentation(spark, documents):
+    v, texts = pieces.Vocabulary.load(), {d["doc_id"]: (d["text"] or "").encode() for d in documents}
+    got = QUERIES["op10_sentencepiece"](spark, D).toArrow().to_pylist()
+    for r in got:
+        assert len(r["ids"]) == r["n_pieces"] and hashlib.sha256(np.array(r["ids"], "<i4").tobytes()).hexdigest() == r["ids_sha256"]
+        assert pieces.decode(v, r["ids"]) == texts[r["doc_id"]]
