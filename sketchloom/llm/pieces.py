@@ -39,6 +39,10 @@ _SLOT_BITS = 20
 BATCH = 1 << 17
 #: A lattice's probabilities are times exp(RATE) for each byte, and those of long words are scaled again every so many bytes.
 RATE, RESCALE = 2.0, 32
+#: No Gumbel at a location is greater than that by more than this, as -log of a uniform number is 2 ** -54 at least.
+REACH = 37.5
+#: Departures are looked at down to this much under a region's start, in logs, and further down where that can't be enough.
+DEEP = 45.0
 #: A text of more bytes is gone through in parts of about this size, so that its lattice is never held whole.
 PART = 1 << 18
 
@@ -145,6 +149,16 @@ def decode(vocabulary: Vocabulary, ids) -> bytes:
     return b"".join(out)[1:]
 
 
+def _spelt(v: Vocabulary, each: list[np.ndarray]) -> list[bytes]:
+    """What ``decode`` gives for each, for short ones at once."""
+    if sum(map(len, each)) > PART:
+        return [decode(v, ids) for ids in each]
+    flat = np.concatenate(each)
+    text = b" " + decode(v, flat)
+    end = np.concatenate([[0], np.cumsum(v.size[flat])])[np.cumsum([len(ids) for ids in each])].tolist()
+    return [text[a + 1 : b] for a, b in zip([0, *end], end)]
+
+
 class Lattice:
     """Edges from all places of some words, with their probabilities given that a segmentation comes by their start.
 
@@ -202,7 +216,7 @@ class Lattice:
             self.degree[begin] += 1
         nodes = np.flatnonzero(self.degree)
         far = left[nodes]
-        nodes = nodes[np.argsort(far.astype(np.uint16) if n < 1 << 16 else far, kind="stable")]
+        nodes = nodes[np.argsort(far.astype(np.min_scalar_type(int(size.max(initial=0)))), kind="stable")]
         degree = self.degree[nodes]
         offset = np.concatenate([[0], np.cumsum(degree)])
         self.first = np.zeros(n, np.int64)
@@ -284,7 +298,7 @@ def _uniform(seed: np.ndarray, place: np.ndarray, turn: int) -> np.ndarray:
 def _truncated(mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbels at location ``mass`` that are at most ``bound``."""
     with np.errstate(divide="ignore", over="ignore"):
-        g = mass - np.log(np.exp(mass - bound) - np.log(u))
+        g = mass - np.log(np.exp(mass - bound) + np.maximum(-np.log(u), 2.0**-54))
     return np.where(np.isfinite(mass), np.minimum(g, bound), -np.inf)
 
 
@@ -314,17 +328,16 @@ def sample(v: Vocabulary, raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray
     doc_word = np.searchsorted(ws, off)
     doc = np.repeat(np.arange(len(n)), np.diff(doc_word))
     seed = mix(keys.astype(np.int64).view(np.uint64) * MULTIPLIERS[42])
-    local = off[doc]
+    start = (seed - off[:-1].astype(np.uint64) * MULTIPLIERS[40])[doc]  # to which a place in all texts is added, times its number
 
-    def walk(chosen: np.ndarray, words: np.ndarray, begin: np.ndarray, turn: int) -> None:
-        at = begin
+    def walk(chosen: np.ndarray, words: np.ndarray, at: np.ndarray, turn: int) -> None:
+        base, by, stop = start[words], shift[words], we[words]
         while len(at):
-            u = _uniform(seed[doc[words]], at - local[words], turn)
-            e = lat.choose(at + shift[words], u)
+            e = lat.choose(at + by, _uniform(base, at, turn))
             chosen[at] = e
             at = at + lat.length[e]
-            go = at < we[words]
-            words, at = words[go], at[go]
+            go = np.flatnonzero(at < stop)
+            at, base, by, stop = at[go], base[go], by[go], stop[go]
 
     docs = np.flatnonzero(some)
     chosen = np.full(len(data), -1, np.int64)
@@ -339,41 +352,44 @@ def sample(v: Vocabulary, raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray
     fresh, source = docs, chosen
     for turn in range(k):
         # segmentations ``source`` of the texts ``fresh``: note them, and split the rest of their regions
-        mark = np.zeros(len(data) + 1, np.int64)
-        np.add.at(mark, off[fresh], 1)
-        np.add.at(mark, off[fresh + 1], -1)
-        inside = np.cumsum(mark[:-1]) > 0
-        place = np.flatnonzero((source >= 0) & inside)
+        place = np.flatnonzero(source >= 0)
         e = source[place]
-        run = np.searchsorted(place, off[fresh])
-        stop = np.searchsorted(place, off[fresh + 1])
-        own = np.repeat(fresh, stop - run)
-        logp = np.log(lat.p[e])
-        total = np.concatenate([[0.0], np.cumsum(logp)])
-        prefix = total[:-1] - np.repeat(total[run], stop - run)
-        free = np.flatnonzero(place >= begin[own]) if turn else np.arange(len(place))  # where the region may be departed from
-        mass = np.full(len(place), -np.inf)
-        mass[free] = prefix[free] + lat.log_rest(place[free] + shift[word_of[place[free]]], e[free])
+        run, stop, lead = (np.searchsorted(place, x) for x in (off[fresh], off[fresh + 1], begin[fresh]))
+        total = np.concatenate([[0.0], np.cumsum(np.log(lat.p[e]))])
+        first_mass = {}
         for i, d in enumerate(fresh.tolist()):
-            results[d].append((lat.ids[e[run[i] : stop[i]]], float(total[stop[i]] - total[run[i]]), float(bound[d])))
+            a, b, j = int(run[i]), int(stop[i]), int(lead[i])
+            results[d].append((lat.ids[e[a:b]], float(total[b] - total[a]), float(bound[d])))
             if left_out[d]:  # at its first free place the region leaves out what its parents did, too
-                j = run[i] + int(np.searchsorted(place[run[i] : stop[i]], begin[d]))
                 node = int(place[j] + shift[word_of[place[j]]])
                 rest = sum(lat.p[x] for x in lat.edges(node) if x != e[j] and x not in left_out[d])
-                mass[j] = prefix[j] + np.log(rest) if rest > 0 else -np.inf
-        g = np.full(len(place), -np.inf)
-        who = own[free]
-        g[free] = _truncated(mass[free], bound[who], _uniform(seed[who], place[free] - off[who], 2000 + turn))
-        for _ in range(k - turn):
-            top = np.maximum.reduceat(g, run)
-            best = np.flatnonzero(g == np.repeat(top, stop - run))
-            best = best[np.isfinite(g[best])]
-            _, one = np.unique(own[best], return_index=True)
-            for j in best[one].tolist():
-                d = int(own[j])
-                out_edges = (*left_out[d], int(e[j])) if place[j] == begin[d] and left_out[d] else (int(e[j]),)
-                queue[d].append((float(g[j]), int(place[j]), out_edges, source))
-            g[best[one]] = -np.inf
+                first_mass[i] = total[j] - total[a] + np.log(rest) if rest > 0 else -np.inf
+        deep = total[lead] - DEEP
+        while True:  # where the regions may be departed from: sums fall along a text, so that these are the first places
+            upto = np.clip(np.searchsorted(-total[:-1], -deep, side="right"), lead + 1, stop)
+            count = upto - lead
+            end = np.cumsum(count)
+            free = np.arange(end[-1]) + np.repeat(lead - (end - count), count)
+            own, at = np.repeat(fresh, count), place[free]
+            mass = total[free] - np.repeat(total[run], count) + lat.log_rest(at + shift[word_of[at]], e[free])
+            for i, m in first_mass.items():
+                mass[end[i] - count[i]] = m
+            g = _truncated(mass, bound[own], _uniform(seed[own], at - off[own], 2000 + turn))
+            found = []
+            for _ in range(k - turn):
+                top = np.maximum.reduceat(g, end - count)
+                best = np.flatnonzero(g == np.repeat(top, count))
+                best = best[np.isfinite(g[best])]
+                _, one = np.unique(own[best], return_index=True)
+                found += [(int(own[j]), float(g[j]), int(at[j]), int(e[free[j]])) for j in best[one].tolist()]
+                g[best[one]] = -np.inf
+            # what comes later could be among them only where it may reach the last of them
+            enough = top - REACH + total[run]
+            if not ((upto < stop) & (enough <= total[upto])).any():
+                break
+            deep = np.minimum(deep, enough)
+        for d, x, j, edge in found:
+            queue[d].append((x, j, (*left_out[d], edge) if j == begin[d] and left_out[d] else (edge,), source))
         if turn == k - 1:
             break
         # the best region of each text
@@ -591,6 +607,12 @@ _LOADED: dict[str, Vocabulary] = {}
 _SCHEMA = "sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, decoded_sha256 string, lossless boolean, ids array<int>"
 
 
+def _lists(ids: list[np.ndarray | None]) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in ids])]).astype(np.int32)
+    flat = np.concatenate([np.empty(0, np.int32), *(x for x in ids if x is not None)])
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat), mask=pa.array([x is None for x in ids]))
+
+
 def encode_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SAMPLES, model: str = MODEL, keep_ids: int | None = None) -> DataFrame:
     """Up to k rows for each document, numbered from 1 by their perturbed log-probability. ids is NULL from sample number ``keep_ids`` + 1 on."""
     v = Vocabulary.load(model)
@@ -605,15 +627,17 @@ def encode_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             raw = data.tobytes()
             keys = b.column(2).to_numpy()
             found = [sample_long(vocabulary, data, int(keys[0]), k)] if len(data) > PART else sample(vocabulary, data, off, keys, k)
-            rows, at = [], []
+            rows, at, kept = [], [], []
+            spelt = iter(_spelt(vocabulary, [x[0] for samples in found for x in samples]))
             for i, samples in enumerate(found):
                 want = raw[off[i] : off[i + 1]]
                 for s, (ids, logp, g, q) in enumerate(samples):
-                    got = decode(vocabulary, ids)
+                    got = next(spelt)
                     at.append(i)
-                    rows.append((s + 1, len(ids), logp, g, q, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(got).hexdigest(), got == want, ids if keep_ids is None or s < keep_ids else None))
-            kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=[key, *(x.split()[0] for x in _SCHEMA.split(", "))])
+                    rows.append((s + 1, len(ids), logp, g, q, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(got).hexdigest(), got == want))
+                    kept.append(ids if keep_ids is None or s < keep_ids else None)
+            kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds)), _lists(kept)], names=[key, *(x.split()[0] for x in _SCHEMA.split(", "))])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text).cast("string").alias("__text"), F.xxhash64(key).alias("__seed")).mapInArrow(run, f"`{key}` {kind}, {_SCHEMA}")

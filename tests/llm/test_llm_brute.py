@@ -263,3 +263,20 @@ def test_op10_gives_the_ids_of_each_segmentation(spark, documents):
     for r in got:
         assert len(r["ids"]) == r["n_pieces"] and hashlib.sha256(np.array(r["ids"], "<i4").tobytes()).hexdigest() == r["ids_sha256"]
         assert pieces.decode(v, r["ids"]) == texts[r["doc_id"]]
+
+
+def test_far_departures_are_looked_at_only_where_they_can_be_taken(monkeypatch):
+    v, looked = pieces.Vocabulary.load(), []
+    texts = ["the quick brown fox jumps over lazy dogs " * 2000, "", " ", "a", "0" * 900, "the the", "日本語 tokens " * 90]
+    data, off = text_bytes(pa.array(texts))
+    truncated = pieces._truncated
+    monkeypatch.setattr(pieces, "_truncated", lambda mass, *x: looked.append(len(mass)) or truncated(mass, *x))
+    for k in (1, 2, 6):
+        looked.clear()
+        got = pieces.sample(v, data, off, np.arange(len(texts)), k)
+        assert looked[0] < sum(len(rows[0][0]) for rows in got) / 4
+        for deep in (0.0, np.inf):  # from the first places on as far as needed, and all places
+            with monkeypatch.context() as m:
+                m.setattr(pieces, "DEEP", deep)
+                other = pieces.sample(v, data, off, np.arange(len(texts)), k)
+            assert all(len(a) == len(b) and all((x[0] == y[0]).all() and x[1:] == y[1:] for x, y in zip(a, b)) for a, b in zip(got, other))
