@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import chat, decontaminate, jaccard, licenses, lines, media, pieces, quality, substrings, warc
+from sketchloom.llm import alignment, chat, decontaminate, jaccard, licenses, lines, media, packing, pieces, quality, substrings, variants, warc
 from sketchloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,20 @@ ORACLES["op9_substring_dedup"] = substrings.ORACLE
 @query
 def op10_sentencepiece(spark, d):
     return pieces.encode_samples(table(spark, d, "documents"))
+
+
+@query
+def op11_best_fit_packing(spark, d):
+    placed = packing.pack(table(spark, d, "documents"))
+    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op12_cross_tokenizer_alignment(spark, d):
+    aligned = alignment.cross_align(table(spark, d, "documents"))
+    return aligned.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+
+@query
+def op13_spelling_variants(spark, d):
+    return variants.variants(table(spark, d, "documents"))
