@@ -10,8 +10,10 @@ often as pieces last. A piece finds its sequence and place by its rank among the
 in the task that made it plus the number of such pieces of earlier tasks. So the result is that of one packer that sees
 all documents, and no task sees more than its own.
 
-The tokenizer drops white space and looks at nothing across it, so that words (runs between ASCII white space) are encoded
-once for each task, by the hundred thousand, and texts are put together from them.
+The tokenizer drops white space and looks at nothing across it, nor does it from a letter or digit to ASCII punctuation and
+back, but for what follows an apostrophe, nor from a digit to the next. So texts are cut at all these places, and the units
+between them, in small letters, are encoded once for each task, by the hundred thousand; texts are put together from
+those. Texts with ``<|``, which may begin a special token, are encoded by themselves.
 
 Defined cases: a NULL or empty text, or one of white space only, is the end token alone; repeated rows, NULL ids and ids
 of any type are each a document of their own; an empty table gives an empty result; texts are taken whole. Columns other
@@ -34,15 +36,32 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sketchloom.llm.common import fresh, slices, stored, text_bytes
+from sketchloom.llm.text import LOWER
 
 SIZE, END = 4096, 1
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
-#: Words whose ids a task keeps, and their bytes, before it begins anew.
-WORDS, WORD_BYTES = 300_000, 32 << 20
+#: Units whose ids a task keeps, and their bytes, before it begins anew.
+UNITS, UNIT_BYTES = 400_000, 32 << 20
+_ALNUM, _DIGIT, _PUNCT = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_DIGIT[0x30:0x3A] = True
+_ALNUM[0x30:0x3A] = _ALNUM[0x41:0x5B] = _ALNUM[0x61:0x7B] = True
+_PUNCT[0x21:0x7F] = ~_ALNUM[0x21:0x7F]
+_BEFORE = _PUNCT.copy()
+_BEFORE[0x27] = False  # 's and the like are one word of the tokenizer
+
+
+def units(text: bytes) -> list[bytes]:
+    """What the tokenizer takes by itself."""
+    if not text:
+        return []
+    data = LOWER[np.frombuffer(text, np.uint8)]
+    x, y = data[:-1], data[1:]
+    cut = np.flatnonzero(_ALNUM[x] & (_PUNCT[y] | _DIGIT[y]) | (_BEFORE[x] | _DIGIT[x]) & _ALNUM[y]) + 1
+    return np.insert(data, cut, 0x20).tobytes().split()
 
 
 class Encoder:
-    """Ids of texts by way of their distinct words."""
+    """Ids of texts by way of their distinct units."""
 
     def __init__(self, vocabulary: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -56,29 +75,29 @@ class Encoder:
         self.held = 0
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[bytes]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+    def _learn(self, new: list[bytes]) -> None:
+        encoded = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         begin = len(self.flat) + np.cumsum(sizes) - sizes
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         self.starts, self.sizes = np.concatenate([self.starts, begin]), np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, np.fromiter((i for e in encoded for i in e), np.uint32, int(sizes.sum()))])
-        self.held += sum(map(len, words))
+        self.held += sum(map(len, new))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and len + 1 offsets into them."""
-        if len(self.known) > WORDS or self.held > WORD_BYTES:
+        if len(self.known) > UNITS or self.held > UNIT_BYTES:
             self._clear()
-        words = [t.split() for t in texts]
-        new = list(set().union(*words).difference(self.known))
+        each = [[t] if b"<|" in t else units(t) for t in texts]
+        new = list(set().union(*each).difference(self.known))
         if new:
             self._learn(new)
         known = self.known
-        at = np.fromiter((known[w] for ws in words for w in ws), np.int64)
+        at = np.fromiter((known[u] for us in each for u in us), np.int64)
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
-        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(w) for w in words])])]
+        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(us) for us in each])])]
 
 
 def _pieces(vocabulary, size: int, end: int, schema: pa.Schema):
