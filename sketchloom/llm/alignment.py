@@ -5,13 +5,14 @@ same byte. Texts are split before runs of white space first. Neither tokenizer m
 there, and ``Splits`` checks in both vocabularies that no entry has the run's first character behind one that isn't white
 space; characters that fail are not split at. So a text's tokens are those of its segments end to end.
 
-1. Tasks cut texts into segments, and write each document as numbers of the distinct segments of its chunk.
-2. Distinct segments of all chunks are encoded and aligned once.
-3. Alignments are joined back to chunks by the segment, and each chunk counts in how many of its documents an A-B pair is
-   linked; the sums over all chunks are the pairs' counts.
+1. Tasks cut texts into segments, write each document as numbers of the distinct segments of its chunk, and deal these
+   segments, packed in compressed rows, to ranges of a hash.
+2. A range's distinct segments, of all chunks, are encoded and aligned once, and each chunk's go back to it in one row.
+3. Each chunk counts in how many of its documents an A-B pair is linked; the sums over all chunks are the pairs' counts.
 4. Counts are joined back to chunks by the pair, and documents are composed from their segments.
 
-A segment or a pair is in a join once for each chunk that has it, however often documents do.
+A segment or a pair travels once for each chunk that has it, however often documents do. Ranges grow with the input, so
+that rows stay long: by calculation 500 segments at 30 GB; beyond some 3 TB rows have few and packing gains little.
 
 Defined cases: texts that are NULL or empty, or whose tokens don't join to space + text in A or B (B takes U+2581 for a
 space), have no tokens: zeros and an empty ``groups``; repeated rows are documents of their own, each counted; ids may be
@@ -23,20 +24,26 @@ from __future__ import annotations
 
 import os
 import uuid
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sketchloom.llm.common import discard, fresh, open_uri, shared_dir, slices, stored, text_bytes
 
 TOKENIZER_A, TOKENIZER_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of text in a chunk (a longer document is one alone), and segments encoded at a time.
-CHUNK, SEGMENTS = 16 << 20, 20_000
+#: Bytes of text in a chunk (a longer document is one alone), segments encoded at a time, and segments of documents looked at at once.
+CHUNK, SEGMENTS, WORK = 16 << 20, 20_000, 2_000_000
+#: Bytes of input for each hash range, at least and at most, and ranges up to which it is the least.
+LEAST, MOST, RANGES = 8 << 20, 64 << 20, 2000
 #: Bytes after which nothing is split: white space, or what may end a white-space character of two or three bytes.
 _SPACES = np.zeros(256, bool)
 _SPACES[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
@@ -70,6 +77,7 @@ class Pair:
         normal = [p.replace("▁", " ") for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         self.splits = [c for c in " \n\t" if self._safe(c, normal)]
         self.space = [pieces.index("▁")]
+        self.size_a, self.size_b = np.array([len(x) for x in self.bytes_a]), np.array([len(x) for x in self.bytes_b])
 
     def _safe(self, c: str, normal: list[str]) -> bool:
         """No entry of A or B has ``c`` behind something that isn't white space. B has other characters than space in no entry at all, so that the space that it adds stays alone."""
@@ -105,36 +113,71 @@ def split_places(data: np.ndarray, splits: np.ndarray) -> np.ndarray:
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
+    return np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), sizes
 
 
-def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
+class Aligned(NamedTuple):
+    """Alignments of segments: ok, and numbers of A's and B's tokens and groups of each; ids of A and of B; and tokens of A and of B in each group."""
 
+    ok: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    in_a: np.ndarray
+    in_b: np.ndarray
 
-def align(pair: Pair, segments: list[bytes]) -> list[pa.Array]:
-    """Columns ok, a, b (ids), na, nb (tokens of each group) and form (``a1,a2|b1;...``) of segments. Where tokens don't join to the segment ok is false and the rest empty."""
+    def take(self, at: np.ndarray) -> Aligned:
+        def some(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+            n = sizes[at].astype(np.int64)
+            begin = (np.cumsum(sizes, dtype=np.int64) - sizes)[at]
+            return values[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+        return Aligned(self.ok[at], self.n_a[at], self.n_b[at], self.n_groups[at], some(self.a, self.n_a), some(self.b, self.n_b), some(self.in_a, self.n_groups), some(self.in_b, self.n_groups))
+
+
+def joined(parts: list[Aligned]) -> Aligned:
+    return Aligned(*(np.concatenate(x) for x in zip(*parts))) if parts else Aligned(*[np.empty(0, np.uint32)] * 8)
+
+
+def align(pair: Pair, segments: list[bytes]) -> Aligned:
+    """Where tokens don't join to the segment, ok is 0 and the rest empty."""
     a, b = pair.encode([s.decode() for s in segments])
     ok = np.array([b"".join([pair.bytes_a[i] for i in x]) == s and b"".join([pair.bytes_b[i] for i in y]) == s for s, x, y in zip(segments, a, b)], bool)
     for i in np.flatnonzero(~ok):
         a[i], b[i] = [], []
-    (fa, oa), (fb, ob) = _flat(a), _flat(b)
-    size_a, size_b = np.array([len(x) for x in pair.bytes_a]), np.array([len(x) for x in pair.bytes_b])
+    (fa, na), (fb, nb) = _flat(a), _flat(b)
     # ends on one line through all segments, as tokens of both cover each of them
-    ends_a, ends_b = np.cumsum(size_a[fa]), np.cumsum(size_b[fb])
+    ends_a, ends_b = np.cumsum(pair.size_a[fa]), np.cumsum(pair.size_b[fb])
     both = np.intersect1d(ends_a, ends_b)
     ga, gb = np.searchsorted(ends_a, both, side="right"), np.searchsorted(ends_b, both, side="right")
-    of_segment = np.searchsorted(oa[1:], ga)  # groups up to each segment's last token
-    groups = np.concatenate([[0], np.cumsum(np.bincount(of_segment, minlength=len(segments))[: len(segments)])])
-    na, nb = np.diff(ga, prepend=0), np.diff(gb, prepend=0)
-    text_a, text_b, la, lb = [str(i) for i in fa.tolist()], [str(i) for i in fb.tolist()], [0, *ga.tolist()], [0, *gb.tolist()]
-    each = [",".join(text_a[la[g] : la[g + 1]]) + "|" + ",".join(text_b[lb[g] : lb[g + 1]]) for g in range(len(both))]
-    form = [";".join(each[x:y]) for x, y in zip(groups[:-1].tolist(), groups[1:].tolist())]
-    return [pa.array(ok), _lists(fa, oa), _lists(fb, ob), _lists(na, groups), _lists(nb, groups), pa.array(form, pa.string())]
+    groups = np.bincount(np.searchsorted(np.cumsum(na), ga), minlength=len(segments))[: len(segments)]
+    return Aligned(*(x.astype(np.uint32) for x in (ok, na, nb, groups, fa, fb, np.diff(ga, prepend=0), np.diff(gb, prepend=0))))
+
+
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of 32-bit numbers, compressed; ``_spread`` gives them back."""
+    sizes = np.array([len(arrays), *map(len, arrays)], np.uint32)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([sizes.tobytes(), *(x.astype(np.uint32).tobytes() for x in arrays)]))
+
 
+def _spread(body: bytes) -> list[np.ndarray]:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint32)
+    n = int(flat[0])
+    return np.split(flat[n + 1 :], np.cumsum(flat[1 : n + 1].astype(np.int64))[:-1])
 
-ALIGNED = "ok boolean, a array<int>, b array<int>, na array<int>, nb array<int>, form string"
-_NAMES = ["ok", "a", "b", "na", "nb", "form"]
+
+def _bundle(segments: list[bytes]) -> bytes:
+    sizes = np.array([len(segments), *map(len, segments)], np.uint32)
+    return zstandard.ZstdCompressor(level=3).compress(sizes.tobytes() + b"".join(segments))
+
+
+def _unbundle(body: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (4 * (n + 1) + np.cumsum(np.frombuffer(raw, np.uint32, n, 4))).tolist()
+    return [raw[x:y] for x, y in zip([4 * (n + 1), *ends], ends)]
 
 
 def _put(out, table: pa.Table) -> int:
@@ -152,8 +195,13 @@ def _get(system, path: str, at: int, size: int) -> pa.Table:
         return pa.ipc.open_stream(f.read_at(size, at)).read_all().combine_chunks()
 
 
-def _chunks(root: str, splits: str):
-    """Rows (chunk, idx, seg, path, at, size): of each distinct segment of a chunk, and one of the chunk itself, with idx -1."""
+#: A row of a chunk's segments of one hash range, which are numbered from ``first`` on; and where the chunk's documents are.
+ROWS = "chunk long, bucket int, first int, segments binary, path string, at long, size long"
+BACK = "chunk long, first int, aligned binary, path string, at long, size long"
+
+
+def _chunks(root: str, splits: str, buckets: int):
+    """Rows as in ``ROWS``; a chunk without segments has one with bucket 0."""
     inside = np.zeros(256, bool)
     inside[[ord(c) for c in splits]] = True
 
@@ -184,13 +232,25 @@ def _chunks(root: str, splits: str):
                             index.append(found)
                             n = len(found)
                         sizes.append(n)
-                flat = np.concatenate(index) if index else np.empty(0, np.int32)
-                table = pa.table({"id": pa.chunked_array(ids), "index": _lists(flat, np.concatenate([[0], np.cumsum(sizes)]))}).combine_chunks()
-                size, number = _put(out, table), uuid.uuid4().int >> 65
-                none = [None] * len(seen)
-                rows = [pa.array([number] * (len(seen) + 1), pa.int64()), pa.array(range(-1, len(seen)), pa.int32()), pa.array([None, *seen], pa.binary()), pa.array([path, *none], pa.string()), pa.array([at, *none], pa.int64()), pa.array([size, *none], pa.int64())]
+                segments = list(seen)
+                del seen
+                bucket = np.fromiter(map(zlib.crc32, segments), np.int64, len(segments)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                number = np.empty(len(order), np.int32)
+                number[order] = np.arange(len(order))  # segments are numbered by range
+                flat = number[np.concatenate(index)] if index else np.empty(0, np.int32)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                table = pa.table({"id": pa.chunked_array(ids), "index": pa.ListArray.from_arrays(offsets, pa.array(flat))}).combine_chunks()
+                size, name = _put(out, table), uuid.uuid4().int >> 65
+                kinds, first = np.unique(bucket[order], return_index=True)
+                if not len(kinds):
+                    kinds, first = np.zeros(1, np.int64), np.zeros(1, np.int64)
+                ends, ranked = [*first[1:].tolist(), len(order)], order.tolist()
+                rows = [_bundle([segments[i] for i in ranked[x:y]]) for x, y in zip(first.tolist(), ends)]
+                n = len(rows)
+                columns = [pa.array([name] * n, pa.int64()), pa.array(kinds.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(rows, pa.binary()), pa.array([path] * n), pa.array([at] * n, pa.int64()), pa.array([size] * n, pa.int64())]
                 at += size
-                return pa.RecordBatch.from_arrays(rows, names=["chunk", "idx", "seg", "path", "at", "size"])
+                return pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "first", "segments", "path", "at", "size"])
 
             held, size = [], 0
             for b in slices(batches):
@@ -206,22 +266,34 @@ def _chunks(root: str, splits: str):
     return run
 
 
+def _encode(models):
+    """Distinct segments of a range, once, and each chunk's alignments."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        pair = Pair(*models.value)
+        seen: dict[bytes, int] = {}
+        asked = [np.array([seen.setdefault(s, len(seen)) for s in _unbundle(b)], np.int64) for b in rows.column("segments").to_pylist()]
+        segments = list(seen)
+        del seen
+        whole = joined([align(pair, segments[i : i + SEGMENTS]) for i in range(0, len(segments), SEGMENTS)])
+        back = [_squeeze(*whole.take(x)) for x in asked]
+        return pa.table({c: pa.array(back, pa.binary()) if c == "aligned" else rows.column(c) for c in ("chunk", "first", "aligned", "path", "at", "size")})
+
+    return run
+
+
 class Links:
     """Links of a chunk's distinct segments: the segment and the pair (A id << 32 | B id) of each."""
 
-    def __init__(self, table: pa.Table) -> None:
-        def of(name: str) -> tuple[np.ndarray, np.ndarray]:
-            c = table.column(name).combine_chunks()
-            return c.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(c.offsets.to_numpy()).astype(np.int64)
-
-        self.ok = table.column("ok").to_numpy(zero_copy_only=False).astype(bool)
-        (a, self.n_a), (b, self.n_b), (na, self.n_groups), (nb, _) = (of(n) for n in ("a", "b", "na", "nb"))
+    def __init__(self, x: Aligned) -> None:
+        self.ok = x.ok.astype(bool)
+        na, nb = x.in_a.astype(np.int64), x.in_b.astype(np.int64)
         links = na * nb
         group = np.repeat(np.arange(len(na)), links)
         i = np.arange(len(group)) - np.repeat(np.cumsum(links) - links, links)
         at_a, at_b = np.cumsum(na) - na, np.cumsum(nb) - nb
-        self.pair = (a[at_a[group] + i // nb[group]] << 32) | b[at_b[group] + i % nb[group]]
-        self.segment = np.repeat(np.repeat(np.arange(len(self.ok)), self.n_groups), links)
+        self.pair = (x.a[at_a[group] + i // nb[group]].astype(np.int64) << 32) | x.b[at_b[group] + i % nb[group]]
+        self.segment = np.repeat(np.repeat(np.arange(len(self.ok)), x.n_groups), links)
 
     def by_segment(self, values: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(self.segment, values, len(self.ok)).astype(np.int64)
@@ -236,62 +308,84 @@ def _documents(table: pa.Table, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _pairs(links: Links, flat: np.ndarray, off: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs and in how many documents each is linked."""
+    """Distinct pairs and in how many documents each is linked. Documents are gone through some million segments at a time."""
     n = len(links.ok)
-    doc = np.repeat(np.arange(len(live)), np.diff(off))
-    keep = live[doc]
-    doc, segment = np.divmod(np.unique(doc[keep] * max(n, 1) + flat[keep]), max(n, 1))
     pairs, code = np.unique(links.pair, return_inverse=True)
     per = np.bincount(links.segment, minlength=n)
     begin = np.cumsum(per) - per
-    count = per[segment]
-    where = np.repeat(begin[segment] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    linked = np.unique(np.repeat(doc, count) * max(len(pairs), 1) + code[where])
-    total = np.bincount(linked % max(len(pairs), 1), minlength=len(pairs))
+    total = np.zeros(len(pairs), np.int64)
+    lo = 0
+    while lo < len(live):
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + WORK, side="right")) - 1)
+        doc = np.repeat(np.arange(hi - lo), np.diff(off[lo : hi + 1]))
+        keep = live[lo:hi][doc]
+        doc, segment = np.divmod(np.unique(doc[keep] * max(n, 1) + flat[off[lo] : off[hi]][keep]), max(n, 1))
+        count = per[segment]
+        where = np.repeat(begin[segment] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        linked = np.unique(np.repeat(doc, count) * max(len(pairs), 1) + code[where])
+        total += np.bincount(linked % max(len(pairs), 1), minlength=len(pairs))
+        lo = hi
     return pairs[total > 0], total[total > 0]
 
 
-def _by_index(table: pa.Table) -> pa.Table:
-    return table.take(pc.sort_indices(table, [("idx", "ascending")])).combine_chunks()
-
-
 def _count(root: str):
-    """From a chunk's alignments and its place, rows (chunk, pair, n), and one of the chunk with the places of its documents and alignments."""
+    """From a chunk's alignments, rows (chunk, pair, n), and one of the chunk with the places of its documents and alignments."""
 
-    def run(aligned: pa.Table, place: pa.Table) -> pa.Table:
+    def run(rows: pa.Table) -> pa.Table:
         system, folder = open_uri(root)
-        aligned = _by_index(aligned)
-        links, (p,) = Links(aligned), place.to_pylist()
-        pairs, n = _pairs(links, *_documents(_get(system, p["path"], p["at"], p["size"]), links.ok))
-        path = f"{folder}/{uuid.uuid4().hex}"
-        with system.open_output_stream(path) as out:
-            size = _put(out, aligned.select(_NAMES))
+        parts = sorted(zip(rows.column("first").to_pylist(), rows.column("aligned").to_pylist()))
+        aligned = joined([Aligned(*_spread(x)) for _, x in parts])
+        path, at, size = (rows.column(c)[0].as_py() for c in ("path", "at", "size"))
+        links = Links(aligned)
+        pairs, n = _pairs(links, *_documents(_get(system, path, at, size), links.ok))
+        name = f"{folder}/{uuid.uuid4().hex}"
+        with system.open_output_stream(name) as out:
+            out.write(_squeeze(*aligned))
         none = [None] * len(pairs)
-        return pa.table({"chunk": pa.array([p["of"]] * (len(pairs) + 1), pa.int64()), "pair": pa.array([None, *pairs.tolist()], pa.int64()), "n": pa.array([None, *n.tolist()], pa.int64()), "path": pa.array([p["path"], *none], pa.string()), "at": pa.array([p["at"], *none], pa.int64()), "size": pa.array([p["size"], *none], pa.int64()), "aligned": pa.array([path, *none], pa.string()), "aligned_size": pa.array([size, *none], pa.int64())})
+        head = lambda v, t: pa.array([v, *none], t)
+        return pa.table({"chunk": pa.array([rows.column("chunk")[0].as_py()] * (len(pairs) + 1), pa.int64()), "pair": pa.array([None, *pairs.tolist()], pa.int64()), "n": pa.array([None, *n.tolist()], pa.int64()), "path": head(path, pa.string()), "at": head(at, pa.int64()), "size": head(size, pa.int64()), "aligned": head(name, pa.string())})
 
     return run
 
 
+def _text(x: Aligned) -> pa.Array:
+    """``a1,a2|b1;a3|b2`` of each segment."""
+    def lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)), values)
+
+    a, b = (pc.binary_join(lists(pa.array(ids).cast(pa.string()), n), ",") for ids, n in ((x.a, x.in_a), (x.b, x.in_b)))
+    return pc.binary_join(lists(pc.binary_join_element_wise(a, b, "|"), x.n_groups), ";")
+
+
 def _compose(root: str, schema: pa.Schema):
     def run(counts: pa.Table, place: pa.Table) -> pa.Table:
         system, _ = open_uri(root)
         (p,) = place.to_pylist()
-        aligned = _get(system, p["aligned"], 0, p["aligned_size"])
+        with system.open_input_stream(p["aligned"]) as f:
+            aligned = Aligned(*_spread(f.read()))
         links, table = Links(aligned), _get(system, p["path"], p["at"], p["size"])
         flat, off, live = _documents(table, links.ok)
         known = counts.column("pair").to_numpy()
         order = np.argsort(known)
-        at = order[np.searchsorted(known[order], links.pair)] if len(known) else np.empty(0, np.int64)
-        shared = np.isin(links.pair, known)  # pairs of documents without tokens have no count
-        df, best = (np.where(shared, counts.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[np.minimum(at, max(len(known) - 1, 0))], 0) if len(known) else np.zeros(len(links.pair), np.int64) for c in ("df", "best"))
-        sums = [links.n_a, links.n_b, links.n_groups, links.by_segment(), links.by_segment(best), links.by_segment(df)]
+        known = known[order]
+        at = np.searchsorted(known, links.pair)
+        shared = np.append(known, -1)[at] == links.pair  # pairs of documents without tokens alone have no count
+
+        def of(name: str) -> np.ndarray:
+            return np.where(shared, np.append(counts.column(name).to_numpy(zero_copy_only=False).astype(np.int64)[order], 0)[at], 0)
+
+        sums = [aligned.n_a, aligned.n_b, aligned.n_groups, links.by_segment(), links.by_segment(of("best")), links.by_segment(of("df"))]
         totals = []
         for s in sums:
-            c = np.concatenate([[0], np.cumsum(s[flat])])
+            c = np.concatenate([[0], np.cumsum(s.astype(np.int64)[flat])])
             totals.append(pa.array(np.where(live, c[off[1:]] - c[off[:-1]], 0)))
-        forms = aligned.column("form").to_pylist()
-        text = [";".join([forms[i] for i in flat[x:y].tolist()]) if ok else "" for x, y, ok in zip(off[:-1].tolist(), off[1:].tolist(), live.tolist())]
-        return pa.Table.from_arrays([table.column("id"), *totals, pa.array(text, pa.string())], schema=schema)
+        forms, texts, lo = _text(aligned), [], 0
+        while lo < len(live):  # some million segments at a time
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + WORK, side="right")) - 1)
+            some = pa.ListArray.from_arrays(pa.array((off[lo : hi + 1] - off[lo]).astype(np.int32)), forms.take(pa.array(flat[off[lo] : off[hi]])))
+            texts.append(pc.if_else(pa.array(live[lo:hi]), pc.binary_join(some, ";"), ""))
+            lo = hi
+        return pa.Table.from_arrays([table.column("id"), *totals, pa.chunked_array(texts, pa.string())], schema=schema)
 
     return run
 
@@ -309,35 +403,20 @@ def cross_align(docs: DataFrame, key: str = "doc_id", text: str = "text", tokeni
     root = shared_dir(spark, "alignment")
     kind = docs.schema[key].dataType
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    found = stored(rows.mapInArrow(_chunks(root, splits), "chunk long, idx int, seg binary, path string, at long, size long"), "alignment-segments")
-    places, words = found.filter("idx < 0").select(F.col("chunk").alias("of"), "path", "at", "size"), found.filter("idx >= 0").select("chunk", "idx", "seg")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = Pair(*shared.value)
-        for b in batches:
-            for s in slices(iter([b]), 0):
-                for lo in range(0, s.num_rows, SEGMENTS):
-                    some = s.column(0).slice(lo, SEGMENTS)
-                    yield pa.RecordBatch.from_arrays([some, *align(pair, some.to_pylist())], names=["seg", *_NAMES])
-
-    lexicon = stored(words.select("seg").distinct().mapInArrow(encode, f"seg binary, {ALIGNED}"), "alignment-lexicon")
-    aligned = words.join(lexicon, "seg").select("chunk", "idx", *_NAMES)
-    counted = aligned.groupBy("chunk").cogroup(places.groupBy("of")).applyInArrow(_count(root), "chunk long, pair long, n long, path string, at long, size long, aligned string, aligned_size long")
-    counted = stored(counted, "alignment-pairs")
-    discard(found, lexicon)
+    # what Spark knows of the input's size without reading it
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // min(MOST, max(LEAST, size // RANGES))))
+    found = stored(rows.mapInArrow(_chunks(root, splits, buckets), ROWS), "alignment-segments")
+    back = found.groupBy("bucket").applyInArrow(_encode(shared), BACK)
+    counted = stored(back.groupBy("chunk").applyInArrow(_count(root), "chunk long, pair long, n long, path string, at long, size long, aligned string"), "alignment-pairs")
+    discard(found)
     pairs = counted.filter("pair IS NOT NULL").select("chunk", "pair", "n")
     df = stored(pairs.groupBy("pair").agg(F.sum("n").alias("df")), "alignment-counts")
     top = df.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("df").alias("top"))
     df = df.join(top, F.shiftright("pair", 32) == F.col("a")).select("pair", "df", (F.col("df") == F.col("top")).alias("best"))
-    back = pairs.join(df, "pair").select("chunk", "pair", "df", "best")
-    heads = counted.filter("pair IS NULL").select(F.col("chunk").alias("of"), "path", "at", "size", "aligned", "aligned_size")
+    known = pairs.join(df, "pair").select("chunk", "pair", "df", "best")
+    heads = counted.filter("pair IS NULL").select(F.col("chunk").alias("of"), "path", "at", "size", "aligned")
     names = fresh([key], "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
-    schema = pa.schema([("id", _arrow(kind)), *((n, pa.int64()) for n in names[:-1]), (names[-1], pa.string())])
-    out = back.groupBy("chunk").cogroup(heads.groupBy("of")).applyInArrow(_compose(root, schema), f"id {kind.simpleString()}, " + ", ".join(f"{n} long" for n in names[:-1]) + f", {names[-1]} string")
+    schema = pa.schema([("id", to_arrow_type(kind)), *((n, pa.int64()) for n in names[:-1]), (names[-1], pa.string())])
+    out = known.groupBy("chunk").cogroup(heads.groupBy("of")).applyInArrow(_compose(root, schema), f"id {kind.simpleString()}, " + ", ".join(f"{n} long" for n in names[:-1]) + f", {names[-1]} string")
     return out.withColumnRenamed("id", key)
-
-
-def _arrow(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
