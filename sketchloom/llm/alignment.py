@@ -17,7 +17,8 @@ that rows stay long: by calculation 500 segments at 30 GB; beyond some 3 TB rows
 Defined cases: texts that are NULL or empty, or whose tokens don't join to space + text in A or B (B takes U+2581 for a
 space), have no tokens: zeros and an empty ``groups``; repeated rows are documents of their own, each counted; ids may be
 NULL and of any type; texts are taken whole; an empty table gives an empty result. Columns other than id and text are
-ignored; where the id is named like an output, that output's name gets underscores before it.
+ignored; where the id is named like an output, that output's name gets underscores before it. The input is read twice,
+the first time for its size alone.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 from typing import NamedTuple
 
@@ -42,8 +44,8 @@ from sketchloom.llm.common import discard, fresh, open_uri, shared_dir, slices,
 TOKENIZER_A, TOKENIZER_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text in a chunk (a longer document is one alone), segments encoded at a time, and segments of documents looked at at once.
 CHUNK, SEGMENTS, WORK = 16 << 20, 20_000, 2_000_000
-#: Bytes of input for each hash range, at least and at most, and ranges up to which it is the least.
-LEAST, MOST, RANGES = 8 << 20, 64 << 20, 2000
+#: Bytes of text for each hash range, at least and at most, and ranges up to which it is the least.
+LEAST, MOST, RANGES = 16 << 20, 128 << 20, 2000
 #: Bytes after which nothing is split: white space, or what may end a white-space character of two or three bytes.
 _SPACES = np.zeros(256, bool)
 _SPACES[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
@@ -96,6 +98,12 @@ class Pair:
         return a, [(self.space if s == " " else ids) if s[0] == " " else ids[1:] for s, ids in zip(segments, b)]
 
 
+@lru_cache(maxsize=1)
+def _loaded(a: bytes, b: bytes) -> Pair:
+    """Loaded once by each worker, which works on many ranges."""
+    return Pair(a, b)
+
+
 def _wide_space(before: bytes) -> bool:
     """Whether bytes end in a white-space character beyond ASCII, or in one that shares its first bytes."""
     return before[-2:] in (b"\xc2\x85", b"\xc2\xa0") or before[-3:-2] == b"\xe1" or before[-3:-1] in (b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
@@ -270,7 +278,7 @@ def _encode(models):
     """Distinct segments of a range, once, and each chunk's alignments."""
 
     def run(rows: pa.Table) -> pa.Table:
-        pair = Pair(*models.value)
+        pair = _loaded(*models.value)
         seen: dict[bytes, int] = {}
         asked = [np.array([seen.setdefault(s, len(seen)) for s in _unbundle(b)], np.int64) for b in rows.column("segments").to_pylist()]
         segments = list(seen)
@@ -403,8 +411,7 @@ def cross_align(docs: DataFrame, key: str = "doc_id", text: str = "text", tokeni
     root = shared_dir(spark, "alignment")
     kind = docs.schema[key].dataType
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    # what Spark knows of the input's size without reading it
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // min(MOST, max(LEAST, size // RANGES))))
     found = stored(rows.mapInArrow(_chunks(root, splits, buckets), ROWS), "alignment-segments")
     back = found.groupBy("bucket").applyInArrow(_encode(shared), BACK)
