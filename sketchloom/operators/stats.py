@@ -2,7 +2,7 @@
 
 Without weights they are native aggregates. Weighted observations and summaries that are merged are gone through once:
 each task combines its own in numpy, by shifting moments to the common mean, and only a part for each task and key is
-shuffled.
+shuffled and added up as it comes by.
 
 The weight of an observation multiplies the count but not the sum, so that (x, c) stands for c copies of x / c; pass
 ``weighting="frequency"`` for c copies of x.
@@ -56,10 +56,30 @@ def build(df: DataFrame, keys, x: str, weight: str | int = 1, weighting: str = "
     return merge(rows.select(*keys, single.alias(out)), keys, out)
 
 
+#: Spark's skewness and kurtosis divide by powers of m2, which leave a double's range long before m3 and m4 do. So they
+#: are taken of values times a power of two, which depends on a key's largest magnitude: (from which on, factor).
+RANGES = [(1e50, 2.0**-240), (1e-22, 1.0), (1e-94, 2.0**240)]
+#: Scaled values under this are taken as 0: beside the largest they don't count, and m2 of others can't vanish by rounding.
+FLUSH = 1e-37
+
+
+def _standard(function: str, v: str) -> str:
+    """Skewness or kurtosis of values of whatever size; where all are under 1e-94 their moments have no place in a double."""
+    most = f"greatest(abs(min({v})), abs(max({v})))"
+    cases, above = [], None
+    for least, factor in RANGES:
+        beyond = "" if above is None else f"WHEN abs({v}) >= {above!r}D THEN 0D "  # such keys are another range's
+        value = f"CASE WHEN abs({v}) < {FLUSH / factor!r}D THEN 0D {beyond}ELSE {v} * {factor!r}D END"
+        cases.append(f"WHEN {most} >= {least!r}D THEN {function}({value})")
+        above = least
+    return "CASE " + " ".join(cases) + " END"
+
+
 def aggregate(df: DataFrame, keys: list[str], x: str, out: str = "stats") -> DataFrame:
     """``build`` for a double column whose NaNs are NULL already; it also works on a streaming DataFrame."""
     v = f"`{x}`"
-    aggs = [F.expr(f"{f}({v}) AS {n}") for f, n in (("count", "__n"), ("sum", "__s"), ("min", "__lo"), ("max", "__hi"), ("var_pop", "__v"), ("skewness", "__g"), ("kurtosis", "__k"))]
+    aggs = [F.expr(f"{f}({v}) AS {n}") for f, n in (("count", "__n"), ("sum", "__s"), ("min", "__lo"), ("max", "__hi"), ("var_pop", "__v"))]
+    aggs += [F.expr(f"{_standard(f, v)} AS {n}") for f, n in (("skewness", "__g"), ("kurtosis", "__k"))]
     m2 = "coalesce(__v * __n, 0D)"
     m3 = f"CASE WHEN __n > 0 THEN coalesce(__g * pow({m2}, 1.5D) / sqrt(__n), 0D) ELSE 0D END"
     m4 = f"CASE WHEN __n > 0 THEN coalesce((__k + 3D) * {m2} * {m2} / __n, 0D) ELSE 0D END"
@@ -68,29 +88,25 @@ def aggregate(df: DataFrame, keys: list[str], x: str, out: str = "stats") -> Dat
 
 
 def merge(df: DataFrame, keys, stats: str = "stats") -> DataFrame:
-    """Merges the summaries of each key: each task those that it reads, then the tasks' parts of a key with each other."""
+    """Merges the summaries of each key: each task those that it reads, then the tasks' parts of a key with each other.
+
+    Both steps hold one summary for each key: parts come sorted by key to the second and are added up as they come by,
+    however many tasks there were.
+    """
     keys = key_list(keys)
     if [f.name for f in df.schema[stats].dataType] != FIELDS:
         raise TypeError(f"{stats} is not a column of summary statistics")
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(stats, STATS)])
-    rows = df.select(*keys, *((F.col(stats)[f] if f in ("min", "max") else F.coalesce(F.col(stats)[f].cast("double"), F.lit(0.0))).alias(f"__{f}") for f in FIELDS))
-    parts = rows.mapInArrow(partial(_partial, nkeys=len(keys), schema=to_arrow_schema(schema)), schema)
-    # one part for each task and key: few enough for an array
-    whole = parts.groupBy(*keys).agg(F.collect_list(stats).alias("__l"))
-    zero, none = F.lit(0.0), F.lit(None).cast("double")
-    start = F.struct(zero.alias("n"), zero.alias("s"), none.alias("lo"), none.alias("hi"))
-    totals = F.aggregate("__l", start, lambda a, x: F.struct((a["n"] + x["count"]).alias("n"), (a["s"] + x["sum"]).alias("s"), F.least(a["lo"], x["min"]).alias("lo"), F.greatest(a["hi"], x["max"]).alias("hi")))
-    whole = whole.withColumn("__t", totals)
-    t = F.col("__t")
-
-    def moved(a: Column, x: Column) -> Column:
-        n = x["count"].cast("double")
-        d = F.coalesce(F.try_divide(x["sum"], n) - F.try_divide(t["s"], t["n"]), zero)
-        return F.struct((a["m2"] + x["m2"] + n * d * d).alias("m2"), (a["m3"] + x["m3"] + 3.0 * d * x["m2"] + n * d * d * d).alias("m3"), (a["m4"] + x["m4"] + 4.0 * d * x["m3"] + 6.0 * d * d * x["m2"] + n * d * d * d * d).alias("m4"))
-
-    m = F.col("__m")
-    whole = whole.withColumn("__m", F.aggregate("__l", F.struct(*(zero.alias(c) for c in ("m2", "m3", "m4"))), moved))
-    return whole.select(*keys, _pack(t["n"], t["s"], t["lo"], t["hi"], m["m2"], m["m3"], m["m4"]).alias(stats))
+    arrow = to_arrow_schema(schema)
+    fields = [(F.col(stats)[f] if f in ("min", "max") else F.coalesce(F.col(stats)[f].cast("double"), F.lit(0.0))).alias(f"__{f}") for f in FIELDS]
+    parts = df.select(*keys, *fields).mapInArrow(partial(_partial, nkeys=len(keys), schema=arrow), schema)
+    parts = parts.repartition(*keys).sortWithinPartitions(*keys) if keys else parts.repartition(1)
+    whole = parts.select(*keys, *fields).mapInArrow(partial(_partial, nkeys=len(keys), schema=arrow, ordered=True), schema)
+    if keys:
+        return whole
+    # without keys there is one summary, of no rows too
+    none = F.struct(F.lit(0).cast("long").alias("count"), *(F.lit(None if f in ("min", "max") else 0.0).cast("double").alias(f) for f in FIELDS[1:]))
+    return whole.agg(F.coalesce(F.first(stats), none).alias(stats))
 
 
 def _combine(code: np.ndarray, k: int, n: np.ndarray, s: np.ndarray, lo: np.ndarray, hi: np.ndarray, m2: np.ndarray, m3: np.ndarray, m4: np.ndarray) -> list[np.ndarray]:
@@ -105,25 +121,35 @@ def _combine(code: np.ndarray, k: int, n: np.ndarray, s: np.ndarray, lo: np.ndar
     return [total, sums, least, most, np.bincount(code, m2 + n * d**2, k), np.bincount(code, m3 + 3 * d * m2 + n * d**3, k), np.bincount(code, m4 + 4 * d * m3 + 6 * d**2 * m2 + n * d**4, k)]
 
 
-def _partial(batches: Iterator[pa.RecordBatch], nkeys: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _partial(batches: Iterator[pa.RecordBatch], nkeys: int, schema: pa.Schema, ordered: bool = False) -> Iterator[pa.RecordBatch]:
+    """One part for each key. A task with very many keys passes parts on early; ``ordered`` rows come by key, and of theirs the last key stays."""
     held: dict[tuple, int] = {}
     fields = [np.empty(0)] * len(FIELDS)
 
-    def out() -> pa.RecordBatch:
-        columns = [pa.array([k[i] for k in held], type=schema.field(i).type) for i in range(nkeys)]
-        values = [pa.array(fields[0].astype(np.int64)), *(pa.array(f, mask=np.isnan(f)) if name in ("min", "max") else pa.array(f) for name, f in zip(FIELDS[1:], fields[1:]))]
-        return pa.RecordBatch.from_arrays([*columns, pa.StructArray.from_arrays(values, fields=list(schema.field(nkeys).type))], schema=schema)
+    def out(names: list[tuple], values: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in names], type=schema.field(i).type) for i in range(nkeys)]
+        parts = [pa.array(values[0].astype(np.int64)), *(pa.array(f, mask=np.isnan(f)) if name in ("min", "max") else pa.array(f) for name, f in zip(FIELDS[1:], values[1:]))]
+        return pa.RecordBatch.from_arrays([*columns, pa.StructArray.from_arrays(parts, fields=list(schema.field(nkeys).type))], schema=schema)
 
     for b in batches:
         if not b.num_rows:
             continue
         code, names = key_codes(b.columns[:nkeys], b.num_rows)
         new = _combine(code, len(names), *(c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[nkeys:]))
+        if ordered:
+            last = names[code[-1]]
         place = np.array([held.setdefault(name, len(held)) for name in names])
         both = np.concatenate([np.arange(len(fields[0])), place])
         fields = _combine(both, len(held), *(np.concatenate([a, x]) for a, x in zip(fields, new)))
         if len(held) > HELD:
-            yield out()
-            held, fields = {}, [np.empty(0)] * len(FIELDS)
+            if not ordered:
+                yield out(list(held), fields)
+                held, fields = {}, [np.empty(0)] * len(FIELDS)
+                continue
+            stays = held[last]
+            rest = np.array([i for i in range(len(held)) if i != stays])
+            everyone = list(held)
+            yield out([everyone[i] for i in rest], [f[rest] for f in fields])
+            held, fields = {last: 0}, [f[stays : stays + 1] for f in fields]
     if held:
-        yield out()
+        yield out(list(held), fields)

@@ -16,26 +16,23 @@ from sketchloom.functions.digest import sql_cdf, sql_quantile, sql_scale
 from sketchloom.functions.types import STATS, TDIGEST, space_saving
 from sketchloom.operators.spacesaving import _Counts
 from sketchloom.operators.stats import _combine
-from sketchloom.operators.tdigest import _Points
+from sketchloom.operators.tdigest import state as digest_of
 
 _DIGEST_DDL = "STRUCT<compression: DOUBLE, min: DOUBLE, max: DOUBLE, total_weight: DOUBLE, centroids: ARRAY<STRUCT<mean: DOUBLE, weight: DOUBLE>>>"
 
 
 def _digest(x: pa.Array, compression: float = 100.0) -> dict:
     v = x.cast(pa.float64()).to_numpy(zero_copy_only=False)
-    points = _Points()
     v = v[np.isfinite(v)]
-    points.add(v, np.ones(len(v)), compression)
-    return points.state(compression)
+    return digest_of(v, np.ones(len(v)), compression)
 
 
 def _weighted(x: pa.Array, w: pa.Array) -> dict:
     v, u = (a.cast(pa.float64()).to_numpy(zero_copy_only=False) for a in (x, w))
     if not (np.isfinite(u) & (u > 0)).all():
         raise ValueError("w must be finite and > 0")
-    points, live = _Points(), np.isfinite(v) & (u > EPS)
-    points.add(v[live], u[live], 100.0)
-    return points.state(100.0)
+    live = np.isfinite(v) & (u > EPS)
+    return digest_of(v[live], u[live], 100.0)
 
 
 def _summary(items: pa.Array, capacity: int = 20) -> dict:
@@ -47,13 +44,10 @@ def _summary(items: pa.Array, capacity: int = 20) -> dict:
 
 
 def _merged(d: pa.Array) -> dict:
-    live = d.filter(d.is_valid())
-    compression = max((c for c in live.field("compression").to_pylist() if c is not None), default=100.0)
-    points = _Points()
-    for x in live.to_pylist():
-        c = x["centroids"] or []
-        points.add(np.array([p["mean"] for p in c]), np.array([p["weight"] for p in c]), compression, x["min"], x["max"])
-    return points.state(compression)
+    live = [x for x in d.to_pylist() if x is not None and x["centroids"]]
+    compression = max((c for c in d.drop_null().field("compression").to_pylist() if c is not None), default=100.0)
+    points = np.array([(p["mean"], p["weight"]) for x in live for p in x["centroids"]]).reshape(-1, 2)
+    return digest_of(points[:, 0], points[:, 1], compression, min((x["min"] for x in live), default=None), max((x["max"] for x in live), default=None))
 
 
 def _moments(n: np.ndarray, *rest: np.ndarray) -> dict:

@@ -4,10 +4,13 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sketchloom import sql
 from sketchloom.functions import digest as D
 from sketchloom.functions import moments as M
+from sketchloom.functions.types import STATS, TDIGEST
 from sketchloom.operators import spacesaving, stats, tdigest
 from sketchloom.streaming.sinks import SketchTable, stream_stats
 
@@ -96,6 +99,98 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert got == {0: 200, 1: 200, 2: 200}
 
 
+def test_digests_of_a_key_from_very_many_tasks(spark):
+    """No step merges more than the fan-in: 10,000 tasks take two rounds before the last, and the result has the bounds of one digest."""
+    df = spark.range(0, 100_000, 1, 10_000).select(F.lit("a").alias("k"), (F.col("id") * 0.001).alias("x"))
+    assert tdigest.partitions(df) == 10_000
+    few = spark.range(0, 100_000, 1, 300).select(F.lit("a").alias("k"), (F.col("id") * 0.001).alias("x"))
+    for d, fan_in, rounds in ((df, 256, 1), (few, 16, 2), (few, 512, 0)):
+        plan = tdigest.build(d, "k", "x", fan_in=fan_in)
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange") == rounds + 1 and "Python" not in text.replace("PythonMapInArrow", "") and text.count("MapInArrow") == 1
+        if d is few:
+            q = plan.select(D.quantile("digest", [0.001, 0.1, 0.5, 0.99]).alias("q"), D.size("digest").alias("n")).first()
+            assert q.n == 100_000 and np.abs(np.array(q.q) / 100 - [0.001, 0.1, 0.5, 0.99]).max() < 0.012
+    # what a task of the first round is given, at most
+    parts = df.select("k", F.spark_partition_id().alias("t")).groupBy("k", F.floor(F.col("t") / 256)).agg(F.countDistinct("t").alias("n"))
+    assert parts.agg(F.max("n")).first()[0] <= 256
+
+
+@pytest.mark.parametrize("compression", [20, 100, 500])
+def test_folding_in_the_jvm_is_compacting(spark, compression):
+    rng = np.random.default_rng(5)
+    values, weights = rng.gamma(0.5, 1.0, 3000), rng.integers(1, 9, 3000).astype(float)
+    rows = [({"compression": float(compression), "min": None, "max": None, "total_weight": 0.0, "centroids": [{"mean": m, "weight": w} for m, w in zip(values[i::7].tolist(), weights[i::7].tolist())]},) for i in range(7)]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("digest", TDIGEST)]))
+    got = tdigest.fold(df, [], "digest", None).first().digest["centroids"]
+    want = tdigest.compact(values, weights, compression)
+    assert np.allclose([(c["mean"], c["weight"]) for c in got], np.array(want).T, rtol=1e-12)
+
+
+def test_empty_digests(spark):
+    none = spark.createDataFrame([], "k string, x double")
+    for keys, n in ((None, 1), ("k", 0)):
+        d = tdigest.build(none, keys, "x", compression=50)
+        assert d.count() == n and tdigest.merge(d, keys).count() == n
+    d = tdigest.merge(tdigest.build(none, None, "x", compression=50), None).first().digest
+    assert (d["compression"], d["min"], d["total_weight"], d["centroids"]) == (50, None, 0, [])
+    nans = spark.createDataFrame([("a", float("nan")), ("b", None), ("c", 1.0)], "k string, x double")
+    got = {r.k: r.digest["total_weight"] for r in tdigest.merge(tdigest.build(nans, "k", "x"), "k").collect()}
+    assert got == {"a": 0, "b": 0, "c": 1}
+
+
+def test_a_new_checkpoint_loses_no_batch(spark, tmp_path):
+    """A stream that is restarted from nothing goes on from the last version, one that is run again counts once, and old versions go."""
+    table = SketchTable.stats(str(tmp_path / "sketch"), "k", "x", weight="w", weighting="frequency")
+    total = 0
+    for turn in range(3):
+        src = str(tmp_path / f"in{turn}")
+        rows = frame(spark, [(float(i), i % 3, 1 + i % 2) for i in range(60)], "x double, k int, w long").repartition(3)
+        rows.write.parquet(src)
+        for _ in range(2):  # the second time finds nothing new
+            q = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src).writeStream.foreachBatch(table.update).option("checkpointLocation", str(tmp_path / f"c{turn}")).start()
+            q.processAllAvailable()
+            q.stop()
+        total += 90
+        assert sum(r.stats["count"] for r in table.read(spark).collect()) == total
+        assert len(table.versions(spark)) == len(list((tmp_path / "sketch").iterdir())) == 2
+    named = SketchTable.digests(str(tmp_path / "digest"), None, "x", weight="w", stream="a")
+    for batch_id in (0, 0, 1):
+        named.update(rows, batch_id)
+    assert named.read(spark).first().digest["total_weight"] == 180
+    SketchTable(named.path, named.build, named.merge, stream="b").update(rows, 0)
+    named.update(rows, 1)
+    assert named.read(spark).first().digest["total_weight"] == 270
+
+
+def test_moments_of_any_size(spark):
+    """Values of very small or large spread: skewness and kurtosis as numpy has them for the same numbers scaled, and no error."""
+    rng = np.random.default_rng(3)
+    base = rng.gamma(2.0, 1.0, 500)
+    sets = [base * f for f in (1e-75, 1e-60, 1e-40, 1e-25, 1.0, 1e30, 1e60, 1e70)] + [1.0 + base * 1e-12, np.array([1e-60, 2e-60, 4e-60]), np.array([1e-120, 3e-120]), np.array([1e-60, 1.0, 2.0, 4.0]), np.array([1e200, -1e200, 3e200])]
+    df = frame(spark, [(i, float(v)) for i, x in enumerate(sets) for v in x], "k int, x double")
+    got = {r.k: (r.g, r.e) for r in stats.build(df, "k", "x").select("k", M.skew("stats").alias("g"), M.kurt("stats").alias("e")).collect()}
+    for i, x in enumerate(sets[:-3] + [sets[-2]]):
+        i = i if i < len(sets) - 3 else len(sets) - 2
+        y = x / np.abs(x).max()
+        d = y - y.mean()
+        assert np.isclose(got[i][0], (d**3).mean() / (d**2).mean() ** 1.5, rtol=1e-3 if i == 8 else 1e-9)
+        assert np.isclose(got[i][1], (d**4).mean() / (d**2).mean() ** 2 - 3, rtol=1e-3 if i == 8 else 1e-8)
+    assert len(got) == len(sets)
+
+
+def test_statistics_of_very_many_parts(spark, monkeypatch):
+    """The last step holds a summary for each key, whatever the number of parts, and passes on those that are done."""
+    df = spark.range(0, 30_000, 1, 400).select((F.col("id") % 7).alias("k"), F.col("id").cast("double").alias("x"), F.lit(2).alias("w"))
+    got = {r.k: r.stats for r in stats.build(df, "k", "x", weight="w", weighting="frequency").collect()}
+    assert all(s["count"] == 2 * len(range(k, 30_000, 7)) and s["sum"] == 2 * sum(range(k, 30_000, 7)) for k, s in got.items()) and len(got) == 7
+    monkeypatch.setattr(stats, "HELD", 2)
+    schema = to_arrow_schema(T.StructType([T.StructField("k", T.LongType()), T.StructField("stats", STATS)]))
+    rows = [pa.record_batch([pa.array(k), *(pa.array([1.0] * len(k)) for _ in range(7))], names=["k", *STATS.names]) for k in ([1, 1, 2], [2, 3, 4, 5], [5, 5, 6])]
+    out = [r for b in stats._partial(iter(rows), 1, schema, ordered=True) for r in b.to_pylist()]
+    assert [(r["k"], r["stats"]["count"]) for r in out] == [(1, 2), (2, 2), (3, 1), (4, 1), (5, 3), (6, 1)]
+
+
 def test_summaries_in_one_pass(spark):
     """Building reads its input once, and the merge's ranks are trimmed before its last step."""
     df = spark.range(1000).select((F.col("id") % 90).alias("x"))
