@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sketchloom.llm.common import discard, fresh, open_uri, shared_dir, slices, stored, text_bytes
+from sketchloom.llm.common import discard, fresh, open_uri, shared_dir, slices, stored, tasks, text_bytes
 
 TOKENIZER_A, TOKENIZER_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text in a chunk (a longer document is one alone), segments encoded at a time, and segments of documents looked at at once.
-CHUNK, SEGMENTS, WORK = 16 << 20, 20_000, 2_000_000
+CHUNK, SEGMENTS, WORK = 8 << 20, 20_000, 500_000
 #: Bytes of text for each hash range, at least and at most, and ranges up to which it is the least.
 LEAST, MOST, RANGES = 16 << 20, 128 << 20, 2000
 #: Bytes after which nothing is split: white space, or what may end a white-space character of two or three bytes.
@@ -316,7 +316,7 @@ def _documents(table: pa.Table, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _pairs(links: Links, flat: np.ndarray, off: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs and in how many documents each is linked. Documents are gone through some million segments at a time."""
+    """Distinct pairs and in how many documents each is linked. Documents are gone through some hundred thousand segments at a time."""
     n = len(links.ok)
     pairs, code = np.unique(links.pair, return_inverse=True)
     per = np.bincount(links.segment, minlength=n)
@@ -366,9 +366,11 @@ def _text(x: Aligned) -> pa.Array:
 
 
 def _compose(root: str, schema: pa.Schema):
-    def run(counts: pa.Table, place: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = open_uri(root)
-        (p,) = place.to_pylist()
+        rows = pa.Table.from_batches(list(batches))
+        counts = rows.filter(pc.is_valid(rows.column("pair"))).combine_chunks()
+        (p,) = rows.filter(pc.is_null(rows.column("pair"))).to_pylist()
         with system.open_input_stream(p["aligned"]) as f:
             aligned = Aligned(*_spread(f.read()))
         links, table = Links(aligned), _get(system, p["path"], p["at"], p["size"])
@@ -386,14 +388,15 @@ def _compose(root: str, schema: pa.Schema):
         totals = []
         for s in sums:
             c = np.concatenate([[0], np.cumsum(s.astype(np.int64)[flat])])
-            totals.append(pa.array(np.where(live, c[off[1:]] - c[off[:-1]], 0)))
-        forms, texts, lo = _text(aligned), [], 0
-        while lo < len(live):  # some million segments at a time
+            totals.append(np.where(live, c[off[1:]] - c[off[:-1]], 0))
+        ids, forms, lo = table.column("id").combine_chunks(), _text(aligned), 0
+        del links, c
+        while lo < len(live):  # some hundred thousand segments at a time
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + WORK, side="right")) - 1)
             some = pa.ListArray.from_arrays(pa.array((off[lo : hi + 1] - off[lo]).astype(np.int32)), forms.take(pa.array(flat[off[lo] : off[hi]])))
-            texts.append(pc.if_else(pa.array(live[lo:hi]), pc.binary_join(some, ";"), ""))
+            text = pc.if_else(pa.array(live[lo:hi]), pc.binary_join(some, ";"), "")
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *(pa.array(t[lo:hi]) for t in totals), text], schema=schema)
             lo = hi
-        return pa.Table.from_arrays([table.column("id"), *totals, pa.chunked_array(texts, pa.string())], schema=schema)
 
     return run
 
@@ -415,15 +418,17 @@ def cross_align(docs: DataFrame, key: str = "doc_id", text: str = "text", tokeni
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // min(MOST, max(LEAST, size // RANGES))))
     found = stored(rows.mapInArrow(_chunks(root, splits, buckets), ROWS), "alignment-segments")
     back = found.groupBy("bucket").applyInArrow(_encode(shared), BACK)
-    counted = stored(back.groupBy("chunk").applyInArrow(_count(root), "chunk long, pair long, n long, path string, at long, size long, aligned string"), "alignment-pairs")
+    n = tasks(spark, size)  # groups are few bytes for much work: Spark must not put them together by size
+    counted = stored(back.repartition(n, "chunk").groupBy("chunk").applyInArrow(_count(root), "chunk long, pair long, n long, path string, at long, size long, aligned string"), "alignment-pairs")
     discard(found)
     pairs = counted.filter("pair IS NOT NULL").select("chunk", "pair", "n")
     df = stored(pairs.groupBy("pair").agg(F.sum("n").alias("df")), "alignment-counts")
     top = df.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("df").alias("top"))
     df = df.join(top, F.shiftright("pair", 32) == F.col("a")).select("pair", "df", (F.col("df") == F.col("top")).alias("best"))
-    known = pairs.join(df, "pair").select("chunk", "pair", "df", "best")
-    heads = counted.filter("pair IS NULL").select(F.col("chunk").alias("of"), "path", "at", "size", "aligned")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("path", "string"), ("at", "long"), ("size", "long"), ("aligned", "string"))]
+    known = pairs.join(df, "pair").select("chunk", "pair", "df", "best", *none)
+    heads = counted.filter("pair IS NULL").select("chunk", "pair", F.lit(None).cast("long").alias("df"), F.lit(None).cast("boolean").alias("best"), "path", "at", "size", "aligned")
     names = fresh([key], "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
     schema = pa.schema([("id", to_arrow_type(kind)), *((n, pa.int64()) for n in names[:-1]), (names[-1], pa.string())])
-    out = known.groupBy("chunk").cogroup(heads.groupBy("of")).applyInArrow(_compose(root, schema), f"id {kind.simpleString()}, " + ", ".join(f"{n} long" for n in names[:-1]) + f", {names[-1]} string")
+    out = known.unionByName(heads).repartition(n, "chunk").groupBy("chunk").applyInArrow(_compose(root, schema), f"id {kind.simpleString()}, " + ", ".join(f"{n} long" for n in names[:-1]) + f", {names[-1]} string")
     return out.withColumnRenamed("id", key)

@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that are worked on at a time; a longer single text is worked on alone.
 SLICE = 1 << 20
@@ -82,6 +84,14 @@ def tasks(spark: SparkSession, n_bytes: int) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
 
 
+def whole_ids(df: DataFrame, key: str) -> Column:
+    """The id column as long, for operators that order ids or write them as numbers; TypeError unless it holds whole numbers."""
+    kind = df.schema[key].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{key} is {kind.simpleString()}: ids must be whole numbers")
+    return F.col(f"`{key}`").cast("long")
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """The names, with underscores before those that ``taken`` has, in whatever case."""
     have, out = {c.lower() for c in taken}, []

@@ -39,9 +39,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from sketchloom.llm import text as T
-from sketchloom.llm.common import SLICE, open_uri, shared_dir, slices, stored, text_bytes
+from sketchloom.llm.common import SLICE, fresh, open_uri, shared_dir, slices, stored, text_bytes
 from sketchloom.llm.text import LETTERS, LOWER, spans, windows
 
 ENTRY_WORDS, HALF, BLOCK = 48, 64, 16
@@ -291,23 +292,29 @@ def verify(ix: Index, item: int, h: np.ndarray, lo: int, hi: int) -> tuple[float
 
 
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Pairs of a document and a test item that it holds: key, item, score, question and answer overlap, first word.
+    """Pairs of a document and a test item that it holds: key, item, score, question, answer and whole overlap, first word, rule.
+
+    ``rule`` says what the shares have reached: ``parts``, those of question and answer both, or ``whole``, that of the whole
+    text alone. Where key or item is named like another column, later ones get underscores before their names.
 
     Items have columns for question and answer, or one text whose last sentence is taken for the answer; of one text a
     share of ``w_share`` over all of it is enough too. Options are those of ``Search``.
     """
     search = Search(docs.sparkSession, items, **options)
     item, kind, ikind = search.item, docs.schema[key].dataType.simpleString(), items.schema[search.item].dataType.simpleString()
-    schema = f"`{key}` {kind}, `{item}` {ikind}, score double, question_overlap double, answer_overlap double, first_word long"
     look = search.task()
+    names = ["score", "question_overlap", "answer_overlap", "whole_overlap", "first_word", "rule"]
+    kinds = [pa.float64()] * 4 + [pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, best, ids in look(batches, 1):
             if best:
                 keys = b.column(0).take(pa.array([d for d, _ in best]))
-                yield pa.RecordBatch.from_arrays([keys, pa.array([ids[i] for _, i in best]), *(pa.array([r[c] for r in best.values()], t) for c, t in enumerate((pa.float64(), pa.float64(), pa.float64(), pa.int64())))], names=[key, item, "score", "question_overlap", "answer_overlap", "first_word"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array([ids[i] for _, i in best]), *(pa.array([r[c] for r in best.values()], t) for c, t in enumerate(kinds))], names=["key", "item", *names])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    schema = f"key {kind}, item {ikind}, score double, question_overlap double, answer_overlap double, whole_overlap double, first_word long, rule string"
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, schema).toDF(key, *fresh([key], item, *names))
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -325,7 +332,9 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> D
             else:
                 gone |= {d for d, _ in best}
 
-    return docs.mapInArrow(run, docs.schema)
+    # columns travel by place, as their names may have dots
+    schema = types.StructType([types.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
+    return docs.toDF(*schema.names).mapInArrow(run, schema).toDF(*docs.columns)
 
 
 class Search:
@@ -357,7 +366,7 @@ class Search:
                         room = int(ix.lengths[it])
                         q, a, w = verify(ix, it, h, max(int(first[d]), lo - room), min(int(first[d + 1]), hi + room))
                         if q >= q_share and a >= a_share or w_share is not None and w >= w_share:
-                            row = (score, q, a, lo - int(first[d]))
+                            row = (score, q, a, w, lo - int(first[d]), "parts" if q >= q_share and a >= a_share else "whole")
                             if (d, it) not in best or row[:3] > best[d, it][:3]:
                                 best[d, it] = row
                     yield b, best, ix.ids

@@ -19,7 +19,7 @@ pairs that are connected already are never looked at, and neither are those of t
 Texts with equal sets are one class and count as linked without verification. Sets are equal if their sizes and two sums
 of independent shingle hashes are; verification compares shingles by two independent hashes, too.
 
-Defined cases: a NULL or empty text has no shingles and is linked with nothing; a text with fewer words than a shingle
+Defined cases: ids are whole numbers, else a TypeError; a NULL or empty text has no shingles and is linked with nothing; a text with fewer words than a shingle
 has one, of all its words; a NULL id is never linked, and its component is NULL; rows that share an id are one document, which has
 the links of all of them; an empty table gives an empty result.
 """
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.llm.chunks import range_bounds
-from sketchloom.llm.common import discard, slices, stored, text_bytes
+from sketchloom.llm.common import discard, slices, stored, text_bytes, whole_ids
 from sketchloom.llm.components import components
 from sketchloom.llm.text import MULTIPLIERS, mix, shingle_sets
 
@@ -295,7 +295,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row for each document: key, n_shingles, and component_id, the smallest id that it is linked with through others."""
     spark = docs.sparkSession
-    clean = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    clean = docs.select(whole_ids(docs, key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     known = clean.filter("id IS NOT NULL")
     info = stored(_summaries(clean, k), "join-sets")
     sets = info.filter("n > 0 AND id IS NOT NULL")

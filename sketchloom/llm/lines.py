@@ -1,6 +1,6 @@
 """Line dedup by distinct-site spread.
 
-Each line's sites are gathered in a HyperLogLog sketch by its hash; partial sketches are made before the shuffle and
+Each line's sites are gathered in a HyperLogLog sketch by its hash of 128 bits; partial sketches are made before the shuffle and
 merged after it, so that a line on very many pages is no burden. Lines whose estimate is clearly above the threshold are
 boilerplate, lines clearly below aren't, and those near it get an exact distinct count.
 
@@ -12,7 +12,8 @@ has the same lines (in any order, as often).
 Rows are joined with their boilerplate by a hash of id and text, so that rows that share an id, or have none, spread out.
 
 Defined cases: a NULL text stays NULL and has no lines; an empty text is one empty line; lines are compared without
-spaces at their ends, and those under ``min_chars`` are left alone; a NULL site is a site of its own; repeated rows are
+spaces at their ends; blank lines are never boilerplate, nor are those under ``min_chars``, for who wants to spare short
+ones; a NULL site is a site of its own; repeated rows are
 treated alike, each on its own; a NULL id is an id like others. Columns of whatever names stay as they are; where one of
 them has the name of a count, that count's name gets underscores before it.
 """
@@ -24,18 +25,20 @@ from pyspark.sql import functions as F
 
 from sketchloom.llm.common import fresh, stored
 
-MIN_SITES, MIN_CHARS = 5, 20
+MIN_SITES, MIN_CHARS = 5, 1
 #: log2 of the sketch's registers, and the band around the threshold that is counted exactly: over six standard errors.
 LG_K, MARGIN = 12, 0.1
 
 
 def _hash(line: Column) -> Column:
-    return F.xxhash64(F.trim(line))
+    """128 bits of the line's SHA-256: as many as two independent hashes have, and nobody can make lines that collide."""
+    return F.substring(F.unhex(F.sha2(F.trim(line).cast("binary"), 256)), 1, 16)
 
 
 def _signature(text: Column) -> Column:
     """Of a document's lines, whatever their order."""
-    return F.xxhash64(F.lit("\0lines"), F.sort_array(F.transform(F.split(text, "\n"), _hash)))
+    whole = F.array_join(F.sort_array(F.transform(F.split(text, "\n"), lambda x: F.hex(_hash(x)))), ",")
+    return F.substring(F.unhex(F.sha2(F.concat(F.lit("\0lines"), whole).cast("binary"), 256)), 1, 16)
 
 
 def _copied(signatures: DataFrame) -> DataFrame:
@@ -94,7 +97,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: s
 
 
 ORACLE = """WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-b AS (SELECT trim(line) k FROM l WHERE length(trim(line)) >= 20 GROUP BY 1 HAVING count(DISTINCT coalesce(source, chr(1) || 'null')) >= 5),
+b AS (SELECT trim(line) k FROM l WHERE length(trim(line)) >= 1 GROUP BY 1 HAVING count(DISTINCT coalesce(source, chr(1) || 'null')) >= 5),
 f AS (SELECT l.*, k IS NOT NULL bad FROM l LEFT JOIN b ON trim(line) = k),
 r AS (SELECT doc_id, count(*) n_lines, count(*) FILTER (bad) n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT bad), '') t FROM f GROUP BY 1)
 SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(t, '') AS text FROM documents LEFT JOIN r USING (doc_id)"""

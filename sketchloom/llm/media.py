@@ -9,7 +9,7 @@ Files are named at random by the task that writes them. Only those that a succes
 the manifest, which is written when the whole write succeeds, so that lost or repeated tasks leave no trace in what is
 read.
 
-Defined cases: a NULL or empty text is 64 zero bytes with length 0; a NULL key stays NULL; repeated rows are members of
+Defined cases: ids are whole numbers, else a TypeError; a NULL or empty text is 64 zero bytes with length 0; a NULL key stays NULL; repeated rows are members of
 their own; an empty table makes an empty manifest. Equal texts have equal images.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from sketchloom.llm.common import open_uri, qualified, shared_dir, slices, text_bytes
+from sketchloom.llm.common import open_uri, qualified, shared_dir, slices, text_bytes, whole_ids
 
 WIDTH, LEVEL = 64, 1
 ARCHIVE_BYTES, RANGE_BYTES, SPAN_BYTES, BATCH_BYTES = 128 << 20, 8 << 20, 2 << 20, 2 << 20
@@ -264,7 +264,7 @@ class MediaArchive(DataSource):
 
 def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
     docs.sparkSession.dataSource.register(MediaArchive)
-    docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).write.format("media_archive").mode("append").save(qualified(docs.sparkSession, path))
+    docs.select(whole_ids(docs, key).alias("key"), F.col(text).cast("string").alias("text")).write.format("media_archive").mode("append").save(qualified(docs.sparkSession, path))
 
 
 def read(spark, path: str, **options) -> DataFrame:

@@ -8,7 +8,9 @@ Scoring takes one number a table row: the row's vector times the difference of t
 document's logit is the mean of its features' numbers plus a bias.
 
 Defined cases: a NULL or empty text has no features and gets the bias alone; repeated rows are scored alike, each on its
-own; rows without a label, or whose label is NULL, aren't learned from; without any labels every score is 0.5.
+own; rows without a label, or whose label is NULL, aren't learned from; without any labels every score is 0.5. Long rows
+are learned from only where a class has too few others (``sample``), and every text is scored whole. Names of columns may
+have dots and clash; a column named like the output keeps its name, and the output gets underscores before its own.
 """
 
 from __future__ import annotations
@@ -17,15 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sketchloom.llm.common import SLICE, slices, text_bytes
+from sketchloom.llm.common import SLICE, fresh, slices, text_bytes
 from sketchloom.llm.text import BYTE, MULTIPLIERS, WHITE, mix, piece_hash, powers, prefix_sums, spans
 
 BUCKETS, DIM = 1 << 18, 16
-#: Labelled rows of each class that are learned from, at most, and bytes of text of all of them.
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 16 << 20
+#: Labelled rows of each class that are learned from, at most; bytes of text of all of them; and bytes beyond which a row gives way to the next.
+SAMPLE_ROWS, SAMPLE_BYTES, ROW_BYTES = 1500, 16 << 20, 32 << 10
 NGRAMS = (2, 3)
 _U = np.uint64
 
@@ -129,29 +132,36 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 12, rate: floa
     return Model((table @ (w[:, 1] - w[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> Model:
-    """Learns from a bounded sample: rows of each class by the order of a hash of their id, whole texts only.
+def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """(__id, t, y): the rows that ``train`` learns from, whole texts of each class in the order of a hash of their id.
 
-    The sample has up to SAMPLE_ROWS rows of each class, one for each id, and SAMPLE_BYTES of text, and never a held-out
-    row. One task gathers it and learns from it; what comes back to the driver is the model's fixed 1 MB.
+    Each class has up to ``sample_rows`` rows and half of ``sample_bytes``, one row at least, whatever its length. Rows of
+    over ``row_bytes`` come after all others of their class: they give way to the next ones, and are learned from only
+    where a class hasn't enough of those. An id counts once, with its shortest text and its least label. Never a held-out row.
     """
-    known = labels.select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__y")).filter(F.col("__y").isin(0, 1) & F.col("__id").isNotNull() & ~held_out(F.col("__id")))
-    picks = [known.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE_ROWS) for y in (0, 1)]
-    chosen = F.broadcast(picks[0].unionByName(picks[1]))  # SAMPLE_ROWS * 2 rows at most
-    rows = docs.select(F.col(key).alias("__id"), F.coalesce(text, F.lit("")).alias("__t")).join(chosen, "__id")
-    # a third of the bytes a row may have on average is its own limit, so that the sum holds without a pass of its own
-    rows = rows.filter(F.octet_length("__t") <= SAMPLE_BYTES // SAMPLE_ROWS * 3)
-    rows = rows.groupBy("__id").agg(F.min(F.struct("__t", "__y")).alias("__r"))
-    rows = rows.repartition(1).sortWithinPartitions(F.crc32(F.col("__id").cast("string")), "__r.__t").select("__r.__t", "__r.__y")
+    known = labels.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("__y")).filter(F.col("__y").isin(0, 1) & F.col("__id").isNotNull() & ~held_out(F.col("__id")))
+    known = known.groupBy("__id").agg(F.min("__y").alias("__y"))
+    texts = docs.select(F.col(f"`{key}`").alias("__id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__t"))
+    sizes = texts.select("__id", F.octet_length("__t").alias("__n")).join(known, "__id").groupBy("__id").agg(F.min("__n").alias("__n"), F.first("__y").alias("__y"))
+    order = [F.col("__n") > row_bytes, F.xxhash64("__id"), F.col("__id")]
+    picks = [sizes.filter(F.col("__y") == y).orderBy(*order).limit(sample_rows) for y in (0, 1)]
+    by = Window.partitionBy("__y").orderBy(*order)  # over 2 * sample_rows rows
+    chosen = picks[0].unionByName(picks[1]).withColumn("__sum", F.sum("__n").over(by)).withColumn("__at", F.row_number().over(by))
+    chosen = F.broadcast(chosen.filter((F.col("__sum") <= sample_bytes // 2) | (F.col("__at") == 1)).select("__id", "__y"))
+    rows = texts.join(chosen, "__id").groupBy("__id").agg(F.min(F.struct(F.octet_length("__t").alias("n"), F.col("__t").alias("t"), F.col("__y").alias("y"))).alias("__r"))
+    return rows.select("__id", "__r.t", "__r.y")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, row_bytes: int = ROW_BYTES) -> Model:
+    """Learns from the bounded ``sample``. One task gathers it and learns from it; what comes back to the driver is the model's fixed 1 MB."""
+    rows = sample(docs, labels, label, key, text, sample_rows, sample_bytes, row_bytes)
+    rows = rows.repartition(1).sortWithinPartitions(F.crc32(F.col("__id").cast("string")), "t").select("t", "y")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, ys, total = [], [], 0
-        for t, y in ((t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-            total += len(t.encode())
-            if total > SAMPLE_BYTES:
-                break
-            texts.append(t)
-            ys.append(y)
+        texts, ys = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            ys += b.column(1).to_pylist()
         m = fit(texts, ys)
         yield pa.RecordBatch.from_arrays([pa.array([m.rows.tobytes()], pa.binary()), pa.array([m.bias])], names=["rows", "bias"])
 
@@ -162,13 +172,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
     """Columns ``key``, those in ``keep``, and the score, named ``out``; the model travels as a broadcast of a fixed 1 MB."""
     shared = docs.sparkSession.sparkContext.broadcast((model.rows, model.bias))
-    names = [key, text, *(c for c in keep if c not in (key, text))]
-    kept = [c for c in names if c != text or text in keep]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", `{out}` double"
+    kept = [key, *(c for c in keep if c != key)]
+    (out,) = fresh(kept, out)
+    fields = {f.name: f.dataType for f in docs.schema}
+    # columns travel by place, as their names may have dots
+    schema = T.StructType([T.StructField(f"c{i}", fields[c]) for i, c in enumerate(kept)] + [T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
-        for b in slices(batches, 1, SLICE):
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in kept), pa.array(m.score(b.column(1)))], names=[*kept, out])
+        for b in slices(batches, 0, SLICE):
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(m.score(b.column(0)))], names=schema.names)
 
-    return docs.select(*(f"`{c}`" for c in names)).mapInArrow(run, schema)
+    rows = docs.select(F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)))
+    return rows.mapInArrow(run, schema).toDF(*kept, out)

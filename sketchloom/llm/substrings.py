@@ -1,8 +1,8 @@
 """Substring dedup by level-wise doubling.
 
 A window of 20 words can be a repeat only if both its halves are, and these only if both of theirs are. So windows of 5
-words are looked at first; those that repeat alone are extended to 10 words, and those of these that repeat to 20, where
-the passes end, for the window asked for is reached (or earlier, when no candidate survives).
+words are looked at first; those that repeat alone are extended to 10 words, and those of these that repeat to 20. The
+passes end when no candidate survives, or when the window asked for is reached.
 
 At each level a chunk sends the distinct hashes of its candidates, sorted and packed in a few binary rows, to tasks by
 hash range; what comes back is one bit for each: repeated or not. A window that very many documents share is sent once a
@@ -12,7 +12,7 @@ agree in both.
 
 Words covered by a window that isn't the first of its kind are removed; windows are judged on the input.
 
-Defined cases: a NULL or empty text, or one of fewer words than the window, loses nothing; a NULL id comes before all
+Defined cases: ids are whole numbers, else a TypeError; a NULL or empty text, or one of fewer words than the window, loses nothing; a NULL id comes before all
 others; of rows that repeat an id, either may count as the earlier; long documents are taken whole; an empty table gives
 an empty result.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.llm.chunks import Files, Packed, groups, pack, range_bounds, spread
-from sketchloom.llm.common import stored, text_bytes
+from sketchloom.llm.common import fresh, stored, text_bytes, whole_ids
 from sketchloom.llm.text import MULTIPLIERS, WHITE, mix, spans, windows, word_hashes
 
 WINDOW, FIRST = 20, 5
@@ -39,17 +39,22 @@ _LEAST = -(1 << 63)
 class Chunk:
     """A chunk's words, and the hashes of its windows of each level so far."""
 
-    def __init__(self, table: pa.Table, first: int) -> None:
+    def __init__(self, table: pa.Table, first: int, window: int) -> None:
         self.ids = table.column(0)
         self.data, self.offsets = text_bytes(table.column(1))
         self.starts, self.stops, self.first = spans(self.data, self.offsets, WHITE)
         self.words = word_hashes(self.data, self.starts, self.stops)
         self.ends = np.repeat(self.first[1:], np.diff(self.first))  # of each word's document
-        self.length = first
+        self.length, self.window = first, window
         self.hashes = windows(self.words, first)
         self.second: np.ndarray | None = None
         self.candidates = np.flatnonzero(np.arange(len(self.hashes)) + first <= self.ends[: len(self.hashes)])
         self._packed: tuple | None = None
+        if first == window:
+            self._last()
+
+    def _last(self) -> None:
+        self.second = windows(word_hashes(self.data, self.starts, self.stops, 1), self.window, 1)
 
     def packed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct candidates' hashes in order, which one each candidate has, and how often each occurs. At the last level both hashes count."""
@@ -73,8 +78,8 @@ class Chunk:
         self.candidates = both[both + 2 * half <= self.ends[both]]
         self.hashes = mix(self.hashes[:n] * MULTIPLIERS[7] + self.hashes[half : half + n] * MULTIPLIERS[8]) if n else np.empty(0, np.uint64)
         self.length, self._packed = 2 * half, None
-        if self.length == WINDOW:
-            self.second = windows(word_hashes(self.data, self.starts, self.stops, 1), WINDOW, 1)
+        if self.length == self.window:
+            self._last()
 
 
 def _answers(rows, n_groups: int, distinct: np.ndarray) -> np.ndarray:
@@ -99,15 +104,15 @@ def _low32(u: np.ndarray, g: int, n_groups: int) -> np.ndarray:
     return ((u - _U(lo)) >> _U(shift)).astype(np.uint32)
 
 
-def _ask(packed: Packed, n_groups: int, answers: list[DataFrame], last: bool) -> DataFrame:
+def _ask(packed: Packed, n_groups: int, answers: list[DataFrame], first: int, window: int) -> DataFrame:
     """Rows (g, chunk, hashes, twice, ...) of all chunks at the level after ``answers``."""
-    root = packed.root
+    root, last = packed.root, first << len(answers) == window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Files(root)
         for b in batches:
             for chunk_id, path, at, size, *levels in zip(*(c.to_pylist() for c in b.columns)):
-                c = Chunk(files.read(path, at, size), FIRST)
+                c = Chunk(files.read(path, at, size), first, window)
                 _advance(c, [[(r["g"], r["bits"]) for r in x or []] for x in levels], n_groups)
                 u, inverse, counts = c.packed()
                 if not len(u):
@@ -153,7 +158,9 @@ def _firsts(c: Chunk, inverse: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
 
 
 def _bits(table: pa.Table, flags: list[np.ndarray]) -> pa.Table:
-    return pa.table({"g": table.column("g"), "chunk": table.column("chunk"), "bits": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())})
+    """Rows (g, chunk, bits) of those chunks of which any flag is set."""
+    some = pa.array([bool(f.any()) for f in flags], pa.bool_())
+    return pa.table({"g": table.column("g"), "chunk": table.column("chunk"), "bits": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())}).filter(some)
 
 
 def _cut(flat: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
@@ -190,12 +197,18 @@ def _first_of_all(table: pa.Table) -> pa.Table:
     return _bits(table, _cut(out, [len(p) for p in parts]))
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """One row for each document: key, n_words, n_removed, kept_sha256, and with ``keep_text`` kept."""
-    packed = pack(docs.select(F.col(key).cast("long").alias(key), text), key, text, "substrings", WHITE)
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False, window: int = WINDOW, first: int = FIRST, passes: list | None = None) -> DataFrame:
+    """One row for each document: key, n_words, n_removed, kept_sha256, and with ``keep_text`` kept.
+
+    Windows of ``first`` words are looked at first, and ``window`` is that times a power of two; what the passes return is
+    appended to ``passes``, if given. Where the key is named like an output, that output's name gets underscores before it.
+    """
+    levels = (window // first).bit_length() if first > 0 else 0
+    if levels < 1 or first << (levels - 1) != window:
+        raise ValueError("window must be first times a power of two")
+    packed = pack(docs.select(whole_ids(docs, key).alias("id"), F.col(f"`{text}`").alias("text")), "id", "text", "substrings", WHITE)
     root, n_groups = packed.root, groups(packed)
-    answers: list[DataFrame] = []
-    length = FIRST
+    answers: list[DataFrame] = [] if passes is None else passes
     schema = "g int, chunk long, bits binary"
 
     def repeated(t: pa.Table) -> pa.Table:
@@ -204,28 +217,47 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     def first_of_all(t: pa.Table) -> pa.Table:
         return _first_of_all(t)
 
-    while True:
-        last = length == WINDOW
-        asked = _ask(packed, n_groups, answers, last)
-        answers.append(stored(asked.groupBy("g").applyInArrow(first_of_all if last else repeated, schema), f"substrings-{length}"))
-        if last:
+    while len(answers) < levels:
+        last = len(answers) == levels - 1
+        asked = _ask(packed, n_groups, answers, first, window)
+        answers.append(stored(asked.groupBy("g").applyInArrow(first_of_all if last else repeated, schema), f"substrings-{first << len(answers)}"))
+        if answers[-1].isEmpty():  # no candidates survive: nothing that is longer repeats
             break
-        length *= 2
+    ended = len(answers) < levels or answers[-1].isEmpty()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Files(root)
         for b in batches:
-            for path, at, size, *levels in zip(*(c.to_pylist() for c in b.columns[1:])):
-                c = Chunk(files.read(path, at, size), FIRST)
-                levels = [[(r["g"], r["bits"]) for r in x or []] for x in levels]
-                _advance(c, levels[:-1], n_groups)
-                yield _result(c, _answers(levels[-1], n_groups, c.packed()[0]), key, keep_text)
+            for path, at, size, *found in zip(*(c.to_pylist() for c in b.columns[1:])):
+                table = files.read(path, at, size)
+                if ended:
+                    yield _result(Untouched(table), np.empty(0, bool), keep_text)
+                    continue
+                c = Chunk(table, first, window)
+                found = [[(r["g"], r["bits"]) for r in x or []] for x in found]
+                _advance(c, found[:-1], n_groups)
+                yield _result(c, _answers(found[-1], n_groups, c.packed()[0]), keep_text)
+
+    out = _with(packed, [] if ended else answers).mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = out if keep_text else out.drop("kept")
+    return out.toDF(key, *fresh([key], *out.columns[1:]))
+
+
+class Untouched:
+    """A chunk's words, where no window repeats."""
+
+    candidates, length = np.empty(0, np.int64), 0
+
+    def __init__(self, table: pa.Table) -> None:
+        self.ids = table.column(0)
+        self.data, self.offsets = text_bytes(table.column(1))
+        self.words, _, self.first = spans(self.data, self.offsets, WHITE)
 
-    out = _with(packed, answers).mapInArrow(run, f"`{key}` long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return out if keep_text else out.drop("kept")
+    def packed(self) -> tuple:
+        return (), (), ()
 
 
-def _result(c: Chunk, first: np.ndarray, key: str, keep_text: bool) -> pa.RecordBatch:
+def _result(c: Chunk | Untouched, first: np.ndarray, keep_text: bool) -> pa.RecordBatch:
     _, inverse, _ = c.packed()
     edge = np.zeros(len(c.words) + 1, np.int64)
     if len(c.candidates):
@@ -244,7 +276,7 @@ def _result(c: Chunk, first: np.ndarray, key: str, keep_text: bool) -> pa.Record
             words = [w for w, g in zip(words, gone[c.first[i] : c.first[i + 1]].tolist()) if not g]
         kept.append(b" ".join(words))
     n = pa.array(np.diff(c.first).astype(np.int64))
-    return pa.RecordBatch.from_arrays([c.ids.combine_chunks() if isinstance(c.ids, pa.ChunkedArray) else c.ids, n, pa.array(np.diff(removed).astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode() if keep_text else None for k in kept], pa.string())], names=[key, "n_words", "n_removed", "kept_sha256", "kept"])
+    return pa.RecordBatch.from_arrays([c.ids.combine_chunks() if isinstance(c.ids, pa.ChunkedArray) else c.ids, n, pa.array(np.diff(removed).astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode() if keep_text else None for k in kept], pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
 ORACLE = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),

@@ -6,12 +6,15 @@ and a header can be parsed, be it a record or bytes inside a payload, and emits
 offset 0 of each file, finds in rounds that double their reach in which offset each range is entered by the true chain. What isn't
 reachable from a file's start is never read as a record, so that magic inside payloads is rejected.
 
-Bodies that get smaller by it are stored with Content-Encoding: deflate; lengths and digests are of the full payload.
+Bodies that get smaller by it are stored with Content-Encoding: deflate, but for a share, picked by digest, that is stored
+as it is; lengths and digests are of the full payload.
 
 Defined cases: a NULL payload is empty; a NULL page id never refers or is referred to before others, and stays NULL; rows
 that repeat the largest page id of a group of equal payloads are responses both; a NULL URL is empty and control
-characters in one are percent-encoded; one of over half a MB is given by its SHA-256; after a damaged record the rest of its file can't be reached and isn't returned; an empty table
-makes no archive and no records.
+characters in one are percent-encoded; one of over half a MB stands in the record's block; ids are whole numbers, else a
+TypeError; an empty table makes no archive and no records. Damage fails the query, or with mode ``permissive`` makes a row
+of type ``damaged`` that says where in ``error``: after a damaged header the rest of its file can't be reached, after a
+damaged payload it can.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm.common import discard, open_uri, qualified, shared_dir, slices, stored, tasks, text_bytes
+from sketchloom.llm.common import discard, open_uri, qualified, shared_dir, slices, stored, tasks, text_bytes, whole_ids
 
 MAGIC = b"WARC/1.1\r\n"
 ARCHIVE_BYTES, RANGE_BYTES, HEADER_BYTES = 128 << 20, 8 << 20, 1 << 20
 MIN_REVISIT = 1000
+#: Share of payloads that are never compressed, so that what reads an archive meets payloads as they are.
+PLAIN_SHARE = 0.125
 _PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed by the format
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.I)
 
@@ -42,11 +47,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     name = b"null" if page_id is None else b"%d" % page_id
     digest = base64.b32encode(hashlib.sha1(payload).digest())
     target = quote(url or "", safe="!#$&'()*+,/:;=?@[]~%").encode()
-    if len(target) > HEADER_BYTES // 2:
-        target = b"urn:x-sha256:" + hashlib.sha256(target).hexdigest().encode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Payload-Length: %d\r\n" % len(payload)
+    if len(target) > HEADER_BYTES // 2:  # too long for a record's header, not for its block
+        http += b"X-Target-URI: " + target + b"\r\n"
+        target = b"urn:x-sha256:" + hashlib.sha256(target).hexdigest().encode()
     body = b""
     if refers_to is None:
+        compress = compress and hashlib.sha1(payload).digest()[0] >= PLAIN_SHARE * 256
         body = zlib.compress(payload, 1) if compress else payload
         if compress and len(body) < len(payload):
             http += b"Content-Encoding: deflate\r\n"
@@ -93,7 +100,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", payload: str = "htm
     """Writes archives below ``path`` and returns the manifest (name, size), which lists those of successful tasks only."""
     path = qualified(pages.sparkSession, path)
     marks = stored(revisits(pages, key, payload, least), "warc-revisits")
-    rows = pages.select(F.col(key).cast("long").alias("__k"), F.col(payload).cast("string").alias("__p"), F.col(url).cast("string").alias("__u"))
+    rows = pages.select(whole_ids(pages, key).alias("__k"), F.col(payload).cast("string").alias("__p"), F.col(url).cast("string").alias("__u"))
     rows = rows.withColumn("__hash", F.sha2(F.coalesce("__p", F.lit("")), 256))
     on = rows["__k"].eqNullSafe(marks["__id"]) & (rows["__hash"] == marks["__h"])
     rows = rows.join(marks.hint("merge"), on, "left").select("__k", "__p", "__u", F.col("__ref").cast("long").alias("__ref"))
@@ -157,10 +164,10 @@ def candidates(manifest: DataFrame, path: str, range_bytes: int = RANGE_BYTES) -
     return _ranges(manifest, range_bytes).mapInArrow(run, "name string, off long, succ long, leave long")
 
 
-def entries(cands: DataFrame) -> DataFrame:
-    """(name, off): where the true chain of each file enters its ranges, by pointer jumping from offset 0."""
+def entries(cands: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(name, off): where the true chain of each file enters its ranges, by pointer jumping from offset 0, which counts as reached whatever stands there."""
     jump = cands.filter("leave >= 0").select("name", "off", "leave")
-    reached = stored(cands.filter("off = 0").select("name", "off"), "warc-reached")
+    reached = stored(manifest.filter("size > 0").select("name", F.lit(0).cast("long").alias("off")).distinct(), "warc-reached")
     while True:
         more = reached.join(jump, ["name", "off"]).select("name", F.col("leave").alias("off")).join(cands.select("name", "off"), ["name", "off"], "left_semi")
         more = stored(more.join(reached, ["name", "off"], "left_anti").distinct(), "warc-more")
@@ -186,22 +193,30 @@ def parse(raw: bytes, block_at: int, at: int, end: int) -> dict:
         raise ValueError(f"damaged payload of {head[b'warc-record-id']!r}")
     page = head[b"warc-record-id"][len(b"<urn:x-page:") : -1]
     refers = head.get(b"warc-refers-to")
-    return {"page_id": None if page == b"null" else int(page), "url": head[b"warc-target-uri"].decode(), "payload_bytes": int(fields.get(b"x-payload-length", len(body))), "payload_digest": digest.hex(), "record_type": kind, "refers_to": int(refers[len(b"<urn:x-page:") : -1]) if refers else None, "payload": body if kind == "response" else None}
+    return {"page_id": None if page == b"null" else int(page), "url": fields.get(b"x-target-uri", head[b"warc-target-uri"]).decode(), "payload_bytes": int(fields.get(b"x-payload-length", len(body))), "payload_digest": digest.hex(), "record_type": kind, "refers_to": int(refers[len(b"<urn:x-page:") : -1]) if refers else None, "error": None, "payload": body if kind == "response" else None}
 
 
-_TYPES = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
+_TYPES = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "error": pa.string(), "payload": pa.binary()}
 
 
-def read(spark: SparkSession, path: str, manifest: DataFrame, payload: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read(spark: SparkSession, path: str, manifest: DataFrame, payload: bool = True, range_bytes: int = RANGE_BYTES, mode: str = "failfast") -> DataFrame:
     """Records that are reachable from their file's start. Without ``payload`` that column is left out.
 
-    Revisit records give the length and digest that their response has; their payload is NULL.
+    Revisit records give the length and digest that their response has; their payload is NULL. ``mode`` is ``failfast`` or
+    ``permissive``, as above.
     """
+    if mode not in ("failfast", "permissive"):
+        raise ValueError("mode is 'failfast' or 'permissive'")
     path = qualified(spark, path)
     cands = stored(candidates(manifest, path, range_bytes), "warc-candidates")
     names = [n for n in _TYPES if payload or n != "payload"]
     kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 
+    def damaged(what: str) -> dict:
+        if mode == "failfast":
+            raise ValueError(what)
+        return dict.fromkeys(_TYPES) | {"record_type": "damaged", "error": what}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = open_uri(path)
         for b in batches:
@@ -212,24 +227,34 @@ def read(spark: SparkSession, path: str, manifest: DataFrame, payload: bool = Tr
                     while off < min(size, hi):
                         h = header(data, off - lo)
                         if h is None or lo + h[1] > size:
+                            rows.append(damaged(f"{name}: no whole record at {off}"))
                             break
                         block, end = h
                         if end > len(data):  # the record runs on beyond the range
                             lo, data = off, f.read_at(lo + end - off, off)
                             block, end = header(data, 0)
-                        rows.append(parse(data, block, off - lo, end))
-                        held += rows[-1]["payload_bytes"]
+                        try:
+                            rows.append(parse(data, block, off - lo, end))
+                        except Exception as e:  # whatever the bytes make a parser of base64, deflate or numbers raise
+                            rows.append(damaged(f"{name}: {e!r} in the record at {off}"))
+                        held += rows[-1]["payload_bytes"] or 0
                         off = lo + end
                         if held > 4 << 20 or len(rows) >= 2000:
                             yield _batch(rows, names)
                             rows, held = [], 0
                         if off - lo > len(data) - HEADER_BYTES and off < min(size, hi):
                             lo, data = off, f.read_at(min(size, hi + HEADER_BYTES) - off, off)
+                    else:
+                        # the next range is entered here, unless no record is
+                        if off < size:
+                            near = off - lo < len(data) and header(data, off - lo)
+                            if not near and header(f.read_at(min(size - off, HEADER_BYTES), off), 0) is None:
+                                rows.append(damaged(f"{name}: no whole record at {off}"))
                     if rows:
                         yield _batch(rows, names)
 
     total = manifest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    spread = entries(cands).repartition(tasks(spark, total), "name", "off")
+    spread = entries(cands, manifest).repartition(tasks(spark, total), "name", "off")
     return spread.mapInArrow(run, ", ".join(f"{n} {kinds[_TYPES[n]]}" for n in names))
 
 

@@ -183,6 +183,56 @@ def test_warc_round_trip_and_magic_in_payloads(spark):
             assert (r["record_type"], r["refers_to"]) == (("revisit", 8) if k in (1, 2) else ("response", None))
             assert r["payload"] == (None if k in (1, 2) else want)
     assert warc.round_trip(pages.limit(0)).count() == 0
+    with pytest.raises(TypeError, match="whole numbers"):
+        warc.round_trip(pages.withColumn("page_id", F.lit("x")))
+
+
+def test_warc_default_archives_hold_magic_that_is_rejected(spark):
+    """Records inside payloads are candidates in the archives that the query writes, and none of them is read."""
+    fake = warc.record(99, "u", b"inner payload", None, compress=False).decode("latin1")
+    rows = [(i, "u", f"{i} {fake} {fake}") for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = shared_dir(spark, "warc-magic")
+    manifest = warc.write(pages, path)
+    assert warc.candidates(manifest, path).count() > len(rows)
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read(spark, path, manifest).collect()}
+    assert got == {i: h for i, _, h in rows}
+    assert {r.page_id for r in warc.round_trip(pages).collect()} == set(range(120))
+
+
+def test_warc_gives_long_urls_back_whole(spark):
+    url = "http://example.org/" + "x" * 700_000
+    rows = [(1, url, "a" * 2000), (2, url + "é", "a" * 2000), (3, "short", "b")]
+    got = {r.page_id: (r.url, r.record_type) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: (url, "revisit"), 2: (url + "%C3%A9", "response"), 3: ("short", "response")}
+
+
+@pytest.mark.parametrize("range_bytes", [1 << 20, 700, 64])
+def test_warc_damage_is_seen(spark, range_bytes):
+    pages = spark.createDataFrame([(i, f"u{i}", f"text of page {i} " * 9) for i in range(12)], "page_id long, url string, html string").coalesce(1)
+    whole = None
+    for harm, error, left in (("header", "no whole record", 6), ("payload", "record at", 11), ("end", "no whole record", 11), ("start", "no whole record", 0)):
+        path = shared_dir(spark, "warc-damage")
+        manifest = warc.write(pages, path, compress=False)
+        name = manifest.first()["name"]
+        file = path.removeprefix("file://") + "/" + name
+        raw = bytearray(open(file, "rb").read())
+        at = [m.start() for m in re.finditer(re.escape(warc.MAGIC), raw)]
+        whole = whole or len(at)
+        if harm == "end":
+            del raw[-3:]
+        else:
+            place = {"header": at[6] + 2, "payload": at[7] - 9, "start": 0}[harm]
+            raw[place : place + 4] = b"????"
+        open(file, "wb").write(raw)
+        size = spark.createDataFrame([(name, len(raw))], "name string, size long")
+        rows = warc.read(spark, path, size, range_bytes=range_bytes, mode="permissive").collect()
+        bad = [r for r in rows if r.record_type == "damaged"]
+        assert len(rows) - len(bad) == left and len(bad) == 1 and error in bad[0].error and bad[0].page_id is None, harm
+        with pytest.raises(Exception, match=error):
+            warc.read(spark, path, size, range_bytes=range_bytes).count()
+    with pytest.raises(ValueError):
+        warc.read(spark, path, size, mode="other")
 
 
 # line dedup
@@ -199,7 +249,7 @@ def test_line_dedup_against_brute_force(spark):
     sites = defaultdict(set)
     for _, t, s in rows:
         for x in (t or "").split("\n") if t is not None else []:
-            if len(x.strip(" ")) >= 20:
+            if len(x.strip(" ")) >= 1:
                 sites[x.strip(" ")].add(s)
     want = []
     for k, t, _ in rows:
@@ -215,6 +265,16 @@ def test_line_dedup_against_brute_force(spark):
     assert lines.line_dedup(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Lines of any length are boilerplate, but blank ones; ``min_chars`` spares short ones for who wants that."""
+    rows = [(d, f"own {d}\nHome\n\n  \n|", f"site{d}") for d in range(6)]
+    for least, text, n in ((1, "own {}\n\n  ", 2), (2, "own {}\n\n  \n|", 1), (5, "own {}\nHome\n\n  \n|", 0)):
+        got = {(r.doc_id, r.text, r["__n_removed"]) for r in lines.line_dedup(docs(spark, rows), min_chars=least).collect()}
+        assert got == {(d, text.format(d), n) for d in range(6)}
+    found = lines.boilerplate(docs(spark, rows)).collect()
+    assert len(found) == 2 and all(len(r.h) == 16 for r in found)
+
+
 def test_line_dedup_keeps_only_copies_whole(spark):
     shared = [f"this is a boilerplate line number {i}" for i in range(3)]
     rows = [(d, f"own text of document {d} that is longer than all\n{shared[d % 3]}\nand has some more lines of number {d}", f"site{d}") for d in range(30)]
@@ -389,6 +449,26 @@ def test_quality_model_and_edges(spark):
     assert quality.score(docs(spark, []), model).count() == 0
 
 
+def test_quality_learns_from_long_texts_where_a_class_has_no_others(spark):
+    """Bounds are parameters; a row that is too long gives way to the next, and no class ends up empty."""
+    long = ["The quick brown fox jumps over a lazy dog and rests. " * 800 + str(i) for i in range(20)]
+    short = [f"BUY!! NOW!! CLICK$$$ {i} WIN!!! ***" for i in range(20)]
+    rows = [(i, t) for i, t in enumerate(long + short)]
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, quality int")
+    known = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert {r["__id"] for r in quality.sample(docs(spark, rows), labels).collect()} == set(known)
+    model = quality.train(docs(spark, rows), labels)
+    got = {r.doc_id: r.score for r in quality.score(docs(spark, rows), model).collect()}
+    assert all((got[i] >= 0.3) == (i < 20) for i in range(40))
+    few = quality.sample(docs(spark, rows + [(100 + i, "Some quiet prose about rivers.") for i in range(30)]), labels.union(spark.createDataFrame([(100 + i, 1) for i in range(30)], labels.schema)), sample_rows=10).collect()
+    assert len(few) == 20 and all(r["__id"] >= 20 for r in few)  # long rows give way
+    tight = quality.sample(docs(spark, rows), labels, sample_bytes=1000).collect()
+    assert sum(r.y for r in tight) == 1 and 1 < len(tight) < 20  # the bytes bound, but for a class's first row
+    odd = docs(spark, rows).withColumnsRenamed({"doc_id": "d.id", "text": "t.x", "source": "s.y"})
+    out = quality.score(odd, model, key="d.id", text="t.x", keep=("s.y", "score"))
+    assert out.columns == ["d.id", "s.y", "score", "_score"] and out.count() == 40
+
+
 # chat
 
 
@@ -464,6 +544,20 @@ def test_substring_dedup_against_brute_force(spark):
     twice = substrings.substring_dedup(docs(spark, [(1, LONG), (1, LONG), (None, LONG)])).collect()
     assert sorted((r.doc_id is None, r.n_removed) for r in twice)[-1] == (True, sum(c for c in [brute_substrings([(0, LONG)])[0][1]]))
     assert substrings.substring_dedup(docs(spark, [])).count() == 0
+    with pytest.raises(TypeError, match="whole numbers"):
+        substrings.substring_dedup(docs(spark, rows), key="source")
+
+
+@pytest.mark.parametrize("window,first", [(20, 5), (8, 2), (3, 3), (6, 3)])
+def test_substring_passes_end_when_no_candidate_survives(spark, window, first):
+    rows = [(1, "a b c"), (2, "d e f g"), (3, " ".join(f"u{i}" for i in range(100)))]
+    some = [*rows, (4, " ".join(f"u{i}" for i in range(first))), (5, " ".join(f"u{i}" for i in range(10, 12 + window)))]
+    for data, n in ((rows, 1), (some[:4], min(2, (window // first).bit_length())), (some, (window // first).bit_length())):
+        passes = []
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.substring_dedup(docs(spark, data), window=window, first=first, passes=passes).collect()}
+        assert got == brute_substrings(data, window) and len(passes) == n
+    with pytest.raises(ValueError):
+        substrings.substring_dedup(docs(spark, rows), window=20, first=6)
 
 
 # pieces
