@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sketchloom.llm.common import discard, fresh, open_uri, shared_dir, slices, stored, tasks, text_bytes
+from sketchloom.llm.text import byte_level
 
 TOKENIZER_A, TOKENIZER_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text in a chunk (a longer document is one alone), segments encoded at a time, and segments of documents looked at at once.
@@ -51,13 +52,6 @@ _SPACES = np.zeros(256, bool)
 _SPACES[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 
 
-def byte_level() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the rest from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Pair:
     """Both tokenizers, the bytes of their entries, and the characters before which texts may be split."""
 

@@ -13,7 +13,8 @@ all documents, and no task sees more than its own.
 The tokenizer drops white space and looks at nothing across it, nor does it from a letter or digit to ASCII punctuation and
 back, but for what follows an apostrophe, nor from a digit to the next. So texts are cut at all these places, and the units
 between them, in small letters, are encoded once for each task, by the hundred thousand; texts are put together from
-those. Texts with ``<|``, which may begin a special token, are encoded by themselves.
+those. Units of Latin letters alone go to the tokenizer's merges directly. Texts with ``<|``, which may begin a special
+token, are encoded by themselves.
 
 Defined cases: a NULL or empty text, or one of white space only, is the end token alone; repeated rows, NULL ids and ids
 of any type are each a document of their own; an empty table gives an empty result; texts are taken whole. Columns other
@@ -23,6 +24,7 @@ than id and text are ignored; where the id is named like an output, that output'
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sketchloom.llm.common import fresh, slices, stored, text_bytes
-from sketchloom.llm.text import LOWER
+from sketchloom.llm.text import LOWER, byte_level
 
 SIZE, END = 4096, 1
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -50,6 +52,12 @@ _BEFORE = _PUNCT.copy()
 _BEFORE[0x27] = False  # 's and the like are one word of the tokenizer
 
 
+#: Letters of which normalising changes nothing but their size, so that a unit of them is one word to be merged.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: The character that stands for each byte in a byte-level vocabulary.
+_BYTES = {b: c for c, b in byte_level().items()}
+
+
 def units(text: bytes) -> list[bytes]:
     """What the tokenizer takes by itself."""
     if not text:
@@ -68,6 +76,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
+        self.model = self.tokenizer.model  # merges alone
         self._clear()
 
     def _clear(self) -> None:
@@ -76,7 +85,17 @@ class Encoder:
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, new: list[bytes]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+        encoded: list[list[int]] = []
+        rest = []
+        for w in new:
+            text = w.decode()
+            if _PLAIN.fullmatch(text):
+                encoded.append([t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(_BYTES))])
+            else:
+                rest.append(len(encoded))
+                encoded.append([])
+        for i, e in zip(rest, self.tokenizer.encode_batch([new[i].decode() for i in rest], add_special_tokens=False)):
+            encoded[i] = e.ids
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         begin = len(self.flat) + np.cumsum(sizes) - sizes
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
