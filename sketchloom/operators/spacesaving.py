@@ -2,7 +2,8 @@
 
 A summary keeps at most ``capacity`` counters, ordered by count (largest first), error, item. For each of them
 count - error <= actual count <= count, and an item without a counter has at most ``m``. Floating-point zeros of either
-sign are one item, as are all NaNs; NULL items are skipped.
+sign are one item, as are all NaNs; NULL items are skipped. Items may be arrays, structs or maps, whose entries count
+whatever their order; maps within other items can't be counted.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SLACK, HELD = 8, 500_000
 ROWS, BYTES = 1 << 19, 32 << 20
 #: Ranks up to which Spark itself trims within each task before a shuffle; with larger capacities counters are dealt to so many parts first.
 SPARK_RANKS, PARTS = 1000, 32
+#: Parts where the capacity is only known from the summaries, each of which has a row in every part.
+FEW = 8
 
 
 def _capacity(capacity: int) -> int:
@@ -44,15 +47,37 @@ def _capacity(capacity: int) -> int:
 def _item(df: DataFrame, item: str) -> tuple[Column, T.DataType, bool]:
     """Item expression, its type, and whether it travels as JSON."""
     kind = df.schema[item].dataType
-    if isinstance(kind, (T.MapType, T.VariantType, T.ArrayType)):
+    if isinstance(kind, T.VariantType) or _maps_inside(kind):
         raise TypeError(f"{kind.simpleString()} can't be counted")
-    if isinstance(kind, T.StructType):
-        return F.when(F.col(item).isNotNull(), F.to_json(F.col(item))), kind, True
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        return F.when(F.col(item).isNotNull(), _code(F.col(item), kind)), kind, True
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return F.col(item).cast("double") + F.lit(0.0), T.DoubleType(), False
     return F.col(item), kind, False
 
 
+def _maps_inside(kind: T.DataType) -> bool:
+    """Whether maps stand inside an item, where their entries have no order."""
+    inner = [f.dataType for f in kind] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else [kind.keyType, kind.valueType] if isinstance(kind, T.MapType) else []
+    return any(isinstance(k, (T.MapType, T.VariantType)) or _maps_inside(k) for k in inner)
+
+
+def _code(c: Column, kind: T.DataType) -> Column:
+    """Text that equal composite items share: JSON, of maps with entries in order of their keys."""
+    if isinstance(kind, T.MapType):
+        c = F.map_from_entries(F.array_sort(F.map_entries(c)))
+    return F.to_json(c)
+
+
+def _decoded(s: Column, kind: T.DataType) -> Column:
+    """A summary of codes as one of items, of which equal counts are in the order of items that have one."""
+    read = F.transform(s["counters"], lambda c: F.struct(F.from_json(c["item"], kind).alias("item"), c["count"].alias("count"), c["error"].alias("error")))
+    if not isinstance(kind, T.MapType):
+        ranked = F.array_sort(F.transform(read, lambda c: F.struct((-c["count"]).alias("a"), c["error"].alias("b"), c["item"].alias("c"))))
+        read = F.transform(ranked, lambda c: F.struct(c["c"].alias("item"), (-c["a"]).alias("count"), c["b"].alias("error")))
+    return F.struct(s["capacity"].alias("capacity"), s["m"].alias("m"), read.alias("counters"))
+
+
 def _rank(kv: tuple) -> tuple:
     item, (count, error) = kv
     return -count, error, item != item, item
@@ -199,9 +224,7 @@ def build(df: DataFrame, keys, item: str, count: str | int = 1, capacity: int =
     sketches = rows.mapInArrow(partial(count_rows, schema=to_arrow_schema(schema)), schema)
     merged = merge(sketches, keys, out, capacity)
     if as_json:
-        s = F.col(out)
-        read = F.transform(s["counters"], lambda c: F.struct(F.from_json(c["item"], kind).alias("item"), c["count"].alias("count"), c["error"].alias("error")))
-        merged = merged.withColumn(out, F.struct(s["capacity"].alias("capacity"), s["m"].alias("m"), read.alias("counters")))
+        merged = merged.withColumn(out, _decoded(F.col(out), kind))
     return merged
 
 
@@ -218,17 +241,29 @@ def merge(df: DataFrame, keys, summary: str = "summary", capacity: int | None =
     if capacity is not None:
         capacity = _capacity(capacity)
     kind = df.schema[summary].dataType["counters"].dataType.elementType["item"].dataType
+    if isinstance(kind, T.MapType):  # maps have no order: their codes are merged
+        s = F.col(summary)
+        codes = F.transform(s["counters"], lambda c: F.struct(_code(c["item"], kind).alias("item"), c["count"].alias("count"), c["error"].alias("error")))
+        coded = df.select(*keys, F.when(s.isNotNull(), F.struct(s["capacity"].alias("capacity"), s["m"].alias("m"), codes.alias("counters"))).alias(summary))
+        return merge(coded, keys, summary, capacity).withColumn(summary, _decoded(F.col(summary), kind))
     s, zero = F.col(summary), F.lit(0).cast("long")
     entry = lambda item, n, e, whole: F.struct(item.alias("item"), n.alias("n"), e.alias("e"), F.lit(whole).alias("whole"))
-    own = F.array(entry(F.lit(None).cast(kind), zero, zero, True))
+    # without a given capacity each part has rows of all summaries, and so knows how many counters to keep
+    part = F.lit(0) if capacity is not None else F.pmod(F.xxhash64("__c.item"), F.lit(FEW))
+    own = F.array(*[entry(F.lit(None).cast(kind), zero, zero, True)] * (1 if capacity is not None else FEW))
     each = F.transform(s["counters"], lambda c: entry(c["item"], c["count"] - s["m"], c["error"] - s["m"], False))
-    rows = df.filter(s.isNotNull()).select(*keys, s["m"].alias("__m"), s["capacity"].alias("__cap"), F.explode(F.concat(own, F.coalesce(each, F.slice(own, 1, 0)))).alias("__c"))
-    items = rows.groupBy(*keys, F.col("__c.whole").alias("__whole"), F.col("__c.item").alias("__item")).agg(F.sum("__c.n").alias("__n"), F.sum("__c.e").alias("__e"), F.sum("__m").alias("__m"), F.max("__cap").alias("__cap"))
+    rows = df.filter(s.isNotNull()).select(*keys, s["m"].alias("__m"), s["capacity"].alias("__cap"), F.posexplode(F.concat(own, F.coalesce(each, F.slice(own, 1, 0)))).alias("__at", "__c"))
+    part = F.when(F.col("__c.whole"), F.col("__at")).otherwise(part).alias("__of")
+    items = rows.groupBy(*keys, part, F.col("__c.whole").alias("__whole"), F.col("__c.item").alias("__item")).agg(F.sum("__c.n").alias("__n"), F.sum("__c.e").alias("__e"), F.sum("__m").alias("__m"), F.max("__cap").alias("__cap"))
     order = [F.desc("__whole"), F.desc("__n"), "__e", "__item"]
     # the row of the summaries themselves has rank 1; one more counter than is kept tells whether any was cut
     if capacity is not None and capacity + 2 > SPARK_RANKS:
         part = Window.partitionBy(*keys, F.pmod(F.xxhash64("__item"), F.lit(PARTS))).orderBy(*order)
         items = items.withColumn("__part", F.row_number().over(part)).filter(F.col("__part") <= capacity + 2)
+    if capacity is None:
+        of = Window.partitionBy(*keys, "__of")
+        items = items.withColumn("__most", F.max("__cap").over(of)).withColumn("__part", F.row_number().over(of.orderBy(*order)))
+        items = items.filter((F.col("__part") <= F.col("__most") + 2) & (~F.col("__whole") | (F.col("__of") == 0)))
     by_key = Window.partitionBy(*(keys or [F.lit(1)]))
     ranked = items.withColumn("__rank", F.row_number().over(by_key.orderBy(*order)))
     if capacity is None:
@@ -296,7 +331,7 @@ def build_in_order(df: DataFrame, keys, item: str, order, count: str | int = 1,
     keys, capacity = key_list(keys), _capacity(capacity)
     value, kind, as_json = _item(df, item)
     if as_json:
-        raise TypeError("structs can't be counted in order")
+        raise TypeError("arrays, structs and maps can't be counted in order")
     by = [F.col(c) for c in key_list(order)]
     rows = df.select(*keys, *(c.alias(f"__o{i}") for i, c in enumerate(by)), value.alias("__item"), integral_weight(df, count).alias("__count"))
     rows = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, *(f"__o{i}" for i in range(len(by)))).select(*keys, "__item", "__count")
@@ -348,9 +383,3 @@ def exact_topk(df: DataFrame, keys, item: str, k: int, count: str | int = 1) ->
         return counts.orderBy(F.desc("count"), "item").limit(k).select("item", "count", F.lit(0).cast("long").alias("error"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), "item"))
     return counts.withColumn("__r", rank).filter(F.col("__r") <= k).select(*keys, "item", "count", F.lit(0).cast("long").alias("error"))
-
-
-def builtin_topk(df: DataFrame, keys, item: str, k: int, tracked: int = 1000) -> DataFrame:
-    """Spark's own approximate top-k, which has no error bounds; for comparison."""
-    keys = key_list(keys)
-    return df.groupBy(*keys).agg(F.expr(f"approx_top_k(`{item}`, {int(k)}, {int(tracked)})").alias("items"))

@@ -1,11 +1,10 @@
-"""Queries that hold sketches against exact answers, or go through small fixed inputs whose results are known."""
+"""Queries that hold sketches against exact answers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import sketchloom
 from sketchloom.functions import digest as D
 from sketchloom.functions import moments as M
 from sketchloom.operators import spacesaving, stats, tdigest
@@ -200,34 +199,8 @@ def spacesaving_merge_unequal(spark, d):
     return s.select(spacesaving.capacity("summary").alias("capacity"), F.inline(spacesaving.counters("summary")))
 
 
-def _trace(spark, rows: list[tuple[int, int]]) -> DataFrame:
-    return spark.createDataFrame([(i, x, n) for i, (x, n) in enumerate(rows)], "i long, item long, n long")
-
-
-@query
-def spacesaving_trace(spark, d):
-    """A fixed sequence with evictions, offered in order: 0 to 4, then 4 twice, 2, 5, and 6 and 7 five times in turn."""
-    steps = [*((i, 1) for i in range(5)), (4, 2), (2, 1), (5, 1), *[(6, 1), (7, 1)] * 5]
-    s = spacesaving.build_in_order(_trace(spark, steps), None, "item", "i", count="n", capacity=5)
-    return s.select(F.posexplode("summary.counters").alias("place", "c")).select(F.col("place").cast("long").alias("place"), "c.item", "c.count", "c.error")
-
-
-@query
-def spacesaving_weights_trace(spark, d):
-    """A fixed sequence with counts and no evictions; both ways of building agree."""
-    steps = [(1, 10), *[(i, 5) for i in (1, 2, 3)], *[(3, n) for n in (5, 10, 5)], *[(i, i) for i in (1, 2, 3)]]
-    rows = _trace(spark, steps)
-    both = spacesaving.build_in_order(rows, None, "item", "i", count="n", capacity=20).withColumn("way", F.lit("in order")).unionByName(spacesaving.build(rows, None, "item", count="n").withColumn("way", F.lit("partial")))
-    return both.select("way", F.inline("summary.counters"))
-
-
 @query
 def spacesaving_in_order(spark, d):
     """Each half's rows in order, with room for all items: counts are exact."""
     rows = table(spark, d, "lineitem").withColumn("half", F.col("l_linenumber") % 2)
     return _top(spacesaving.build_in_order(rows, "half", "l_quantity", ["l_orderkey", "l_linenumber"], capacity=64), ["half"], 64)
-
-
-@query
-def library_version(spark, d):
-    return spark.range(1).select(F.lit(sketchloom.__version__).alias("version"), F.lit(bool(sketchloom.engine_version())).alias("has_engine"))

@@ -55,8 +55,5 @@ ORACLES: dict[str, str] = {
  m AS (SELECT h, min(c) m FROM s GROUP BY 1),
  j AS (SELECT item, sum(c - m) c, sum(-m) e FROM s JOIN m USING (h) GROUP BY 1), t AS (SELECT sum(m) m FROM m)
  SELECT CAST(30 AS INTEGER) AS capacity, item, CAST(c + m AS BIGINT) AS "count", CAST(e + m AS BIGINT) AS error FROM j, t QUALIFY row_number() OVER (ORDER BY c + m DESC, e + m, item) <= 30""",
-    "spacesaving_trace": 'SELECT CAST(a AS BIGINT) AS place, CAST(b AS BIGINT) AS item, CAST(c AS BIGINT) AS "count", CAST(d AS BIGINT) AS error FROM (VALUES (0, 6, 6, 1), (1, 7, 6, 1), (2, 4, 3, 0), (3, 2, 2, 0), (4, 5, 2, 1)) t(a, b, c, d)',
-    "spacesaving_weights_trace": """SELECT way, CAST(a AS BIGINT) AS item, CAST(b AS BIGINT) AS "count", CAST(0 AS BIGINT) AS error FROM (VALUES (1, 16), (2, 7), (3, 28)) t(a, b), (VALUES ('in order'), ('partial')) u(way)""",
     "spacesaving_in_order": "SELECT l_linenumber % 2 AS half, l_quantity AS item, count(*) AS \"count\", CAST(0 AS BIGINT) AS error FROM lineitem GROUP BY 1, 2",
-    "library_version": "SELECT '0.2.0' AS version, true AS has_engine",
 }

@@ -4,7 +4,8 @@ from sketchloom.plans import accuracy  # noqa: F401  (its queries are registered
 from sketchloom.plans.accuracy_oracles import ORACLES as _MORE
 from sketchloom.plans.oracles import ORACLES as _ORACLES
 from sketchloom.plans.queries import QUERIES
+from sketchloom.plans.rollups import ORACLES as _ROLLUPS
 
-ORACLES = _ORACLES | _MORE
+ORACLES = _ORACLES | _MORE | _ROLLUPS
 
 __all__ = ["ORACLES", "QUERIES"]

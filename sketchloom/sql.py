@@ -1,7 +1,8 @@
 """SQL names. ``register`` makes the aggregates and queries below known to a session.
 
-Aggregates run as Arrow functions over the whole group in one task; for groups that don't fit there, build sketches with
-the DataFrame functions, which compact in each task first.
+Aggregates run as Arrow functions over the whole group in one task. For groups that don't fit there, ``sketch_partial`` is
+a table function that each task runs over its own rows (k, x), so that only its sketches are grouped and merged:
+``SELECT k, tdigest_merge(digest) FROM sketch_partial(TABLE(SELECT a AS k, b AS x FROM t)) GROUP BY k``.
 """
 
 import numpy as np
@@ -14,8 +15,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sketchloom.functions.checks import EPS
 from sketchloom.functions.digest import sql_cdf, sql_quantile, sql_scale
 from sketchloom.functions.types import STATS, TDIGEST, space_saving
+from sketchloom.operators.keys import key_codes
 from sketchloom.operators.spacesaving import _Counts
 from sketchloom.operators.stats import _combine
+from sketchloom.operators.tdigest import HELD, _Held
 from sketchloom.operators.tdigest import state as digest_of
 
 _DIGEST_DDL = "STRUCT<compression: DOUBLE, min: DOUBLE, max: DOUBLE, total_weight: DOUBLE, centroids: ARRAY<STRUCT<mean: DOUBLE, weight: DOUBLE>>>"
@@ -92,6 +95,37 @@ def _summaries_merged(s: pa.Array) -> dict:
     return {"capacity": capacity, "m": total.m, "counters": [{"item": i, "count": c, "error": e} for i, (c, e) in ranked]}
 
 
+class _SketchPartial:
+    """Rows (k, x) of a task's part of a table, as a digest and a summary of statistics of each k."""
+
+    def __init__(self) -> None:
+        self.digests, self.fields, self.places = _Held(), [np.empty(0)] * len(STATS.names), {}
+
+    def eval(self, batch: pa.RecordBatch):
+        k, x = batch.column(0), batch.column(1).cast(pa.float64())
+        code, names = key_codes([k.cast(pa.string())], batch.num_rows)
+        v, n = x.to_numpy(zero_copy_only=False), batch.num_rows
+        live, ends = np.isfinite(v), np.where(np.isfinite(v), v, np.nan)
+        self.digests.add(names, code, np.full(n, 100.0), ends, ends, code[live], v[live], np.ones(int(live.sum())))
+        if self.digests.n > HELD:
+            self.digests.squeeze()
+        here = ~np.isnan(v)
+        zero, value = np.zeros(n), np.where(here, v, 0.0)
+        new = _combine(code, len(names), here.astype(float), value, np.where(here, v, np.nan), np.where(here, v, np.nan), zero, zero, zero)
+        place = np.array([self.places.setdefault(name, len(self.places)) for name in names], np.int64)
+        both = np.concatenate([np.arange(len(self.fields[0])), place])
+        self.fields = _combine(both, len(self.places), *(np.concatenate([a, b]) for a, b in zip(self.fields, new)))
+        return iter(())
+
+    def terminate(self):
+        if self.places:
+            kind, state = to_arrow_type(TDIGEST), to_arrow_type(STATS)
+            schema = pa.schema([("k", pa.string()), ("digest", kind)])
+            rows = self.digests.batch(1, schema)
+            values = [pa.array(self.fields[0].astype(np.int64)), *(pa.array(f, mask=np.isnan(f)) if n in ("min", "max") else pa.array(f) for n, f in zip(STATS.names[1:], self.fields[1:]))]
+            yield pa.Table.from_arrays([*rows.columns, pa.StructArray.from_arrays(values, fields=list(state))], names=["k", "digest", "stats"])
+
+
 def register(spark: SparkSession) -> None:
     """Aggregates: tdigest(x), tdigest_weighted(x, w), tdigest_merge(d), summary_stats(x), summary_stats_merge(s), and
     space_saving(s[, capacity]) for strings and space_saving_long and space_saving_double for numbers, each with _of for a
@@ -100,6 +134,8 @@ def register(spark: SparkSession) -> None:
     Functions: tdigest_quantile(d, q), tdigest_cdf(d, x), tdigest_scale(d, f), tdigest_histogram(d, bins, lo, hi);
     stats_mean, stats_var, stats_std (s, ddof), stats_skew, stats_kurt (s); space_saving_topk(s, k) and its like.
     """
+    partial = F.arrow_udtf(_SketchPartial, returnType=f"k string, digest {TDIGEST.simpleString()}, stats {STATS.simpleString()}")
+    spark.udtf.register("sketch_partial", partial)
     spark.udf.register("tdigest", _agg(_digest, TDIGEST))
     spark.udf.register("tdigest_weighted", _agg2(_weighted, TDIGEST))
     spark.udf.register("tdigest_merge", _agg(_merged, TDIGEST))
