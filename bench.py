@@ -18,6 +18,8 @@ from sketchloom.sources.tables import table
 HEADLINE = ["stats_basic_by_event", "stats_kurtosis", "stats_weighted", "stats_merge_partials", "spacesaving_topk_int", "spacesaving_words", "spacesaving_merge", "topk_exact", "tdigest_quantile_user", "tdigest_large", "tdigest_histogram_user", "tdigest_merge_user", "tdigest_rollup"]
 NATIVE = {
     "native_avg": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.avg("value").alias("m")),
+    "native_kurtosis": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.skewness("value").alias("g"), F.kurtosis("value").alias("k")),
+    "native_percentile_user": lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).alias("q")),
     "native_percentile_approx": lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99], 10000).alias("q")),
     "native_approx_top_k": lambda s, d: table(s, d, "documents").select(F.explode(F.split("text", r"\s+")).alias("word")).agg(F.expr("approx_top_k(word, 20, 2000)").alias("t")),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sketchloom import sql
 from sketchloom.functions import digest as D
 from sketchloom.functions import moments as M
-from sketchloom.operators import spacesaving, stats, tdigest
+from sketchloom.operators import decay, spacesaving, stats, tdigest
 from sketchloom.operators.cube import cube, rollup
 from sketchloom.operators.sliding import sliding
 from sketchloom.plans.oracles import _EVENT_MOMENTS
@@ -145,3 +145,24 @@ def spacesaving_orders_in_order(spark, d):
 
 
 ORACLES["spacesaving_orders_in_order"] = "SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS counted, least(20, count(DISTINCT o_custkey)) AS n_counters, true AS bounds_hold FROM orders GROUP BY 1, 2"
+
+
+#: 31 January and 16 January 2024, in seconds, and a half-life of thirty days, with which all points of a user stay apart.
+_LATE, _EARLY, _HALF_LIFE = 1706659200, 1705363200, 2592000
+
+
+@query
+def tdigest_decayed(spark, d):
+    """Quartiles of each user's events by weights that halve every thirty days; early and late events have landmarks of their own, and are merged."""
+    rows = table(spark, d, "events").withColumn("late", F.col("ts") >= F.timestamp_seconds(F.lit(_EARLY)))
+    parts = [decay.build(rows.filter(F.col("late") == late), "user_id", "value", "ts", _HALF_LIFE, at, compression=1000) for late, at in ((True, _LATE), (False, _EARLY))]
+    s = decay.merge(parts[0].unionByName(parts[1]), "user_id")
+    q = [D.quantile("decayed.digest", p) for p in (0.25, 0.5, 0.75)]
+    return s.select("user_id", _r(decay.size_at("decayed", _LATE)).alias("weight"), *(_r(c, 5).alias(n) for c, n in zip(q, ("q25", "q50", "q75"))))
+
+
+ORACLES["tdigest_decayed"] = f"""WITH p AS (SELECT user_id k, value x, pow(2.0, (epoch_us(ts) / 1e6 - {_LATE}) / {_HALF_LIFE}.0) w FROM events),
+c AS (SELECT k, x, w, sum(w) OVER (PARTITION BY k ORDER BY x, w ROWS UNBOUNDED PRECEDING) - w / 2 m, sum(w) OVER (PARTITION BY k) n FROM p),
+g AS (SELECT k, x, m, n, coalesce(lag(m) OVER (PARTITION BY k ORDER BY m), 0) pm, coalesce(lag(x) OVER (PARTITION BY k ORDER BY m), x) px FROM c),
+v AS (SELECT k, q, any_value(n) n, coalesce(max(px + (x - px) * (q * n - pm) / (m - pm)) FILTER (m >= q * n AND pm < q * n), max(x)) v FROM g, (VALUES (0.25), (0.5), (0.75)) t(q) GROUP BY 1, 2)
+SELECT k AS user_id, round(any_value(n), 6) AS weight, round(max(v) FILTER (q = 0.25), 5) AS q25, round(max(v) FILTER (q = 0.5), 5) AS q50, round(max(v) FILTER (q = 0.75), 5) AS q75 FROM v GROUP BY 1"""

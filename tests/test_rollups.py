@@ -12,7 +12,7 @@ import sketchloom
 from sketchloom import sql
 from sketchloom.functions import digest as D
 from sketchloom.functions import moments as M
-from sketchloom.operators import spacesaving, stats, tdigest
+from sketchloom.operators import decay, spacesaving, stats, tdigest
 from sketchloom.operators.cube import cube, grouping_sets, rollup
 from sketchloom.operators.sliding import sliding
 
@@ -142,3 +142,25 @@ def test_space_saving_traces(spark):
 
 def test_versions():
     assert sketchloom.__version__ == "0.2.0" and sketchloom.engine_version()
+
+
+def test_decay_with_any_landmarks(spark):
+    """Landmarks change no quantile and no weight as of a time; very old rows vanish, and half-lives must agree."""
+    rng = np.random.default_rng(9)
+    rows = [(float(v), int(t)) for v, t in zip(rng.normal(size=60), rng.integers(0, 1000, 60))]
+    df = spark.createDataFrame(rows, "x double, t long").withColumn("ts", F.timestamp_seconds("t"))
+    sizes, quantiles = set(), set()
+    for parts in ([(0, 1000, 1000)], [(0, 1000, 0)], [(0, 500, 400), (500, 1000, 1200)]):
+        made = [decay.build(df.filter((F.col("t") >= lo) & (F.col("t") < hi)), None, "x", "ts", 200, at) for lo, hi, at in parts]
+        s = decay.merge(made[0] if len(made) == 1 else made[0].unionByName(made[1]), None)
+        r = s.select(decay.size_at("decayed", 1000).alias("n"), D.quantile("decayed.digest", 0.4).alias("q")).first()
+        sizes.add(round(r.n, 9))
+        quantiles.add(round(r.q, 9))
+    assert sizes == {round(sum(2 ** ((t - 1000) / 200) for _, t in rows), 9)} and len(quantiles) == 1
+    old = decay.build(df, None, "x", "ts", 0.001, 10**6)
+    assert old.first().decayed["digest"]["total_weight"] == 0
+    with pytest.raises(Exception, match="half-lives differ"):
+        decay.merge(decay.build(df, None, "x", "ts", 5, 0).unionByName(decay.build(df, None, "x", "ts", 6, 0)), None).collect()
+    for bad in (0, -1, float("inf")):
+        with pytest.raises(ValueError):
+            decay.build(df, None, "x", "ts", bad, 0)
