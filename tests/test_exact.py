@@ -1,9 +1,10 @@
-"""Exact quantiles against numpy."""
+"""Exact quantiles, decayed counts and Spark's own sketches against plain Python."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sketchloom.operators import decay, native
 from sketchloom.operators.selection import exact_quantiles
 
 QS = [0.0, 0.1, 0.5, 0.77, 1.0]
@@ -67,3 +68,52 @@ def test_three_passes_are_enough_for_a_smooth_column(spark, monkeypatch):
     assert exact_quantiles(df, None, "v", [0.1, 0.5], fit=1000).first().quantiles == pytest.approx(want, rel=1e-12)
     assert len(passes) == 2  # after that of the digests
     df.unpersist()
+
+
+def test_decayed_counts_hold_their_bounds_whatever_the_landmarks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), int(t)) for i, t in zip(rng.zipf(1.4, 4000) % 300, rng.integers(0, 1000, 4000))]
+    df = spark.createDataFrame(rows, "item long, t long").withColumn("ts", F.timestamp_seconds("t"))
+    parts = [decay.build_counts(df.filter(F.col("t").between(a, b)), None, "item", "ts", 100, at, capacity=30) for a, b, at in ((0, 399, 400), (400, 799, 650), (800, 1000, 1000))]
+    merged = decay.merge_counts(parts[0].unionByName(parts[1]).unionByName(parts[2]), None)
+    got = merged.select("decayed.landmark", F.inline(decay.topk_at("decayed", 30, 1000))).collect()
+    exact = {}
+    for i, t in rows:
+        exact[i] = exact.get(i, 0.0) + 2 ** ((t - 1000) / 100)
+    slack = len(rows) / decay.UNIT
+    assert len(got) == 30 and {r.landmark for r in got} == {1000.0}
+    assert all(r["count"] - r.error - slack <= exact[r.item] <= r["count"] + slack for r in got)
+    assert max(exact, key=exact.get) == got[0].item
+    later = merged.select(decay.topk_at("decayed", 1, 1100)[0]["count"]).first()[0]
+    assert later == pytest.approx(got[0]["count"] / 2)
+
+
+def test_decayed_counts_of_nothing(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", None, 5), ("b", 7, -(10**6))], "k string, item long, t long").withColumn("ts", F.timestamp_seconds("t"))
+    one, other = (decay.build_counts(df, "k", "item", "ts", life, 0) for life in (10, 20))
+    assert {r.k: r.n for r in one.select("k", F.size("decayed.summary.counters").alias("n")).collect()} == {"a": 0}
+    assert decay.merge_counts(one.filter("false"), "k").count() == 0
+    with pytest.raises(Exception, match="half-lives differ"):
+        decay.merge_counts(one.unionByName(other), "k").collect()
+
+
+def test_kll_builds_merges_and_skips(spark):
+    df = spark.range(20_000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 != 0, F.col("id").cast("double")).otherwise(float("nan")).alias("v"))
+    m = native.kll_merge(native.kll(df, "k", "v", k=800), None)
+    n, qs, share = m.select(native.kll_size("kll"), native.kll_quantile("kll", [-1, 0.5, 2]), native.kll_cdf("kll", [5000])).first()
+    assert n == 20_000 - 2858 and qs[0] == 1 and qs[2] == 19_998
+    assert abs(qs[1] - 10_000) < 240 and abs(share[0] - 0.25) < 0.012
+    assert native.kll(df.limit(0), None, "v").select(native.kll_size("kll"), native.kll_quantile("kll", [0.5])).first()[:] == (0, None)
+    assert native.kll(df.limit(0), "k", "v").count() == 0
+    for k, error in ((7, ValueError), (1.5, TypeError)):
+        with pytest.raises(error):
+            native.kll(df, "k", "v", k=k)
+
+
+def test_topk_states_skip_nulls_and_merge(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a b"), (2, "c"), (2, None), (3, None)], "k int, `odd.name` string")
+    s = native.topk_state(df, "k", "odd.name", tracked=100)
+    got = native.topk_merge(s, None, tracked=100).select(F.inline(native.topk_estimate("state", 5))).collect()
+    assert [tuple(r) for r in got] == [("a b", 3), ("c", 1)]
+    assert {r.k: r.n for r in s.select("k", F.size(native.topk_estimate("state")).alias("n")).collect()} == {1: 1, 2: 2, 3: 0}
+    assert native.topk_merge(s.limit(0), None, tracked=100).count() == 0
