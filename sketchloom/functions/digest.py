@@ -36,6 +36,13 @@ CDF = """CASE WHEN {s} IS NULL OR coalesce({s}.total_weight, 0D) <= 0D OR {x} IS
    'rm', CASE WHEN c.mean > {x} AND a.rm IS NULL THEN c.mean ELSE a.rm END, 'ra', CASE WHEN c.mean > {x} AND a.rm IS NULL THEN a.cum + c.weight / 2D ELSE a.ra END),
   a -> (a.la + (coalesce(a.ra, {s}.total_weight) - a.la) * coalesce(try_divide({x} - a.lm, coalesce(a.rm, {s}.max) - a.lm), 0D)) / {s}.total_weight) END"""
 
+#: Centroids in order, of finite means between minimum and maximum and of positive weights that add up to the total.
+VALID = """coalesce({s}.compression >= 20D AND {s}.compression <= 1000D
+ AND forall({s}.centroids, c -> coalesce(c.weight > 0D AND c.weight < double('Infinity') AND abs(c.mean) < double('Infinity'), false))
+ AND forall(transform({s}.centroids, (c, i) -> i = 0 OR c.mean >= get({s}.centroids, i - 1).mean), x -> x)
+ AND abs({s}.total_weight - aggregate({s}.centroids, 0D, (a, c) -> a + c.weight)) <= 1e-9D * {s}.total_weight
+ AND (size({s}.centroids) = 0 OR {s}.min - 1e-9D * ({s}.max - {s}.min) <= get({s}.centroids, 0).mean AND get({s}.centroids, size({s}.centroids) - 1).mean <= {s}.max + 1e-9D * ({s}.max - {s}.min)), false)"""
+
 
 def sql_quantile(s: str, q: str) -> str:
     return QUANTILE.format(s=s, q=q)
@@ -114,6 +121,11 @@ def histogram(s: str, bins=10, range: tuple[float, float] | None = None) -> Colu
     return F.expr(f"named_struct('hist', {hist}, 'edges', {edges})")
 
 
+def valid(s: str) -> Column:
+    """Whether a stored digest is sound; NULL isn't."""
+    return F.expr(VALID.format(s=s))
+
+
 def minimum(s: str) -> Column:
     return F.expr(f"CASE WHEN {s}.total_weight > 0D THEN {s}.min ELSE double('NaN') END")
 

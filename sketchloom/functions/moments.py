@@ -80,6 +80,16 @@ def kurt(s, fisher: bool = True, bias: bool = True) -> Column:
     return _varied(s, k - 3.0 if fisher else k)
 
 
+#: Counts and even moments that aren't negative, extremes in order, and nothing but zeros where nothing was counted.
+VALID = """coalesce({s}.count >= 0 AND {s}.sum IS NOT NULL AND {s}.m2 >= 0D AND {s}.m3 IS NOT NULL AND {s}.m4 >= 0D
+ AND CASE WHEN {s}.count > 0 THEN {s}.min <= {s}.max ELSE {s}.min IS NULL AND {s}.max IS NULL AND {s}.sum = 0D AND {s}.m2 = 0D AND {s}.m3 = 0D AND {s}.m4 = 0D END, false)"""
+
+
+def valid(s: str) -> Column:
+    """Whether stored statistics are sound; NULL aren't."""
+    return F.expr(VALID.format(s=s))
+
+
 def describe(s) -> Column:
     """Text such as ``stats(count=10)``."""
     return F.format_string("stats(count=%d)", _col(s)["count"])

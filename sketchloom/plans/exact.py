@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sketchloom import sql
 from sketchloom.operators import decay, native
 from sketchloom.operators.selection import exact_quantiles
 from sketchloom.plans.queries import _r, query
@@ -96,3 +97,18 @@ def topk_states(spark, d):
 
 
 ORACLES["topk_states"] = 'SELECT l_returnflag, l_quantity AS item, count(*) AS "count" FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1, 2'
+
+
+@query
+def sql_parameters(spark, d):
+    """SQL with weights, corrected moments and a compression, and whether what they gave is sound, for each supplier: a group is one task's."""
+    sql.register(spark)
+    table(spark, d, "lineitem").select("l_suppkey", "l_extendedprice", "l_linenumber", "l_quantity").createOrReplaceTempView("sketchloom_lines")
+    return spark.sql("""SELECT l_suppkey, round(stats_skew(s, false), 6) AS skew_fair, round(stats_kurt(s, true, false), 6) AS kurt_fair, round(stats_mean(f), 4) AS mean_of_copies, f.count AS copies, t.total_weight AS weight, t.compression,
+ aggregate(tdigest_histogram(t, 7), 0D, (a, x) -> a + x) BETWEEN t.total_weight * (1D - 1e-9D) AND t.total_weight * (1D + 1e-9D) AS whole, tdigest_valid(t) AND stats_valid(s) AND stats_valid(f) AND space_saving_double_valid(c) AS sound, c.counters[0].item AS quantity, c.counters[0].count AS quantity_weight
+FROM (SELECT l_suppkey, summary_stats(l_extendedprice) AS s, summary_stats_frequency(l_extendedprice, l_linenumber) AS f, tdigest_weighted_of(l_extendedprice, CAST(l_linenumber AS DOUBLE), 250D) AS t, space_saving_double_weighted_of(l_quantity, CAST(l_linenumber AS BIGINT), 64) AS c FROM sketchloom_lines GROUP BY l_suppkey)""")
+
+
+ORACLES["sql_parameters"] = """WITH q AS (SELECT l_suppkey, CAST(l_quantity AS DOUBLE) item, CAST(sum(l_linenumber) AS BIGINT) n FROM lineitem GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY sum(l_linenumber) DESC, item) = 1)
+SELECT l_suppkey, round(skewness(l_extendedprice), 6) AS skew_fair, round(kurtosis(l_extendedprice), 6) AS kurt_fair, round(sum(l_extendedprice * l_linenumber) / sum(l_linenumber), 4) AS mean_of_copies, CAST(sum(l_linenumber) AS BIGINT) AS copies, CAST(sum(l_linenumber) AS DOUBLE) AS weight, CAST(250 AS DOUBLE) AS compression, true AS whole, true AS sound, any_value(item) AS quantity, any_value(n) AS quantity_weight
+FROM lineitem JOIN q USING (l_suppkey) GROUP BY 1"""

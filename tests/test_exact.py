@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sketchloom.operators import decay, native
+from sketchloom import sql
+from sketchloom.functions import digest as D
+from sketchloom.functions import moments as M
+from sketchloom.operators import decay, native, spacesaving, stats, tdigest
 from sketchloom.operators.selection import exact_quantiles
 
 QS = [0.0, 0.1, 0.5, 0.77, 1.0]
@@ -117,3 +120,46 @@ def test_topk_states_skip_nulls_and_merge(spark):
     assert [tuple(r) for r in got] == [("a b", 3), ("c", 1)]
     assert {r.k: r.n for r in s.select("k", F.size(native.topk_estimate("state")).alias("n")).collect()} == {1: 1, 2: 2, 3: 0}
     assert native.topk_merge(s.limit(0), None, tracked=100).count() == 0
+
+
+def test_sql_parameters_are_those_of_the_functions(spark):
+    sql.register(spark)
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(float(v), int(w), str(int(v) % 5)) for v, w in zip(rng.gamma(2, 3, 200), rng.integers(1, 5, 200))], "x double, w long, s string").coalesce(1)
+    df.createOrReplaceTempView("parameters")
+    r = spark.sql("""SELECT stats_skew(s, false), stats_kurt(s, false, false), stats_kurt(s, false), stats_mean(w), stats_std(w, 1), stats_mean(f) FROM
+        (SELECT summary_stats(x) s, summary_stats_weighted(x, w) w, summary_stats_frequency(x, w) f FROM parameters)""").first()
+    want = stats.build(df, None, "x").select(M.skew("stats", bias=False), M.kurt("stats", fisher=False, bias=False), M.kurt("stats", fisher=False)).first()
+    weighted = stats.build(df, None, "x", weight="w").select(M.mean("stats"), M.std("stats", 1)).first()
+    copies = stats.build(df, None, "x", weight="w", weighting="frequency").select(M.mean("stats")).first()
+    assert np.allclose(tuple(r), [*want, *weighted, *copies], rtol=1e-9)
+    r = spark.sql("""SELECT d.compression c, tdigest_histogram(d, 4) h, tdigest_edges(d, 4) e, tdigest_histogram_at(d, array(0D, 5D, 5D, 50D)) a, tdigest_histogram_at(d, array(1D)) one, tdigest_histogram(d, 2, -3D, -3D) apart FROM
+        (SELECT tdigest_weighted_of(x, w, 400D) d FROM parameters)""").first()
+    d = tdigest.build(df, None, "x", weight="w", compression=400)
+    h = d.select(D.histogram("digest", 4).alias("h"), D.histogram("digest", [0.0, 5.0, 5.0, 50.0]).alias("a")).first()
+    assert r.c == 400 and np.allclose(r.h, h.h["hist"]) and np.allclose(r.e, h.h["edges"]) and np.allclose(r.a, h.a["hist"]) and r.one == [] and r.apart == [0, 0]
+    got = spark.sql("SELECT space_saving_weighted_of(s, w, 3) s FROM parameters").first().s
+    want = spacesaving.build(df, None, "s", count="w", capacity=3).first().summary
+    assert got["capacity"] == 3 and sorted(got["counters"]) == sorted(want["counters"]) and got["m"] == want["m"]
+    assert spark.sql("SELECT tdigest_of(x, 5000D).compression FROM parameters").first()[0] == 1000
+    for text in ("summary_stats_weighted(x, w - 4)", "tdigest_of(x, x)", "space_saving_weighted(s, w - 1)", "tdigest_histogram(tdigest(x), 0)", "tdigest_histogram_at(tdigest(x), array(2D, 1D))"):
+        with pytest.raises(Exception, match="must"):
+            spark.sql(f"SELECT {text} FROM parameters").collect()
+
+
+def test_tiny_values_in_sql_end_without_an_error(spark):
+    sql.register(spark)
+    text = "SELECT stats_skew(s), stats_kurt(s), stats_valid(s) FROM (SELECT summary_stats(x) s FROM VALUES (1e-160D), (2e-160D), (4e-160D) t(x))"
+    assert spark.sql(text).first()[2]
+
+
+def test_soundness_of_stored_sketches(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v"))
+    d, s = tdigest.build(df, "k", "v", compression=20), stats.build(df, "k", "v")
+    assert {r[0] for r in d.select(D.valid("digest")).collect()} == {r[0] for r in s.select(M.valid("stats")).collect()} == {True}
+    assert tdigest.build(df.limit(0), None, "v").select(D.valid("digest")).first()[0] and stats.build(df.limit(0), None, "v").select(M.valid("stats")).first()[0]
+    c = F.col("digest.centroids")
+    for broken in (d.digest.withField("total_weight", F.lit(1.0)), d.digest.withField("centroids", F.reverse(c)), d.digest.withField("max", F.lit(0.0)), d.digest.withField("compression", F.lit(5.0)), d.digest.withField("centroids", F.transform(c, lambda x: x.withField("weight", -x["weight"]))), F.lit(None).cast(d.schema["digest"].dataType)):
+        assert {r[0] for r in d.select(broken.alias("digest")).select(D.valid("digest")).collect()} == {False}
+    for broken in (s.stats.withField("m2", F.lit(-1.0)), s.stats.withField("min", F.lit(1e9)), s.stats.withField("count", F.lit(0).cast("long")), s.stats.withField("sum", F.lit(None).cast("double")), F.lit(None).cast(s.schema["stats"].dataType)):
+        assert {r[0] for r in s.select(broken.alias("stats")).select(M.valid("stats")).collect()} == {False}
