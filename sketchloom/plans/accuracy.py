@@ -19,10 +19,10 @@ def _bounds(rows: DataFrame, digests: DataFrame, key: str, x: str) -> DataFrame:
     """For each key and probe whether the quantile's exact rank, and the share at it, are within the bounds."""
     probes = digests.select(F.col(key).alias("__key"), D.quantile("digest", PROBES).alias("__q"), "digest")  # a row for each key of the digests
     probes = probes.select("__key", "__q", F.array(*(D.cdf_of("digest", f"__q[{i}]") for i in range(len(PROBES)))).alias("__c"))
-    joined = rows.join(probes, rows[key] == probes["__key"])
+    joined = rows.join(F.broadcast(probes), rows[key] == probes["__key"])  # of flags, a handful: rows stay in their tasks
     below = [F.sum(F.when(F.col(x) < F.col("__q")[i], 1).otherwise(0)).alias(f"b{i}") for i in range(len(PROBES))]
     upto = [F.sum(F.when(F.col(x) <= F.col("__q")[i], 1).otherwise(0)).alias(f"u{i}") for i in range(len(PROBES))]
-    got = joined.groupBy(key).agg(F.count("*").alias("n"), F.first("__c").alias("c"), *below, *upto)
+    got = joined.groupBy(key, F.col("__c").alias("c")).agg(F.count("*").alias("n"), *below, *upto)  # a first(c) would have all rows sorted
     each = []
     for i, q in enumerate(PROBES):
         lo, hi, c = F.col(f"b{i}") / F.col("n"), F.col(f"u{i}") / F.col("n"), F.col("c")[i]
@@ -167,7 +167,7 @@ def spacesaving_bounds(spark, d):
     exact = rows.groupBy("half", F.col("l_partkey").alias("item")).agg(F.count("*").alias("n"))
     kept = s.select("half", F.col("summary.m").alias("m"), F.inline("summary.counters"))
     both = exact.join(kept.select(F.col("half").alias("h"), "item", "count", "error"), (F.col("half") == F.col("h")) & (exact["item"] == kept["item"]), "left").select("half", "n", "count", "error")
-    both = both.join(s.select(F.col("half").alias("h"), F.col("summary.m").alias("m")), F.col("half") == F.col("h"))
+    both = both.join(F.broadcast(s.select(F.col("half").alias("h"), F.col("summary.m").alias("m"))), F.col("half") == F.col("h"))  # two rows
     ok = F.when(F.col("count").isNull(), F.col("n") <= F.col("m")).otherwise((F.col("count") - F.col("error") <= F.col("n")) & (F.col("n") <= F.col("count")))
     return both.groupBy("half").agg(F.count("count").alias("n_counters"), F.min(ok).alias("bounds_hold"), F.sum("n").alias("n"))
 

@@ -73,10 +73,10 @@ def kll_bounds(spark, d):
     rows = table(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), "value").filter("value IS NOT NULL AND NOT isnan(value)")
     save(native.kll(rows, ["event_type", "day"], "value", k=800), path := scratch(spark, "kll"))
     s = native.kll_merge(load(spark, path), "event_type").select(F.col("event_type").alias("type"), native.kll_quantile("kll", _PROBES).alias("qs"), native.kll_cdf("kll", _VALUES).alias("shares"))
-    joined = rows.join(s, F.col("event_type") == F.col("type"))
+    joined = rows.join(F.broadcast(s), F.col("event_type") == F.col("type"))  # of types, a handful: rows stay in their tasks
     tests = lambda i: (("b", F.col("value") < F.col("qs")[i]), ("u", F.col("value") <= F.col("qs")[i]), ("v", F.col("value") <= _VALUES[i]))
     sums = [F.sum(F.when(test, 1).otherwise(0)).alias(f"{n}{i}") for i in range(len(_PROBES)) for n, test in tests(i)]
-    got = joined.groupBy("event_type").agg(F.count("*").alias("n"), F.first("shares").alias("shares"), *sums)
+    got = joined.groupBy("event_type", "shares").agg(F.count("*").alias("n"), *sums)  # a first(shares) would have all rows sorted
     each = []
     for i, q in enumerate(_PROBES):
         lo, hi, share = F.col(f"b{i}") / F.col("n") - _ERROR, F.col(f"u{i}") / F.col("n") + _ERROR, F.col(f"v{i}") / F.col("n")

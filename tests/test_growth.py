@@ -11,3 +11,13 @@ def test_quantiles_by_a_generator_can_be_written(spark, tmp_path):
     QUERIES["tdigest_large"](spark, TINY).write.parquet(f"{tmp_path}/large")
     got = spark.read.parquet(f"{tmp_path}/large")
     assert got.columns == ["l_returnflag", "i", "quantile"] and got.count() == 3 * 7
+
+
+@pytest.mark.parametrize("name", ["tdigest_bounds", "tdigest_skewed_bounds", "tdigest_merge_bounds", "kll_bounds"])
+def test_rows_stay_in_their_tasks_where_they_meet_a_few_digests(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = QUERIES[name](spark, TINY)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "SortAggregate" not in plan
