@@ -113,11 +113,11 @@ def histogram(s: str, bins=10, range: tuple[float, float] | None = None) -> Colu
         if any(a > b for a, b in zip(es, es[1:])):
             raise ValueError("bins must not decrease")
         n, edges = len(es) - 1, _array(es)
-    shares = f"transform({edges}, x -> {sql_cdf(s, 'x')})"
+    shares = f"array(transform({edges}, x -> {sql_cdf(s, 'x')}))"  # in an array, whose lambda reads it twice but makes it once
     if n == 0:
         hist = "CAST(array() AS ARRAY<DOUBLE>)"
     else:
-        hist = f"CASE WHEN coalesce({s}.total_weight, 0D) <= 0D THEN array_repeat(0D, {n}) ELSE transform(zip_with(slice({shares}, 1, {n}), slice({shares}, 2, {n}), (a, b) -> b - a), d -> d * {s}.total_weight) END"
+        hist = f"CASE WHEN coalesce({s}.total_weight, 0D) <= 0D THEN array_repeat(0D, {n}) ELSE flatten(transform({shares}, c -> zip_with(slice(c, 1, {n}), slice(c, 2, {n}), (a, b) -> (b - a) * {s}.total_weight))) END"
     return F.expr(f"named_struct('hist', {hist}, 'edges', {edges})")
 
 

@@ -21,3 +21,20 @@ def test_rows_stay_in_their_tasks_where_they_meet_a_few_digests(spark, name):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "SortAggregate" not in plan
+
+
+def test_a_digest_is_folded_once_whatever_reads_it(spark):
+    for name in ("tdigest_histogram_user", "tdigest_centroids_user"):
+        plan = QUERIES[name](spark, TINY)._jdf.queryExecution().optimizedPlan()
+        text = "".join(e.toString() for e in _nodes(plan))
+        assert text.count("ASIN(") == 2  # the scale stands twice in a fold
+
+
+def _nodes(plan):
+    """Each node's own expressions."""
+    out, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        for seq, into in ((p.expressions(), out), (p.children(), todo)):
+            into.extend(seq.apply(i) for i in range(seq.size()))
+    return out
