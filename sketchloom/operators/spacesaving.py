@@ -24,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from sketchloom.functions.checks import integral_weight, key_list
 from sketchloom.functions.types import space_saving
+from sketchloom.sources.tables import load, save, scratch
 
 _NAN = float("nan")
 #: Counters of a key, in capacities, at which a task trims them; counters of all keys before it passes them on.
@@ -373,6 +374,27 @@ def describe(s) -> Column:
     return F.format_string("space_saving(capacity=%d, size=%d)", capacity(s), size(s))
 
 
+def certain_topk(df: DataFrame, item: str, k: int, count: str | int = 1, capacity: int = 20) -> DataFrame:
+    """The k heaviest items with exact counts, ties by item; a summary says which items have to be counted.
+
+    A summary that dropped nothing is exact. Else the items without a counter weigh at most ``m``: if k counters are
+    surely heavier, only counters that may be as heavy as the last of these are counted again, and if not, all items,
+    in as many tasks as the rows are. The driver reads two numbers.
+    """
+    value, kind, as_json = _item(df, item)
+    path = scratch(df.sparkSession, "summary")
+    save(build(df, None, item, count, capacity), path)
+    s = load(df.sparkSession, path)
+    surely = F.sort_array(F.transform("summary.counters", lambda c: c["count"] - c["error"]), asc=False)
+    m, least = s.select("summary.m", F.try_element_at(surely, F.lit(max(1, k)))).first()
+    if not m:
+        return s.select(F.inline(topk("summary", k)))
+    if least is not None and least > m:
+        may = s.select(F.inline("summary.counters")).filter(F.col("count") >= least).select((_code(F.col("item"), kind) if as_json else F.col("item")).alias("__may"))
+        df = df.join(F.broadcast(may), value == F.col("__may"), "left_semi")  # at most ``capacity`` items
+    return exact_topk(df, None, item, k, count)
+
+
 def exact_topk(df: DataFrame, keys, item: str, k: int, count: str | int = 1) -> DataFrame:
     """Exact counts by one aggregation; rank 1..k within each key, ties by item."""
     keys = key_list(keys)

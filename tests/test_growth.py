@@ -1,6 +1,7 @@
 """Plans and operators that must not grow faster than their input, and results that mustn't depend on its size."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from sketchloom.plans.registry import QUERIES
 
@@ -38,3 +39,18 @@ def _nodes(plan):
         for seq, into in ((p.expressions(), out), (p.children(), todo)):
             into.extend(seq.apply(i) for i in range(seq.size()))
     return out
+
+
+@pytest.mark.parametrize("capacity", [3, 40, 1000])
+def test_heaviest_items_are_exact_whatever_the_capacity(spark, capacity):
+    from sketchloom.operators import spacesaving
+
+    counts = {i: 5 for i in range(300)} | {500: 400, 501: 300, 502: 300, 7: 6}  # a tie, and ten thousandths that summaries drop
+    rows = [(i,) for i, n in counts.items() for _ in range(n)] + [(None,)]
+    for k in (2, 3, 6):
+        want = sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:k]
+        for kind in ("long", "double", "array<long>"):
+            df = spark.createDataFrame(rows, "x long").repartition(5)
+            df = df.select((F.when(F.col("x").isNotNull(), F.array("x")) if kind == "array<long>" else F.col("x").cast(kind)).alias("x"))
+            got = [(r.item[0] if kind == "array<long>" else r.item, r["count"], r.error) for r in spacesaving.certain_topk(df, "x", k, capacity=capacity).collect()]
+            assert got == [(i, n, 0) for i, n in want]
