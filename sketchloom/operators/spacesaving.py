@@ -326,8 +326,9 @@ def build_in_order(df: DataFrame, keys, item: str, order, count: str | int = 1,
     """One summary for each key by the sequential algorithm: rows are offered one by one, as ``order`` sorts them.
 
     When all counters are taken, a new item takes over the one with the least count, which becomes its error; among
-    equals the one with the largest error goes, then the one that moved last. Each key's rows are one task's, which holds
-    its counters and nothing else; use ``build`` where the order of rows doesn't matter. Keys without rows have no summary.
+    equals the one with the largest error goes, then the one that moved last. Keys of at most ``capacity`` items never
+    evict, and are counted in the tasks that have their rows. Another key's rows are one task's, which sorts them on disk
+    if need be and holds its counters; use ``build`` where the order of rows doesn't matter. Keys without rows have no summary.
     """
     keys, capacity = key_list(keys), _capacity(capacity)
     value, kind, as_json = _item(df, item)
@@ -335,9 +336,29 @@ def build_in_order(df: DataFrame, keys, item: str, order, count: str | int = 1,
         raise TypeError("arrays, structs and maps can't be counted in order")
     by = [F.col(c) for c in key_list(order)]
     rows = df.select(*keys, *(c.alias(f"__o{i}") for i, c in enumerate(by)), value.alias("__item"), integral_weight(df, count).alias("__count"))
-    rows = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, *(f"__o{i}" for i in range(len(by)))).select(*keys, "__item", "__count")
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(out, space_saving(kind))])
-    return rows.mapInArrow(partial(_in_order, nkeys=len(keys), capacity=capacity, schema=to_arrow_schema(schema)), schema)
+    state = space_saving(kind)
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(out, state)])
+    order = [f"__o{i}" for i in range(len(by))]
+    # keys whose items all have room never evict: counts don't depend on the order, ties are ranked by an item's last row
+    last = F.max(order[0] if len(order) == 1 else F.struct(*order))
+    items = rows.groupBy(*keys, "__item").agg(F.sum("__count").alias("__n"), last.alias("__last"))
+    few = F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(F.asc_nulls_first("__item")))
+    each = F.struct((-F.col("__n")).alias("a"), F.col("__last").alias("b"), F.col("__item").alias("c"))
+    listed = items.withColumn("__at", few).filter(F.col("__at") <= capacity + 2).groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("__item").isNotNull(), each))).alias("__l"), F.count("*").alias("__rows"))
+    listed = listed.filter("__rows > 0")
+    zero = F.lit(0).cast("long")
+    counted = F.transform("__l", lambda c: F.struct(c["c"].alias("item"), (-c["a"]).alias("count"), zero.alias("error")))
+    m = F.when(F.size("__l") == capacity, -F.try_element_at("__l", F.lit(-1))["a"]).otherwise(zero)
+    roomy = listed.filter(F.size("__l") <= capacity).select(*keys, F.struct(F.lit(capacity).cast("int").alias("capacity"), m.alias("m"), counted.alias("counters")).cast(state).alias(out))
+    crowded = listed.filter(F.size("__l") > capacity)
+    crowded = crowded.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.lit(True).alias("__crowded"))
+    if keys:
+        rows = rows.join(crowded, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], "left_semi")
+    else:
+        rows = rows.crossJoin(F.broadcast(crowded))  # a row or none
+    rows = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, *order).select(*keys, "__item", "__count")
+    evicting = rows.mapInArrow(partial(_in_order, nkeys=len(keys), capacity=capacity, schema=to_arrow_schema(schema)), schema)
+    return roomy.unionByName(evicting)
 
 
 def topk(s, k: int) -> Column:

@@ -54,3 +54,21 @@ def test_heaviest_items_are_exact_whatever_the_capacity(spark, capacity):
             df = df.select((F.when(F.col("x").isNotNull(), F.array("x")) if kind == "array<long>" else F.col("x").cast(kind)).alias("x"))
             got = [(r.item[0] if kind == "array<long>" else r.item, r["count"], r.error) for r in spacesaving.certain_topk(df, "x", k, capacity=capacity).collect()]
             assert got == [(i, n, 0) for i, n in want]
+
+
+def test_keys_with_room_for_their_items_are_counted_without_an_order(spark):
+    from sketchloom.operators import spacesaving
+
+    few, many = [3, 1, 2, 1, 3, None], [i % 9 for i in range(50)]
+    rows = [("few", i, x) for i, x in enumerate(few)] + [("many", i, x) for i, x in enumerate(many)] + [(None, 0, 5), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "k string, i long, x long").repartition(6)
+    got = {r.k: r.summary for r in spacesaving.build_in_order(df, "k", "x", "i", capacity=3).collect()}
+    assert set(got) == {"few", "many", None, "none"}
+    assert [tuple(c) for c in got["few"]["counters"]] == [(1, 2, 0), (3, 2, 0), (2, 1, 0)] and got["few"]["m"] == 1  # 1 moved before 3
+    assert sum(c["count"] for c in got["many"]["counters"]) == 50 and len(got["many"]["counters"]) == 3
+    assert [tuple(c) for c in got[None]["counters"]] == [(5, 1, 0)] and got[None]["m"] == 0 and got["none"]["counters"] == []
+    assert spacesaving.build_in_order(df.limit(0), None, "x", "i", capacity=3).count() == 0
+
+    roomy = spacesaving.build_in_order(df.filter("k = 'few'"), "k", "x", "i", capacity=3)
+    roomy.collect()
+    assert "EmptyRelation" in roomy._jdf.queryExecution().executedPlan().toString()  # no row is left to be put in order
