@@ -4,7 +4,7 @@ No pass sorts the rows. The first builds digests, whose quantiles around a rank
 later pass cuts every bracket into cells of equal width and counts the rows of each cell, exactly and within each task
 first; the cell that holds the rank, from its least to its greatest value, is the next bracket. A guess that misses does
 no harm, as what is below and above it are cells too. Once a bracket has at most ``fit`` rows its distinct values are
-counted and ranked; as a rule that is the third pass. What tasks send on are counts, and values of brackets that fit.
+counted and ranked; as a rule that is the third pass. Keys of few rows are ranked at once. What tasks send on are counts, and values of brackets that fit.
 
 Defined cases: NULL, NaN and infinite values are skipped; a key without any other value, or an empty table, has no row;
 zeros of either sign are one value; NULL is a key like others. Whole numbers of any size stay exact; decimals are read as
@@ -26,6 +26,8 @@ from sketchloom.sources.tables import load, save, scratch
 
 #: Rows of a bracket that are ranked at once; cells of a bracket in a pass; and the share of rows by which a first bracket reaches beyond its rank on either side.
 FIT, CELLS, REACH = 1_000_000, 2048, 0.005
+#: Rows up to which a key is ranked at once: less than the cells of its brackets would be.
+SMALL = 50_000
 #: Keys up to which brackets go to all tasks, some 100 bytes for each rank; beyond, rows are joined to them in so many parts of a key.
 BROADCAST_KEYS, SALTS = 10_000, 16
 _WHOLE = T.DecimalType(20, 0)
@@ -51,12 +53,21 @@ def _rows(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     return rows if isinstance(kind, T.IntegralType) else rows.filter(~F.isnan("x") & (F.abs("x") < float("inf")))
 
 
-def _targets(rows: DataFrame, names: list[str], qs: list[float], whole: bool) -> DataFrame:
+def _place(n: Column, q: float, midpoints: bool) -> Column:
+    """The rank less 1, with a fraction, of a quantile of n values."""
+    if midpoints:
+        return F.greatest(F.lit(0.0), F.least(n * F.lit(q) - 0.5, n - 1.0))
+    return (n - 1) * F.lit(q)
+
+
+def _ranks(n: Column, qs: list[float], midpoints: bool) -> Column:
+    return F.array_distinct(F.array(*(c.cast("long") + 1 for at in (_place(n, q, midpoints) for q in qs) for c in (F.floor(at), F.ceil(at)))))
+
+
+def _targets(rows: DataFrame, names: list[str], qs: list[float], whole: bool, midpoints: bool) -> DataFrame:
     """(k0, ..., n, rank, want, lo, hi, rows): the ranks on either side of each quantile, with guesses of where they are."""
     digests = tdigest.build(rows.withColumn("x", F.col("x").cast("double")), names, "x", out="d").filter("d.total_weight > 0").withColumn("n", F.col("d.total_weight").cast("long"))
-    at = [(F.col("n") - 1) * F.lit(q) for q in qs]
-    ranks = F.array_distinct(F.array(*(c.cast("long") + 1 for h in at for c in (F.floor(h), F.ceil(h)))))
-    t = digests.select(*names, "n", "d", F.explode(ranks).alias("rank"))
+    t = digests.select(*names, "n", "d", F.explode(_ranks(F.col("n"), qs, midpoints)).alias("rank"))
     lo, hi = (F.expr(sql_quantile("d", f"(double(rank) / n {by})")) for by in (f"- {REACH}D", f"+ {REACH}D"))
     if whole:
         lo, hi = F.floor(lo).cast(_WHOLE), F.ceil(hi).cast(_WHOLE)
@@ -91,8 +102,9 @@ def _cell(cells: int, whole: bool) -> Column:
     return F.when(x < lo, -1).when(x > hi, cells).otherwise(at)
 
 
-def exact_quantiles(df: DataFrame, keys, x: str, q, out: str = "quantiles", fit: int = FIT, cells: int = CELLS) -> DataFrame:
-    """Each key's exact quantiles, as an array in the order of ``q``, linear between neighbouring values as in ``percentile``.
+def exact_quantiles(df: DataFrame, keys, x: str, q, out: str = "quantiles", fit: int = FIT, cells: int = CELLS, midpoints: bool = False) -> DataFrame:
+    """Each key's exact quantiles, as an array in the order of ``q``, linear between neighbouring values as in ``percentile``,
+    or with ``midpoints`` as in a digest whose points all stay apart: the i-th value is at i - 1/2.
 
     A q outside [0, 1] counts as the nearer end. ``fit`` bounds the rows of a bracket that are ranked at once, ``cells``
     (at least 2) is what a bracket is cut into in each pass; neither changes the result. The driver reads how many rows the largest bracket has.
@@ -107,7 +119,21 @@ def exact_quantiles(df: DataFrame, keys, x: str, q, out: str = "quantiles", fit:
             raise ValueError(f"{name} must be at least {least}")
     rows, names = _rows(df, keys, x), [f"k{i}" for i in range(len(keys))]
     whole = isinstance(rows.schema["x"].dataType, T.DecimalType)
-    targets, known = _kept(_targets(rows, names, qs, whole), "brackets"), False
+    large = _kept(rows.groupBy(*names).agg(F.count("*").alias("n")).filter(F.col("n") > min(fit, SMALL)), "large")
+    n_large = large.limit(BROADCAST_KEYS + 1).count()
+    small = None
+    if not n_large:
+        small = rows
+    elif names:
+        of = large.select(*(F.col(k).alias(f"l_{k}") for k in names))
+        of = F.broadcast(of) if n_large <= BROADCAST_KEYS else of
+        same = [rows[k].eqNullSafe(of[f"l_{k}"]) for k in names]
+        small, rows = rows.join(of, same, "left_anti"), rows.join(of, same, "left_semi")
+    if small is not None:
+        at_once = _at_once(small, names, qs, midpoints)
+    if not n_large:
+        return _interpolated(at_once, keys, names, qs, whole, midpoints, out)
+    targets, known = _kept(_targets(rows, names, qs, whole, midpoints), "brackets"), False
     each = [*names, "rank"]
     while not known or (targets.filter("lo < hi").agg(F.max("rows")).first()[0] or 0) > fit:
         counted = _within(rows, targets if not known else targets.filter("lo < hi"), names, known)
@@ -127,9 +153,23 @@ def exact_quantiles(df: DataFrame, keys, x: str, q, out: str = "quantiles", fit:
     values = ranked.unionByName(targets.filter("lo = hi").select(*each, F.col("lo").alias("x"))).groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("v"))
     values = values.select(*(F.col(k).alias(f"v_{k}") for k in names), "v")
     both = sizes.join(values, [sizes[k].eqNullSafe(values[f"v_{k}"]) for k in names]) if names else sizes.crossJoin(F.broadcast(values))  # one row
+    both = both.select(*names, "n", "v")
+    return _interpolated(both if small is None else both.unionByName(at_once), keys, names, qs, whole, midpoints, out)
+
+
+def _at_once(rows: DataFrame, names: list[str], qs: list[float], midpoints: bool) -> DataFrame:
+    """(k0, ..., n, v): the ranked values of keys that have few rows."""
+    of = Window.partitionBy(*(names or [F.lit(1)]))
+    ranked = rows.select(*names, "x", F.row_number().over(of.orderBy("x")).cast("long").alias("rank"), F.count("*").over(of).alias("n"))
+    ranked = ranked.filter(F.array_contains(_ranks(F.col("n"), qs, midpoints), F.col("rank")))
+    return ranked.groupBy(*names, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("v"))
+
+
+def _interpolated(both: DataFrame, keys: list[str], names: list[str], qs: list[float], whole: bool, midpoints: bool, out: str) -> DataFrame:
+    """The quantiles of (k0, ..., n, v), by values next to their places."""
 
     def between(p: float) -> Column:
-        h = (F.col("n") - 1) * F.lit(p)
+        h = _place(F.col("n"), p, midpoints)
         a, b = (F.element_at("v", c.cast("long") + 1) for c in (F.floor(h), F.ceil(h)))
         share = h - F.floor(h)
         if whole:

@@ -72,3 +72,25 @@ def test_keys_with_room_for_their_items_are_counted_without_an_order(spark):
     roomy = spacesaving.build_in_order(df.filter("k = 'few'"), "k", "x", "i", capacity=3)
     roomy.collect()
     assert "EmptyRelation" in roomy._jdf.queryExecution().executedPlan().toString()  # no row is left to be put in order
+
+
+def test_keys_of_few_rows_need_no_brackets(spark, monkeypatch):
+    from sketchloom.operators import selection
+
+    df = spark.range(5000).select((F.col("id") % 500).alias("k"), (F.col("id") * 7919 % 5000).alias("x"))
+    want = {r.k: r.q for r in df.groupBy("k").agg(F.percentile("x", [0.1, 0.5]).alias("q")).collect()}
+    bracketed = {r.k: r.quantiles for r in selection.exact_quantiles(df, "k", "x", [0.1, 0.5], fit=5).collect()}
+    monkeypatch.setattr(selection, "_within", None)
+    at_once = {r.k: r.quantiles for r in selection.exact_quantiles(df, "k", "x", [0.1, 0.5]).collect()}
+    assert at_once == bracketed and all(at_once[k] == pytest.approx(q, rel=1e-12) for k, q in want.items())
+
+
+@pytest.mark.parametrize("fit", [4, 1000])
+def test_quantiles_by_midpoints(spark, fit):
+    from sketchloom.operators.selection import exact_quantiles
+
+    df = spark.createDataFrame([(float(x),) for x in (1, 2, 4, 8, 8, 16)], "x double")
+    q = [0.0, 0.05, 0.25, 0.5, 0.6, 0.99, 1.0]
+    want = [1.0, 1.0, 2.0, 6.0, 8.0, 16.0, 16.0]
+    got = exact_quantiles(df, None, "x", q, fit=fit, midpoints=True).first().quantiles
+    assert got == pytest.approx(want, rel=1e-12)
