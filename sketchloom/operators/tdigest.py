@@ -24,7 +24,7 @@ from sketchloom.functions.types import TDIGEST
 from sketchloom.operators.keys import key_codes
 
 #: Points and keys that a task holds before it compacts or passes them on.
-HELD, KEYS = 2_000_000, 500_000
+HELD, KEYS = 500_000, 100_000
 #: Sketches of a key that a task merges at once, and tasks that an input without a known size is taken to have at most.
 FAN_IN, MOST = 256, 256**3
 

@@ -106,3 +106,19 @@ def test_windows_of_more_rows_than_stay_apart_have_exact_quartiles(spark, tmp_pa
     events = spark.range(6000).select(i.alias("event_id"), F.timestamp_seconds(1704067200 + i * 86400 * 3 / 6000).alias("ts"), user.alias("user_id"), (F.rand(3) * 1000).alias("value"))
     events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     compare(QUERIES["tdigest_sliding_week"](spark, str(tmp_path)), ORACLES["tdigest_sliding_week"], str(tmp_path))
+
+
+def test_a_task_passes_digests_of_many_keys_on_early():
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from sketchloom.functions.types import TDIGEST
+    from sketchloom.operators import tdigest
+
+    schema = to_arrow_schema(T.StructType([T.StructField("k", T.LongType()), T.StructField("d", TDIGEST)]))
+    one = np.ones(10_000)
+    batches = (pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + 10_000)), pa.array(one), pa.array(one)], names=["k", "x", "w"]) for i in range(0, 300_000, 10_000))
+    sizes = [b.num_rows for b in tdigest._partial(batches, 1, schema, 100.0, False)]
+    assert sum(sizes) == 300_000 and max(sizes) <= 110_000
