@@ -63,6 +63,15 @@ def _maps_inside(kind: T.DataType) -> bool:
     return any(isinstance(k, (T.MapType, T.VariantType)) or _maps_inside(k) for k in inner)
 
 
+def _by_parts(kind: T.DataType) -> bool:
+    """Whether an array or a struct is told apart by parts of which Arrow knows equality and order, so that it needs no text."""
+    if isinstance(kind, T.ArrayType):
+        return _by_parts(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return 0 < len(set(kind.names)) == len(kind) and all(_by_parts(f.dataType) for f in kind)
+    return kind == T.StringType() or isinstance(kind, (T.IntegralType, T.BooleanType, T.DateType))
+
+
 def _code(c: Column, kind: T.DataType) -> Column:
     """Text that equal composite items share: JSON, of maps with entries in order of their keys."""
     if isinstance(kind, T.MapType):
@@ -146,31 +155,111 @@ class _Column:
         least = int(np.partition(self.n, len(self.n) - capacity)[len(self.n) - capacity])
         above, level = np.flatnonzero(self.n > least), np.flatnonzero(self.n == least)
         if len(above) + len(level) > capacity:
-            ties = zip(self.e[level].tolist(), self.items.take(pa.array(level)).to_pylist(), level.tolist())
-            level = np.array([i for _, _, i in nsmallest(capacity - len(above), ties)], np.int64)
-        kept = np.concatenate([above, level])
+            level = self.first(level, capacity - len(above))
+        kept = np.sort(np.concatenate([above, level]))
         self.m, self.items, self.n, self.e = max(self.m, least), self.items.take(pa.array(kept)), self.n[kept], self.e[kept]
 
-    def ranked(self, capacity: int) -> list:
+    def first(self, level: np.ndarray, k: int) -> np.ndarray:
+        """The k of equal count that come first by error and item."""
+        ties = zip(self.e[level].tolist(), self.items.take(pa.array(level)).to_pylist(), level.tolist())
+        return np.array([i for _, _, i in nsmallest(k, ties)], np.int64)
+
+    def state(self, capacity: int, kind: pa.StructType) -> pa.Array:
         self.trim(capacity)
-        return sorted(zip(self.items.to_pylist(), zip(self.n.tolist(), self.e.tolist())), key=_rank)
+        ranked = sorted(zip(self.items.to_pylist(), zip(self.n.tolist(), self.e.tolist())), key=_rank)
+        return pa.array([{"capacity": capacity, "counters": [{"item": i, "count": c, "error": e} for i, (c, e) in ranked], "m": self.m}], type=kind)
 
 
-def _partial_of_all(batches: Iterator[pa.RecordBatch], capacity: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """``_partial`` without keys."""
+class _Parts(_Column):
+    """``_Column`` of arrays or structs, kept in their order: they meet by ranks, since Arrow doesn't group or look them up."""
+
+    def add(self, items: pa.Array, n: np.ndarray) -> None:
+        """Items may repeat, and must not be NULL."""
+        both = pa.concat_arrays([self.items, items])
+        rank = _ranks(both)
+        order = np.argsort(rank, kind="stable")  # an item's counter before its new rows
+        start = np.flatnonzero(np.diff(rank[order], prepend=-1))
+        at = order[start]
+        sums = np.add.reduceat(np.concatenate([self.n, n])[order], start)
+        self.n = sums + np.where(at < len(self.items), 0, self.m)
+        self.e = np.concatenate([self.e, np.full(len(items), self.m, np.int64)])[at]
+        self.items = both.take(pa.array(at))
+
+    def first(self, level: np.ndarray, k: int) -> np.ndarray:
+        return level[np.lexsort((level, self.e[level]))[:k]]
+
+    def state(self, capacity: int, kind: pa.StructType) -> pa.Array:
+        self.trim(capacity)
+        by = np.lexsort((self.e, -self.n))
+        counters = kind.field("counters").type
+        columns = {"item": self.items.take(pa.array(by)), "count": pa.array(self.n[by]), "error": pa.array(self.e[by])}
+        each = [counters.value_type.field(i) for i in range(counters.value_type.num_fields)]
+        listed = pa.StructArray.from_arrays([columns[f.name].cast(f.type) for f in each], fields=each)
+        whole = {"capacity": pa.array([capacity], pa.int32()), "m": pa.array([self.m], pa.int64()), "counters": pa.ListArray.from_arrays(pa.array([0, len(by)], pa.int32()), listed, type=counters)}
+        fields = [kind.field(i) for i in range(kind.num_fields)]
+        return pa.StructArray.from_arrays([whole[f.name] for f in fields], fields=fields)
+
+
+def _ranks(a: pa.Array) -> np.ndarray:
+    """Numbers up to the array's length that values share only with equal ones, in their order: NULLs first, lists and structs by their parts."""
+    if not pa.types.is_nested(a.type):
+        d = a.dictionary_encode()
+        rank = np.zeros(len(d.dictionary) + 1, np.int64)  # the last one is NULL's
+        rank[pc.sort_indices(d.dictionary).to_numpy()] = np.arange(1, len(rank))
+        return rank[pc.fill_null(d.indices, -1).to_numpy()]
+    valid = a.is_valid().to_numpy(zero_copy_only=False)
+    rank = np.where(valid, len(a) - int(valid.sum()), 0)
+    at = np.flatnonzero(valid)
+    if pa.types.is_struct(a.type):
+        for field in a.flatten():
+            at, _ = _refine(rank, at, _ranks(field)[at])
+        return rank
+    parts = np.append(_ranks(a.flatten()) + 1, 0)
+    size = pc.fill_null(pc.list_value_length(a), 0).to_numpy().astype(np.int64)
+    place = np.cumsum(size) - size
+    j = 0
+    while len(at):  # a list that has ended comes before those that go on
+        at, part = _refine(rank, at, np.where(size[at] > j, parts[np.minimum(place[at] + j, len(parts) - 1)], 0))
+        at = at[part > 0]
+        j += 1
+    return rank
+
+
+def _refine(rank: np.ndarray, at: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks ``at`` some places, where all of equal rank are, go by a next part too; returns places that still share one, and their parts.
+
+    A rank is the number of values that are known to be less.
+    """
+    if not len(at):
+        return at, part
+    order = np.argsort(rank[at] * (int(part.max()) + 1) + part)
+    at, part = at[order], part[order]
+    was = np.diff(rank[at], prepend=-1) != 0
+    new = was | (np.diff(part, prepend=-1) != 0)
+    place = np.arange(len(at))
+    rank[at] += np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(was, place, 0))
+    shared = ~(new & np.append(new[1:], True))
+    return at[shared], part[shared]
+
+
+def _partial_of_all(batches: Iterator[pa.RecordBatch], capacity: int, schema: pa.Schema, each: int = 1) -> Iterator[pa.RecordBatch]:
+    """``_partial`` without keys. Rows without a count have ``each``."""
     held = None
 
     def out() -> pa.RecordBatch:
-        state = {"capacity": capacity, "counters": [{"item": i, "count": c, "error": e} for i, (c, e) in held.ranked(capacity)], "m": held.m}
-        return pa.RecordBatch.from_arrays([pa.array([state], type=schema.field(0).type)], schema=schema)
+        return pa.RecordBatch.from_arrays([held.state(capacity, schema.field(0).type)], schema=schema)
 
     for table in _wide(batches):
+        if table.num_columns == 1:
+            table = table.append_column("__count", pa.repeat(each, table.num_rows).cast(pa.int64()))
         item, count = table.column_names
-        sums = table.group_by([item]).aggregate([(count, "sum")])
+        kind = table.schema.field(item).type
+        nested = pa.types.is_nested(kind)
+        sums = table if nested else table.group_by([item]).aggregate([(count, "sum")]).rename_columns([item, count])
         sums = sums.filter(sums.column(item).is_valid()).combine_chunks()
-        held = held or _Column(sums.schema.field(item).type)
+        held = held or (_Parts if nested else _Column)(kind)
         if sums.num_rows:
-            held.add(sums.column(item).chunk(0), sums.column(f"{count}_sum").to_numpy())
+            held.add(sums.column(item).chunk(0), sums.column(count).to_numpy())
         if len(held.n) > SLACK * capacity:
             held.trim(capacity)
         if len(held.n) >= HELD:
@@ -216,12 +305,17 @@ def build(df: DataFrame, keys, item: str, count: str | int = 1, capacity: int =
     """One summary for each key: each task counts and trims its own rows, then summaries are merged natively."""
     keys, capacity = key_list(keys), _capacity(capacity)
     value, kind, as_json = _item(df, item)
+    if as_json and not keys and _by_parts(kind):
+        value, as_json = F.col(item), False
     rows = df.select(*keys, value.alias("__item"), integral_weight(df, count).alias("__count"))
     carried = T.StringType() if as_json else kind
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(out, space_saving(carried))])
     # NaNs are one item whatever their bits, which Arrow doesn't know
     whole = not keys and not isinstance(carried, T.DoubleType)
-    count_rows = partial(_partial_of_all, capacity=capacity) if whole else partial(_partial, nkeys=len(keys), capacity=capacity)
+    count_rows = partial(_partial, nkeys=len(keys), capacity=capacity)
+    if whole:
+        count_rows = partial(_partial_of_all, capacity=capacity, each=1 if isinstance(count, str) else int(count))
+        rows = rows if isinstance(count, str) else rows.drop("__count")  # a number is not sent with each row
     sketches = rows.mapInArrow(partial(count_rows, schema=to_arrow_schema(schema)), schema)
     merged = merge(sketches, keys, out, capacity)
     if as_json:
@@ -400,18 +494,25 @@ def certain_topk(df: DataFrame, item: str, k: int, count: str | int = 1, capacit
 
     A summary that dropped nothing is exact. Else the items without a counter weigh at most ``m``: if k counters are
     surely heavier, only counters that may be as heavy as the last of these are counted again, and if not, all items,
-    in as many tasks as the rows are. The driver reads two numbers.
+    in as many tasks as the rows are. The driver reads three numbers.
     """
-    value, kind, as_json = _item(df, item)
     path = scratch(df.sparkSession, "summary")
     save(build(df, None, item, count, capacity), path)
     s = load(df.sparkSession, path)
-    surely = F.sort_array(F.transform("summary.counters", lambda c: c["count"] - c["error"]), asc=False)
-    m, least = s.select("summary.m", F.try_element_at(surely, F.lit(max(1, k)))).first()
-    if not m:
+    if not s.select("summary.m").first().m:
         return s.select(F.inline(topk("summary", k)))
+    return recounted_topk(df, s, item, k, count)
+
+
+def recounted_topk(df: DataFrame, summaries: DataFrame, item: str, k: int, count: str | int = 1) -> DataFrame:
+    """The k heaviest items by counts of the rows themselves, where the table's one summary of these rows says which may be among them; else by those of all items."""
+    value, kind, as_json = _item(df, item)
+    if as_json and _by_parts(kind):
+        value, as_json = F.col(item), False
+    surely = F.sort_array(F.transform("summary.counters", lambda c: c["count"] - c["error"]), asc=False)
+    m, least = summaries.select("summary.m", F.try_element_at(surely, F.lit(max(1, k)))).first()
     if least is not None and least > m:
-        may = s.select(F.inline("summary.counters")).filter(F.col("count") >= least).select((_code(F.col("item"), kind) if as_json else F.col("item")).alias("__may"))
+        may = summaries.select(F.inline("summary.counters")).filter(F.col("count") >= least).select((_code(F.col("item"), kind) if as_json else F.col("item")).alias("__may"))
         df = df.join(F.broadcast(may), value == F.col("__may"), "left_semi")  # at most ``capacity`` items
     return exact_topk(df, None, item, k, count)
 

@@ -122,3 +122,49 @@ def test_a_task_passes_digests_of_many_keys_on_early():
     batches = (pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + 10_000)), pa.array(one), pa.array(one)], names=["k", "x", "w"]) for i in range(0, 300_000, 10_000))
     sizes = [b.num_rows for b in tdigest._partial(batches, 1, schema, 100.0, False)]
     assert sum(sizes) == 300_000 and max(sizes) <= 110_000
+
+
+def test_pairs_are_counted_without_text_or_a_shuffle_of_all(spark, monkeypatch):
+    from sketchloom.operators import spacesaving
+
+    plans, build, exact = [], spacesaving.build, spacesaving.exact_topk
+    plan = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString().lower()) or df
+    monkeypatch.setattr(spacesaving, "build", lambda *a, **b: plan(build(*a, **b)))
+    monkeypatch.setattr(spacesaving, "exact_topk", lambda df, *a, **b: exact(plan(df), *a, **b))
+    QUERIES["spacesaving_word_pairs"](spark, TINY)
+    assert len(plans) == 2 and not any("json" in p for p in plans)
+    assert "leftsemi" in plans[1]  # only pairs that may be among the ten are shuffled
+
+
+@pytest.mark.parametrize("kind", ["array<string>", "struct<a:array<string>,b:int>", "array<struct<a:string,b:int>>", "array<array<int>>"])
+def test_composite_items_meet_by_parts(spark, kind):
+    import numpy as np
+
+    from sketchloom.operators import spacesaving
+
+    text = "transform(sequence(1, 1 + id % 3), i -> if((id + i) % 5 = 0, null, concat('w', (id * 7 + i) % 4)))"
+    if kind == "array<string>":
+        item = f"case when id % 11 = 0 then null when id % 13 = 0 then array() else {text} end"
+    elif kind.startswith("struct"):
+        item = f"if(id % 11 = 0, null, struct({text} as a, if(id % 7 = 0, null, int(id % 2)) as b))"
+    elif kind == "array<array<int>>":
+        item = "array(array(int(id % 3)), if(id % 5 = 0, null, array(int(id % 2), null)))"
+    else:
+        item = "array(if(id % 5 = 0, null, struct(concat('w', id % 3) as a, int(id % 2) as b)), struct(null as a, int(id % 4) as b))"
+    df = spark.range(3000).select(F.expr(item).cast(kind).alias("x"), (F.col("id") % 3 + 1).alias("n"))
+    counts = df.filter("x is not null").groupBy("x").agg(F.count("*").alias("c"), F.sum("n").alias("s")).orderBy(F.desc("c"), "x").collect()
+    for count, of in ((1, "c"), (5, "c"), ("n", "s")):
+        want = {str(r.x): r[of] * (count if count == 5 else 1) for r in counts}
+        full = spacesaving.build(df.repartition(4), None, "x", count, capacity=1000).first().summary
+        assert full.m == 0 and {str(c.item): c["count"] for c in full.counters} == want and len(full.counters) == len(want)
+        assert all(c.error == 0 for c in full.counters)
+        few = spacesaving.build(df.repartition(4), None, "x", count, capacity=3).first().summary
+        assert len(few.counters) == 3 and few.m > 0
+        assert all(c["count"] - c.error <= want[str(c.item)] <= c["count"] for c in few.counters)
+        assert all(n <= few.m for i, n in want.items() if i not in {str(c.item) for c in few.counters})
+    top = [(r.item, r["count"]) for r in spacesaving.certain_topk(df.repartition(4), "x", 5, capacity=8).collect()]
+    assert top == [(r.x, r.c) for r in counts[:5]]
+    by_x = df.select("x").orderBy("x").toArrow().column("x").combine_chunks()
+    ranks, items = spacesaving._ranks(by_x), by_x.to_pylist()
+    same = [a == b for a, b in zip(items, items[1:])]
+    assert (np.diff(ranks) >= 0).all() and [bool(v) for v in np.diff(ranks) == 0] == same
